@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotweave.llm import bpe, secrets
+from plotweave.llm import bpe, language_id, line_dedup, secrets
 from plotweave.llm.common import table
 
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -33,9 +33,26 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secrets.KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+LANGUAGE_FOLDS = 5
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rest = language_id.remainder("doc_id", LANGUAGE_FOLDS)
+    model = language_id.fit(docs.filter(F.coalesce(rest, F.lit(0)) != 0))
+    return language_id.predict(docs, model).select("doc_id", F.coalesce(rest == 0, F.lit(True)).alias("held_out"), "lang_pred", "score", "bits")
+
+
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op5_secrets": op5_secrets,
+    "op6_language": op6_language,
+    "op9_lines": op9_lines,
 }
 
 ORACLE_SQL: dict[str, str] = {}
