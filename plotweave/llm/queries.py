@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotweave.llm import bpe, host_quality, language_id, line_dedup, secrets, simhash
+from plotweave.llm import bpe, host_quality, language_id, line_dedup, mixing, secrets, simhash
 from plotweave.llm.common import table
 
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -53,6 +53,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed, rows = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.words_taken(mixed, rows).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secrets": op5_secrets,
     "op6_language": op6_language,
     "op7_simhash": op7_simhash,
+    "op8_mixing": op8_mixing,
     "op9_lines": op9_lines,
 }
 
