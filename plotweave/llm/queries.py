@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotweave.llm import bpe, host_quality, language_id, line_dedup, mixing, secrets, simhash
+from plotweave.llm import bpe, host_quality, language_id, line_dedup, media, mixing, secrets, simhash, warc
 from plotweave.llm.common import table
 
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -25,6 +25,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(table(spark, sf_dir, "pages"))
+    return warc.resolved(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"), RANK_FILE, PATTERN)
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -63,14 +68,21 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = media.store(table(spark, sf_dir, "documents"))
+    return media.described(media.read(kept)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_host_quality": op3_host_quality,
+    "op4_warc": op4_warc,
     "op5_secrets": op5_secrets,
     "op6_language": op6_language,
     "op7_simhash": op7_simhash,
     "op8_mixing": op8_mixing,
     "op9_lines": op9_lines,
+    "op10_media": op10_media,
 }
 
 ORACLE_SQL: dict[str, str] = {}
