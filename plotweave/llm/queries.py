@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotweave.llm import bpe, host_quality, language_id, line_dedup, media, mixing, secrets, simhash, warc
+from plotweave.llm import bpe, host_quality, language_id, line_dedup, media, mixing, ngram_lm, secrets, simhash, warc
 from plotweave.llm.common import table
 
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -38,6 +39,19 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secrets.KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+HELD_OUT = 7, 2
+
+
+def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    prepared = ngram_lm.prepared(docs, language_id.remainder("doc_id", HELD_OUT[0]) == HELD_OUT[1])
+    model = ngram_lm.train(prepared)
+    n, v = model.summary.total, model.summary.types
+    scored = ngram_lm.score(prepared, model)
+    base = F.col("base") - F.col("n_tokens") * math.log10(n + v + 1)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score")
+
+
 def op3_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = host_quality.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -75,6 +89,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_katz": op2_katz,
     "op3_host_quality": op3_host_quality,
     "op4_warc": op4_warc,
     "op5_secrets": op5_secrets,
