@@ -14,12 +14,13 @@ than the two named are not read, so clashing names do no harm.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plotweave.llm.common import with_text
 
@@ -86,8 +87,8 @@ def encode_text(enc: tiktoken.Encoding, text: str) -> list[int]:
     return [i for part in safe_segments(text) for i in enc.encode_ordinary(part)]
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``n_tokens``, ``ids`` (binary, little-endian unsigned 32-bit) of each row."""
+def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """``doc_id``, ``n_tokens``, ``ids`` (binary, little-endian unsigned 32-bit) of each row, then the carried columns."""
     spark: SparkSession = docs.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(rank_file))
 
@@ -100,13 +101,14 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
                 counts.append(len(tokens))
                 ids.append(np.array(tokens, "<u4").tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())],
-                ["doc_id", "n_tokens", "ids"],
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), *batch.columns[2:]],
+                ["doc_id", "n_tokens", "ids", *carry],
             )
 
-    texts = with_text(docs, id_col, text_col)
+    texts = with_text(docs, id_col, text_col, *(F.col(c).alias(f"_{k}") for k, c in enumerate(carry)))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids binary")
+    more = "".join(f", `{c}` {texts.schema[f'_{k}'].dataType.simpleString()}" for k, c in enumerate(carry))
+    return texts.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids binary{more}")
 
 
 def decode(encoded: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids") -> DataFrame:

@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, the separators of ``[^\x20\x09-\x0D]+``; also what ``bytes.split()`` splits on.
@@ -53,9 +53,9 @@ def remove(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def with_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only the identifier and the text, a null text as empty."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def with_text(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """The identifier and the text, a null text as empty, and what else is named."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
 
 
 def byte_values(column: pa.Array) -> Iterator[bytes]:

@@ -230,11 +230,11 @@ def predict(docs: DataFrame, model: Automata, id_col: str = "doc_id", text_col:
         for batch in batches:
             lang, score, bits = judge(shared.value, batch.column(1).to_pylist())
             columns = [batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), *batch.columns[2:]]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "bits", *batch.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "bits", *carry])
 
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carry)
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(carry)))
     kinds = {f.name: f.dataType.simpleString() for f in texts.schema}
-    fields = [f"doc_id {kinds['doc_id']}", "lang_pred string", "score double", "bits double", *(f"`{c}` {kinds[c]}" for c in carry)]
+    fields = [f"doc_id {kinds['doc_id']}", "lang_pred string", "score double", "bits double", *(f"`{c}` {kinds[f'_{k}']}" for k, c in enumerate(carry))]
     return texts.mapInArrow(run, ", ".join(fields))
 
 
