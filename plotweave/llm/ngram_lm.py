@@ -43,8 +43,11 @@ from plotweave.llm.common import byte_values, materialize, remove
 from plotweave.llm.mph import mixed
 
 KATZ_K, MIN_PAIR = 5, 2
-#: Tokens that a map task merges at once, and that a bucket holds on average.
-BATCH_TOKENS, BUCKET_TOKENS = 1 << 22, 1 << 22
+#: Tokens that a map task merges at once.
+BATCH_TOKENS = 3 << 19
+#: Tokens of a bucket on average: where pairs are counted a task holds all its pairs, where texts are
+#: scored only its part of the model.
+COUNT_TOKENS, SCORE_TOKENS = 1 << 21, 1 << 23
 #: No word contains a line feed, so these are no words' hashes.
 START, END = (np.uint64(xxhash.xxh3_64_intdigest(s)) for s in (b"\nstart", b"\nend"))
 START_ID, END_ID = int(START.view(np.int64)), int(END.view(np.int64))
@@ -120,14 +123,17 @@ def unplanes(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(flat.T).reshape(-1).view(kind)
 
 
-def _by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Each bucket and the places of its keys."""
-    of = (keys % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(of, kind="stable")
-    ends = np.cumsum(np.bincount(of, minlength=buckets))
-    for k, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
-        if b > a:
-            yield k, order[a:b]
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets are ranges of hashes, so keys in order are buckets in order."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _slices(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+    """Each bucket that has some of the sorted ``keys``, and where they lie."""
+    of = bucket_of(keys, buckets)
+    starts = np.flatnonzero(np.diff(of, prepend=-1))
+    for a, b in zip(starts, [*starts[1:], len(keys)], strict=True):
+        yield int(of[a]), slice(int(a), int(b))
 
 
 # ---- counting
@@ -150,9 +156,9 @@ def pair_counts(docs: DataFrame, buckets: int, least: int = MIN_PAIR) -> DataFra
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lot in _batched(batches, True):
             keys, at, c = np.unique(pair_keys(lot.before, lot.words), return_index=True, return_counts=True)
-            first, second = lot.before[at], lot.words[at]
-            rows = [(k, _joined(first[of].tobytes(), second[of].tobytes(), planes(c[of].astype("<u4")))) for k, of in _by_bucket(keys, buckets)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "blob"])
+            for k, own in _slices(keys, buckets):
+                blob = _joined(lot.before[at[own]].tobytes(), lot.words[at[own]].tobytes(), planes(c[own].astype("<u4")))
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "blob"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blobs in _buckets(batches):
@@ -192,12 +198,12 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
     """The blobs of one bucket after another."""
     held, blobs = None, []
     for batch in batches:
-        for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             if bucket != held and blobs:
                 yield blobs
                 blobs = []
             held = bucket
-            blobs.append(blob)
+            blobs.append(blob.as_py())
     if blobs:
         yield blobs
 
@@ -262,14 +268,13 @@ class Model:
     summary: Words
     words: DataFrame
     pairs: DataFrame
-    buckets: int
 
 
 def train(docs: DataFrame) -> Model:
     """Fit on the rows of ``docs`` (doc_id, text, held) that aren't held."""
     counts = materialize(word_counts(docs), "lm-words")
     summary = word_model(counts)
-    buckets = max(1, -(-summary.total // BUCKET_TOKENS))
+    buckets = max(1, -(-summary.total // COUNT_TOKENS))
     found = materialize(pair_counts(docs, buckets), "lm-pair-counts")
     _collect_garbage(docs)
     d = discounts({r.c: r.n for r in found.filter("h1 is null").groupBy("c").agg(F.sum("n").alias("n")).collect()})  # KATZ_K + 1 rows
@@ -290,7 +295,7 @@ def train(docs: DataFrame) -> Model:
     for done in (found, counts, alphas):
         remove(docs.sparkSession, done)
     _collect_garbage(docs)
-    return Model(summary, words, stored, buckets)
+    return Model(summary, words, stored)
 
 
 def _collect_garbage(df: DataFrame) -> None:
@@ -309,18 +314,23 @@ def _row_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, bytes]]:
+    """Rows one at a time: only one blob is copied."""
+    for *key, blob in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
+        yield *key, blob.as_py()
+
+
 def _occurrences(keys: np.ndarray, of: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """Per bucket: its keys in order, how often each occurs, and in which documents."""
-    order = np.lexsort((of, keys))
+    """Per bucket: its keys in order, how often each occurs, and in which documents (rising for each key in ``keys``)."""
+    order = np.argsort(keys, kind="stable")
     keys, of = keys[order], of[order].astype("<u4")
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    runs = np.diff(np.append(starts, len(keys)))
+    ends = np.append(starts[1:], len(keys))
     steps = np.diff(of, prepend=np.uint32(0))
     steps[starts] = of[starts]
-    for k, places in _by_bucket(keys[starts], buckets):
-        mine = keys[starts[places]]
-        picked = np.repeat(np.isin(np.arange(len(starts)), places, assume_unique=True), runs)
-        yield k, _joined(planes(np.diff(mine, prepend=np.uint64(0))), planes(runs[places].astype("<u4")), planes(steps[picked]))
+    own = keys[starts]
+    for k, part in _slices(own, buckets):
+        yield k, _joined(planes(np.diff(own[part], prepend=np.uint64(0))), planes((ends[part] - starts[part]).astype("<u4")), planes(steps[starts[part][0] : ends[part][-1]]))
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -332,22 +342,23 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys, runs, all_steps - np.repeat(all_steps[starts] - steps[starts], runs)
 
 
-def _model_rows(model: Model) -> DataFrame:
+def _model_rows(model: Model, buckets: int) -> DataFrame:
     """The model's tables as rows for the buckets' tasks."""
-    buckets = model.buckets
+
+    def dealt(kind: int, keys: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(keys)
+        keys = keys[order]
+        return _row_batch([(k, kind, 0, _joined(keys[part].tobytes(), *(v[order[part]].tobytes() for v in values))) for k, part in _slices(keys, buckets)])
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = batch.column(0).to_numpy().view(np.uint64)
             c = batch.column(1).cast(pa.float64()).fill_null(-1).to_numpy(zero_copy_only=False)
-            log_p, log_alpha = (batch.column(k).to_numpy() for k in (2, 3))
-            yield _row_batch([(k, WORD_MODEL, 0, _joined(h[of].tobytes(), c[of].tobytes(), log_p[of].tobytes(), log_alpha[of].tobytes())) for k, of in _by_bucket(h, buckets)])
+            yield dealt(WORD_MODEL, batch.column(0).to_numpy().view(np.uint64), c, *(batch.column(k).to_numpy() for k in (2, 3)))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = pair_keys(*(batch.column(k).to_numpy().view(np.uint64) for k in (0, 1)))
-            gain = batch.column(2).to_numpy()
-            yield _row_batch([(k, PAIR_MODEL, 0, _joined(keys[of].tobytes(), gain[of].tobytes())) for k, of in _by_bucket(keys, buckets)])
+            yield dealt(PAIR_MODEL, keys, batch.column(2).to_numpy())
 
     return model.words.select("h", "c", "log_p", "log_alpha").mapInArrow(words, _ROWS).unionByName(model.pairs.select("h1", "h2", "gain").mapInArrow(pairs, _ROWS))
 
@@ -357,7 +368,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     ``base`` is the sum of log10(c + 1).
     """
-    buckets, unknown = model.buckets, math.log10(model.summary.unknown)
+    buckets, unknown = max(1, -(-model.summary.total // SCORE_TOKENS)), math.log10(model.summary.unknown)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
@@ -369,14 +380,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, head.schema) as out:
                 out.write_batch(head)
-            rows = [(number % buckets, HEAD, name, sink.getvalue().to_pybytes())]
             n = len(lot.ids)
             starts = np.full(n, START)
             size = n.to_bytes(4, "little")
-            rows += [(k, WORDS, name, size + b) for k, b in _occurrences(np.concatenate([lot.words, starts]), np.concatenate([of, np.arange(n)]), buckets)]
-            rows += [(k, PAIRS, name, size + b) for k, b in _occurrences(pair_keys(lot.before, lot.words), of, buckets)]
-            for r in rows:
-                yield _row_batch([r])
+            yield _row_batch([(number % buckets, HEAD, name, sink.getvalue().to_pybytes())])
+            for k, blob in _occurrences(np.concatenate([lot.words, starts]), np.concatenate([of, np.arange(n)]), buckets):
+                yield _row_batch([(k, WORDS, name, size + blob)])
+            for k, blob in _occurrences(pair_keys(lot.before, lot.words), of, buckets):
+                yield _row_batch([(k, PAIRS, name, size + blob)])
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, loaded, waiting = None, {}, {WORD_MODEL: [], PAIR_MODEL: []}
@@ -389,7 +400,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             return loaded[kind]
 
         for batch in batches:
-            for bucket, kind, name, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for bucket, kind, name, blob in _rows(batch):
                 if bucket != held:
                     held, loaded, waiting = bucket, {}, {WORD_MODEL: [], PAIR_MODEL: []}
                 if kind in (WORD_MODEL, PAIR_MODEL):
@@ -426,7 +437,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             return pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), pa.array(np.rint(sums[2]).astype(np.int64)), pa.array(sums[1]), pa.array(sums[0])], ["doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
 
         for batch in batches:
-            for _, kind, name, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for _, kind, name, blob in _rows(batch):
                 if name != held:
                     if head is not None:
                         yield finished()
@@ -439,7 +450,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         if head is not None:
             yield finished()
 
-    rows = docs.mapInArrow(emit, _ROWS).unionByName(_model_rows(model))
+    rows = docs.mapInArrow(emit, _ROWS).unionByName(_model_rows(model, buckets))
     dealt = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
     sums = dealt.mapInArrow(look_up, _ROWS).repartition("batch").sortWithinPartitions("batch", "bucket", "kind")
     return sums.mapInArrow(total, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double")
