@@ -100,4 +100,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_media": op10_media,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+_DIGESTED = "select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages"
+
+#: SQL twins of the queries that SQL can express; tests hold the others against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op3_host_quality": rf"""with d as (select doc_id, source, coalesce(text, '') as text, {_WORDS} as w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as l from documents),
+ t as (select doc_id, unnest(range(1, len(w) - 1)) as i, w from d), g as (select doc_id, i, w[i:i+2] as g from t),
+ r as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) as n from g) where n > 1),
+ m as (select doc_id, count(distinct i + k) as n_repeat_words from r, range(3) as o(k) group by 1),
+ c as (select d.doc_id, source, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+  len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words from d left join m on d.doc_id = m.doc_id),
+ b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from c),
+ h as (select source, count(*)::double as n, sum(base_failed::int)::double as f from b where source is not null group by 1),
+ s as (select count(*)::double as m, sum(n) as n, sum(n * n) as nn, sum(f * f / n) as ff, sum(f) / sum(n) as mean from h),
+ e as (select *, mean * (1 - mean) as v, n - nn / n - (m - 1) as room from s),
+ q as (select mean, 1 / least(1 - 1e-6, greatest(1e-6, case when v > 0 and room > 0 then (ff - n * mean * mean - v * (m - 1)) / (v * room) else 1e-6 end)) - 1 as strength from e)
+ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce((h.f + mean * strength) / (h.n + strength) <= {host_quality.MAX_RATE}, true) as kept
+ from b cross join q left join h on b.source = h.source""",
+    "op4_warc": f"""with p as ({_DIGESTED}), m as (select payload_digest, max(page_id) as last from p where payload_bytes >= {warc.MIN_REVISIT} group by 1)
+ select page_id, payload_bytes, p.payload_digest, case when page_id < last then 'revisit' else 'response' end as record_type, case when page_id < last then last end as refers_to
+ from p left join m on p.payload_digest = m.payload_digest""",
+    "op9_lines": f"""with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents),
+ k as (select *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as s from l),
+ n as (select *, translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from k),
+ c as (select key, max(doc_id) as last from n where length(key) >= {line_dedup.MIN_CHARS} group by key having count(distinct doc_id) >= {line_dedup.MIN_DOCS}),
+ j as (select n.*, c.key is not null and last <> doc_id as lost from n left join c on n.key = c.key)
+ select doc_id, count(*) as n_lines, count(*) filter (lost) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (not lost), '')) as kept_sha256 from j group by doc_id""",
+}
