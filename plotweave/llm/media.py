@@ -230,6 +230,8 @@ def read(stored_rows: DataFrame) -> DataFrame:
     kind = "array<struct<digest:binary,data:binary>>"
     lacking = stored_rows.filter(F.size("foreign") > 0)
     lent = stored_rows.filter(F.size("lent") > 0).select(F.explode("lent").alias("x")).select("x.digest", "x.data").dropDuplicates(["digest"])
+    # Written first: with no aggregation behind the exchange, Spark can split the join where many lack one chunk.
+    lent = materialize(lent, "lent-chunks")
     refs = lacking.select("row", F.explode("foreign").alias("digest"))
     got = refs.join(lent, "digest").groupBy("row").agg(F.collect_list(F.struct("digest", "data")).alias("got"))
     whole = stored_rows.filter(F.size("foreign") == 0).withColumn("got", F.lit(None).cast(kind))
