@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plotweave.llm.common import slices
+
 UNDETERMINED = "und"
 SAMPLE_ROWS, SAMPLE_ROW_CHARS = 256, 20_000
 #: Symbols of a language's sample, and of all languages' samples together.
@@ -161,19 +163,20 @@ def phrase_counts(model: Automata, blocks: list[np.ndarray]) -> np.ndarray:
     # The table's values are states; a root's row restarts a phrase.
     rows = model.table.reshape(-1, model.width)
     restart = rows[model.roots]  # language x symbol
-    state = np.repeat(model.roots[:, None], n, 1)
-    count = np.ones((k, n), np.int32)
+    roots = model.roots[:, None]
+    state = np.repeat(roots, n, 1)
+    count = np.zeros((k, n), np.int32)
     active = n
     for t in range(steps.shape[0]):
         while active and lengths[active - 1] <= t:
             active -= 1
         c = steps[t, :active]
-        at = state[:, :active] * model.width + c
-        to = model.table[at]
+        here = state[:, :active]
+        to = model.table[here * model.width + c]
         lost = to < 0
-        if t:
-            count[:, :active] += lost
-        again = np.maximum(restart[:, c], model.roots[:, None])
+        # A state that is a root's opens a phrase: at the start, and after a symbol that the sample lacks.
+        count[:, :active] += lost | (here == roots)
+        again = np.maximum(restart[:, c], roots)
         state[:, :active] = np.where(lost, again, to)
     out = np.empty((n, k), np.int32)
     out[order] = count.T
@@ -227,7 +230,7 @@ def predict(docs: DataFrame, model: Automata, id_col: str = "doc_id", text_col:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             lang, score, bits = judge(shared.value, batch.column(1).to_pylist())
             columns = [batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), *batch.columns[2:]]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "bits", *carry])
