@@ -22,7 +22,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import with_text
+from plotweave.llm.common import slices, with_text
 
 #: A rank file beyond this isn't broadcast but refused.
 MAX_RANK_BYTES = 64 << 20
@@ -87,32 +87,40 @@ def encode_text(enc: tiktoken.Encoding, text: str) -> list[int]:
     return [i for part in safe_segments(text) for i in enc.encode_ordinary(part)]
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
-    """``doc_id``, ``n_tokens``, ``ids`` (binary, little-endian unsigned 32-bit) of each row, then the carried columns."""
+def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), verify: bool = False) -> DataFrame:
+    """``doc_id``, ``n_tokens``, ``ids`` (binary, little-endian unsigned 32-bit) of each row, then the carried columns.
+
+    With ``verify``, last, ``round_trip``: whether the ids decode to the text's bytes.
+    """
     spark: SparkSession = docs.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(rank_file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks.value, pattern)
-        for batch in batches:
-            counts, ids = [], []
-            for text in batch.column(1):
-                tokens = encode_text(enc, text.as_py())
+        for batch in slices(batches):
+            counts, ids, same = [], [], []
+            for value in batch.column(1):
+                text = value.as_py()
+                tokens = encode_text(enc, text)
                 counts.append(len(tokens))
                 ids.append(np.array(tokens, "<u4").tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), *batch.columns[2:]],
-                ["doc_id", "n_tokens", "ids", *carry],
-            )
+                if verify:
+                    same.append(enc.decode_bytes(tokens) == text.encode())
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), *batch.columns[2:]]
+            names = ["doc_id", "n_tokens", "ids", *carry]
+            if verify:
+                columns.append(pa.array(same, pa.bool_()))
+                names.append("round_trip")
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     texts = with_text(docs, id_col, text_col, *(F.col(c).alias(f"_{k}") for k, c in enumerate(carry)))
     kind = texts.schema["doc_id"].dataType.simpleString()
     more = "".join(f", `{c}` {texts.schema[f'_{k}'].dataType.simpleString()}" for k, c in enumerate(carry))
-    return texts.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids binary{more}")
+    return texts.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids binary{more}{', round_trip boolean' * verify}")
 
 
 def decode(encoded: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids") -> DataFrame:
-    """The columns of ``encoded`` with ``decoded`` (binary) in place of the ids.
+    """The columns of ``encoded``, then ``decoded`` (binary).
 
     An id outside the vocabulary raises.
     """
@@ -121,7 +129,7 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks.value, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             decoded = [enc.decode_bytes(np.frombuffer(ids.as_py() or b"", "<u4").tolist()) for ids in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], [*batch.schema.names, "decoded"])
 

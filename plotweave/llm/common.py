@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, the separators of ``[^\x20\x09-\x0D]+``; also what ``bytes.split()`` splits on.
 SPACE = " \t\n\x0b\x0c\r"
+SLICE_ROWS = 1024
 #: Used where the session names no shared folder (tests on one machine).
 LOCAL_SHARED = "/tmp/checkpoints"
 
@@ -58,6 +59,13 @@ def with_text(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> Dat
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of at most ``rows`` rows, so that what a function makes of one stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def byte_values(column: pa.Array) -> Iterator[bytes]:
     """The UTF-8 bytes of a string column's values."""
     for value in column.cast(pa.large_binary()):

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import SPACE, byte_values, materialize
+from plotweave.llm.common import SPACE, byte_values, materialize, slices
 from plotweave.llm.mph import PerfectHash
 
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -228,7 +228,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
         probe = _ProbeHits(min_chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield _rewrite(batch, probe)
 
     return texts.mapInArrow(run, ", ".join(fields))

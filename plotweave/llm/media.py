@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import byte_values, materialize, with_text
+from plotweave.llm.common import byte_values, materialize, slices, with_text
 
 WIDTH = 64
 MIN_CHUNK, MAX_CHUNK, CUT_BITS = 512, 16_384, 11
@@ -164,7 +164,7 @@ def store(docs: DataFrame, max_shared: int = MAX_SHARED, id_col: str = "doc_id",
         owners = docs.sparkSession.sparkContext.broadcast({bytes(r.digest): r.owner for r in shared.collect()})
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 rows = []
                 for doc_id, data in zip(batch.column(0).to_pylist(), byte_values(batch.column(1)), strict=True):
                     me = NOBODY if doc_id is None else doc_id
@@ -179,7 +179,7 @@ def store(docs: DataFrame, max_shared: int = MAX_SHARED, id_col: str = "doc_id",
         joined = texts.join(told, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "foreign", "lent")
 
         def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 sets = ([set(x or ()) for x in batch.column(k).to_pylist()] for k in (2, 3))
                 yield _store_batch([stored(i, data, f, n) for i, data, f, n in zip(batch.column(0).to_pylist(), byte_values(batch.column(1)), *sets, strict=True)])
 
@@ -222,7 +222,7 @@ def read(stored_rows: DataFrame) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``media`` of every row of a store."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             columns = [batch.column(c).to_pylist() for c in ("digests", "foreign", "own", "lent", "got", "media_sha256")]
             media = [rebuilt(*row) for row in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
@@ -254,7 +254,7 @@ def described(media: DataFrame) -> DataFrame:
     """``doc_id``, ``n_bytes``, the payload's and the medium's length and digest, and the features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             blobs = batch.column(2).to_pylist()
             found = [(*features(m), len(m), hashlib.sha256(m).hexdigest()) for m in blobs]
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
