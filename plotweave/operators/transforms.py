@@ -46,24 +46,51 @@ def spectral_indices(pixels: DataFrame, names: Sequence[str], bands: dict[str, C
     return pixels.withColumns({n: x if mask is None else F.when(mask == 1, x) for n, x in found.items()})
 
 
-def upper_hull(x: np.ndarray, wl: np.ndarray) -> np.ndarray:
-    """The upper convex hull of a spectrum at all its wavelengths."""
+def hull_points(x: np.ndarray, wl: np.ndarray) -> list[int]:
+    """Bands on the upper convex hull of a spectrum."""
     keep: list[int] = []
     for i in range(len(x)):
         while len(keep) > 1:
             a, b = keep[-2:]
-            if (x[b] - x[a]) * (wl[i] - wl[a]) <= (x[i] - x[a]) * (wl[b] - wl[a]):
-                keep.pop()
-            else:
+            if (x[b] - x[a]) * (wl[i] - wl[a]) > (x[i] - x[a]) * (wl[b] - wl[a]):
                 break
+            keep.pop()
         keep.append(i)
-    return np.interp(wl, wl[keep], x[keep])
-
-
-def remove_continuum(x: np.ndarray, wl: np.ndarray, absorbance: bool = False, subtract: bool = False) -> np.ndarray:
+    return keep
+
+
+def cubic_spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The interpolating cubic spline whose outer pieces have the third derivative of the cubic through four end points."""
+    n = len(x)
+    if n < 3:
+        return np.interp(at, x, y)
+    h, d = np.diff(x), np.diff(y) / np.diff(x)
+    system, right = np.zeros((n, n)), np.zeros(n)
+    for i in range(1, n - 1):
+        system[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
+        right[i] = 6 * (d[i] - d[i - 1])
+    for row, first, piece in ((0, 0, 0), (n - 1, n - 4, n - 2)):
+        system[row, piece : piece + 2] = -1 / h[piece], 1 / h[piece]
+        if n > 3:
+            p, q = x[first : first + 4], d[first : first + 3]
+            second = (np.diff(q)) / (p[2:] - p[:-2])
+            right[row] = 6 * (second[1] - second[0]) / (p[3] - p[0])
+    m = np.linalg.solve(system, right)
+    k = np.clip(np.searchsorted(x, at, "right") - 1, 0, n - 2)
+    a, b = x[k + 1] - at, at - x[k]
+    return (m[k] * a**3 + m[k + 1] * b**3) / (6 * h[k]) + (y[k] / h[k] - m[k] * h[k] / 6) * a + (y[k + 1] / h[k] - m[k + 1] * h[k] / 6) * b
+
+
+def upper_hull(x: np.ndarray, wl: np.ndarray, spline: bool = False) -> np.ndarray:
+    """The upper convex hull of a spectrum at all its wavelengths, its points joined by lines or a spline."""
+    keep = hull_points(x, wl)
+    return cubic_spline(wl[keep], x[keep], wl) if spline else np.interp(wl, wl[keep], x[keep])
+
+
+def remove_continuum(x: np.ndarray, wl: np.ndarray, absorbance: bool = False, subtract: bool = False, spline: bool = False) -> np.ndarray:
     """A spectrum over its hull, or 1 plus their difference; absorbances are inverted before and after."""
     values = 1 / x if absorbance else x
-    hull = upper_hull(values, wl)
+    hull = upper_hull(values, wl, spline)
     out = 1 + values - hull if subtract else np.divide(values, hull, out=np.zeros_like(values), where=hull != 0)
     return 1 / out - 1 if absorbance else out
 

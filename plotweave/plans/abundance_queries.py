@@ -120,6 +120,11 @@ _OBSERVED = "ob as (select s_nationkey as site, avg(s_acctbal) as observed from
 
 ORACLE_SQL = {
     "hill_numbers": f"with {ABUNDANCE_SQL}, {_SHARES(0)} select site, count(*)::double as hill_0, round(exp(0.0 - sum(p * ln(p))), 6) as hill_1, round(1 / sum(p * p), 6) as hill_2, round(power(sum(power(p, 3)), -0.5), 6) as hill_3 from s group by 1",
+    # Bisection on the logarithm of alpha.
+    "fisher_alpha": f"""with recursive {ABUNDANCE_SQL}, g as (select site, count(*) as s, sum(n) as n from ab group by 1),
+ b(site, s, n, lo, hi, i) as (select site, s, n, -20.0::double, 40.0::double, 0 from g union all
+  select site, s, n, case when v < s then m else lo end, case when v < s then hi else m end, i + 1 from (select *, (lo + hi) / 2 as m, exp((lo + hi) / 2) * ln(1 + n / exp((lo + hi) / 2)) as v from b) as t where i < 90)
+ select site, s as richness, case when s > 1 and n > s then round(exp((lo + hi) / 2), 6) end as fisher from b where i = 90""",
     "alpha_abundance": f"with {ABUNDANCE_SQL}, {_SHARES(0)}, {_ALPHA} select * from al",
     "ssd_dense": f"with {ABUNDANCE_SQL}, {_SHARES(PCELIM)}, i as (select i::int as cid from range(1, 26) as t(i)), l as (select distinct site from s) select l.site, i.cid, round(coalesce(s.p, 0), 6) as p from l cross join i left join s on s.site = l.site and regexp_extract(s.cid, '\\d+$')::int = i.cid",
     "bray_curtis_pairs": f"with {ABUNDANCE_SQL}, {_SHARES(PCELIM)}, {_DENSE}, {_PAIRS} select a, b, round(bc, 6) as bc from bp",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -225,34 +223,45 @@ def full_workflow_tiles(spark, sf_dir):
     return rounded(workflows.diversity(pixels(spark, sf_dir), BANDS, "event_id", N_COLS, SMALL, "tile"))
 
 
+def _observed(px: DataFrame) -> DataFrame:
+    """Shannon's entropy of the event types of each plot, as ``value``."""
+    found = alpha_ops.alpha(alpha_ops.species_counts(px, ["user_id"], "event_type"), ["user_id"], ["shannon"])
+    return found.select(F.col("user_id").alias("plot_id"), F.col("shannon").alias("value"))
+
+
 def forward_selection(spark, sf_dir):
-    """Which bands' species follow the number of event types of each plot."""
+    """Which bands' species follow the entropy of event types of each plot."""
     px = pixels(spark, sf_dir)
-    observed = alpha_ops.alpha(alpha_ops.species_counts(px, ["user_id"], "event_type"), ["user_id"], ["shannon"]).select(F.col("user_id").alias("plot_id"), F.col("shannon").alias("value"))
-    sample = sampling.sample_pixels(px, 1000, "event_id")
+    own = px.withColumnRenamed("user_id", "plot_id")
+    options = Options(n_clusters=6, n_iter=2, starts=1)
+    criterion = workflows.feature_criterion(sampling.sample_pixels(px, 1000, "event_id"), own, _observed(px), "event_id", "shannon", options)
+    return rounded(spark.createDataFrame(search.select_forward(BANDS, criterion, 2), "round int, band string, r double"))
 
-    def criterion(sets):
-        parts = []
-        for i, bands in enumerate(sets):
-            model = workflows.fit(sample, bands, "event_id", Options(n_clusters=6, n_iter=2, beta_metrics=False, starts=1, alpha_sample=1000)).species
-            species = workflows.assign_model(px, model, ["user_id"]).withColumnRenamed("user_id", "plot_id")
-            found = alpha_ops.alpha_iterations(alpha_ops.iteration_counts(species, ["plot_id"]), ["plot_id"], ["shannon"])
-            parts.append(search.correlation(found.join(observed, "plot_id"), "shannon_mean", "value", "spearman").select(F.lit(i).alias("candidate"), "r"))
-        return reduce(lambda a, b: a.unionByName(b), parts)
 
-    rounds = search.select_forward(BANDS, criterion, 2)
-    return rounded(spark.createDataFrame(rounds, "round int, band string, r double"))
+def forward_selection_functional(spark, sf_dir):
+    px = pixels(spark, sf_dir)
+    own = px.withColumnRenamed("user_id", "plot_id")
+    criterion = workflows.feature_criterion(px, own, _observed(px), "event_id", "fdis", Options())
+    return rounded(spark.createDataFrame(search.select_forward(BANDS, criterion, 1), "round int, band string, r double"))
+
+
+def plot_workflow(spark, sf_dir):
+    """Field plots with attributes: alpha, functional metrics and both ordinations."""
+    px = pixels(spark, sf_dir)
+    options = Options(n_clusters=6, n_iter=2, alpha_metrics=("richness", "shannon"), fd_metrics=("fdis",), beta_sample=40, alpha_sample=1000, window=5, starts=1)
+    model = workflows.fit(px, BANDS, "event_id", options)
+    boxes = _boxes(spark, BOXES).withColumnRenamed("local_id", "plot_id")
+    return rounded(workflows.plot_diversity(plots.extract(px, boxes, BANDS), boxes, model, options))
 
 
 def cluster_search(spark, sf_dir):
     px = pixels(spark, sf_dir)
-    observed = alpha_ops.alpha(alpha_ops.species_counts(px, ["user_id"], "event_type"), ["user_id"], ["shannon"]).select(F.col("user_id").alias("plot_id"), F.col("shannon").alias("value"))
     sample = sampling.sample_pixels(px, 1000, "event_id")
     own = px.withColumnRenamed("user_id", "plot_id")
-    return rounded(search.cluster_search(sample, own, observed, masks.iqr_bounds(px, BANDS), BANDS, (4, 8), 2, key="event_id", starts=1))
+    return rounded(search.cluster_search(sample, own, _observed(px), masks.iqr_bounds(px, BANDS), BANDS, (4, 8), 2, key="event_id", starts=1))
 
 
-QUERIES = {f.__name__: f for f in (alpha_grid, alpha_plots, alpha_classif, alpha_moving_window, alpha_tiles, mosaic_tiles, map_layers, window_ids, sunlit_windows, iqr_bounds, iqr_mask, tile_masks, clean_rows, scale_bands, noise_diff, sample_pixels, pixels_per_lot, sample_regular_tiles, sample_random_tiles, sample_plots, sample_tile_plots, tile_stats, valid_pixels, extract_plots, plot_layers, cells_at_coords, plot_values, functional_1d, functional_hull, mnf_scores, crop_border, grid_extent, grid_cells, full_workflow, full_workflow_tiles, forward_selection, cluster_search)}
+QUERIES = {f.__name__: f for f in (alpha_grid, alpha_plots, alpha_classif, alpha_moving_window, alpha_tiles, mosaic_tiles, map_layers, window_ids, sunlit_windows, iqr_bounds, iqr_mask, tile_masks, clean_rows, scale_bands, noise_diff, sample_pixels, pixels_per_lot, sample_regular_tiles, sample_random_tiles, sample_plots, sample_tile_plots, tile_stats, valid_pixels, extract_plots, plot_layers, cells_at_coords, plot_values, functional_1d, functional_hull, mnf_scores, crop_border, grid_extent, grid_cells, full_workflow, full_workflow_tiles, plot_workflow, forward_selection, forward_selection_functional, cluster_search)}
 
 _WINDOWS = f"(select {WIN_SQL} as win_id, event_type as cid, count(*) as n from px group by 1, 2)"
 _TILED = f"(select tile, {WIN_SQL} as win_id, event_type as cid, count(*) as n from px group by 1, 2, 3)"

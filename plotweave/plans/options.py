@@ -43,7 +43,7 @@ def for_entry(entry: str, **changes) -> Options:
     return replace(DEFAULTS[entry], **changes)
 
 
-FATAL = {"no_pca": "no principal components: fit them first", "pca_choice": "no component was chosen"}
+FATAL = {"no_stored_model": "no stored model to apply: fit one first", "no_pca": "no principal components: fit them first", "pca_choice": "no component was chosen"}
 NOTES = {"no_model": "no stored model: it will be fitted", "few_pixels": "fewer pixels than wanted: all are used"}
 
 

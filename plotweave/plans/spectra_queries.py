@@ -120,7 +120,8 @@ def invariant_bands(spark, sf_dir):
 
 
 def continuum_removed(spark, sf_dir):
-    return rounded_arrays(transforms.continuum_removed(spectra(spark, sf_dir), WAVELENGTHS, "vec_id", "x"))
+    found = transforms.continuum_removed(spectra(spark, sf_dir), WAVELENGTHS, "vec_id", "x")
+    return rounded(found.select("vec_id", F.posexplode("cr").alias("i", "cr")).select("vec_id", (F.col("i") + 1).cast("bigint").alias("i"), "cr"))
 
 
 def pca_scores(spark, sf_dir):
@@ -182,5 +183,10 @@ ORACLE_SQL = {
     "spectral_indices": f"""with {SPECTRA_SQL}, v as (select vec_id, {_V(664.5)} as red, {_V(835.1)} as nir, {_V(864.8)} as b8a, {_V(1613.7)} as b11, {_V(2202.4)} as b12 from sp),
  i as (select vec_id, (nir - red) / (nir + red) as ndvi, b11 / (b8a + (1613.7 - 864.8) * (b12 - b8a) / (2202.4 - 864.8)) as cr_swir, 0.371 + 1.5 * (nir - red) / (nir + red + 0.5) as inner_ from v)
  select vec_id, """ + ", ".join(f"case when vec_id % 5 <> 0 then round({e}, 6) end as {n}" for n, e in (("ndvi", "ndvi"), ("cr_swir", "cr_swir"), ("lai_savi", "case when inner_ > 0 then -ln(case when inner_ > 0 then inner_ end) / 2.4 end"))) + " from i",
+    # The upper hull at a band is the highest of all chords over it.
+    "continuum_removed": f"""with {SPECTRA_SQL}, {_WL}, u as (select ix, wl, row_number() over (order by ix) - 1 as i from wl where {_DOMAINS}),
+ k as (select vec_id, i, wl, greatest(x[ix + 1], 0) as v from sp, u), r as (select vec_id, max(v) > min(v) as good, max(i) as last from k group by 1),
+ h as (select a.vec_id, m.i, max(a.v + (b.v - a.v) * (m.wl - a.wl) / (b.wl - a.wl)) as hull from k as a join k as b on a.vec_id = b.vec_id and a.i < b.i join k as m on m.vec_id = a.vec_id and m.i between a.i and b.i group by 1, 2)
+ select k.vec_id, k.i, case when good and hull <> 0 then round(v / hull, 6) else 0.0::double end as cr from k join r on k.vec_id = r.vec_id join h on h.vec_id = k.vec_id and h.i = k.i where k.i between 1 and last - 1""",
     "invariant_bands": f"with {SPECTRA_SQL} " + " union all ".join([*(f"select 'b{i}' as band, round(stddev_samp(x[{i + 1}]), 6) as sd, stddev_samp(x[{i + 1}]) = 0 as invariant from sp" for i in range(N_FLAT)), "select 'constant', 0.0::double, true"]),
 }

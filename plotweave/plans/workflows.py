@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -12,10 +13,13 @@ from pyspark.sql import functions as F
 from plotweave.operators import alpha as alpha_ops
 from plotweave.operators import beta as beta_ops
 from plotweave.operators import functional as fd_ops
-from plotweave.operators.masks import clean
-from plotweave.operators.ordination import principal_coordinates
+from plotweave.operators.masks import clean, iqr_bounds
+from plotweave.operators.ordination import ordinate, principal_coordinates
+from plotweave.operators.plots import with_attributes
 from plotweave.operators.sampling import sample_pixels, sample_plots
+from plotweave.operators.search import correlation, mantel
 from plotweave.operators.species import SpeciesModel, assign_model, fit_species
+from plotweave.operators.transforms import scale
 from plotweave.operators.windows import enough_pixels, moving_counts, window_id
 from plotweave.plans.options import Options, report
 
@@ -94,11 +98,61 @@ def diversity(pixels: DataFrame, bands: Sequence[str], key: str, n_cols: int, op
 def apply_tiles(pixels: DataFrame, tile: str, n_cols: int, model: Model | None, options: Options) -> DataFrame:
     """All tiles with a stored model; without one there is nothing to apply."""
     if model is None:
-        report("no_pca")
+        report("no_stored_model")
     windowed = pixels.withColumn("win_id", window_id(F.col("r"), F.col("c"), options.window, n_cols))
     return transform(windowed, model, [tile, "win_id"], options)
 
 
+def plot_diversity(pixels: DataFrame, plots: DataFrame, model: Model, options: Options) -> DataFrame:
+    """Field plots with their attributes, alpha metrics, functional metrics, and two places each.
+
+    ``pixels`` has ``plot_id`` and the bands, ``plots`` the attributes. ``full`` is the place in the model's
+    ordination, ``own`` that in an ordination of the plots alone (at most ``MAX_TRAINING``).
+    """
+    key = ["plot_id"]
+    species = alpha_ops.iteration_counts(assign_model(pixels, model.species, key), key)
+    out = alpha_ops.alpha_iterations(species, key, options.alpha_metrics, options.hill_order, options.pcelim)
+    if model.beta is not None:
+        ssd = stacked_shares(species, key, options.n_clusters, options.n_iter, options.pcelim)
+        full = beta_ops.project(ssd, model.beta.training, model.beta.coordinates, key, options.neighbours, options.n_iter)
+        out = out.join(full.withColumnRenamed("coord", "full"), key, "left")
+        own = ordinate(plot_dissimilarity(species, options.pcelim), species.select("plot_id"), "plot_id", options.dimensions)
+        out = out.join(own.select("plot_id", F.col("coord").alias("own")), key, "left")
+    if options.fd_metrics:
+        out = out.join(fd_ops.functional(clean(pixels, model.species.bands), key, model.species.bands, options.fd_metrics), key, "left")
+    return with_attributes(plots, out)
+
+
+def plot_dissimilarity(counts: DataFrame, pcelim: float = alpha_ops.PCELIM) -> DataFrame:
+    """``a``, ``b``, ``bc`` of all pairs of plots, averaged over the iterations of ``counts``."""
+    sparse = beta_ops.species_shares(counts, ["plot_id", "iter"], pcelim)
+    return beta_ops.mean_over_iterations(beta_ops.bray_curtis_pairs(sparse, "plot_id", ["iter"]))
+
+
+def feature_criterion(sample: DataFrame, pixels: DataFrame, observed: DataFrame, key: str, metric: str, options: Options, method: str = "spearman"):
+    """The criterion of a forward selection: how ``metric`` of plots, by candidate bands, follows what was observed.
+
+    ``pixels`` has ``plot_id``; ``observed`` has ``plot_id`` and ``value``, or for ``bc`` the pairs ``a``, ``b``, ``bc``.
+    ``metric`` is an alpha metric, a functional one or ``bc``.
+    """
+
+    def of(bands: list[str]) -> DataFrame:
+        if metric in fd_ops.METRICS:
+            found = fd_ops.functional(scale(pixels, iqr_bounds(sample, bands, options.iqr_weight), bands), ["plot_id"], bands, [metric])
+            return correlation(found.join(observed, "plot_id"), metric, "value", method)
+        model = fit_species(sample, bands, key, options.n_iter, options.n_clusters, options.iqr_weight, options.starts, seed=options.seed)
+        counts = alpha_ops.iteration_counts(assign_model(pixels, model, ["plot_id"]), ["plot_id"])
+        if metric == "bc":
+            return mantel(plot_dissimilarity(counts, options.pcelim), observed, method)
+        found = alpha_ops.alpha_iterations(counts, ["plot_id"], [metric], options.hill_order, options.pcelim)
+        return correlation(found.join(observed, "plot_id"), f"{metric}_mean", "value", method)
+
+    def criterion(sets: list[list[str]]) -> DataFrame:
+        return reduce(lambda a, b: a.unionByName(b), (of(bands).select(F.lit(i).alias("candidate"), "r") for i, bands in enumerate(sets)))
+
+    return criterion
+
+
 def species_map(pixels: DataFrame, model: SpeciesModel, keys: Sequence[str], mask: str | None = None) -> DataFrame:
     """``keys``, ``cid``: the species of every valid pixel by the first set of centroids."""
     valid = pixels if mask is None else pixels.filter(F.col(mask) == 1)

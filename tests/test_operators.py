@@ -128,6 +128,21 @@ def test_hull_above_spectrum():
         assert (transforms.remove_continuum(x, wl) <= 1 + 1e-12).all()
 
 
+def test_splines():
+    x = np.array([0.0, 1, 2.5, 4, 7])
+    cubic = lambda t: 2 - t + 0.5 * t**2 - 0.25 * t**3
+    at = np.linspace(0, 7, 30)
+    assert np.allclose(transforms.cubic_spline(x, cubic(x), at), cubic(at))
+    assert np.allclose(transforms.cubic_spline(x[:3], x[:3] ** 2, at[:10]), at[:10] ** 2)
+    assert np.allclose(transforms.cubic_spline(x[:2], x[:2], at[:3]), at[:3])
+    wl = np.linspace(400, 900, 12)
+    spectrum = RNG.random(12)
+    keep = transforms.hull_points(spectrum, wl)
+    assert np.allclose(transforms.upper_hull(spectrum, wl, True)[keep], spectrum[keep])
+    flat = transforms.remove_continuum(np.full(5, 2.0), wl[:5], subtract=True)
+    assert np.allclose(flat, 1) and np.allclose(transforms.remove_continuum(np.full(5, 2.0), wl[:5], absorbance=True), 0)
+
+
 def test_continuum_of_odd_spectra(spark):
     rows = [(1, [1.0, 1.0, 1.0, 1.0]), (2, None), (3, [0.2, -1.0, 0.4, 0.3])]
     got = {r.i: r.cr for r in transforms.continuum_removed(spark.createDataFrame(rows, "i int, s array<double>"), [410.0, 420.0, 430.0, 440.0], "i", "s").collect()}
