@@ -6,6 +6,7 @@ executor (``spark.submit.pyFiles`` or an installed wheel).
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -70,3 +71,12 @@ def byte_values(column: pa.Array) -> Iterator[bytes]:
     """The UTF-8 bytes of a string column's values."""
     for value in column.cast(pa.large_binary()):
         yield value.as_py()
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of finished jobs, before the next ones write theirs.
+
+    It does so when the objects that stand for them are collected, first here, then in the JVM.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

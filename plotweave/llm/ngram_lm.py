@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import byte_values, materialize, remove
+from plotweave.llm.common import byte_values, materialize, release_shuffles, remove
 from plotweave.llm.mph import mixed
 
 KATZ_K, MIN_PAIR = 5, 2
@@ -177,7 +177,7 @@ def pair_counts(docs: DataFrame, buckets: int, least: int = MIN_PAIR) -> DataFra
             yield rows
             yield pa.RecordBatch.from_arrays([pa.nulls(len(counts), pa.int64()), pa.nulls(len(counts), pa.int64()), pa.array(np.arange(1, len(counts) + 1, dtype=np.int64)), pa.array(counts.astype(np.int64))], ["h1", "h2", "c", "n"])
 
-    dealt = docs.mapInArrow(emit, "bucket int, blob binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = docs.mapInArrow(emit, "bucket int, blob binary").repartitionById(buckets, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(merge, "h1 bigint, h2 bigint, c bigint, n bigint")
 
 
@@ -276,7 +276,7 @@ def train(docs: DataFrame) -> Model:
     summary = word_model(counts)
     buckets = max(1, -(-summary.total // COUNT_TOKENS))
     found = materialize(pair_counts(docs, buckets), "lm-pair-counts")
-    _collect_garbage(docs)
+    release_shuffles(docs.sparkSession)
     d = discounts({r.c: r.n for r in found.filter("h1 is null").groupBy("c").agg(F.sum("n").alias("n")).collect()})  # KATZ_K + 1 rows
     known = counts.select("h", F.col("c").alias("n"))
     ends = counts.filter(F.col("h") == END_ID).select(F.lit(START_ID).alias("h"), F.col("c").alias("n"))
@@ -294,15 +294,10 @@ def train(docs: DataFrame) -> Model:
     words = materialize(words, "lm-model-words")
     for done in (found, counts, alphas):
         remove(docs.sparkSession, done)
-    _collect_garbage(docs)
+    release_shuffles(docs.sparkSession)
     return Model(summary, words, stored)
 
 
-def _collect_garbage(df: DataFrame) -> None:
-    """Lets Spark delete the shuffle files of finished jobs before the next ones write theirs."""
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 # ---- scoring
 
 HEAD, WORDS, PAIRS, WORD_MODEL, PAIR_MODEL = 2, 3, 4, 0, 1
@@ -451,7 +446,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield finished()
 
     rows = docs.mapInArrow(emit, _ROWS).unionByName(_model_rows(model, buckets))
-    dealt = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    dealt = rows.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind")
     sums = dealt.mapInArrow(look_up, _ROWS).repartition("batch").sortWithinPartitions("batch", "bucket", "kind")
     return sums.mapInArrow(total, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double")
 
