@@ -35,30 +35,44 @@ def hull(points: np.ndarray) -> tuple[list[int], float] | None:
     if simplex is None:
         return None
     inner, tolerance = points[simplex].mean(0), 1e-12 * size
-    facets = {}
-
-    def add(vertices: tuple[int, ...]) -> None:
-        base = points[list(vertices)]
-        normal = np.linalg.svd(base[1:] - base[0])[2][-1]
-        offset = float(normal @ base[0])
-        facets[vertices] = (normal, offset) if normal @ inner <= offset else (-normal, -offset)
-
-    for face in combinations(sorted(simplex), d):
-        add(face)
-    for i in range(n):
-        if i in simplex:
-            continue
-        seen = [v for v, (normal, offset) in facets.items() if normal @ points[i] > offset + tolerance]
+    facets: list[tuple[int, ...]] = []
+    normals, offsets = np.zeros((0, d)), np.zeros(0)
+
+    def planes(faces: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
+        """Outward normals and offsets of several facets at once: the last right singular vectors of their edges."""
+        base = points[np.array(faces)]
+        edges = base[:, 1:] - base[:, :1]
+        normal = np.cross(edges[:, 0], edges[:, 1]) if d == 3 else np.linalg.svd(edges)[2][:, -1]
+        normal = normal / np.maximum(np.linalg.norm(normal, axis=1, keepdims=True), 1e-300)
+        offset = (normal * base[:, 0]).sum(1)
+        flip = np.where(normal @ inner <= offset, 1.0, -1.0)
+        return normal * flip[:, None], offset * flip
+
+    def add(faces: list[tuple[int, ...]]) -> None:
+        nonlocal normals, offsets
+        more = planes(faces)
+        facets.extend(faces)
+        normals, offsets = np.vstack([normals, more[0]]), np.append(offsets, more[1])
+
+    add(list(combinations(sorted(simplex), d)))
+    # Far points first: most others are then inside, and are passed over together.
+    left = np.setdiff1d(np.arange(n), simplex)
+    left = left[np.argsort(-((points[left] - inner) ** 2).sum(1), kind="stable")]
+    while len(left):
+        left = left[(points[left] @ normals.T > offsets + tolerance).any(1)]
+        if not len(left):
+            break
+        i, left = int(left[0]), left[1:]
+        seen = normals @ points[i] > offsets + tolerance
         ridges: dict[tuple[int, ...], int] = {}
-        for vertices in seen:
-            for ridge in combinations(vertices, d - 1):
+        for k in np.flatnonzero(seen):
+            for ridge in combinations(facets[k], d - 1):
                 ridges[ridge] = ridges.get(ridge, 0) + 1
-            del facets[vertices]
-        for ridge, count in ridges.items():
-            if count == 1:
-                add(tuple(sorted((*ridge, i))))
-    volume = sum(abs(float(np.linalg.det(points[list(v)] - inner))) for v in facets) / factorial(d)
-    return sorted({i for v in facets for i in v}), volume
+        facets = [f for f, s in zip(facets, seen, strict=True) if not s]
+        normals, offsets = normals[~seen], offsets[~seen]
+        add([tuple(sorted((*ridge, i))) for ridge, count in ridges.items() if count == 1])
+    volume = float(np.abs(np.linalg.det(points[np.array(facets)] - inner)).sum()) / factorial(d)
+    return sorted({i for f in facets for i in f}), volume
 
 
 def _first_simplex(points: np.ndarray, tolerance: float) -> list[int] | None:
