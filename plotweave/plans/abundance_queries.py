@@ -107,7 +107,7 @@ def sdm_workflow(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (hill_numbers, fisher_alpha, alpha_abundance, ssd_dense, bray_curtis_pairs, knn_projection, knn_projection_broadcast, pcoa, corr_observed, spearman_observed, mantel_stat, sdm_workflow)}
 
 _SHARES = lambda pcelim: f"""t as (select *, sum(n) over (partition by site) as t from ab),
- s as (select site, cid, n * 1.0 / sum(n) over (partition by site) as p from t where n >= {pcelim} * t)"""
+ s as (select site, cid, n * 1.0 / sum(n) over (partition by site) as p from t where n >= {pcelim}::double * t)"""
 _DENSE = """l as (select distinct site from s), u as (select distinct cid from s),
  f as (select l.site, u.cid, coalesce(s.p, 0) as p from l cross join u left join s on s.site = l.site and s.cid = u.cid)"""
 _PAIRS = "bp as (select x.site as a, y.site as b, sum(abs(x.p - y.p)) / sum(x.p + y.p) as bc from f as x join f as y on x.cid = y.cid and x.site < y.site group by 1, 2)"

@@ -34,7 +34,7 @@ def alpha_sql(counts: str, keys: str, least: float | None = None, hill: bool = F
     having = "" if least is None else f" and t > {least}"
     more = ", round(exp(0.0 - sum(p * ln(p))), 6) as hill" if hill else ""
     return f"""a as (select *, sum(n) over (partition by {keys}) as t from {counts} as q),
- s as (select *, n * 1.0 / sum(n) over (partition by {keys}) as p from a where n >= {PCELIM} * t{having})
+ s as (select *, n * 1.0 / sum(n) over (partition by {keys}) as p from a where n >= {PCELIM}::double * t{having})
  select {keys}, count(*) as richness, round(0.0 - sum(p * ln(p)), 6) as shannon, round(1 - sum(p * p), 6) as simpson{more} from s group by {keys}"""
 
 

@@ -162,7 +162,7 @@ _BAND = {480.0: 2, 670.0: 8, 835.0: 13, 664.5: 8, 835.1: 13, 864.8: 14, 1613.7:
 _V = lambda nm: f"(abs(x[{_BAND[nm] + 1}]) + 0.1)"
 _DOMAINS = " and ".join(f"not (wl > {a} and wl < {b})" for a, b in masks.EXCLUDED_DOMAINS)
 _ITER = f"""a as (select label, iter, cid, count(*) as n from asg group by 1, 2, 3), t as (select *, sum(n) over (partition by label, iter) as t from a),
- s as (select label, iter, cid, n * 1.0 / sum(n) over (partition by label, iter) as p from t where n >= {alpha_ops.PCELIM} * t)"""
+ s as (select label, iter, cid, n * 1.0 / sum(n) over (partition by label, iter) as p from t where n >= {alpha_ops.PCELIM}::double * t)"""
 
 ORACLE_SQL = {
     "species_assign": f"with {_ASSIGN} select vec_id, " + ", ".join(f"max(case when iter = {i} then cid end) as iter_{i}" for i in (1, 2, 3)) + " from asg group by 1",
