@@ -127,7 +127,7 @@ ORACLE_SQL = {
  select site, s as richness, case when s > 1 and n > s then round(exp((lo + hi) / 2), 6) end as fisher from b where i = 90""",
     "alpha_abundance": f"with {ABUNDANCE_SQL}, {_SHARES(0)}, {_ALPHA} select * from al",
     "ssd_dense": f"with {ABUNDANCE_SQL}, {_SHARES(PCELIM)}, i as (select i::int as cid from range(1, 26) as t(i)), l as (select distinct site from s) select l.site, i.cid, round(coalesce(s.p, 0), 6) as p from l cross join i left join s on s.site = l.site and regexp_extract(s.cid, '\\d+$')::int = i.cid",
-    "bray_curtis_pairs": f"with {ABUNDANCE_SQL}, {_SHARES(PCELIM)}, {_DENSE}, {_PAIRS} select a, b, round(bc, 6) as bc from bp",
+    "bray_curtis_pairs": f"with {ABUNDANCE_SQL}, {_SHARES(PCELIM)}, {_DENSE}, {_PAIRS} select a, b, round(round(bc, 10), 6) as bc from bp",
     "knn_projection": f"with {ABUNDANCE_SQL}, {_SHARES(PCELIM)}, {_DENSE}, {_KNN} select site, round(x, 6) as x, round(y, 6) as y from pl",
     "knn_projection_broadcast": f"with {ABUNDANCE_SQL}, {_SHARES(PCELIM)}, {_DENSE}, {_KNN} select site, round(x, 6) as x, round(y, 6) as y from pl",
     "corr_observed": f"with {ABUNDANCE_SQL}, {_SHARES(0)}, {_ALPHA}, {_OBSERVED} select count(*) as n, round(corr(shannon, observed), 6) as r from al join ob using (site)",

@@ -45,5 +45,5 @@ def abundance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, as sums depend on their order."""
-    return df.select(*(F.round(f.name, digits).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name) for f in df.schema))
+    """Doubles rounded, as sums depend on their order; first to four digits more, so that halves round alike."""
+    return df.select(*(F.round(F.round(f.name, digits + 4), digits).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name) for f in df.schema))
