@@ -48,7 +48,8 @@ def ssd_dense(spark, sf_dir):
 
 
 def bray_curtis_pairs(spark, sf_dir):
-    return rounded(beta_ops.bray_curtis_pairs(_shares(spark, sf_dir), "site"))
+    # Rounded twice on both sides: some values are halves of the last digit.
+    return rounded(rounded(beta_ops.bray_curtis_pairs(_shares(spark, sf_dir), "site"), 10))
 
 
 def _training(spark, sf_dir):
