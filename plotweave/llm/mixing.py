@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -152,8 +153,16 @@ def _edge_documents(rows: DataFrame) -> DataFrame:
     return rows.groupBy("rank").applyInPandas(fill, "row bigint")
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
-    """The mix (``shard``, ``position``, ``row``, ``doc_id``, ``pass``, ``size``), and the sized rows."""
+class Mix(NamedTuple):
+    """``draws``: shard, position, row, doc_id, pass, size. ``rows``: the sized documents, a row each."""
+
+    draws: DataFrame
+    rows: DataFrame
+    shards: int
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> Mix:
+    """Draw the mix."""
     rows, sources = sized(docs, weights, share, id_col, text_col, source_col)
     rows = materialize(rows.select("row", "doc_id", "source", "size", "h", "rank", "source_size", "target", "block"), "sized")
     known = _source_frame(docs, sources).select("rank", "passes", "rest", "blocks")
@@ -188,10 +197,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     whole_edge = some.join(drawn.filter("part"), ["rank", "block"]).join(partial, "row", "left_semi").select("shard", "row", "doc_id", "pass", "size", "h")
     local = Window.partitionBy("shard").orderBy(F.xxhash64("h", "pass", F.lit(seed)), "doc_id", "row", "pass")
     out = taken.unionByName(whole_edge).withColumn("position", F.row_number().over(local) - 1)
-    return out.select("shard", "position", "row", "doc_id", "pass", "size"), rows
+    return Mix(out.select("shard", "position", "row", "doc_id", "pass", "size"), rows, shards)
 
 
-def words_taken(mixed: DataFrame, rows: DataFrame) -> DataFrame:
+def words_taken(mixed: Mix) -> DataFrame:
     """Each sized row with ``copies`` and ``taken``, its words in the mix."""
-    copies = mixed.groupBy("row").agg(F.count(F.lit(1)).alias("copies"))
-    return rows.join(copies, "row", "left").withColumn("copies", F.coalesce("copies", F.lit(0).cast("bigint"))).withColumn("taken", F.col("copies") * F.col("size"))
+    copies = mixed.draws.groupBy("row").agg(F.count(F.lit(1)).alias("copies"))
+    return mixed.rows.join(copies, "row", "left").withColumn("copies", F.coalesce("copies", F.lit(0).cast("bigint"))).withColumn("taken", F.col("copies") * F.col("size"))

@@ -73,8 +73,8 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed, rows = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixing.words_taken(mixed, rows).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.words_taken(mixed).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,8 +158,8 @@ def test_splitting_tree(quotas, shards, seed):
 
 
 def mixed(spark, docs):
-    mix, rows = mixing.mix(docs)
-    return mix.orderBy("shard", "position").collect(), mixing.words_taken(mix, rows).collect()
+    mix = mixing.mix(docs)
+    return mix.draws.orderBy("shard", "position").collect(), mixing.words_taken(mix).collect()
 
 
 @pytest.mark.parametrize("block_words, per_shard", [(1 << 18, 16), (64, 3)])

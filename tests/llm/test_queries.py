@@ -110,7 +110,7 @@ def test_stages(spark):
     mix = corpus_pipeline.mixing(spark, single, SMALL)
     assert mix.columns == docs.columns
     fourth = Counter(r.doc_id for r in mix.collect())
-    taken = mixing.words_taken(*mixing.mix(single)).collect()
+    taken = mixing.words_taken(mixing.mix(single)).collect()
     assert fourth == Counter({r.doc_id: r.copies for r in taken if r.copies})
 
     last = corpus_pipeline.tokens(spark, mix, SMALL).collect()
@@ -122,7 +122,7 @@ def test_stages(spark):
 def test_mix_of_repeated_rows(spark):
     rows = [(1, "a b c d", "en", "s", 7), (1, "a b c d", "en", "s", 7), (2, "e f g h", "en", "s", 7)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    taken = sum(r.copies for r in mixing.words_taken(*mixing.mix(docs)).collect())
+    taken = sum(r.copies for r in mixing.words_taken(mixing.mix(docs)).collect())
     assert stages.mixed(docs).count() == taken
     assert stages.one_of_each(docs).count() == 2
 
