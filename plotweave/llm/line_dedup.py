@@ -124,7 +124,7 @@ def _rewrite(batch: pa.RecordBatch, dropped_of) -> pa.RecordBatch:
     """Columns doc_id, text, n_lines, n_dropped and what else the batch carries; ``dropped_of`` gives a flag for each probe."""
     kept, n_lines, all_lines, all_hashes = [], [], [], []
     for text in byte_values(batch.column(1)):
-        lines, hashes = line_hashes(text, MIN_CHARS if dropped_of.min_chars is None else dropped_of.min_chars)
+        lines, hashes = line_hashes(text, dropped_of.min_chars)
         all_lines.append(lines)
         all_hashes.append(hashes)
     flags = iter(dropped_of(batch, all_hashes))
