@@ -13,7 +13,8 @@ look-ups on whole vectors. Every symbol of a text is parsed.
 
 The automata are fitted on a bounded sample: of each language the ``SAMPLE_ROWS`` rows
 that come first in hash order among those with at most ``SAMPLE_ROW_CHARS``
-characters, as many of them as fill its share of ``SAMPLE_SYMBOLS``. They are built on
+characters, as many of them as fill its share of ``SAMPLE_SYMBOLS``. (A language all of whose texts
+are longer isn't learned.) They are built on
 the driver and broadcast; ``MAX_LANGUAGES`` and these parameters bound their size.
 
 Cases: a null text and one without a letter are ``und`` with score 0; equal
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from plotweave.llm.common import slices
 
 UNDETERMINED = "und"
-SAMPLE_ROWS, SAMPLE_ROW_CHARS = 256, 20_000
+SAMPLE_ROWS, SAMPLE_ROW_CHARS, SPARE = 256, 20_000, 4
 #: Symbols of a language's sample, and of all languages' samples together.
 LANGUAGE_SYMBOLS, SAMPLE_SYMBOLS = 40_000, 400_000
 MAX_LANGUAGES = 200
@@ -209,19 +210,33 @@ def judge(model: Automata, texts: list[str | None]) -> tuple[list[str], list[flo
     return lang, score, bits
 
 
+def early(rows: DataFrame) -> Column:
+    """A filter that leaves about ``SPARE`` times the rows that a language's sample needs, by their hash.
+
+    So only a few rows with their texts are sorted. Languages come with their counts to the driver,
+    ``MAX_LANGUAGES`` at most.
+    """
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    test = F.lit(False)
+    for r in counts:
+        share = SPARE * SAMPLE_ROWS / r.n
+        own = F.col("lang") == r.lang
+        test = test | (own if share >= 1 else own & (F.col("_hash") < int(-(2**63) + share * 2**64)))
+    return test
+
+
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Automata:
     """Automata from the bounded sample described above."""
-    rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = rows.filter(F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_ROW_CHARS) & F.col("text").rlike(r"\p{L}"))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id")
-    picked = rows.withColumn("_place", F.row_number().over(first)).filter(F.col("_place") <= SAMPLE_ROWS)
-    # At most MAX_LANGUAGES * SAMPLE_ROWS rows come to the driver; one more shows that there are too many languages.
-    found = picked.limit(MAX_LANGUAGES * SAMPLE_ROWS + 1).collect()
+    rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("_hash")).filter("lang is not null")
+    usable = rows.filter(early(rows)).filter((F.length("text") <= SAMPLE_ROW_CHARS) & F.col("text").rlike(r"\p{L}"))
+    first = Window.partitionBy("lang").orderBy("_hash", "doc_id", F.xxhash64("text"))
+    picked = usable.withColumn("_place", F.row_number().over(first)).filter(F.col("_place") <= SAMPLE_ROWS)
+    # At most MAX_LANGUAGES * SAMPLE_ROWS rows come to the driver.
     samples: dict[str, list[str]] = {}
-    for r in sorted(found, key=lambda r: (r.lang, r["_place"])):
+    for r in sorted(picked.collect(), key=lambda r: (r.lang, r["_place"])):
         samples.setdefault(r.lang, []).append(r.text)
-    if len(samples) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     return build(samples)
 
 
