@@ -2,9 +2,9 @@
 
 Tokens are words and an end after the last; the first follows a start. The model:
 
-* ``p(w | v) = d(c) c(v, w) / c(v)`` if the pair was seen at least ``MIN_PAIR`` times,
-  else ``alpha(v) p(w)``; ``p(w) = d(c) c(w) / N``, what discounting frees being the probability of
-  an unknown word. Pairs seen less often count as unseen (the usual cutoff of Katz 1987).
+* ``p(w | v) = d(c) c(v, w) / c(v)`` if the pair was seen, be it once
+  (``MIN_PAIR``), else ``alpha(v) p(w)``; ``p(w) = d(c) c(w) / N``, what discounting frees being the probability of
+  an unknown word.
 * ``d`` is the Good-Turing discount of counts up to ``KATZ_K``; where counts of counts are too
   irregular for it (it isn't within (0, 1]), an absolute discount.
 * ``alpha(v)`` makes ``p(. | v)`` sum to 1 exactly: what discounting leaves over what the
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from plotweave.llm.common import byte_values, materialize, release_shuffles, remove
 from plotweave.llm.mph import mixed
 
-KATZ_K, MIN_PAIR = 5, 2
+KATZ_K, MIN_PAIR = 5, 1
 #: Tokens that a map task merges at once.
 BATCH_TOKENS = 3 << 19
 #: Tokens of a bucket on average: where pairs are counted a task holds all its pairs, where texts are
