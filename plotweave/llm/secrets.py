@@ -2,8 +2,8 @@
 
 A string that a tokenizer's vocabulary can't compress is unlikely to be language or
 code: natural words take 3 to 5 characters a token, random strings under 2. The
-scan takes unbroken strings, leaves out well-known digests and identifiers, and
-reports those with fewer characters per token than a threshold.
+scan takes unbroken strings, leaves out known digests, UUIDs, dates and identifiers made of
+efficient pieces, and reports those with fewer characters per token than a threshold.
 
 Everything runs in one Arrow pass without a shuffle.
 
@@ -40,10 +40,12 @@ MAX_CHARS_PER_TOKEN = 2.0
 DIGEST_LENGTHS = frozenset({32, 40, 56, 64, 96, 128})
 IDENTIFIER = re.compile(
     r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"  # UUID
-    r"|[A-Za-z]+"  # one word
-    r"|[0-9_=+/-]+"  # numbers, dates, rules
-    r"|[A-Za-z]+[0-9]*(?:[_/-]+[A-Za-z]*[0-9]*)+"  # snake_case, kebab-case, paths
+    r"|[_=+/-]+"  # rules
+    r"|[_=+/-]*[0-9]{1,8}(?:[_=+/-]+[0-9]{1,8})*[_=+/-]*"  # dates, short numbers
 )
+#: snake_case, kebab-case, paths, of pieces that are judged one by one.
+PIECES = re.compile(r"[A-Za-z]+[0-9]{0,4}(?:[_/-]+[A-Za-z]*[0-9]{0,4})+")
+LEAST_PIECE = 4
 
 Span = tuple[str, int, int]
 
@@ -60,11 +62,14 @@ def base_spans(text: str) -> list[Span]:
     return [(KINDS[k], start, end) for start, k, end in sorted(found)]
 
 
-def known_value(s: str) -> bool:
+def known_value(s: str, enc: tiktoken.Encoding, threshold: float) -> bool:
     """Digests of usual lengths and ordinary identifiers aren't secrets by their looks."""
     if len(s) in DIGEST_LENGTHS and re.fullmatch("[0-9a-f]+|[0-9A-F]+", s):
         return True
-    return IDENTIFIER.fullmatch(s) is not None
+    if IDENTIFIER.fullmatch(s):
+        return True
+    words = re.findall("[A-Za-z]+", s)
+    return PIECES.fullmatch(s) is not None and all(len(w) >= threshold * len(enc.encode_ordinary(w)) for w in words if len(w) >= LEAST_PIECE)
 
 
 def random_spans(text: str, enc: tiktoken.Encoding, base: list[Span], threshold: float) -> list[Span]:
@@ -72,9 +77,9 @@ def random_spans(text: str, enc: tiktoken.Encoding, base: list[Span], threshold:
     out: list[Span] = []
     for m in CANDIDATE.finditer(text):
         s, (start, end) = m.group(), m.span()
-        if known_value(s) or any(a < end and start < b for _, a, b in base):
+        if any(a < end and start < b for _, a, b in base):
             continue
-        if len(s) < threshold * len(enc.encode_ordinary(s)):
+        if len(s) < threshold * len(enc.encode_ordinary(s)) and not known_value(s, enc, threshold):
             out.append((ENTROPY, start, end))
     return out
 
