@@ -50,7 +50,9 @@ def stacked_shares(counts: DataFrame, keys: Sequence[str], n_clusters: int, n_it
 def fit_beta(plots: DataFrame, species: SpeciesModel, options: Options) -> BetaModel:
     """Ordinate a bounded sample of plots (``plot_id`` and bands)."""
     counts = alpha_ops.iteration_counts(assign_model(plots, species, ["plot_id"]), ["plot_id"])
-    rows = stacked_shares(counts, ["plot_id"], options.n_clusters, options.n_iter, options.pcelim).orderBy("plot_id").limit(beta_ops.MAX_TRAINING).collect()
+    rows = stacked_shares(counts, ["plot_id"], options.n_clusters, options.n_iter, options.pcelim).orderBy("plot_id").limit(beta_ops.MAX_TRAINING + 1).collect()
+    if len(rows) > beta_ops.MAX_TRAINING:
+        raise ValueError(f"more than {beta_ops.MAX_TRAINING} training plots")
     training = np.array([r.ssd for r in rows], float)
     distance = beta_ops.bray_curtis_matrix(training, training, options.n_iter)
     return BetaModel(training, principal_coordinates(distance, options.dimensions)[0], options.n_iter, options.n_clusters)
