@@ -8,7 +8,10 @@ fixed size, and ``MAX_RANK_BYTES`` is checked.
 
 Cases: a null or empty text has no tokens; a null id list decodes to no bytes;
 repeated rows are encoded each; an empty table gives an empty table; columns other
-than the two named are not read, so clashing names do no harm.
+than the named ones are not read, so clashing names do no harm, but a carried column with the
+name of an output raises. Very long texts are encoded whole, in segments; a segment of more than
+``MAX_SEGMENT`` characters (a run without a safe boundary, as of a million blanks, on which
+the tokenizer's own regex engine overflows its stack) is split by the ``regex`` library instead.
 """
 
 from __future__ import annotations
@@ -18,18 +21,25 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import slices, with_text
+from plotweave.llm.common import no_clash, slices, with_text
 
 #: A rank file beyond this isn't broadcast but refused.
 MAX_RANK_BYTES = 64 << 20
 #: Texts longer than this many characters are cut at safe boundaries before the regex runs.
 SEGMENT_CHARS = 1 << 16
+#: Longer segments don't go to the tokenizer's regex engine.
+MAX_SEGMENT = 1 << 18
+#: A pattern of which any text is one match.
+WHOLE = r"[\s\S]+"
 
 _ENCODINGS: dict[tuple[int, str], tiktoken.Encoding] = {}
+#: What an encoding was made of, by its identity (encodings are never let go).
+_MADE_OF: dict[int, tuple[bytes, str]] = {}
 
 
 def read_ranks(path: str) -> bytes:
@@ -47,6 +57,7 @@ def encoding(ranks: bytes, pattern: str) -> tiktoken.Encoding:
         pairs = (line.split() for line in ranks.splitlines() if line.strip())
         table = {base64.b64decode(token): int(rank) for token, rank in pairs}
         _ENCODINGS[key] = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        _MADE_OF[id(_ENCODINGS[key])] = ranks, pattern
     return _ENCODINGS[key]
 
 
@@ -82,9 +93,19 @@ def _boundary(text: str, at: int) -> int | None:
 
 
 def encode_text(enc: tiktoken.Encoding, text: str) -> list[int]:
+    """The ids of a text of any length, by an encoding that ``encoding`` made."""
     if len(text) <= SEGMENT_CHARS:
         return enc.encode_ordinary(text)
-    return [i for part in safe_segments(text) for i in enc.encode_ordinary(part)]
+    ids: list[int] = []
+    for part in safe_segments(text):
+        if len(part) <= MAX_SEGMENT:
+            ids += enc.encode_ordinary(part)
+        else:
+            ranks, pattern = _MADE_OF[id(enc)]
+            one = encoding(ranks, WHOLE)
+            for match in regex.finditer(pattern, part):
+                ids += one.encode_ordinary(match.group())
+    return ids
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), verify: bool = False) -> DataFrame:
@@ -93,6 +114,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
     With ``verify``, last, ``round_trip``: whether the ids decode to the text's bytes.
     """
     spark: SparkSession = docs.sparkSession
+    no_clash(carry, "doc_id", "n_tokens", "ids", "round_trip")
     ranks = spark.sparkContext.broadcast(read_ranks(rank_file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,6 +147,7 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids
     An id outside the vocabulary raises.
     """
     ranks = encoded.sparkSession.sparkContext.broadcast(read_ranks(rank_file))
+    no_clash(encoded.columns, "decoded")
     at = encoded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,8 +7,9 @@ executor (``spark.submit.pyFiles`` or an installed wheel).
 from __future__ import annotations
 
 import gc
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 #: ASCII white space, the separators of ``[^\x20\x09-\x0D]+``; also what ``bytes.split()`` splits on.
 SPACE = " \t\n\x0b\x0c\r"
 SLICE_ROWS = 1024
-#: Used where the session names no shared folder (tests on one machine).
+#: Used where the session names no shared folder and runs on this machine alone (tests).
 LOCAL_SHARED = "/tmp/checkpoints"
 
 
@@ -26,13 +27,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    A cluster without one raises: on machine-local folders a table would be read back in part.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (folder or LOCAL_SHARED).rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/plotweave-{label}-{uuid.uuid4().hex}"
+    """A new folder's path in the shared folder; it is deleted when the driver ends, if nothing removes it before."""
+    name = f"{shared_dir(spark)}/plotweave-{label}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return name
 
 
 def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
@@ -60,6 +70,13 @@ def with_text(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> Dat
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
 
 
+def no_clash(carry: Sequence[str], *own: str) -> None:
+    """Carried columns that have the name of an output, or the same name, raise."""
+    clashes = sorted({c for c in carry if c.lower() in own or [d.lower() for d in carry].count(c.lower()) > 1})
+    if clashes:
+        raise ValueError(f"carried columns clash: {', '.join(clashes)}")
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """Batches in parts of at most ``rows`` rows, so that what a function makes of one stays small."""
     for batch in batches:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import SPACE, byte_values, materialize, slices
+from plotweave.llm.common import SPACE, byte_values, materialize, no_clash, slices
 from plotweave.llm.mph import PerfectHash
 
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -212,6 +212,7 @@ def _probe_shuffled(rows: DataFrame, index: DataFrame, shards: int, min_docs: in
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, max_broadcast: int = MAX_BROADCAST, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """``doc_id``, ``text`` (the lines that stay), ``n_lines``, ``n_dropped``, then the carried columns."""
+    no_clash(carry, "doc_id", "text", "n_lines", "n_dropped", "hits")
     texts = _texts(docs, id_col, text_col, *carry)
     counts = materialize(line_counts(docs, min_chars, min_docs, id_col, text_col), "line-counts")
     shards = max(1, -(-counts.count() // SHARD_KEYS))
