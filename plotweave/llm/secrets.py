@@ -5,9 +5,13 @@ code: natural words take 3 to 5 characters a token, random strings under 2. The
 scan takes unbroken strings, leaves out known digests, UUIDs, dates and identifiers made of
 efficient pieces, and reports those with fewer characters per token than a threshold.
 
-Everything runs in one Arrow pass without a shuffle.
+Everything runs in one Arrow pass without a shuffle. Of random strings of 20 to 64
+characters at least 0.9 are found, be they of base62, base64, mixed-case or lower-case letters alone
+(tests hold each alphabet); upper-case hexadecimal of a digest's length is a digest, by definition.
 
-Cases: a null or empty text has no spans; offsets are code points, the end exclusive;
+Cases: a null or empty text has no spans; offsets are code points, the end exclusive; spans that
+start together are in the order of the kinds, token last; a candidate that a base span touches isn't
+reported twice; very long texts and strings are scanned whole, in time in proportion to their length;
 repeated rows are scanned each; an empty table gives an empty table; columns other
 than the two named are not read.
 """
@@ -38,13 +42,15 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 MAX_CHARS_PER_TOKEN = 2.0
 # Lengths in hexadecimal digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512 digests.
 DIGEST_LENGTHS = frozenset({32, 40, 56, 64, 96, 128})
+#: Every alternative is linear: a repeat starts with a separator and goes on with a digit.
 IDENTIFIER = re.compile(
     r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"  # UUID
     r"|[_=+/-]+"  # rules
     r"|[_=+/-]*[0-9]{1,8}(?:[_=+/-]+[0-9]{1,8})*[_=+/-]*"  # dates, short numbers
 )
-#: snake_case, kebab-case, paths, of pieces that are judged one by one.
-PIECES = re.compile(r"[A-Za-z]+[0-9]{0,4}(?:[_/-]+[A-Za-z]*[0-9]{0,4})+")
+#: snake_case, kebab-case, paths: strings split here, of pieces that are judged one by one.
+SEPARATORS = re.compile(r"[_/-]+")
+PIECE = re.compile(r"([A-Za-z]*)[0-9]{0,4}")
 LEAST_PIECE = 4
 
 Span = tuple[str, int, int]
@@ -68,16 +74,27 @@ def known_value(s: str, enc: tiktoken.Encoding, threshold: float) -> bool:
         return True
     if IDENTIFIER.fullmatch(s):
         return True
-    words = re.findall("[A-Za-z]+", s)
-    return PIECES.fullmatch(s) is not None and all(len(w) >= threshold * len(enc.encode_ordinary(w)) for w in words if len(w) >= LEAST_PIECE)
+    pieces = SEPARATORS.split(s)
+    if len(pieces) < 2 or not pieces[0][:1].isalpha():
+        return False
+    matches = [PIECE.fullmatch(p) for p in pieces]
+    return all(matches) and all(len(w) >= threshold * len(enc.encode_ordinary(w)) for w in (m[1] for m in matches) if len(w) >= LEAST_PIECE)
 
 
 def random_spans(text: str, enc: tiktoken.Encoding, base: list[Span], threshold: float) -> list[Span]:
-    """Candidates under the threshold that no base span touches."""
+    """Candidates under the threshold that no base span (ordered by start) touches.
+
+    Both lists are walked together: of the base spans that start before a candidate's end, the largest
+    end tells whether one reaches into it.
+    """
     out: list[Span] = []
+    at, reach = 0, 0
     for m in CANDIDATE.finditer(text):
         s, (start, end) = m.group(), m.span()
-        if any(a < end and start < b for _, a, b in base):
+        while at < len(base) and base[at][1] < end:
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach > start:
             continue
         if len(s) < threshold * len(enc.encode_ordinary(s)) and not known_value(s, enc, threshold):
             out.append((ENTROPY, start, end))
