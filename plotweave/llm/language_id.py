@@ -2,25 +2,30 @@
 
 Each language has a suffix automaton of sample text. A text is parsed against it
 from left to right into phrases, each the longest match that the sample holds; with
-``c`` phrases over ``m`` symbols and a sample of ``n`` symbols, ``c * log2(n) / m``
+``c`` phrases over ``m`` symbols and a sample of ``n`` symbols, ``c * log2(n + a) / m``
 estimates the bits a symbol that the language's statistics need for the text (Ziv
-and Merhav 1993). The language that needs fewest wins.
+and Merhav 1993); a phrase names a place in the sample or one of the ``a`` symbols of the alphabet, without
+which a tiny sample's phrases would cost nothing. The language that needs fewest wins.
 
 Texts are lower-cased, every run of other characters than letters becomes one
 blank, and the rest are parsed in blocks of ``BLOCK`` symbols, all blocks of an Arrow
 batch and all languages in step with each other, so that the work is table
 look-ups on whole vectors. Every symbol of a text is parsed.
 
-The automata are fitted on a bounded sample: of each language the ``SAMPLE_ROWS`` rows
-that come first in hash order among those with at most ``SAMPLE_ROW_CHARS``
-characters, as many of them as fill its share of ``SAMPLE_SYMBOLS``. (A language all of whose texts
-are longer isn't learned.) They are built on
-the driver and broadcast; ``MAX_LANGUAGES`` and these parameters bound their size.
+The automata are fitted on a bounded sample: of each language the ``SAMPLE_ROWS`` rows (fewer
+beyond ten languages, so that all have ``ALL_ROWS`` at most, but never under ``LEAST_ROWS``) that come first in hash
+order among those with a letter, and of each row a slice of ``SLICE`` symbols at a place that its hash
+chooses. So a language is learned if one labelled text of it has a letter, however long its texts are.
+They are built on the driver and broadcast; these parameters and ``MAX_LANGUAGES`` bound their size.
+
+For each language the model also knows the bits that its own symbols in random order
+need: what needs as many isn't in that language (``known``).
 
 Cases: a null text and one without a letter are ``und`` with score 0; equal
 entropies give the language that sorts first; with one language the score is 1; with
-none learned every text is ``und``; repeated rows are judged each; an empty table
-gives an empty table. Only the columns named are read.
+none learned every text is ``und``; rows without or with equal identifiers are sampled by their text
+too; very long texts are parsed whole; repeated rows are judged each; an empty table
+gives an empty table. Only the columns named are read; a carried column with the name of an output raises.
 """
 
 from __future__ import annotations
@@ -34,16 +39,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import slices
+from plotweave.llm.common import no_clash, slices
 
 UNDETERMINED = "und"
-SAMPLE_ROWS, SAMPLE_ROW_CHARS, SPARE = 256, 20_000, 4
-#: Symbols of a language's sample, and of all languages' samples together.
-LANGUAGE_SYMBOLS, SAMPLE_SYMBOLS = 40_000, 400_000
-MAX_LANGUAGES = 200
+#: Rows of a language's sample at most and at least, and of all languages' samples together.
+SAMPLE_ROWS, LEAST_ROWS, ALL_ROWS, SPARE = 256, 4, 2560, 4
+#: Symbols that a row gives.
+SLICE = 160
+#: More labels than this aren't languages, and raise.
+MAX_LANGUAGES = 1000
 #: Letters that get a symbol of their own; others share ``FOLDS`` symbols by code point.
 OWN_SYMBOLS, FOLDS = 64, 8
 BLOCK = 1024
+#: Symbols in random order that the noise level is measured on.
+NOISE_SYMBOLS = 1 << 13
 #: Symbols parsed at once.
 AT_ONCE = 1 << 21
 BLANK = 0
@@ -58,7 +67,8 @@ class Automata:
     width: int
     table: np.ndarray
     roots: np.ndarray
-    bits: np.ndarray  # log2 of each sample's length
+    bits: np.ndarray  # of a phrase, by language
+    noise: np.ndarray | None = None  # bits a symbol of each sample in random order
 
 
 _LETTERS: list[np.ndarray] = []
@@ -131,15 +141,11 @@ def build(samples: dict[str, list[str]]) -> Automata:
     """Automata of the languages' sample texts."""
     languages = sorted(samples)
     table, width = symbol_table([t for texts in samples.values() for t in texts])
-    limit = min(LANGUAGE_SYMBOLS, SAMPLE_SYMBOLS // max(1, len(languages)))
-    parts, roots, bits, first = [], [], [], 0
+    parts, roots, bits, first, shuffled = [], [], [], 0, []
     for language in languages:
         joined: list[int] = []
         for text in samples[language]:
-            if len(joined) >= limit:
-                break
             joined += [BLANK, *to_symbols(text, table).tolist()]
-        joined = joined[:limit]
         edges = suffix_automaton(joined)
         dense = np.full((len(edges), width), -1, np.int32)
         for state, out in enumerate(edges):
@@ -147,9 +153,17 @@ def build(samples: dict[str, list[str]]) -> Automata:
                 dense[state, c] = first + to
         parts.append(dense.ravel())
         roots.append(first)
-        bits.append(np.log2(max(2, len(joined))))
+        bits.append(np.log2(len(joined) + width))
         first += len(edges)
-    return Automata(languages, table, width, np.concatenate(parts) if parts else np.zeros(0, np.int32), np.array(roots, np.int64), np.array(bits))
+        shuffled.append(np.random.default_rng(len(joined)).permutation(np.array(joined, np.uint8))[:NOISE_SYMBOLS])
+    model = Automata(languages, table, width, np.concatenate(parts) if parts else np.zeros(0, np.int32), np.array(roots, np.int64), np.array(bits))
+    if languages:
+        blocks = [s[a : a + BLOCK] for s in shuffled for a in range(0, len(s), BLOCK)]
+        of = np.repeat(np.arange(len(languages)), [-(-len(s) // BLOCK) for s in shuffled])
+        phrases = np.zeros((len(languages), len(languages)))
+        np.add.at(phrases, of, phrase_counts(model, blocks))
+        model.noise = np.diag(phrases) * model.bits / [max(1, len(s)) for s in shuffled]
+    return model
 
 
 def phrase_counts(model: Automata, blocks: list[np.ndarray]) -> np.ndarray:
@@ -184,8 +198,11 @@ def phrase_counts(model: Automata, blocks: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def judge(model: Automata, texts: list[str | None]) -> tuple[list[str], list[float], list[float | None]]:
-    """Language, score and the winner's bits a symbol for each text."""
+def judge(model: Automata, texts: list[str | None]) -> tuple[list[str], list[float], list[float | None], list[bool]]:
+    """Language, score, the winner's bits a symbol, and whether the text looks like that language, for each text.
+
+    It does if its phrases but for the first, which any text has, need fewer bits than random order.
+    """
     own = [to_symbols(t, model.symbols) if t else np.zeros(0, np.uint8) for t in texts]
     blocks = [s[a : a + BLOCK] for s in own for a in range(0, len(s), BLOCK)]
     of = np.repeat(np.arange(len(own)), [-(-len(s) // BLOCK) for s in own])
@@ -194,65 +211,71 @@ def judge(model: Automata, texts: list[str | None]) -> tuple[list[str], list[flo
     step = max(1, AT_ONCE // BLOCK)
     for start in range(0, len(blocks), step):
         np.add.at(phrases, of[start : start + step], phrase_counts(model, blocks[start : start + step]))
-    lang, score, bits = [], [], []
+    lang, score, bits, known = [], [], [], []
     entropy = phrases * model.bits / np.maximum(1, [[len(s)] for s in own]) if own else phrases
     for symbols, e in zip(own, entropy, strict=True):
         if not len(symbols) or not len(e):
             lang.append(UNDETERMINED)
             score.append(0.0)
             bits.append(None)
+            known.append(False)
             continue
         best = int(np.argmin(e))
         second = float(np.min(np.delete(e, best))) if len(e) > 1 else float("inf")
         lang.append(model.languages[best])
         score.append(1.0 if second == float("inf") else second / (second + float(e[best])))
         bits.append(float(e[best]))
-    return lang, score, bits
+        known.append(bool(e[best] - model.bits[best] / len(symbols) < model.noise[best]))
+    return lang, score, bits, known
 
 
-def early(rows: DataFrame) -> Column:
-    """A filter that leaves about ``SPARE`` times the rows that a language's sample needs, by their hash.
+def sample_rows(labelled: DataFrame) -> DataFrame:
+    """``lang``, ``place`` and ``text`` (letters and single blanks, ``SLICE`` characters at most) of the sample's rows.
 
-    So only a few rows with their texts are sorted. Languages come with their counts to the driver,
-    ``MAX_LANGUAGES`` at most.
+    Rows are counted by language first (``MAX_LANGUAGES`` counts come to the driver), so that only about
+    ``SPARE`` times the rows that are needed are sorted.
     """
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("_hash", F.xxhash64("doc_id", "text"))
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    test = F.lit(False)
+    rows = max(LEAST_ROWS, min(SAMPLE_ROWS, ALL_ROWS // max(1, len(counts))))
+    early = F.lit(False)
     for r in counts:
-        share = SPARE * SAMPLE_ROWS / r.n
+        share = SPARE * rows / r.n
         own = F.col("lang") == r.lang
-        test = test | (own if share >= 1 else own & (F.col("_hash") < int(-(2**63) + share * 2**64)))
-    return test
+        early = early | (own if share >= 0.5 else own & (F.col("_hash") < int(-(2**63) + share * 2**64)))
+    first = Window.partitionBy("lang").orderBy("_hash", "text")
+    picked = usable.filter(early).withColumn("place", F.row_number().over(first)).filter(F.col("place") <= rows)
+    letters_only = F.trim(F.regexp_replace("text", r"[^\p{L}]+", " "))
+    spare = F.greatest(F.length("_letters") - SLICE + 1, F.lit(1))
+    return picked.withColumn("_letters", letters_only).select("lang", "place", F.substr("_letters", 1 + F.pmod(F.xxhash64("_hash", "place"), spare).cast("int"), F.lit(SLICE)).alias("text"))
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Automata:
     """Automata from the bounded sample described above."""
-    rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("_hash")).filter("lang is not null")
-    usable = rows.filter(early(rows)).filter((F.length("text") <= SAMPLE_ROW_CHARS) & F.col("text").rlike(r"\p{L}"))
-    first = Window.partitionBy("lang").orderBy("_hash", "doc_id", F.xxhash64("text"))
-    picked = usable.withColumn("_place", F.row_number().over(first)).filter(F.col("_place") <= SAMPLE_ROWS)
-    # At most MAX_LANGUAGES * SAMPLE_ROWS rows come to the driver.
+    rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     samples: dict[str, list[str]] = {}
-    for r in sorted(picked.collect(), key=lambda r: (r.lang, r["_place"])):
+    # Rows of SLICE characters, as many as the parameters allow.
+    for r in sorted(sample_rows(rows).collect(), key=lambda r: (r.lang, r.place)):
         samples.setdefault(r.lang, []).append(r.text)
     return build(samples)
 
 
 def predict(docs: DataFrame, model: Automata, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id``, ``lang_pred``, ``score`` (0 to 1), ``bits`` a symbol, then the carried columns."""
+    """``doc_id``, ``lang_pred``, ``score`` (0 to 1), ``bits`` a symbol, ``known``, then the carried columns."""
+    no_clash(carry, "doc_id", "lang_pred", "score", "bits", "known")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            lang, score, bits = judge(shared.value, batch.column(1).to_pylist())
-            columns = [batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), *batch.columns[2:]]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "bits", *carry])
+            lang, score, bits, known = judge(shared.value, batch.column(1).to_pylist())
+            columns = [batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), pa.array(known, pa.bool_()), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "bits", "known", *carry])
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(carry)))
     kinds = {f.name: f.dataType.simpleString() for f in texts.schema}
-    fields = [f"doc_id {kinds['doc_id']}", "lang_pred string", "score double", "bits double", *(f"`{c}` {kinds[f'_{k}']}" for k, c in enumerate(carry))]
+    fields = [f"doc_id {kinds['doc_id']}", "lang_pred string", "score double", "bits double", "known boolean", *(f"`{c}` {kinds[f'_{k}']}" for k, c in enumerate(carry))]
     return texts.mapInArrow(run, ", ".join(fields))
 
 

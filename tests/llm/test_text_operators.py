@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from plotweave.llm import bpe, host_quality, language_id, line_dedup, mph, secrets
 from plotweave.llm.queries import PATTERN, RANK_FILE
@@ -41,6 +42,21 @@ def test_long_texts(monkeypatch):
         assert bpe.encode_text(ENC, text) == ENC.encode_ordinary(text)
 
 
+def test_runs_that_overflow_a_regex_engine():
+    for n, tail in [(300_000, ""), (300_000, "a"), (300_000, "\n!")]:
+        text = "word" + " " * n + tail
+        assert bpe.encode_text(ENC, text) == ENC.encode_ordinary(text)
+    for text in (" " * 2_000_000 + "end", "x" * 1_000_000, "-" * 1_000_000):
+        assert ENC.decode_bytes(bpe.encode_text(ENC, text)) == text.encode()
+
+
+def test_clashing_carried_columns_raise(spark):
+    docs = docs_frame(spark, ["a"]).withColumn("ids", F.lit(1)).withColumn("score", F.lit(1)).withColumn("n_lines", F.lit(1))
+    for call in (lambda: bpe.encode(docs, RANK_FILE, PATTERN, carry=("ids",)), lambda: bpe.decode(docs.withColumn("decoded", F.lit(1)), RANK_FILE, PATTERN), lambda: language_id.predict(docs, language_id.build({}), carry=("score",)), lambda: line_dedup.dedup_lines(docs, carry=("n_lines",)), lambda: line_dedup.dedup_lines(docs, carry=("source", "source"))):
+        with pytest.raises(ValueError, match="clash"):
+            call()
+
+
 def test_bpe_round_trip(spark):
     texts = ["Hello  world's 12\n", "", None, "日本語 \U0001f600", "a" * 1000, "<|endoftext|>"]
     encoded = bpe.encode(docs_frame(spark, texts), RANK_FILE, PATTERN, carry=("lang",), verify=True)
@@ -160,6 +176,33 @@ def test_language_cases(spark):
     assert {r.score for r in language_id.predict(docs, one).collect()} == {1.0}
 
 
+def test_languages_with_only_long_texts_are_learned(spark):
+    rng = np.random.default_rng(2)
+    words = {"en": "the and of thing other house water".split(), "de": "der und die sache andere wasser haus".split()}
+    rows = [(None if i % 2 else 7, " ".join(rng.choice(words[k], 5000)), k) for k in words for i in range(5)]
+    rows += [(i, "1234 " * 10, "xx") for i in range(2000)] + [(3, "1 é 2", "xx"), (4, "9", "yy")]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert model.languages == ["de", "en", "xx"]
+    got = language_id.judge(model, ["the water of the house", "das wasser und die sache"])
+    assert got[0] == ["en", "de"]
+
+
+def test_every_one_of_many_languages_is_learned(spark):
+    rows = [(i, f"{chr(0x4E00 + 40 * k + i)} text {chr(97 + k % 26) * 3}", f"l{k}") for k in range(250) for i in range(3)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert len(model.languages) == 250
+
+
+def test_random_letters_are_in_no_language(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    model = language_id.fit(docs.filter(language_id.remainder("doc_id", 5) != 0))
+    rng = np.random.default_rng(1)
+    noise = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n)) for n in (60, 300, 3000)]
+    assert language_id.judge(model, noise)[3] == [False] * 3
+    rows = language_id.predict(docs, model).filter("lang_pred <> 'und'").collect()
+    assert sum(r.known for r in rows) >= 0.999 * len(rows)
+
+
 # ---- lines
 
 
