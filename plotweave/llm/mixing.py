@@ -14,12 +14,13 @@
    it (disjoint from all others'), and shuffles its documents locally.
 
 The texts are read once, for their sizes. Only tables of sources (at most ``MAX_SOURCES``
-rows, checked) reach the driver; windows run over the blocks of a source (a row for each
-``BLOCK_WORDS``) and over the documents of one block or shard.
+rows, checked) reach the driver. Ranks and running sums over the blocks of a source are made in
+two steps, within ranges of blocks and over the ranges' sums; other windows run over the documents of one shard.
+A task walks the part of the tree that is over its shards once.
 
 Cases: a null text has size 0; a null source is a source, the last; a source without words has
 target 0; repeated rows are documents each; equal hashes are ordered by identifier; an empty
-table gives an empty mix. Only the columns named are read.
+table gives an empty mix; a very long document is one document, in one block. Only the columns named are read.
 """
 
 from __future__ import annotations
@@ -31,14 +32,16 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotweave.llm.common import byte_values, materialize
 
 WEIGHTS, SHARE, MAX_EPOCHS, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, 20
 BLOCK_WORDS, DRAWS_PER_SHARD = 1 << 18, 16
-MAX_SOURCES = 1 << 20
+MAX_SOURCES = 1 << 16
+#: Blocks of a window.
+RANGE = 1 << 12
 
 
 @dataclass(frozen=True)
@@ -99,22 +102,29 @@ def document_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return texts.mapInArrow(run, f"doc_id {kind}, source string, h bigint, size bigint").withColumn("row", F.monotonically_increasing_id())
 
 
-def split_quotas(quotas: np.ndarray, shards: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """The draws of each source that ``shard`` gets, and how many go to shards before it.
+def shard_quotas(quotas: np.ndarray, shards: int, low: int, high: int, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each shard from ``low`` to before ``high``: the draws of each source that it gets, and how many go to shards before it.
 
-    The number of draws of a node is dealt to its halves in proportion to their shards.
+    The number of draws of a node is dealt to its halves in proportion to their shards. Only nodes over the
+    wanted shards are visited, each once.
     """
-    first, count, before, mine = 0, shards, np.zeros_like(quotas), quotas.copy()
-    while count > 1:
-        left = count // 2
-        total = int(mine.sum())
+    nodes = [(0, shards, quotas.copy(), np.zeros_like(quotas))]
+    while nodes:
+        first, count, mine, before = nodes.pop()
+        if first >= high or first + count <= low:
+            continue
+        if count == 1:
+            yield first, mine, before
+            continue
+        left, total = count // 2, int(mine.sum())
         rng = np.random.default_rng([seed, first, count])
         goes = rng.multivariate_hypergeometric(mine, total * left // count, method="marginals") if total else np.zeros_like(mine)
-        if shard < first + left:
-            mine, count = goes, left
-        else:
-            before, mine, first, count = before + goes, mine - goes, first + left, count - left
-    return mine, before
+        nodes += [(first + left, count - left, mine - goes, before + goes), (first, left, goes, before)]
+
+
+def split_quotas(quotas: np.ndarray, shards: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The draws of each source that one shard gets, and how many go to shards before it."""
+    return next((mine, before) for _, mine, before in shard_quotas(quotas, shards, shard, shard + 1, seed))
 
 
 def _source_frame(docs: DataFrame, sources: list[Source]) -> DataFrame:
@@ -161,29 +171,42 @@ class Mix(NamedTuple):
     shards: int
 
 
+def running(rows: DataFrame, key: str, part: Column, order: Sequence[Column | str], value: Column, name: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` over rows of the same ``key`` up to and with this one, in ``order``.
+
+    ``part`` cuts the order into ranges; sums of ranges are added up first, so that no window holds all rows of a key.
+    """
+    cut = rows.withColumn("_part", part).withColumn("_value", value)
+    ranges = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = cut.groupBy(key, "_part").agg(F.sum("_value").alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(ranges), F.lit(0))).drop("_sum")
+    within = Window.partitionBy(key, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return cut.join(before, [key, "_part"]).withColumn(name, F.col("_before") + F.sum("_value").over(within)).drop("_part", "_value", "_before")
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> Mix:
     """Draw the mix."""
     rows, sources = sized(docs, weights, share, id_col, text_col, source_col)
     rows = materialize(rows.select("row", "doc_id", "source", "size", "h", "rank", "source_size", "target", "block"), "sized")
     known = _source_frame(docs, sources).select("rank", "passes", "rest", "blocks")
     spark = docs.sparkSession
-    ordered = Window.partitionBy("rank").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = rows.groupBy("rank", "block").agg(F.sum("size").alias("words")).join(known, "rank")
-    blocks = sums.withColumn("upto", F.sum("words").over(ordered)).withColumn("left", F.col("rest") - F.col("upto") + F.col("words"))
+    sums = materialize(rows.groupBy("rank", "block").agg(F.sum("size").alias("words")).join(known, "rank"), "blocks")
+    blocks = running(sums, "rank", F.floor(F.col("block") / RANGE), ["block"], F.col("words"), "upto").withColumn("left", F.col("rest") - F.col("upto") + F.col("words"))
     # The pass after the whole ones takes a block whole, in part or not at all.
     blocks = blocks.select("rank", "block", "passes", "left", F.when(F.col("upto") <= F.col("rest"), 2).when(F.col("left") > 0, 1).otherwise(0).alias("more"))
     draws = blocks.select("rank", "block", "left", "more", "passes", F.explode(F.sequence(F.lit(0), F.col("passes"))).alias("pass")).filter((F.col("pass") < F.col("passes")) | (F.col("more") > 0))
     draws = draws.withColumn("part", (F.col("pass") == F.col("passes")) & (F.col("more") == 1))
-    permuted = Window.partitionBy("rank").orderBy(F.xxhash64("rank", "block", "pass", F.lit(seed)), "block", "pass")
-    draws = materialize(draws.withColumn("place", F.row_number().over(permuted) - 1), "draws")
+    draws = materialize(draws.withColumn("_hash", F.xxhash64("rank", "block", "pass", F.lit(seed))), "draws")
+    # Permuted order is that of hashes, of which the first bits make the ranges.
+    placed = running(draws, "rank", F.shiftrightunsigned("_hash", 52), [F.shiftrightunsigned("_hash", 1), "_hash", "block", "pass"], F.lit(1), "place")
+    draws = materialize(placed.withColumn("place", F.col("place") - 1).drop("_hash"), "placed-draws")
     quotas = {r["rank"]: r.n for r in draws.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per source
     counts = np.array([quotas.get(s.rank, 0) for s in sources], np.int64)
     shards = max(1, -(-int(counts.sum()) // DRAWS_PER_SHARD))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard in batch.column(0).to_pylist():
-                mine, before = split_quotas(counts, shards, shard, seed)
+            own = batch.column(0).to_numpy()  # neighbours: a part of a range
+            for shard, mine, before in shard_quotas(counts, shards, int(own[0]), int(own[-1]) + 1, seed) if len(own) else ():
                 ranks = np.flatnonzero(mine)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ranks), shard, np.int64)), pa.array(ranks.astype(np.int32)), pa.array(before[ranks]), pa.array((before + mine)[ranks] - 1)], ["shard", "rank", "low", "high"])
 
@@ -201,6 +224,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
 
 
 def words_taken(mixed: Mix) -> DataFrame:
-    """Each sized row with ``copies`` and ``taken``, its words in the mix."""
-    copies = mixed.draws.groupBy("row").agg(F.count(F.lit(1)).alias("copies"))
+    """Each sized row with ``copies``, ``taken``, its words in the mix, and ``places``, its draws as shard:position (``MAX_EPOCHS`` at most)."""
+    place = F.struct("shard", "position")
+    copies = mixed.draws.groupBy("row").agg(F.count(F.lit(1)).alias("copies"), F.sort_array(F.collect_list(place)).alias("places"))
     return mixed.rows.join(copies, "row", "left").withColumn("copies", F.coalesce("copies", F.lit(0).cast("bigint"))).withColumn("taken", F.col("copies") * F.col("size"))

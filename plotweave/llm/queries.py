@@ -74,7 +74,8 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixing.words_taken(mixed).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    places = F.array_join(F.transform("places", lambda p: F.concat_ws(":", p["shard"].cast("string"), p["position"].cast("string"))), ",")
+    return mixing.words_taken(mixed).select("doc_id", "size", "source_size", "target", "taken", "copies", F.coalesce(places, F.lit("")).alias("places"))
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
