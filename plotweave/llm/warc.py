@@ -5,20 +5,22 @@ refers to an earlier response with the same payload digest. Payloads of at least
 ``MIN_REVISIT`` bytes that occur more than once are stored once, with the largest
 identifier.
 
-Writing: only digests are aggregated and joined; Spark's text sink writes the
-members, so files appear in any store that Spark can write, with its commit protocol. The
+Writing: only digests are aggregated and joined. A task puts members together until they have
+``FILE_BYTES``, and Spark's text sink writes each such lot as a file (a row a file), so files are bounded by bytes,
+not by records, and appear in any store that Spark can write, with its commit protocol. The
 sink ends each row with a separator, here a zero byte: it is the last byte of a member,
 the top byte of the length field, which is zero for records under 16 MiB; a larger record is
 followed by an empty member. So the files are plain concatenated gzip.
 
-Reading: a file's bytes go through one incremental inflater after another, one for each
-member; a record is framed by its ``Content-Length``, and block and payload digests are
-verified. A wrong length, digest or a cut file raises.
+Reading: a file's bytes (``FILE_BYTES`` and a record at most) go through one incremental inflater after another, one
+for each member, in pieces of ``PIECE``; a record is framed by its ``Content-Length``, and block and payload digests are
+verified. Records leave the reader in batches of bounded bytes. A wrong length, digest or a cut file raises.
 
 Cases: a null or empty payload is an empty response; a null address becomes
 ``urn:none``; rows that repeat an identifier are records each, and none of them a revisit of
 itself; among equal payloads the largest identifier wins; a null identifier is below
-all, and stays null; an empty table writes no record. Only the columns named are read.
+all, and stays null; a very long payload is a record, alone in its file if it is long enough; an empty table writes
+no record. Only the columns named are read.
 """
 
 from __future__ import annotations
@@ -42,8 +44,8 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID_PREFIX = "urn:page:"
 GZIP = 31
-#: Rows of a file at most, so that a file fits a reader's memory.
-FILE_RECORDS = 20_000
+#: Bytes after which a file is closed, and payload bytes and rows of a batch that a reader gives.
+FILE_BYTES, BATCH_BYTES, BATCH_ROWS = 32 << 20, 8 << 20, 1000
 EMPTY_MEMBER = zlib.compressobj(1, zlib.DEFLATED, GZIP)
 EMPTY_MEMBER = EMPTY_MEMBER.compress(b"") + EMPTY_MEMBER.flush()
 
@@ -162,13 +164,22 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT, id
     rows = own.join(twice, F.col("page_id").eqNullSafe(F.col("_page")) & (F.sha1(F.col("html").cast("binary")) == F.col("_digest")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A file's members; the last byte is left to the sink.
+        lot = lambda: pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["value"])
+        held, size = [], 0
         for batch in batches:
             ids, urls, refers = (batch.column(k).to_pylist() for k in (0, 1, 3))
-            out = [member(i, u, p, r)[:-1] for i, u, p, r in zip(ids, urls, byte_values(batch.column(2)), refers, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+            for i, u, p, r in zip(ids, urls, byte_values(batch.column(2)), refers, strict=True):
+                held.append(member(i, u, p, r))
+                size += len(held[-1])
+                if size >= FILE_BYTES:
+                    yield lot()
+                    held, size = [], 0
+        if held:
+            yield lot()
 
     packed = rows.select("page_id", "url", "html", "refers_to").mapInArrow(run, "value binary")
-    packed.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    packed.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -178,12 +189,14 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows: list[tuple] = []
+                size = 0
                 for r in read_archive(content.as_py()):
                     digest = base64.b32decode(r.headers["warc-payload-digest"].removeprefix("sha1:")).hex()
                     rows.append((page_of(r.headers.get("warc-record-id")), r.kind, r.headers.get("warc-target-uri"), page_of(r.headers.get("warc-refers-to")), digest, r.payload if r.kind == "response" else None))
-                    if len(rows) >= 1000:
+                    size += len(r.block)
+                    if size >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
                         yield _batch(rows)
-                        rows = []
+                        rows, size = [], 0
                 yield _batch(rows)
 
     files = spark.read.format("binaryFile").load(path).select("content")
