@@ -162,6 +162,33 @@ def mixed(spark, docs):
     return mix.draws.orderBy("shard", "position").collect(), mixing.words_taken(mix).collect()
 
 
+def test_the_tree_deals_all_draws(spark, monkeypatch):
+    """The query's places: disjoint, without gaps, shards of even size, each source spread over them; another seed deals anew."""
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 40)
+    monkeypatch.setattr(mixing, "DRAWS_PER_SHARD", 4)
+    monkeypatch.setattr(mixing, "RANGE", 3)
+    rows = [(i, "w " * 20, "ab"[i % 2]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    places = {r.doc_id: [tuple(p) for p in r.places or ()] for r in mixing.words_taken(mixing.mix(docs)).collect()}
+    flat = sorted(p for own in places.values() for p in own)
+    assert len(flat) == len(set(flat)) and all(len(own) <= 2 for own in places.values())
+    by_shard = Counter(s for s, _ in flat)
+    assert set(by_shard) == set(range(max(by_shard) + 1)) and all(sorted(p for s, p in flat if s == k) == list(range(n)) for k, n in by_shard.items())
+    assert len(by_shard) > 20 and max(by_shard.values()) < 4 * min(by_shard.values()) + 40
+    again = {r.doc_id: [tuple(p) for p in r.places or ()] for r in mixing.words_taken(mixing.mix(docs.repartition(5))).collect()}
+    other = {r.doc_id: [tuple(p) for p in r.places or ()] for r in mixing.words_taken(mixing.mix(docs, seed=1)).collect()}
+    assert again == places and other != places
+
+
+def test_ranges_of_shards_walk_the_same_tree():
+    quotas = np.array([13, 0, 40, 7])
+    whole = list(mixing.shard_quotas(quotas, 11, 0, 11, 5))
+    parts = [x for a, b in ((0, 4), (4, 5), (5, 11)) for x in mixing.shard_quotas(quotas, 11, a, b, 5)]
+    assert [s for s, _, _ in whole] == list(range(11))
+    for (a, m, x), (b, n, y) in zip(whole, parts, strict=True):
+        assert a == b and (m == n).all() and (x == y).all()
+
+
 @pytest.mark.parametrize("block_words, per_shard", [(1 << 18, 16), (64, 3)])
 def test_mix(spark, monkeypatch, block_words, per_shard):
     monkeypatch.setattr(mixing, "BLOCK_WORDS", block_words)
@@ -223,7 +250,9 @@ def test_faults():
         list(warc.read_archive(packed(good)[:-3]))
 
 
-def test_round_trip_of_pages(spark):
+@pytest.mark.parametrize("file_bytes", [warc.FILE_BYTES, 700])
+def test_round_trip_of_pages(spark, monkeypatch, file_bytes):
+    monkeypatch.setattr(warc, "FILE_BYTES", file_bytes)
     big, other = "<p>é" + "x" * 1200, "y" * 1000
     rows = [(i, f"http://h/{i}", big) for i in (5, 9, 2)] + [(7, None, other), (8, "u", "short"), (10, "u", "short"), (11, "u", None), (12, "u", ""), (9, "again", big), (None, "u", big), (13, "u", "z" * 999), (14, "u", "z" * 999)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")

@@ -1,13 +1,21 @@
 """The registered queries and the pipeline: SQL twins, odd tables, and brute force over the stages."""
 
+import hashlib
+import random
+import re
+import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plotweave.llm import bpe, language_id, line_dedup, mixing, queries, simhash, stages
+from plotweave.llm import bpe, language_id, line_dedup, mixing, queries, stages
 from tests.conftest import DATA, as_rows
+from tests.llm.test_corpus_operators import brute_classes, brute_fingerprint
+from tests.llm.test_minhash import brute_components
+from tests.llm.test_text_operators import brute_base
 
 SMALL = f"{DATA}/sf0.001"
 
@@ -63,19 +71,109 @@ def test_empty_tables(spark, empty, name):
 
 def test_pipeline_of_odd_rows(spark, odd, empty):
     rows = corpus_pipeline.run(spark, odd).collect()
-    assert all(r.round_trip for r in rows)
+    assert all(r.round_trip for r in rows) and {r.doc_id for r in rows} <= {None, 3, 4, *range(10, 18)}
     assert corpus_pipeline.run(spark, empty).collect() == []
 
 
+def brute_languages(docs, rows):
+    """The languages of the texts that are kept, by plain searches in the samples."""
+    labelled = docs.filter(language_id.remainder("doc_id", 5) != 0)
+    model = language_id.fit(labelled)
+    samples = {}
+    for r in sorted(language_id.sample_rows(labelled).collect(), key=lambda r: (r.lang, r.place)):
+        samples.setdefault(r.lang, []).append(r.text)
+    joined = {k: "".join(map(chr, [x for t in v for x in (0, *language_id.to_symbols(t, model.symbols).tolist())])) for k, v in samples.items()}
+    out = {}
+    for i, r in rows.items():
+        symbols = "".join(map(chr, language_id.to_symbols(r.text or "", model.symbols).tolist()))
+        counts = {}
+        for k, sample in joined.items() if symbols else ():
+            counts[k] = 0
+            for block in (symbols[a : a + language_id.BLOCK] for a in range(0, len(symbols), language_id.BLOCK)):
+                at = 0
+                while at < len(block):
+                    end = at + 1
+                    while end < len(block) and block[at : end + 1] in sample:
+                        end += 1
+                    at, counts[k] = end, counts[k] + 1
+        if counts:
+            cost = dict(zip(model.languages, model.bits, strict=True))
+            best = min(sorted(counts), key=lambda k: counts[k] * cost[k])
+            if (counts[best] - 1) * cost[best] / len(symbols) < model.noise[model.languages.index(best)]:
+                out[i] = best
+    return out
+
+
+def test_language_stage_rejects_what_is_in_no_language(spark):
+    draw = random.Random(3)
+    noise = " ".join("".join(draw.choices("bcdfghjklmnpqrstvwxz", k=draw.randint(3, 12))) for _ in range(40))
+    own = spark.read.parquet(f"{SMALL}/documents.parquet")
+    odd = spark.createDataFrame([(-1, noise, None, "s", len(noise)), (-2, "1234 !?", "en", "s", 7), (-3, None, None, None, None), (-4, "", "en", "s", 0), (-5, "the of and", None, None, 10), (-5, "the of and", None, None, 10)], own.schema)
+    kept = Counter(r.doc_id for r in stages.known_language(own.unionByName(odd)).collect())
+    assert [kept[k] for k in (-1, -2, -3, -4, -5)] == [0, 0, 0, 0, 2]
+    assert sum(kept[r.doc_id] for r in own.collect()) >= 0.99 * own.filter(F.col("text").rlike(r"\p{L}")).count()
+    unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
+    assert Counter(r.doc_id for r in stages.known_language(unlabelled).collect()) == {-1: 1, -5: 2}
+
+
+def test_order_of_the_mix_reaches_the_tokens(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 40)
+    monkeypatch.setattr(mixing, "DRAWS_PER_SHARD", 4)
+    monkeypatch.setattr(stages, "MAX_FILES", 5)
+    rows = [(i, "w " * 20 + str(i), "en", "ab"[i % 2], 42) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    stages.mixed(docs).write.parquet(f"{tmp_path}/mixed")
+    tokens = stages.encoded(spark.read.parquet(f"{tmp_path}/mixed"), queries.RANK_FILE, queries.PATTERN).collect()
+    want = [r.doc_id for r in mixing.mix(docs).draws.orderBy("shard", "position").collect()]
+    assert [r.doc_id for r in sorted(tokens, key=lambda r: (r.file, r.row))] == want and len({r.file for r in tokens}) == 5
+    assert {r.file for r in stages.encoded(docs, queries.RANK_FILE, queries.PATTERN).collect()} == {None}
+
+
+def test_a_host_verdict_changes_kept(spark, tmp_path):
+    good, bad = " ".join(f"w{i}" for i in range(60)), "short"
+    rows = [(i, bad if i < 45 else good, "spam") for i in range(50)] + [(100 + h * 50 + i, bad if i < 3 else good, f"h{h}") for h in range(6) for i in range(50)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.base_failed, r.kept) for r in queries.op3_host_quality(spark, str(tmp_path)).collect()}
+    assert got == {i: (t == bad, t != bad and s != "spam") for i, t, s in rows}
+
+
+def test_query_rows_by_brute_force(spark):
+    """The digests and numbers of the queries that SQL can't express, on whole tables."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    enc = bpe.encoding(bpe.read_ranks(queries.RANK_FILE), queries.PATTERN)
+    for r in queries.op1_bpe(spark, SMALL).collect():
+        ids = enc.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(np.array(ids, "<u4").tobytes()), sha(texts[r.doc_id].encode()))
+    for r in queries.op5_secrets(spark, SMALL).collect():
+        base = brute_base(texts[r.doc_id])
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == (*(sum(x[0] == k for x in base) for k in ("assign", "access", "hex")), sha(joined.encode()))
+        assert set(joined.split(",")) - {""} <= set(r.spans.split(","))
+    for r in queries.op6_language(spark, SMALL).collect():
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and (r.lang_pred == "und") == (not any(c.isalpha() for c in texts[r.doc_id]))
+    fps = {i: brute_fingerprint(t, 3) for i, t in texts.items()}
+    classes = brute_classes(fps)
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op7_simhash(spark, SMALL).collect()} == {i: (f"{f:016x}", classes[i]) for i, f in fps.items()}
+    for r in queries.op8_mixing(spark, SMALL).collect():
+        places = [p for p in r.places.split(",") if p]
+        assert r.size == len(re.findall(r"[^\x20\x09-\x0D]+", texts[r.doc_id])) and r.taken == r.size * len(places) == r.size * r.copies
+    for r in queries.op10_media(spark, SMALL).collect():
+        data = texts[r.doc_id].encode()
+        payload = data + bytes(-len(data) % 64 or (0 if data else 64))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), sha(payload), zlib.crc32(payload[-64:]))
+
+
 def test_stages(spark):
     """Each stage against its decisions made by hand, on what the stage before it kept."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     start = {r.doc_id: r for r in docs.collect()}
     told = corpus_pipeline.language(spark, docs, SMALL)
     assert told.columns == docs.columns
-    lettered = {i for i, r in start.items() if r.text and any(c.isalpha() for c in r.text)}
+    want = brute_languages(docs, start)
     first = {r.doc_id: r for r in told.collect()}
-    assert set(first) == lettered and all(first[i] == start[i] for i in lettered)
+    assert set(first) == set(want) and len(want) > 150
+    assert all(first[i].lang == want[i] and first[i].asDict() | {"lang": 0} == start[i].asDict() | {"lang": 0} for i in first)
 
     lined = corpus_pipeline.lines(spark, told, SMALL)
     assert lined.columns == docs.columns
@@ -93,19 +191,9 @@ def test_stages(spark):
 
     single = corpus_pipeline.near_duplicates(spark, lined, SMALL)
     assert single.columns == docs.columns
-    fps = {i: simhash.fingerprint(r.text.encode()) for i, r in second.items()}
-    names = {}
-    for i in sorted(fps):
-        names[i] = i
-    changed = True
-    while changed:
-        changed = False
-        for a in fps:
-            for b in fps:
-                if (fps[a] ^ fps[b]).bit_count() <= simhash.DISTANCE and names[a] > names[b]:
-                    names[a], changed = names[b], True
+    names = brute_components({i: r.text for i, r in second.items()})
     third = {r.doc_id: r for r in single.collect()}
-    assert set(third) == {i for i in fps if names[i] == i} and all(third[i] == second[i] for i in third)
+    assert set(third) == {i for i, k in names.items() if k == i} and all(third[i] == second[i] for i in third)
 
     mix = corpus_pipeline.mixing(spark, single, SMALL)
     assert mix.columns == docs.columns
