@@ -1,35 +1,41 @@
-"""Katz backoff bigram language model over a corpus, and scores of all its texts.
-
-Tokens are words and an end after the last; the first follows a start. The model:
-
-* ``p(w | v) = d(c) c(v, w) / c(v)`` if the pair was seen, be it once
-  (``MIN_PAIR``), else ``alpha(v) p(w)``; ``p(w) = d(c) c(w) / N``, what discounting frees being the probability of
-  an unknown word.
-* ``d`` is the Good-Turing discount of counts up to ``KATZ_K``; where counts of counts are too
-  irregular for it (it isn't within (0, 1]), an absolute discount.
-* ``alpha(v)`` makes ``p(. | v)`` sum to 1 exactly: what discounting leaves over what the
-  stored followers have by ``p(w)``. If nothing is left, one unit is added to ``c(v)``.
-
-Words and pairs are 64-bit hashes. The model is two tables in the shared folder, of words
-(count, probability, backoff weight) and of stored pairs. A text's log-probability is the sum of each
-token's recursion: the stored pair, else the backoff weight of the context and the word. It is
-added up as the words' part for every token and, for stored pairs, the difference.
-
-Nothing is broadcast and no group is collected. Counting and scoring shuffle packed blobs: a
-map task merges its tokens by key first, so that a frequent word or pair is one key a
-task, and keys are dealt by hash into buckets of bounded size. A bucket's task holds its part of the model
-and streams blobs past it; sums come back to the documents of a map batch as vectors.
+"""Katz backoff trigram language model over a corpus, and scores of all its texts.
+
+Tokens are words and an end after the last; the first follow two starts. The model:
+
+* ``p(w | u, v) = d3(c) c(u, v, w) / c(u, v)`` if the trigram was seen, be it once, else ``alpha(u, v) p(w | v)``;
+  ``p(w | v) = d2(c) c(v, w) / c(v)`` if the bigram was seen, else ``alpha(v) p(w)``; ``p(w) = d1(c) c(w) / N``, what
+  discounting frees being the probability of an unknown word. A context that was never seen has ``alpha`` 1.
+* ``d`` is the Good-Turing discount of counts up to ``KATZ_K``, of each order, from the counts of counts
+  as they are where that gives a discount within (0, 1] for each count, else (copies make them irregular) from the
+  counts of counts smoothed by a log-linear fit, as in simple Good-Turing (Gale and Sampson 1995). Only where
+  that isn't possible either (a toy corpus) an absolute discount.
+* ``alpha`` makes ``p(. | u, v)`` and ``p(. | v)`` sum to 1 exactly: what discounting leaves over what the
+  seen followers have in the lower order. If nothing is left, one unit is added to the context's count.
+
+The trigram counts are a table in the shared folder, partitioned by the middle word ``v`` of ``(u, v, w)``. All that a
+probability needs lies in one partition: the contexts ``(u, v)``, the bigrams ``(v, w)``, which are sums of trigrams, and
+``v`` with its followers; only ``p(w)`` comes from elsewhere, for frequent words from the lexicon, for
+others by a join. Backoff weights are a function of a partition's counts, made when it is loaded. A token's probability is found
+by the recursion: the trigram, else its context's weight and the bigram, else ``v``'s weight and the word.
+
+Words are 64-bit hashes. The ``LEXICON`` most frequent ones have short codes; they are the only thing that is broadcast,
+and this bounds it. Counting and scoring shuffle packed blobs: a map task merges the trigrams of ``BATCH_TOKENS``
+tokens first, and deals them into buckets of about ``BUCKET_TOKENS`` tokens. A word with more than a bucket's tokens is
+hot: it has as many buckets of its own as it fills, by ``u`` and ``w``, and the sums over its followers and contexts
+are added up across them and given to each. (Of words beyond the lexicon none can be as frequent as those in it.)
+A bucket's task holds its part of the model and streams blobs past it; sums come back to the documents of a batch.
 
 Cases: a null or empty text is an end alone; a null identifier isn't held out; without training
-documents every base count is 0 and every score that of unknown words; repeated rows count and are scored
-each; an empty table gives an empty table. Only the columns named are read.
+documents every base count is 0 and every score that of unknown words; words of equal counts enter the lexicon in hash
+order, which changes no score; repeated rows count and are scored each; very long texts are read whole, as a batch
+of their own; an empty table gives an empty table. Only the columns named are read.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -42,16 +48,22 @@ from pyspark.sql import functions as F
 from plotweave.llm.common import byte_values, materialize, release_shuffles, remove
 from plotweave.llm.mph import mixed
 
-KATZ_K, MIN_PAIR = 5, 1
-#: Tokens that a map task merges at once.
-BATCH_TOKENS = 3 << 19
-#: Tokens of a bucket on average: where pairs are counted a task holds all its pairs, where texts are
-#: scored only its part of the model.
-COUNT_TOKENS, SCORE_TOKENS = 1 << 21, 1 << 23
+KATZ_K = 5
+#: Counts whose counts are known, for the log-linear fit.
+COUNTS = 64
+#: Words with codes of their own.
+LEXICON = 1 << 17
+#: Tokens that a map task merges at once, and of a bucket on average.
+BATCH_TOKENS, BUCKET_TOKENS = 3 << 19, 1 << 22
 #: No word contains a line feed, so these are no words' hashes.
 START, END = (np.uint64(xxhash.xxh3_64_intdigest(s)) for s in (b"\nstart", b"\nend"))
-START_ID, END_ID = int(START.view(np.int64)), int(END.view(np.int64))
+START_CODE, END_CODE = 0, 1
+END_ID = int(END.view(np.int64))
+#: The code of a word that a bucket doesn't know.
+MISSING = 2**32 - 1
 LEAST_LEFT = 1e-12
+#: Sums travel as integers of this part of one.
+UNIT = 2.0**-36
 
 
 def tokens(text: bytes) -> np.ndarray:
@@ -64,37 +76,25 @@ def tokens(text: bytes) -> np.ndarray:
     return out
 
 
-def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mixed(first, second, 0)
-
-
 @dataclass
 class Batch:
-    """Tokens of some documents one after another; ``of`` says whose each is."""
+    """Tokens of some documents one after another."""
 
     ids: list
     held: list[bool]
     lengths: np.ndarray
     words: np.ndarray
-    before: np.ndarray
 
     @property
     def of(self) -> np.ndarray:
+        """Whose each token is."""
         return np.repeat(np.arange(len(self.ids), dtype=np.int64), self.lengths)
 
 
 def _batched(batches: Iterator[pa.RecordBatch], train_only: bool) -> Iterator[Batch]:
     """Documents (id, text, held) in lots of about ``BATCH_TOKENS`` tokens."""
     ids, held, parts, total = [], [], [], 0
-
-    def lot() -> Batch:
-        words = np.concatenate(parts)
-        lengths = np.array([len(p) for p in parts], np.int64)
-        before = np.empty_like(words)
-        before[1:] = words[:-1]
-        before[np.cumsum(lengths) - lengths] = START
-        return Batch(ids, held, lengths, words, before)
-
+    lot = lambda: Batch(ids, held, np.array([len(p) for p in parts], np.int64), np.concatenate(parts))
     for batch in batches:
         for doc_id, text, out in zip(batch.column(0).to_pylist(), byte_values(batch.column(1)), batch.column(2).to_pylist(), strict=True):
             if train_only and out:
@@ -111,6 +111,9 @@ def _batched(batches: Iterator[pa.RecordBatch], train_only: bool) -> Iterator[Ba
         yield lot()
 
 
+# ---- packed integers
+
+
 def planes(values: np.ndarray) -> bytes:
     """Integers compressed byte position by byte position."""
     width = values.dtype.itemsize
@@ -123,64 +126,6 @@ def unplanes(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(flat.T).reshape(-1).view(kind)
 
 
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Buckets are ranges of hashes, so keys in order are buckets in order."""
-    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-
-
-def _slices(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
-    """Each bucket that has some of the sorted ``keys``, and where they lie."""
-    of = bucket_of(keys, buckets)
-    starts = np.flatnonzero(np.diff(of, prepend=-1))
-    for a, b in zip(starts, [*starts[1:], len(keys)], strict=True):
-        yield int(of[a]), slice(int(a), int(b))
-
-
-# ---- counting
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``h``, ``c`` of words in training texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lot in _batched(batches, True):
-            h, c = np.unique(lot.words, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
-
-    return docs.mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
-
-
-def pair_counts(docs: DataFrame, buckets: int, least: int = MIN_PAIR) -> DataFrame:
-    """``h1``, ``h2``, ``c`` of pairs found at least ``least`` times in training texts; and, with null hashes, in ``n`` how many pairs have the count ``c`` (up to ``KATZ_K + 1``) in a bucket."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lot in _batched(batches, True):
-            keys, at, c = np.unique(pair_keys(lot.before, lot.words), return_index=True, return_counts=True)
-            for k, own in _slices(keys, buckets):
-                blob = _joined(lot.before[at[own]].tobytes(), lot.words[at[own]].tobytes(), planes(c[own].astype("<u4")))
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "blob"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for blobs in _buckets(batches):
-            first, second, c = (np.concatenate(x) for x in zip(*((np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"), unplanes(n, "<u4")) for a, b, n in map(_parts, blobs)), strict=True))
-            keys = pair_keys(first, second)
-            order = np.argsort(keys, kind="stable")
-            keys = keys[order]
-            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            total = np.add.reduceat(c[order].astype(np.int64), starts)
-            at = order[starts]
-            counts = np.bincount(np.minimum(total, KATZ_K + 2), minlength=KATZ_K + 3)[1 : KATZ_K + 2]
-            keep = total >= least
-            at, total = at[keep], total[keep]
-            n = len(at)
-            rows = pa.RecordBatch.from_arrays([pa.array(first[at].view(np.int64)), pa.array(second[at].view(np.int64)), pa.array(total), pa.nulls(n, pa.int64())], ["h1", "h2", "c", "n"])
-            yield rows
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(counts), pa.int64()), pa.nulls(len(counts), pa.int64()), pa.array(np.arange(1, len(counts) + 1, dtype=np.int64)), pa.array(counts.astype(np.int64))], ["h1", "h2", "c", "n"])
-
-    dealt = docs.mapInArrow(emit, "bucket int, blob binary").repartitionById(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(merge, "h1 bigint, h2 bigint, c bigint, n bigint")
-
-
 def _joined(*parts: bytes) -> bytes:
     return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
 
@@ -194,45 +139,74 @@ def _parts(blob: bytes) -> list[bytes]:
     return out
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
-    """The blobs of one bucket after another."""
-    held, blobs = None, []
-    for batch in batches:
-        for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if bucket != held and blobs:
-                yield blobs
-                blobs = []
-            held = bucket
-            blobs.append(blob.as_py())
-    if blobs:
-        yield blobs
+def _steps(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Differences to the value before, but the value itself where ``starts`` says so."""
+    out = np.diff(values, prepend=values[:1])
+    out[starts] = values[starts]
+    return out.astype("<u4")
+
 
+def _sums(steps: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The inverse of ``_steps``."""
+    total = np.cumsum(steps, dtype=np.int64)
+    at = np.flatnonzero(starts)
+    return total - np.repeat(total[at] - steps[at], np.diff(at, append=len(steps)))
 
-# ---- the model
 
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where one of the columns differs from the row before."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
 
-def discounts(n: dict[int, int], k: int = KATZ_K) -> list[float]:
-    """``d`` by count, 0 to ``k``; ``n`` has the number of types of each count.
 
-    Good-Turing's where all of them are within (0, 1], else absolute ones.
-    """
-    f = [0, *(n.get(r, 0) for r in range(1, k + 2))]
-    if all(f[1:]):
+def pack(v: np.ndarray, u: np.ndarray, w: np.ndarray, rare: np.ndarray, known: int) -> list[bytes]:
+    """Trigrams in order as small steps; codes from ``known`` up are places in ``rare`` (hashes in order), of which only those that occur are kept."""
+    used = np.unique(np.concatenate([x[x >= known] for x in (v, u, w)])) - known
+    v, u, w = (np.where(x >= known, known + np.searchsorted(used, x - np.minimum(x, known)), x) for x in (v, u, w))
+    by_v, by_u = _changes(v), _changes(v, u)
+    return [planes(np.diff(rare[used], prepend=np.uint64(0))), planes(_steps(v, np.arange(len(v)) == 0)), planes(_steps(u, by_v)), planes(_steps(w, by_u))]
+
+
+def unpack(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The rare hashes, and ``v``, ``u``, ``w``."""
+    rare = np.cumsum(unplanes(parts[0], "<u8"))
+    steps = [unplanes(p, "<u4") for p in parts[1:4]]
+    v = np.cumsum(steps[0], dtype=np.int64)
+    by_v = _changes(v)
+    u = _sums(steps[1], by_v)
+    return rare, v, u, _sums(steps[2], by_v | _changes(u))
+
+
+# ---- lexicon and words
+
+
+def discounts(n: Mapping[int, int], k: int = KATZ_K) -> list[float]:
+    """``d`` by count, 0 to ``k``; ``n`` has the number of types of each count, up to ``COUNTS``."""
+
+    def turing(f: Mapping[int, float]) -> list[float] | None:
         a = (k + 1) * f[k + 1] / f[1]
-        if a < 1:
-            d = [((r + 1) * f[r + 1] / f[r] / r - a) / (1 - a) for r in range(1, k + 1)]
-            if all(0 < x <= 1 for x in d):
-                return [0.0, *d]
-    less = f[1] / (f[1] + 2 * f[2]) if f[1] and f[2] else 0.5
+        d = [((r + 1) * f[r + 1] / f[r] / r - a) / (1 - a) for r in range(1, k + 1)] if a < 1 else []
+        return [0.0, *d] if d and all(0 < x <= 1 for x in d) else None
+
+    if all(n.get(r) for r in range(1, k + 2)) and (raw := turing(n)):
+        return raw
+    seen = sorted(r for r in range(1, COUNTS + 1) if n.get(r))
+    if len(seen) > 1:
+        # Where counts have gaps, a count stands for those around it.
+        gaps = [((seen[i + 1] if i + 1 < len(seen) else 2 * r - seen[i - 1]) - (seen[i - 1] if i else 0)) / 2 for i, r in enumerate(seen)]
+        slope = np.polyfit(np.log(seen), np.log([n[r] / g for r, g in zip(seen, gaps, strict=True)]), 1)[0]
+        if smooth := turing({r: float(r) ** slope for r in range(1, k + 2)}):
+            return smooth
+    less = n[1] / (n[1] + 2 * n[2]) if n.get(1) and n.get(2) else 0.5
     return [0.0, *((r - less) / r for r in range(1, k + 1))]
 
 
-def discounted(count: Column, d: list[float]) -> Column:
+def discounted(count: np.ndarray, d: list[float]) -> np.ndarray:
     """``d(c) * c``."""
-    factor = F.when(count > len(d) - 1, F.lit(1.0))
-    for r, x in enumerate(d[1:], 1):
-        factor = factor.when(count == r, F.lit(x))
-    return factor * count
+    return np.where(count < len(d), np.array(d)[np.minimum(count, len(d) - 1)], 1.0) * count
 
 
 @dataclass(frozen=True)
@@ -241,121 +215,479 @@ class Words:
 
     total: int
     types: int
-    d: tuple[float, ...]
+    d: list[float]
     scale: float
     unknown: float
 
-    def log_p(self, count: Column) -> Column:
-        return F.log10(discounted(count, list(self.d)) * self.scale)
+    def p(self, count: np.ndarray) -> np.ndarray:
+        """Probabilities by count, an unknown word's where it is 0."""
+        return np.where(count > 0, discounted(count, self.d) * self.scale, self.unknown)
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``h``, ``c`` of words in training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lot in _batched(batches, True):
+            h, c = np.unique(lot.words, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
+
+    return docs.mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
+
+
+def _counts_of(rows: DataFrame) -> dict[int, tuple[int, int]]:
+    """By count up to ``COUNTS + 1`` (which stands for all above): types and tokens."""
+    found = rows.groupBy(F.least("c", F.lit(COUNTS + 1)).alias("r")).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("t")).collect()  # COUNTS + 1 rows at most
+    return {r.r: (r.n, r.t) for r in found}
 
 
 def word_model(counts: DataFrame) -> Words:
-    by_count = {r.r: r for r in counts.groupBy(F.least("c", F.lit(KATZ_K + 2)).alias("r")).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c")).collect()}  # at most KATZ_K + 2 rows
-    total, types = sum(r.c for r in by_count.values()), sum(r.n for r in by_count.values())
+    by_count = _counts_of(counts)
+    total, types = sum(t for _, t in by_count.values()), sum(n for n, _ in by_count.values())
+    d = discounts({r: n for r, (n, _) in by_count.items() if r <= COUNTS})
     if not total:
-        return Words(0, 0, tuple(discounts({})), 1.0, 1.0)
-    d = discounts({k: r.n for k, r in by_count.items() if k <= KATZ_K + 1})
-    freed = sum((1 - d[r]) * r * by_count[r].n for r in range(1, KATZ_K + 1) if r in by_count)
+        return Words(0, 0, d, 1.0, 1.0)
+    freed = sum((1 - d[r]) * t for r, (_, t) in by_count.items() if r <= KATZ_K)
     if freed / total < LEAST_LEFT:
-        return Words(total, types, tuple(d), 1 / (total + 1), 1 / (total + 1))
-    return Words(total, types, tuple(d), 1 / total, freed / total)
+        return Words(total, types, [0.0, *[1.0] * KATZ_K], 1 / (total + 1), 1 / (total + 1))
+    return Words(total, types, d, 1 / total, freed / total)
 
 
 @dataclass(frozen=True)
-class Model:
-    """``words``: h, c, log_p, log_alpha (also of the start, whose c is null). ``pairs``: h1, h2, c, log_p, gain, the last over backing off."""
+class Lexicon:
+    """The most frequent words by code, start and end first; and how middle words are dealt into buckets.
 
-    summary: Words
-    words: DataFrame
-    pairs: DataFrame
+    A hot word has ``splits`` buckets from ``first`` on. What is left of it after discounting is known here.
+    """
 
+    hashes: np.ndarray
+    counts: np.ndarray
+    order: np.ndarray  # codes in the order of their hashes
+    cold: int
+    first: np.ndarray
+    splits: np.ndarray
+    log_alpha: np.ndarray
+    shrink: np.ndarray
 
-def train(docs: DataFrame) -> Model:
-    """Fit on the rows of ``docs`` (doc_id, text, held) that aren't held."""
-    counts = materialize(word_counts(docs), "lm-words")
-    summary = word_model(counts)
-    buckets = max(1, -(-summary.total // COUNT_TOKENS))
-    found = materialize(pair_counts(docs, buckets), "lm-pair-counts")
-    release_shuffles(docs.sparkSession)
-    d = discounts({r.c: r.n for r in found.filter("h1 is null").groupBy("c").agg(F.sum("n").alias("n")).collect()})  # KATZ_K + 1 rows
-    known = counts.select("h", F.col("c").alias("n"))
-    ends = counts.filter(F.col("h") == END_ID).select(F.lit(START_ID).alias("h"), F.col("c").alias("n"))
-    contexts = known.unionByName(ends).select(F.col("h").alias("h1"), F.col("n").alias("n1"))
-    pairs = found.filter("h1 is not null").select("h1", "h2", "c").join(known.select(F.col("h").alias("h2"), F.col("n").alias("n2")), "h2")
-    pairs = pairs.select("h1", "h2", "c", summary.log_p(F.col("n2")).alias("log_p1")).join(contexts, "h1").withColumn("g", discounted(F.col("c"), d) / F.col("n1"))
-    sums = pairs.groupBy("h1").agg(F.sum("g").alias("g_sum"), F.sum(F.pow(F.lit(10.0), "log_p1")).alias("p_sum"), F.first("n1").alias("n1"))
-    shrink = F.when(1 - F.col("g_sum") < LEAST_LEFT, F.col("n1") / (F.col("n1") + 1.0)).otherwise(F.lit(1.0))
-    alphas = sums.select("h1", shrink.alias("shrink"), "g_sum", "p_sum").select("h1", "shrink", F.log10((1 - F.col("g_sum") * F.col("shrink")) / F.greatest(1 - F.col("p_sum"), F.lit(LEAST_LEFT))).alias("log_alpha"))
-    alphas = materialize(alphas, "lm-contexts")
-    stored = pairs.join(alphas, "h1").withColumn("log_p", F.log10(F.col("g") * F.col("shrink")))
-    stored = materialize(stored.select("h1", "h2", "c", "log_p", (F.col("log_p") - F.col("log_alpha") - F.col("log_p1")).alias("gain")), "lm-pairs")
-    words = counts.withColumn("log_p", summary.log_p(F.col("c"))).unionByName(docs.sparkSession.createDataFrame([(START_ID, None, 0.0)], "h bigint, c bigint, log_p double"))
-    words = words.join(alphas.select(F.col("h1").alias("h"), "log_alpha"), "h", "left").withColumn("log_alpha", F.coalesce("log_alpha", F.lit(0.0)))
-    words = materialize(words, "lm-model-words")
-    for done in (found, counts, alphas):
-        remove(docs.sparkSession, done)
-    release_shuffles(docs.sparkSession)
-    return Model(summary, words, stored)
+    @property
+    def size(self) -> int:
+        return len(self.hashes)
+
+    @property
+    def buckets(self) -> int:
+        return self.cold + int(self.splits.sum())
+
+    def hot(self) -> list[tuple[int, int]]:
+        """Each bucket of a hot word, and its code."""
+        return [(int(self.first[k]) + i, int(k)) for k in np.flatnonzero(self.splits) for i in range(self.splits[k])]
+
+    def codes(self, hashes: np.ndarray, rare: np.ndarray) -> np.ndarray:
+        """Codes of words; those beyond the lexicon by their place in ``rare`` (in order), else ``MISSING``."""
+        own = self.hashes[self.order]
+        at = np.minimum(np.searchsorted(own, hashes), len(own) - 1)
+        out = np.where(own[at] == hashes, self.order[at], MISSING)
+        if len(rare):
+            place = np.minimum(np.searchsorted(rare, hashes), len(rare) - 1)
+            out = np.where((out == MISSING) & (rare[place] == hashes), self.size + place, out)
+        return out
+
+    def dealt(self, v: np.ndarray, u: np.ndarray, w: np.ndarray, rare: np.ndarray) -> np.ndarray:
+        """Buckets of trigrams."""
+        hashes = np.concatenate([self.hashes, rare])
+        out = ((hashes[v] >> np.uint64(32)) * np.uint64(self.cold) >> np.uint64(32)).astype(np.int64)
+        hot = np.flatnonzero(self.splits[np.minimum(v, self.size - 1)] * (v < self.size))
+        if len(hot):
+            own = v[hot]
+            out[hot] = self.first[own] + (mixed(hashes[u[hot]], hashes[w[hot]], 1) % self.splits[own].astype(np.uint64)).astype(np.int64)
+        return out
+
+
+def lexicon(counts: DataFrame, summary: Words) -> Lexicon:
+    # LEXICON rows at most come to the driver.
+    top = counts.filter(F.col("h") != END_ID).orderBy(F.desc("c"), "h").limit(LEXICON).collect()
+    ends = counts.filter(F.col("h") == END_ID).collect()
+    docs = ends[0].c if ends else 0
+    hashes = np.array([START.view(np.int64), END.view(np.int64), *(r.h for r in top)], np.int64).view(np.uint64)
+    # A start is a context as often as there are documents.
+    own = np.array([docs, docs, *(r.c for r in top)], np.int64)
+    splits = np.where(own > BUCKET_TOKENS, -(-own // BUCKET_TOKENS), 0)
+    splits[END_CODE] = 0  # nothing follows an end
+    cold = max(1, -(-(summary.total - int(own[splits > 0].sum())) // BUCKET_TOKENS))
+    return Lexicon(hashes, own, np.argsort(hashes), cold, cold + np.cumsum(splits) - splits, splits, np.zeros(len(own)), np.ones(len(own)))
+
+
+# ---- trigrams of a batch
+
+
+def ranked(v: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The order of trigrams by ``v``, ``u``, ``w``; equal ones stay in theirs."""
+    bits = int(max(x.max(initial=0) for x in (v, u, w))).bit_length()
+    if 3 * bits <= 64:
+        key = v.astype(np.uint64) << np.uint64(2 * bits) | u.astype(np.uint64) << np.uint64(bits) | w.astype(np.uint64)
+        return np.argsort(key, kind="stable")
+    return np.lexsort((w, u, v))
 
 
-# ---- scoring
+@dataclass
+class Grams:
+    """A batch's distinct trigrams by bucket and in order, how often each occurs, and the tokens of each, one after another."""
+
+    bucket: np.ndarray
+    v: np.ndarray
+    u: np.ndarray
+    w: np.ndarray
+    runs: np.ndarray
+    places: np.ndarray
+    rare: np.ndarray
+
+    def slices(self) -> Iterator[tuple[int, slice, slice]]:
+        """Each bucket with its trigrams and their tokens."""
+        starts = np.flatnonzero(_changes(self.bucket))
+        upto = np.concatenate([[0], np.cumsum(self.runs)])
+        for a, b in zip(starts, [*starts[1:], len(self.bucket)], strict=True):
+            yield int(self.bucket[a]), slice(int(a), int(b)), slice(int(upto[a]), int(upto[b]))
+
+
+def grams(lot: Batch, lex: Lexicon) -> Grams:
+    own, back = np.unique(lot.words, return_inverse=True)
+    code = lex.codes(own, own[:0])
+    beyond = code == MISSING
+    rare = own[beyond]
+    code[beyond] = lex.size + np.arange(len(rare))
+    w = code[back]
+    starts = np.cumsum(lot.lengths) - lot.lengths
+    v = np.concatenate([[START_CODE], w[:-1]])
+    v[starts] = START_CODE
+    u = np.concatenate([[START_CODE], v[:-1]])
+    u[starts] = START_CODE
+    order = ranked(v, u, w)
+    v, u, w = v[order], u[order], w[order]
+    at = np.flatnonzero(_changes(v, u, w))
+    runs = np.diff(at, append=len(order))
+    v, u, w = v[at], u[at], w[at]
+    bucket = lex.dealt(v, u, w, rare)
+    deal = np.argsort(bucket, kind="stable")
+    runs, at = runs[deal], at[deal]
+    places = order[np.repeat(at - np.cumsum(runs) + runs, runs) + np.arange(len(order))]
+    return Grams(bucket[deal], v[deal], u[deal], w[deal], runs, places, rare)
+
+
+# ---- rows of the tables that are dealt into buckets
+
+#: Kinds of rows, in the order in which a bucket's task reads them; then what counting gives besides.
+RARE, FOLLOW, CONTEXT, GRAMS, HEAD, TEXTS, WANTED, BIGRAMS_OF, TRIGRAMS_OF = range(9)
+#: ``h`` is a word's hash, a batch's name or a count, ``c`` a count.
+ROWS = "bucket int, kind int, h bigint, c bigint, blob binary"
+_NAMES = ["bucket", "kind", "h", "c", "blob"]
+
+
+def _blobs(bucket: int, kind: int, h: int, blob: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), pa.array([h], pa.int64()), pa.array([0], pa.int64()), pa.array([blob], pa.binary())], _NAMES)
+
+
+def _flat(bucket: int, kind: int, h: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    n = len(h)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, bucket, np.int32)), pa.array(np.full(n, kind, np.int32)), pa.array(h.view(np.int64)), pa.array(c.astype(np.int64)), pa.nulls(n, pa.binary())], _NAMES)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    """Rows of one bucket and kind after another, as slices."""
+    for batch in batches:
+        bucket, kind = (batch.column(k).to_numpy() for k in (0, 1))
+        starts = np.flatnonzero(_changes(bucket, kind))
+        for a, b in zip(starts, [*starts[1:], len(bucket)], strict=True):
+            yield int(bucket[a]), int(kind[a]), batch.slice(int(a), int(b - a))
+
 
-HEAD, WORDS, PAIRS, WORD_MODEL, PAIR_MODEL = 2, 3, 4, 0, 1
-_ROWS = "bucket int, kind int, batch bigint, blob binary"
+def _dealt(rows: DataFrame, lex: Lexicon) -> DataFrame:
+    return rows.repartitionById(lex.buckets, "bucket").sortWithinPartitions("bucket", "kind")
 
 
-def _row_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (("bucket", pa.int32()), ("kind", pa.int32()), ("batch", pa.int64()), ("blob", pa.binary()))
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
+# ---- counting
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, bytes]]:
-    """Rows one at a time: only one blob is copied."""
-    for *key, blob in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
-        yield *key, blob.as_py()
+def _in_bucket(code: np.ndarray, size: int, own: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """Codes of a blob (whose rare words are ``own``) as those of a bucket (``rare``); unknown words are ``MISSING``."""
+    if not len(own):
+        return code
+    at = np.minimum(np.searchsorted(rare, own), max(0, len(rare) - 1))
+    place = np.where(rare[at] == own, size + at, MISSING) if len(rare) else np.full(len(own), MISSING)
+    beyond = code >= size
+    out = code.copy()
+    out[beyond] = place[code[beyond] - size]
+    return out
 
 
-def _occurrences(keys: np.ndarray, of: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """Per bucket: its keys in order, how often each occurs, and in which documents (rising for each key in ``keys``)."""
-    order = np.argsort(keys, kind="stable")
-    keys, of = keys[order], of[order].astype("<u4")
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    ends = np.append(starts[1:], len(keys))
-    steps = np.diff(of, prepend=np.uint32(0))
-    steps[starts] = of[starts]
-    own = keys[starts]
-    for k, part in _slices(own, buckets):
-        yield k, _joined(planes(np.diff(own[part], prepend=np.uint64(0))), planes((ends[part] - starts[part]).astype("<u4")), planes(steps[starts[part][0] : ends[part][-1]]))
+def merged(blobs: list[list[bytes]], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One table of trigrams and counts from several: the rare words, ``v``, ``u``, ``w``, counts."""
+    found = [(*unpack(b), unplanes(b[4], "<u4")) for b in blobs]
+    rare = np.unique(np.concatenate([f[0] for f in found]))
+    v, u, w = (np.concatenate([_in_bucket(f[k], size, f[0], rare) for f in found]) for k in (1, 2, 3))
+    c = np.concatenate([f[4] for f in found]).astype(np.int64)
+    order = ranked(v, u, w)
+    v, u, w = v[order], u[order], w[order]
+    at = np.flatnonzero(_changes(v, u, w))
+    return rare, v[at], u[at], w[at], np.add.reduceat(c[order], at)
 
 
-def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    keys, runs, steps = _parts(blob)
-    keys, runs, steps = np.cumsum(unplanes(keys, "<u8")), unplanes(runs, "<u4").astype(np.int64), unplanes(steps, "<u4")
-    all_steps = np.cumsum(steps, dtype=np.int64)
-    starts = np.cumsum(runs) - runs
-    # Within a run the steps add up from its first document.
-    return keys, runs, all_steps - np.repeat(all_steps[starts] - steps[starts], runs)
+def trigram_counts(docs: DataFrame, lex: Lexicon) -> DataFrame:
+    """Rows of each bucket: its trigrams with counts (``GRAMS``), the rare words whose counts it wants, counts of counts, and followers of a hot word."""
+    shared = docs.sparkSession.sparkContext.broadcast(lex)
 
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = shared.value
+        for lot in _batched(batches, True):
+            g = grams(lot, lex)
+            for bucket, own, _ in g.slices():
+                yield _blobs(bucket, GRAMS, 0, _joined(*pack(g.v[own], g.u[own], g.w[own], g.rare, lex.size), planes(g.runs[own].astype("<u4"))))
+
+    def counted(bucket: int, blobs: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+        lex = shared.value
+        rare, v, u, w, c = merged(blobs, lex.size)
+        yield _blobs(bucket, GRAMS, 0, _joined(*pack(v, u, w, rare, lex.size), planes(c.astype("<u4"))))
+        counts = np.arange(1, COUNTS + 1)
+        yield _flat(bucket, TRIGRAMS_OF, counts, np.bincount(np.minimum(c, COUNTS + 1), minlength=COUNTS + 2)[1 : COUNTS + 1])
+        pairs, back = np.unique(v << 32 | w, return_inverse=True)
+        n = np.bincount(back, c).astype(np.int64)
+        if bucket >= lex.cold:
+            hashes = np.concatenate([lex.hashes, rare])
+            yield _flat(bucket, FOLLOW, hashes[pairs & 0xFFFFFFFF], n)
+        else:
+            yield _flat(bucket, BIGRAMS_OF, counts, np.bincount(np.minimum(n, COUNTS + 1), minlength=COUNTS + 2)[1 : COUNTS + 1])
+            wanted = rare[np.unique(w[w >= lex.size]) - lex.size]
+            yield _flat(bucket, WANTED, wanted, np.zeros(len(wanted)))
 
-def _model_rows(model: Model, buckets: int) -> DataFrame:
-    """The model's tables as rows for the buckets' tasks."""
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, blobs = None, []
+        for bucket, _, rows in _runs(batches):
+            if bucket != held and blobs:
+                yield from counted(held, blobs)
+                blobs = []
+            held = bucket
+            blobs += [_parts(b.as_py()) for b in rows.column(4)]
+        if blobs:
+            yield from counted(held, blobs)
 
-    def dealt(kind: int, keys: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
-        order = np.argsort(keys)
-        keys = keys[order]
-        return _row_batch([(k, kind, 0, _joined(keys[part].tobytes(), *(v[order[part]].tobytes() for v in values))) for k, part in _slices(keys, buckets)])
+    return _dealt(docs.mapInArrow(emit, ROWS), lex).mapInArrow(merge, ROWS)
+
+
+# ---- a bucket's part of the model
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in sorted ``keys``, and whether they are right."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def _added(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, starts) if len(values) else values[:0]
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c = batch.column(1).cast(pa.float64()).fill_null(-1).to_numpy(zero_copy_only=False)
-            yield dealt(WORD_MODEL, batch.column(0).to_numpy().view(np.uint64), c, *(batch.column(k).to_numpy() for k in (2, 3)))
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _weights(used: np.ndarray, lower: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of the backoff weights, and the factors of the seen followers; from the sums of their discounted shares and of their lower probabilities."""
+    shrink = np.where(1 - used < LEAST_LEFT, count / (count + 1.0), 1.0)
+    return np.log10((1 - used * shrink) / np.maximum(1 - lower, LEAST_LEFT)), shrink
+
+
+class Part:
+    """Trigrams, contexts, bigrams and middle words of a bucket, with what each adds to a token's log10 probability.
+
+    What trigrams and bigrams add is over the word's own, which is added where the word is the middle one.
+    """
+
+    def __init__(self, lex: Lexicon, words: Words, d2: list[float], d3: list[float], rows: dict[int, list[pa.RecordBatch]]):
+        column = lambda kind, k: np.concatenate([r.column(k).to_numpy(zero_copy_only=False) for r in rows.get(kind, ())] or [np.zeros(0, np.int64)])
+        self.lex, self.words = lex, words
+        blobs = [_parts(b.as_py()) for r in rows.get(GRAMS, ()) for b in r.column(4)]
+        none = np.zeros(0, np.int64)
+        own, v, u, w, c = merged(blobs, lex.size) if blobs else (none.view(np.uint64), *[none] * 4)
+        told, told_c = column(RARE, 2).view(np.uint64), column(RARE, 3)
+        self.rare = rare = np.unique(np.concatenate([own, *([told, column(CONTEXT, 2).view(np.uint64)] if rows.get(FOLLOW) else [])]))
+        beyond = lex.codes(rare, none.view(np.uint64)) == MISSING
+        self.rare = rare = rare[beyond]
+        v, u, w = (_in_bucket(x, lex.size, own, rare) for x in (v, u, w))
+        rare_c = np.zeros(len(rare), np.int64)
+        at, right = _find(rare, told)
+        rare_c[at[right]] = told_c[right]
+        counts = np.concatenate([lex.counts, rare_c])
+        pair = v << 32 | w
+        if rows.get(FOLLOW):
+            # A hot word's bucket: sums over all its buckets are given.
+            hot = int(v[0]) if len(v) else int(next(k for k in np.flatnonzero(lex.splits) if lex.first[k] <= rows["bucket"] < lex.first[k] + lex.splits[k]))
+            follower = lex.codes(column(FOLLOW, 2).view(np.uint64), rare)
+            order = np.argsort(follower)
+            self.pairs, n2 = hot << 32 | follower[order], column(FOLLOW, 3)[order]
+            self.middles, self.middle_c = np.array([hot]), lex.counts[[hot]]
+            self.middle_alpha, shrink = lex.log_alpha[[hot]], lex.shrink[[hot]]
+            of = np.zeros(len(n2), np.int64)
+            g = discounted(n2, d2) / self.middle_c[of]
+        else:
+            self.pairs, back = np.unique(pair, return_inverse=True)
+            n2 = np.bincount(back, c, len(self.pairs)).astype(np.int64)
+            starts = np.flatnonzero(_changes(self.pairs >> 32))
+            self.middles, self.middle_c = (self.pairs >> 32)[starts], _added(n2, starts)
+            of = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(n2)))
+            g = discounted(n2, d2) / self.middle_c[of]
+        p1 = words.p(counts[self.pairs & 0xFFFFFFFF])
+        if not rows.get(FOLLOW):
+            self.middle_alpha, shrink = _weights(_added(g, starts), _added(p1, starts), self.middle_c)
+        self.p2 = p2 = g * shrink[of]
+        self.pair_adds = np.log10(p2) - np.log10(p1)
+        at = _find(self.pairs, pair)[0]
+        starts = np.flatnonzero(_changes(v, u))
+        self.contexts = v[starts] << 32 | u[starts]
+        self.shares = _added(c, starts), _added(discounted(c, d3), starts), _added(p2[at], starts)
+        if rows.get(CONTEXT):
+            code = lex.codes(column(CONTEXT, 2).view(np.uint64), rare)
+            order = np.argsort(code)
+            self.contexts, context_c = hot << 32 | code[order], column(CONTEXT, 3)[order]
+            sums = np.frombuffer(b"".join(b.as_py() for r in rows[CONTEXT] for b in r.column(4)), "<f8").reshape(-1, 2)[order]
+            used, lower = sums[:, 0], sums[:, 1]
+        else:
+            context_c, used, lower = self.shares
+        self.context_adds, shrink = _weights(used / context_c, lower, context_c)
+        of = _find(self.contexts, v << 32 | u)[0]
+        self.trigrams = of << 32 | w
+        self.trigram_adds = np.log10(discounted(c, d3) / context_c[of] * shrink[of]) - np.log10(p1[at]) if len(v) else np.zeros(0)
+
+    def adds(self, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each trigram: what it adds to the score, and the count of its middle word (-1 for a start)."""
+        pick = lambda values, at, found, rest=0.0: np.where(found, values[at], rest) if len(values) else np.full(len(found), rest)
+        middle, known = _find(self.middles, v)
+        pair, has_pair = _find(self.pairs, v << 32 | w)
+        context, has_context = _find(self.contexts, v << 32 | u)
+        trigram, has_trigram = _find(self.trigrams, context << 32 | w)
+        has_trigram &= has_context
+        backed = pick(self.context_adds, context, has_context) + np.where(has_pair, pick(self.pair_adds, pair, has_pair), pick(self.middle_alpha, middle, known))
+        score = np.where(has_trigram, pick(self.trigram_adds, trigram, has_trigram), backed)
+        count = np.where(v < self.lex.size, self.lex.counts[np.minimum(v, self.lex.size - 1)], pick(self.middle_c, middle, known, 0))
+        start = v == START_CODE
+        return score + np.where(start, 0.0, np.log10(self.words.p(count))), np.where(start, -1, count)
+
+
+# ---- training
+
+
+@dataclass(frozen=True)
+class Model:
+    """``tables``: the rows of all buckets (trigram counts, and what a bucket needs from elsewhere)."""
+
+    words: Words
+    d2: list[float]
+    d3: list[float]
+    lexicon: Lexicon
+    tables: DataFrame
+
+
+def train(docs: DataFrame) -> Model:
+    """Fit on the rows of ``docs`` (doc_id, text, held) that aren't held."""
+    spark = docs.sparkSession
+    counts = materialize(word_counts(docs), "lm-words")
+    summary = word_model(counts)
+    lex = lexicon(counts, summary)
+    found = materialize(trigram_counts(docs, lex), "lm-trigrams")
+    release_shuffles(spark)
+    told = found.filter(F.col("kind") >= BIGRAMS_OF).groupBy("kind", "h").agg(F.sum("c").alias("n")).collect()  # 2 * COUNTS rows
+    of = {k: {r.h: r.n for r in told if r.kind == k} for k in (BIGRAMS_OF, TRIGRAMS_OF)}
+    d3 = discounts(of[TRIGRAMS_OF])
+    rare = found.filter(F.col("kind") == WANTED).select("bucket", "h").join(counts, "h")
+    row = lambda rows, kind: rows.select("bucket", F.lit(kind).alias("kind"), "h", "c", *(["blob"] if "blob" in rows.columns else [F.lit(None).cast("binary").alias("blob")]))
+    tables = found.filter(F.col("kind") == GRAMS).unionByName(row(rare, RARE))
+    if not lex.splits.any():
+        d2 = discounts(of[BIGRAMS_OF])
+        return Model(summary, d2, d3, lex, materialize(tables, "lm-model"))
+    # Hot words: followers and contexts summed over all buckets of a word, and given to each.
+    own = materialize(spark.createDataFrame(lex.hot(), "bucket int, word int"), "lm-hot-buckets")
+    follow = materialize(found.filter(F.col("kind") == FOLLOW).select("bucket", "h", "c").join(own, "bucket").groupBy("word", "h").agg(F.sum("c").alias("c")), "lm-followers")
+    for r, (n, _) in _counts_of(follow).items():
+        if r <= COUNTS:
+            of[BIGRAMS_OF][r] = of[BIGRAMS_OF].get(r, 0) + n
+    d2 = discounts(of[BIGRAMS_OF])
+    lex = _hot_weights(lex, follow.join(counts.withColumnRenamed("c", "n"), "h"), summary, d2)
+    # A hot word's followers and their counts go to all its buckets.
+    given = follow.join(own, "word")
+    followers = row(given, FOLLOW).unionByName(row(given.drop("c").join(counts, "h"), RARE))
+    hot = materialize(found.filter((F.col("kind") == GRAMS) & (F.col("bucket") >= lex.cold)).unionByName(followers), "lm-hot")
+    sums = _context_sums(hot, lex, summary, d2, d3).join(own, "bucket").groupBy("word", "h").agg(F.sum("c").alias("c"), F.sum("used").alias("used"), F.sum("lower").alias("lower"))
+    packed = sums.join(own, "word").select("bucket", "h", "c", "used", "lower").mapInArrow(_packed_contexts, ROWS)
+    tables = tables.filter(F.col("bucket") < lex.cold).unionByName(hot).unionByName(packed)
+    return Model(summary, d2, d3, lex, materialize(tables, "lm-model"))
+
+
+def _packed_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sums = np.stack([batch.column(k).to_numpy() for k in (3, 4)], 1).astype("<f8")
+        blobs = pa.array([x.tobytes() for x in sums], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(batch.num_rows, CONTEXT, np.int32)), batch.column(1), batch.column(2), blobs], _NAMES)
+
+
+def _hot_weights(lex: Lexicon, followers: DataFrame, words: Words, d2: list[float]) -> Lexicon:
+    """The lexicon with the backoff weights of hot words; ``followers`` has word, h, c and the follower's own count n."""
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c, n = (batch.column(k).to_numpy() for k in (1, 2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(discounted(c, d2).astype(np.float64)), pa.array(words.p(n))], ["word", "used", "lower"])
+
+    sums = followers.select("word", "c", "n").mapInArrow(shares, "word int, used double, lower double").groupBy("word").agg(F.sum("used").alias("used"), F.sum("lower").alias("lower")).collect()  # hot words: part of the lexicon
+    log_alpha, shrink = lex.log_alpha.copy(), lex.shrink.copy()
+    for r in sums:
+        a, s = _weights(np.array([r.used / lex.counts[r.word]]), np.array([r.lower]), lex.counts[[r.word]])
+        log_alpha[r.word], shrink[r.word] = a[0], s[0]
+    return replace(lex, log_alpha=log_alpha, shrink=shrink)
+
+
+def _context_sums(hot: DataFrame, lex: Lexicon, words: Words, d2: list[float], d3: list[float]) -> DataFrame:
+    """``bucket``, ``h`` (a context's first word), and sums over its trigrams in that bucket: ``c``, ``used`` (discounted), ``lower`` (bigram probabilities)."""
+    shared = hot.sparkSession.sparkContext.broadcast(lex)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, part, _ in _loaded(batches, shared.value, words, d2, d3):
+            hashes = np.concatenate([shared.value.hashes, part.rare])[part.contexts & 0xFFFFFFFF]
+            c, used, lower = part.shares
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), bucket, np.int32)), pa.array(hashes.view(np.int64)), pa.array(c), pa.array(used.astype(np.float64)), pa.array(lower)], ["bucket", "h", "c", "used", "lower"])
+
+    return _dealt(hot, lex).mapInArrow(sums, "bucket int, h bigint, c bigint, used double, lower double")
+
+
+def _loaded(batches: Iterator[pa.RecordBatch], lex: Lexicon, words: Words, d2: list[float], d3: list[float]) -> Iterator[tuple[int, Part, tuple[int, pa.RecordBatch] | None]]:
+    """Each bucket's part with each of the rows that go past it; a bucket without such rows comes once, with none."""
+    held, rows, part = None, {}, None
+    for bucket, kind, found in _runs(batches):
+        if bucket != held:
+            if held is not None and part is None:
+                yield held, Part(lex, words, d2, d3, rows), None
+            held, rows, part = bucket, {"bucket": bucket}, None
+        if kind <= GRAMS:
+            rows.setdefault(kind, []).append(found)
+            continue
+        part = part or Part(lex, words, d2, d3, rows)
+        rows = {}
+        for k in range(found.num_rows):
+            yield bucket, part, (kind, found.slice(k, 1))
+    if held is not None and part is None:
+        yield held, Part(lex, words, d2, d3, rows), None
+
+
+def ngrams(model: Model) -> DataFrame:
+    """``h1``, ``h2``, ``h3``, ``c``: the trigram counts as plain rows (hashes; ``START`` before the first word)."""
+    shared = model.tables.sparkSession.sparkContext.broadcast(model.lexicon)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = pair_keys(*(batch.column(k).to_numpy().view(np.uint64) for k in (0, 1)))
-            yield dealt(PAIR_MODEL, keys, batch.column(2).to_numpy())
+            for blob in batch.column(0):
+                parts = _parts(blob.as_py())
+                rare, v, u, w = unpack(parts)
+                hashes = np.concatenate([shared.value.hashes, rare]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[x]) for x in (u, v, w)] + [pa.array(unplanes(parts[4], "<u4").astype(np.int64))], ["h1", "h2", "h3", "c"])
+
+    return model.tables.filter(F.col("kind") == GRAMS).select("blob").mapInArrow(rows, "h1 bigint, h2 bigint, h3 bigint, c bigint")
 
-    return model.words.select("h", "c", "log_p", "log_alpha").mapInArrow(words, _ROWS).unionByName(model.pairs.select("h1", "h2", "gain").mapInArrow(pairs, _ROWS))
+
+# ---- scoring
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -363,92 +695,76 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     ``base`` is the sum of log10(c + 1).
     """
-    buckets, unknown = max(1, -(-model.summary.total // SCORE_TOKENS)), math.log10(model.summary.unknown)
+    lex, words, d2, d3 = model.lexicon, model.words, model.d2, model.d3
+    shared = docs.sparkSession.sparkContext.broadcast(lex)
+    ends = int(lex.counts[END_CODE])
+    end_score, end_base = float(np.log10(words.p(np.array([ends])))[0]), math.log10(ends + 1)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = shared.value
         task = TaskContext.get().partitionId()
         for number, lot in enumerate(_batched(batches, False)):
             name = task << 24 | number
-            of = lot.of
-            ids = pa.array(lot.ids, pa.int64())
-            head = pa.record_batch([ids, pa.array(lot.held, pa.bool_()), pa.array(lot.lengths)], ["doc_id", "held", "n"])
+            head = pa.record_batch([pa.array(lot.ids, pa.int64()), pa.array(lot.held, pa.bool_()), pa.array(lot.lengths)], ["doc_id", "held", "n"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, head.schema) as out:
                 out.write_batch(head)
-            n = len(lot.ids)
-            starts = np.full(n, START)
-            size = n.to_bytes(4, "little")
-            yield _row_batch([(number % buckets, HEAD, name, sink.getvalue().to_pybytes())])
-            for k, blob in _occurrences(np.concatenate([lot.words, starts]), np.concatenate([of, np.arange(n)]), buckets):
-                yield _row_batch([(k, WORDS, name, size + blob)])
-            for k, blob in _occurrences(pair_keys(lot.before, lot.words), of, buckets):
-                yield _row_batch([(k, PAIRS, name, size + blob)])
+            yield _blobs(name % lex.buckets, HEAD, name, sink.getvalue().to_pybytes())
+            g, of = grams(lot, lex), lot.of
+            of = of[g.places]
+            for bucket, own, their in g.slices():
+                starts = np.zeros(their.stop - their.start, bool)
+                starts[np.cumsum(g.runs[own]) - g.runs[own]] = True
+                yield _blobs(bucket, TEXTS, name, _joined(*pack(g.v[own], g.u[own], g.w[own], g.rare, lex.size), planes(g.runs[own].astype("<u4")), planes(_steps(of[their], starts))))
+
+    def sums(part: Part, blob: bytes) -> bytes:
+        """Documents in order, and what the bucket adds to each."""
+        parts = _parts(blob)
+        rare, *codes = unpack(parts)
+        runs = unplanes(parts[4], "<u4").astype(np.int64)
+        starts = np.zeros(int(runs.sum()), bool)
+        starts[np.cumsum(runs) - runs] = True
+        score, count = part.adds(*(_in_bucket(x, part.lex.size, rare, part.rare) for x in codes))
+        of, place = np.unique(_sums(unplanes(parts[5], "<u4"), starts), return_inverse=True)
+        add = lambda x: np.bincount(place, np.repeat(x, runs), len(of))
+        fixed = lambda x: planes(np.rint(x / UNIT).astype("<i8"))
+        return _joined(planes(np.diff(of, prepend=0).astype("<u4")), fixed(add(score)), fixed(add(np.log10(np.maximum(count, 0) + 1.0))), planes(add(count > 0).astype("<u4")))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, loaded, waiting = None, {}, {WORD_MODEL: [], PAIR_MODEL: []}
-
-        def arrays(kind: int, columns: int) -> list[np.ndarray]:
-            if waiting[kind] is not None:
-                parts = [np.concatenate(x) for x in zip(*waiting[kind], strict=True)] if waiting[kind] else [np.zeros(0, np.uint64), *(np.zeros(0) for _ in range(columns - 1))]
-                order = np.argsort(parts[0])
-                loaded[kind], waiting[kind] = [p[order] for p in parts], None
-            return loaded[kind]
-
-        for batch in batches:
-            for bucket, kind, name, blob in _rows(batch):
-                if bucket != held:
-                    held, loaded, waiting = bucket, {}, {WORD_MODEL: [], PAIR_MODEL: []}
-                if kind in (WORD_MODEL, PAIR_MODEL):
-                    keys, *values = _parts(blob)
-                    waiting[kind].append([np.frombuffer(keys, "<u8"), *(np.frombuffer(v, "<f8") for v in values)])
-                    continue
-                if kind == HEAD:
-                    yield _row_batch([(bucket, HEAD, name, blob)])
-                    continue
-                n = int.from_bytes(blob[:4], "little")
-                keys, runs, of = _unpacked(blob[4:])
-                table, *values = arrays(WORD_MODEL, 4) if kind == WORDS else arrays(PAIR_MODEL, 2)
-                at = np.minimum(np.searchsorted(table, keys), max(0, len(table) - 1))
-                found = table[at] == keys if len(table) else np.zeros(len(keys), bool)
-                added = lambda x, runs=runs, of=of, n=n: np.bincount(of, np.repeat(x, runs), n)
-                pick = lambda v, rest, at=at, found=found: np.where(found, v[at], rest) if len(v) else np.full(len(found), rest)
-                if kind == WORDS:
-                    c, log_p, log_alpha = pick(values[0], 0.0), pick(values[1], unknown), pick(values[2], 0.0)
-                    # The start is no token, but a context.
-                    token = keys != START
-                    log_p, c = np.where(token, log_p, 0.0), np.where(token, c, 0.0)
-                    context = np.where(keys != END, log_alpha, 0.0)
-                    vectors = [added(log_p + context), added(np.log10(c + 1)), added((c > 0).astype(float))]
-                else:
-                    vectors = [added(pick(values[0], 0.0))]
-                yield _row_batch([(bucket, kind, name, _joined(*(planes(v) for v in vectors)))])
+        for bucket, part, row in _loaded(batches, shared.value, words, d2, d3):
+            if row is not None:
+                kind, found = row
+                name, blob = found.column(2)[0].as_py(), found.column(4)[0].as_py()
+                yield _blobs(bucket, kind, name, blob if kind == HEAD else sums(part, blob))
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, head, sums = None, None, []
+        held, head, added = None, None, []
 
         def finished() -> pa.RecordBatch:
-            with pa.ipc.open_stream(head) as stream:
-                own = stream.read_next_batch()
-            return pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), pa.array(np.rint(sums[2]).astype(np.int64)), pa.array(sums[1]), pa.array(sums[0])], ["doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
+            known = added[2] + (ends > 0)
+            return pa.RecordBatch.from_arrays([head.column(0), head.column(1), head.column(2), pa.array(known), pa.array(added[1] * UNIT + end_base), pa.array(added[0] * UNIT + end_score)], ["doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
 
         for batch in batches:
-            for _, kind, name, blob in _rows(batch):
+            for kind, name, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(4), strict=True):
                 if name != held:
                     if head is not None:
                         yield finished()
-                    held, head, sums = name, None, [0.0, 0.0, 0.0]
+                    held, head = name, None
                 if kind == HEAD:
-                    head = blob
+                    with pa.ipc.open_stream(blob.as_py()) as stream:
+                        head = stream.read_next_batch()
+                    added = [np.zeros(head.num_rows, np.int64) for _ in range(3)]
                 else:
-                    for k, part in enumerate(_parts(blob)):
-                        sums[k] = sums[k] + unplanes(part, "<f8")
+                    of, *values = _parts(blob.as_py())
+                    of = np.cumsum(unplanes(of, "<u4"), dtype=np.int64)
+                    for k, (x, form) in enumerate(zip(values, ("<i8", "<i8", "<u4"), strict=True)):
+                        added[k][of] += unplanes(x, form).astype(np.int64)
         if head is not None:
             yield finished()
 
-    rows = docs.mapInArrow(emit, _ROWS).unionByName(_model_rows(model, buckets))
-    dealt = rows.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind")
-    sums = dealt.mapInArrow(look_up, _ROWS).repartition("batch").sortWithinPartitions("batch", "bucket", "kind")
-    return sums.mapInArrow(total, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double")
+    rows = docs.mapInArrow(emit, ROWS).unionByName(model.tables)
+    sums_back = _dealt(rows, lex).mapInArrow(look_up, ROWS).repartition("h").sortWithinPartitions("h", "kind")
+    return sums_back.mapInArrow(total, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double")
 
 
 def prepared(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -46,7 +46,7 @@ def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     prepared = ngram_lm.prepared(docs, language_id.remainder("doc_id", HELD_OUT[0]) == HELD_OUT[1])
     model = ngram_lm.train(prepared)
-    n, v = model.summary.total, model.summary.types
+    n, v = model.words.total, model.words.types
     scored = ngram_lm.score(prepared, model)
     base = F.col("base") - F.col("n_tokens") * math.log10(n + v + 1)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score")

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from plotweave.llm import components, golay, media, mixing, ngram_lm, simhash, warc
+from plotweave.llm import components, golay, media, mixing, ngram_lm, queries, simhash, warc
 from tests.conftest import DATA
 
 WORDS64 = st.integers(0, 2**64 - 1)
@@ -331,59 +331,127 @@ def test_missing_chunk_raises():
 # ---- language model
 
 
+def brute_discounts(counts, k=5):
+    """Good-Turing's by count, from its formulas; smoothed counts of counts where the raw ones don't do."""
+    n = Counter(counts)
+
+    def ratio(f):
+        a = (k + 1) * f(k + 1) / f(1)
+        return {r: ((r + 1) * f(r + 1) / (r * f(r)) - a) / (1 - a) for r in range(1, k + 1)} if a != 1 else {0: -1}
+
+    proper = lambda d: min(d.values()) > 0 and max(d.values()) <= 1
+    if all(n[r] for r in range(1, k + 2)):
+        d = ratio(lambda r: n[r])
+        if n[k + 1] * (k + 1) < n[1] and proper(d):
+            return d
+    seen = [r for r in sorted(n) if r <= 64]
+    if len(seen) > 1:
+        z = []
+        for i, r in enumerate(seen):
+            q = seen[i - 1] if i else 0
+            t = seen[i + 1] if i + 1 < len(seen) else 2 * r - q
+            z.append((math.log(r), math.log(2 * n[r] / (t - q))))
+        mx, my = (sum(x[i] for x in z) / len(z) for i in (0, 1))
+        slope = sum((x - mx) * (y - my) for x, y in z) / sum((x - mx) ** 2 for x, _ in z)
+        d = ratio(lambda r: r**slope)
+        if slope < -1 and proper(d):
+            return d
+    less = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+    return {r: (r - less) / r for r in range(1, k + 1)}
+
+
 def brute_katz(rows):
-    """(doc_id, text, held) -> n_tokens, n_known, log10 probability; and the model, for the sums."""
+    """(doc_id, text, held) -> held, n_tokens, n_known, log10 probability by document, by recursion over dictionaries; sums of probabilities are checked."""
     tok = lambda t: [*(t or "").encode().lower().split(), None]
-    words, pairs, contexts = Counter(), Counter(), Counter()
+    grams = [Counter(), Counter(), Counter()]
     for _, t, held in rows:
-        if not held:
-            w = tok(t)
-            words.update(w)
-            pairs.update(zip(["", *w[:-1]], w, strict=True))
-            contexts.update(["", *w[:-1]])
-    n = sum(words.values())
-    d1, d2 = (ngram_lm.discounts(Counter(c.values())) for c in (words, pairs))
-    times = lambda d, c: (d[c] if c < len(d) else 1) * c
-    freed = sum(c - times(d1, c) for c in words.values())
-    p1 = {w: times(d1, c) / n for w, c in words.items()}
-    unknown = freed / n if n else 1.0
+        w = [] if held else tok(t)
+        for k in range(len(w)):
+            run = ["", "", *w[: k + 1]]
+            for order in range(3):
+                grams[order][tuple(run[len(run) - order - 1 :])] += 1
+    n = sum(grams[0].values())
+    cut = []
+    for g in grams:
+        d = brute_discounts(g.values())
+        cut.append({k: d.get(c, 1) * c for k, c in g.items()})
+    unknown = 1 - sum(cut[0].values()) / n if n else 1.0
+    p1 = {k[0]: x / n for k, x in cut[0].items()}
     if n and unknown < 1e-12:
-        p1, unknown = {w: c / (n + 1) for w, c in words.items()}, 1 / (n + 1)
-    g = {k: times(d2, c) / contexts[k[0]] for k, c in pairs.items() if c >= 2}
-    used, by_p = Counter(), Counter()
-    for (v, w), x in g.items():
-        used[v] += x
-        by_p[v] += p1[w]
-    shrink = {v: contexts[v] / (contexts[v] + 1) if 1 - used[v] < 1e-12 else 1 for v in used}
-    alpha = {v: (1 - used[v] * shrink[v]) / (1 - by_p[v]) for v in used}
-    p = lambda v, w: g[v, w] * shrink[v] if (v, w) in g else alpha.get(v, 1) * p1.get(w, unknown)
-    for v in [*contexts, "never"]:
-        assert math.isclose(sum(p(v, w) for w in [*words, b"unseen word"]), 1)
-    return {i: (held, len(w := tok(t)), sum(x in words for x in w), sum(math.log10(p(v, x)) for v, x in zip(["", *w[:-1]], w, strict=True))) for i, t, held in rows}
-
-
-@pytest.mark.parametrize("lot, bucket", [(ngram_lm.BATCH_TOKENS, ngram_lm.COUNT_TOKENS), (50, 100)])
-def test_katz(spark, monkeypatch, lot, bucket):
+        p1, unknown = {k[0]: c / (n + 1) for k, c in grams[0].items()}, 1 / (n + 1)
+    seen = [{}, {}]
+    for order in (1, 2):
+        for k in grams[order]:
+            seen[order - 1].setdefault(k[:-1], []).append(k[-1])
+    shares, alphas = [{}, {}], [{}, {}]
+
+    def p(context, w):
+        if not context:
+            return p1.get(w, unknown)
+        own = shares[len(context) - 1].get((*context, w))
+        return own if own is not None else alphas[len(context) - 1].get(context, 1.0) * p(context[1:], w)
+
+    for order in (1, 2):
+        for context, followers in seen[order - 1].items():
+            total = sum(grams[order][(*context, w)] for w in followers)
+            used = sum(cut[order][(*context, w)] for w in followers)
+            total += total - used < 1e-12 * total
+            for w in followers:
+                shares[order - 1][(*context, w)] = cut[order][(*context, w)] / total
+            alphas[order - 1][context] = (1 - used / total) / (1 - sum(p(context[1:], w) for w in followers))
+    vocabulary = [*p1, b"unseen word"]
+    for context in [*list(seen[1])[:40], *list(seen[0])[:40], ("never", "seen")]:
+        assert math.isclose(sum(p(context, w) for w in vocabulary), 1, rel_tol=1e-9)
+    out = {}
+    for i, t, held in rows:
+        w = ["", "", *tok(t)]
+        out[i] = held, len(w) - 2, sum(x in p1 for x in w[2:]), sum(math.log10(p((w[k - 2], w[k - 1]), w[k])) for k in range(2, len(w)))
+    return out, {(k[0]): c for k, c in grams[0].items()}, n
+
+
+def small_buckets(monkeypatch, lot, bucket, words):
     monkeypatch.setattr(ngram_lm, "BATCH_TOKENS", lot)
-    monkeypatch.setattr(ngram_lm, "COUNT_TOKENS", bucket)
-    monkeypatch.setattr(ngram_lm, "SCORE_TOKENS", bucket)
+    monkeypatch.setattr(ngram_lm, "BUCKET_TOKENS", bucket)
+    monkeypatch.setattr(ngram_lm, "LEXICON", words)
+
+
+@pytest.mark.parametrize("lot, bucket, words", [(ngram_lm.BATCH_TOKENS, ngram_lm.BUCKET_TOKENS, ngram_lm.LEXICON), (50, 100, 20), (300, 40, 8), (50, 1 << 20, 0)])
+def test_katz(spark, monkeypatch, lot, bucket, words):
+    """Against brute force: with all words in the lexicon or few, and with hot words over many buckets."""
+    small_buckets(monkeypatch, lot, bucket, words)
     rng = np.random.default_rng(9)
     rows = [(i, " ".join(f"W{min(int(x), 60)}" for x in rng.zipf(1.4, int(rng.integers(0, 30)))), i % 7 == 2) for i in range(120)]
-    rows += [(120, None, False), (121, "", True), (122, "never seen words", True)]
+    rows += [(120, None, False), (121, "", True), (122, "never seen words", True), (123, "w1 w1 never w1 w60 w59 w58", True)]
     docs = ngram_lm.prepared(spark.createDataFrame(rows, "doc_id bigint, text string, held boolean"), F.col("held"))
-    got = {r.doc_id: r for r in ngram_lm.score(docs, ngram_lm.train(docs)).collect()}
-    want = brute_katz(rows)
+    model = ngram_lm.train(docs)
+    assert (bucket > 40) or (model.lexicon.splits > 1).any()
+    got = {r.doc_id: r for r in ngram_lm.score(docs, model).collect()}
+    want = brute_katz(rows)[0]
     assert set(got) == set(want)
     for i, (held, n, known, score) in want.items():
         assert (got[i].held_out, got[i].n_tokens, got[i].n_known) == (held, n, known) and math.isclose(got[i].score, score, rel_tol=1e-9)
 
 
+def test_query_of_katz(spark):
+    """The query's rows on the smallest tables; Good-Turing is what discounts there."""
+    rows = [(r.doc_id, r.text, zlib.crc32(str(r.doc_id).encode()) % 7 == 2) for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").collect()]
+    want, counts, n = brute_katz(rows)
+    texts = {i: t for i, t, _ in rows}
+    got = queries.op2_katz(spark, f"{DATA}/sf0.001").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        held, n_tokens, known, score = want[r.doc_id]
+        base = sum(math.log10((counts[x] + 1 if x in counts else 1) / (n + len(counts) + 1)) for x in [*(texts[r.doc_id] or "").encode().lower().split(), None])
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n_tokens, known, n)
+        assert math.isclose(r.score, score, rel_tol=1e-9) and math.isclose(r.base_score, base, rel_tol=1e-9)
+
+
 @pytest.mark.parametrize("rows", [[], [(1, "a b", True)], [(1, "a a", False), (2, "a a", False)], [(1, None, False)]])
 def test_katz_of_little(spark, rows):
     docs = ngram_lm.prepared(spark.createDataFrame(rows, "doc_id bigint, text string, held boolean"), F.col("held"))
     got = {r.doc_id: r for r in ngram_lm.score(docs, ngram_lm.train(docs)).collect()}
-    for i, (_, n, known, score) in brute_katz(rows).items() if rows else []:
-        assert (got[i].n_tokens, got[i].n_known) == (n, known) and math.isclose(got[i].score, score, rel_tol=1e-9, abs_tol=1e-12)
+    for i, (_, n, known, score) in brute_katz(rows)[0].items() if rows else []:
+        assert (got[i].n_tokens, got[i].n_known) == (n, known) and math.isclose(got[i].score, score, rel_tol=1e-9, abs_tol=1e-9)
     assert len(got) == len(rows)
 
 
@@ -395,6 +463,22 @@ def test_discounts():
     # What Good-Turing takes from counts up to k is the share of singletons.
     assert math.isclose(sum((1 - good[r]) * r * n[r] for r in range(1, 6)), n[1])
     assert ngram_lm.discounts({3: 5})[1:] == [0.5, 0.75, 2.5 / 3, 3.5 / 4, 0.9]
+    # Counts that copies make irregular are smoothed, not given up.
+    odd = {1: 1000, 2: 300, 3: 280, 4: 90, 5: 130, 6: 40, 7: 60, 9: 20}
+    smooth = ngram_lm.discounts(odd)
+    brute = brute_discounts([r for r, k in odd.items() for _ in range(k)])
+    assert all(math.isclose(smooth[r], brute[r]) for r in range(1, 6)) and smooth[1:] == sorted(smooth[1:]) and smooth[1] < 0.6
+
+
+@given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9), st.integers(0, 9)), min_size=1, max_size=50), st.integers(0, 9))
+@settings(max_examples=200, deadline=None)
+def test_packed_trigrams(rows, known):
+    v, u, w = (np.array(x) for x in zip(*sorted(set(rows)), strict=True))
+    rare = np.arange(10 - known, dtype=np.uint64) * np.uint64(2**60) + np.uint64(7)
+    hashes = np.concatenate([np.arange(known, dtype=np.uint64), rare])
+    own, *codes = ngram_lm.unpack(ngram_lm.pack(v, u, w, rare, known))
+    back = np.concatenate([np.arange(known, dtype=np.uint64), own])
+    assert all((back[c] == hashes[x]).all() for c, x in zip(codes, (v, u, w), strict=True)) and set(own) <= set(rare)
 
 
 def test_data_folder_is_there():

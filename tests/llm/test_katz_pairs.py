@@ -1,19 +1,20 @@
-"""Pairs seen once are part of the language model."""
+"""Trigrams seen once are part of the language model."""
 
 import math
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from plotweave.llm import ngram_lm
 
 
-def test_pairs_seen_once_are_stored(spark):
+def test_trigrams_seen_once_are_stored(spark):
     rows = [(1, "a b c a b", False), (2, "a d", False), (3, "a d", True)]
     docs = ngram_lm.prepared(spark.createDataFrame(rows, "doc_id bigint, text string, held boolean"), F.col("held"))
     model = ngram_lm.train(docs)
-    # start-a and a-b twice; b-c, c-a, b-end, a-d and d-end once.
-    assert sorted(r.c for r in model.pairs.collect()) == [1, 1, 1, 1, 1, 2, 2]
-    d = ngram_lm.discounts({1: 5, 2: 2})
+    # Start-start-a twice; start-a-b, a-b-c, b-c-a, c-a-b, a-b-end, start-a-d and a-d-end once.
+    assert Counter(r.c for r in ngram_lm.ngrams(model).collect()) == {1: 7, 2: 1}
+    d = ngram_lm.discounts({1: 7, 2: 1})
     score = {r.doc_id: r.score for r in ngram_lm.score(docs, model).collect()}
-    # Start-a had all of its context's two tokens, a-d one of three, d-end the only one.
-    assert math.isclose(score[3], math.log10(d[2]) + math.log10(d[1] / 3) + math.log10(d[1]), rel_tol=1e-9)
+    # Start-start had a in both of its tokens, start-a d in one of two, a-d an end in its only one.
+    assert math.isclose(score[3], math.log10(d[2]) + math.log10(d[1] / 2) + math.log10(d[1]), rel_tol=1e-9)
