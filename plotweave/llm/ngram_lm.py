@@ -39,13 +39,14 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import byte_values, materialize, release_shuffles, remove
+from plotweave.llm.common import materialize, release_shuffles, remove, slices
 from plotweave.llm.mph import mixed
 
 KATZ_K = 5
@@ -54,61 +55,76 @@ COUNTS = 64
 #: Words with codes of their own.
 LEXICON = 1 << 17
 #: Tokens that a map task merges at once, and of a bucket on average.
-BATCH_TOKENS, BUCKET_TOKENS = 3 << 19, 1 << 22
+BATCH_TOKENS, BUCKET_TOKENS = 1 << 20, 1 << 21
+#: Rows that are split into words at once.
+ROWS_AT_ONCE = 256
 #: No word contains a line feed, so these are no words' hashes.
 START, END = (np.uint64(xxhash.xxh3_64_intdigest(s)) for s in (b"\nstart", b"\nend"))
 START_CODE, END_CODE = 0, 1
 END_ID = int(END.view(np.int64))
-#: The code of a word that a bucket doesn't know.
-MISSING = 2**32 - 1
+#: The code of a word that a bucket doesn't know; codes are 32-bit integers.
+MISSING = 2**31 - 1
 LEAST_LEFT = 1e-12
 #: Sums travel as integers of this part of one.
 UNIT = 2.0**-36
 
 
-def tokens(text: bytes) -> np.ndarray:
-    """Hashes of the words, then the end."""
-    digest = xxhash.xxh3_64_intdigest
-    words = text.lower().split()
-    out = np.empty(len(words) + 1, np.uint64)
-    out[:-1] = [digest(w) for w in words]
-    out[-1] = END
-    return out
-
-
 @dataclass
 class Batch:
-    """Tokens of some documents one after another."""
+    """Tokens of some documents one after another, as places in ``hashes`` (distinct words, the end last)."""
 
     ids: list
     held: list[bool]
     lengths: np.ndarray
+    hashes: np.ndarray
     words: np.ndarray
 
     @property
     def of(self) -> np.ndarray:
         """Whose each token is."""
-        return np.repeat(np.arange(len(self.ids), dtype=np.int64), self.lengths)
+        return np.repeat(np.arange(len(self.ids), dtype=np.int32), self.lengths)
+
+
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, and how many each has. Blanks are those of ASCII, only A-Z is lower-cased."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = lists.flatten()
+    some = pc.greater(pc.binary_length(words), 0)
+    upto = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+    ends = np.cumsum(pc.list_value_length(lists).to_numpy())
+    return words.filter(some), np.diff(upto[ends], prepend=0)
+
+
+def _lot(ids: list, held: list[bool], counts: list[np.ndarray], words: list[pa.Array]) -> Batch:
+    coded = pa.concat_arrays(words).dictionary_encode()
+    own = coded.dictionary.cast(pa.binary()).to_pylist()
+    hashes = np.array([*(xxhash.xxh3_64_intdigest(w) for w in own), int(END)], np.uint64)
+    lengths = np.concatenate(counts).astype(np.int64) + 1
+    places = np.full(int(lengths.sum()), len(own), np.int32)
+    inside = np.ones(len(places), bool)
+    inside[np.cumsum(lengths) - 1] = False
+    places[inside] = coded.indices.to_numpy()
+    return Batch(ids, held, lengths, hashes, places)
 
 
 def _batched(batches: Iterator[pa.RecordBatch], train_only: bool) -> Iterator[Batch]:
     """Documents (id, text, held) in lots of about ``BATCH_TOKENS`` tokens."""
-    ids, held, parts, total = [], [], [], 0
-    lot = lambda: Batch(ids, held, np.array([len(p) for p in parts], np.int64), np.concatenate(parts))
-    for batch in batches:
-        for doc_id, text, out in zip(batch.column(0).to_pylist(), byte_values(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-            if train_only and out:
-                continue
-            own = tokens(text)
-            ids.append(doc_id)
-            held.append(out)
-            parts.append(own)
-            total += len(own)
-            if total >= BATCH_TOKENS:
-                yield lot()
-                ids, held, parts, total = [], [], [], 0
-    if parts:
-        yield lot()
+    ids, held, counts, words, total = [], [], [], [], 0
+    for batch in slices(batches, ROWS_AT_ONCE):
+        rows = batch.filter(pc.invert(batch.column(2))) if train_only else batch
+        if not rows.num_rows:
+            continue
+        own, n = split(rows.column(1))
+        ids += rows.column(0).to_pylist()
+        held += rows.column(2).to_pylist()
+        counts.append(n)
+        words.append(own)
+        total += len(own) + len(n)
+        if total >= BATCH_TOKENS:
+            yield _lot(ids, held, counts, words)
+            ids, held, counts, words, total = [], [], [], [], 0
+    if ids:
+        yield _lot(ids, held, counts, words)
 
 
 # ---- packed integers
@@ -147,10 +163,10 @@ def _steps(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _sums(steps: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The inverse of ``_steps``."""
-    total = np.cumsum(steps, dtype=np.int64)
+    """The inverse of ``_steps``. Sums run over 32 bits, but differences of them are right."""
+    total = np.cumsum(steps, dtype=np.uint32)
     at = np.flatnonzero(starts)
-    return total - np.repeat(total[at] - steps[at], np.diff(at, append=len(steps)))
+    return (total - np.repeat(total[at] - steps[at], np.diff(at, append=len(steps)))).astype(np.int32)
 
 
 def _changes(*columns: np.ndarray) -> np.ndarray:
@@ -174,7 +190,7 @@ def unpack(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     """The rare hashes, and ``v``, ``u``, ``w``."""
     rare = np.cumsum(unplanes(parts[0], "<u8"))
     steps = [unplanes(p, "<u4") for p in parts[1:4]]
-    v = np.cumsum(steps[0], dtype=np.int64)
+    v = np.cumsum(steps[0], dtype=np.int32)
     by_v = _changes(v)
     u = _sums(steps[1], by_v)
     return rare, v, u, _sums(steps[2], by_v | _changes(u))
@@ -229,8 +245,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lot in _batched(batches, True):
-            h, c = np.unique(lot.words, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
+            c = np.bincount(lot.words, minlength=len(lot.hashes))
+            yield pa.RecordBatch.from_arrays([pa.array(lot.hashes.view(np.int64)), pa.array(c)], ["h", "c"])
 
     return docs.mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
 
@@ -294,7 +310,7 @@ class Lexicon:
     def dealt(self, v: np.ndarray, u: np.ndarray, w: np.ndarray, rare: np.ndarray) -> np.ndarray:
         """Buckets of trigrams."""
         hashes = np.concatenate([self.hashes, rare])
-        out = ((hashes[v] >> np.uint64(32)) * np.uint64(self.cold) >> np.uint64(32)).astype(np.int64)
+        out = ((hashes[v] >> np.uint64(32)) * np.uint64(self.cold) >> np.uint64(32)).astype(np.int32)
         hot = np.flatnonzero(self.splits[np.minimum(v, self.size - 1)] * (v < self.size))
         if len(hot):
             own = v[hot]
@@ -349,17 +365,13 @@ class Grams:
 
 
 def grams(lot: Batch, lex: Lexicon) -> Grams:
-    own, back = np.unique(lot.words, return_inverse=True)
-    code = lex.codes(own, own[:0])
-    beyond = code == MISSING
-    rare = own[beyond]
-    code[beyond] = lex.size + np.arange(len(rare))
-    w = code[back]
+    code = lex.codes(lot.hashes, lot.hashes[:0])
+    rare = np.unique(lot.hashes[code == MISSING])
+    w = lex.codes(lot.hashes, rare).astype(np.int32)[lot.words]
     starts = np.cumsum(lot.lengths) - lot.lengths
-    v = np.concatenate([[START_CODE], w[:-1]])
-    v[starts] = START_CODE
-    u = np.concatenate([[START_CODE], v[:-1]])
-    u[starts] = START_CODE
+    v, u = np.empty_like(w), np.empty_like(w)
+    v[1:], v[starts] = w[:-1], START_CODE
+    u[1:], u[starts] = v[:-1], START_CODE
     order = ranked(v, u, w)
     v, u, w = v[order], u[order], w[order]
     at = np.flatnonzero(_changes(v, u, w))
@@ -411,7 +423,7 @@ def _in_bucket(code: np.ndarray, size: int, own: np.ndarray, rare: np.ndarray) -
     if not len(own):
         return code
     at = np.minimum(np.searchsorted(rare, own), max(0, len(rare) - 1))
-    place = np.where(rare[at] == own, size + at, MISSING) if len(rare) else np.full(len(own), MISSING)
+    place = (np.where(rare[at] == own, size + at, MISSING) if len(rare) else np.full(len(own), MISSING)).astype(np.int32)
     beyond = code >= size
     out = code.copy()
     out[beyond] = place[code[beyond] - size]
@@ -423,11 +435,27 @@ def merged(blobs: list[list[bytes]], size: int) -> tuple[np.ndarray, np.ndarray,
     found = [(*unpack(b), unplanes(b[4], "<u4")) for b in blobs]
     rare = np.unique(np.concatenate([f[0] for f in found]))
     v, u, w = (np.concatenate([_in_bucket(f[k], size, f[0], rare) for f in found]) for k in (1, 2, 3))
-    c = np.concatenate([f[4] for f in found]).astype(np.int64)
+    c = np.concatenate([f[4] for f in found])
+    del found
+    if len(blobs) == 1:
+        return rare, v, u, w, c.astype(np.int64)
     order = ranked(v, u, w)
     v, u, w = v[order], u[order], w[order]
     at = np.flatnonzero(_changes(v, u, w))
-    return rare, v[at], u[at], w[at], np.add.reduceat(c[order], at)
+    return rare, v[at], u[at], w[at], np.add.reduceat(c[order], at, dtype=np.int64)
+
+
+def both(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Two codes as one key."""
+    return first.astype(np.int64) << 32 | second
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    at = np.flatnonzero(_changes(keys))
+    return keys[at], np.add.reduceat(counts[order], at) if len(at) else counts[:0]
 
 
 def trigram_counts(docs: DataFrame, lex: Lexicon) -> DataFrame:
@@ -447,8 +475,7 @@ def trigram_counts(docs: DataFrame, lex: Lexicon) -> DataFrame:
         yield _blobs(bucket, GRAMS, 0, _joined(*pack(v, u, w, rare, lex.size), planes(c.astype("<u4"))))
         counts = np.arange(1, COUNTS + 1)
         yield _flat(bucket, TRIGRAMS_OF, counts, np.bincount(np.minimum(c, COUNTS + 1), minlength=COUNTS + 2)[1 : COUNTS + 1])
-        pairs, back = np.unique(v << 32 | w, return_inverse=True)
-        n = np.bincount(back, c).astype(np.int64)
+        pairs, n = summed(both(v, w), c)
         if bucket >= lex.cold:
             hashes = np.concatenate([lex.hashes, rare])
             yield _flat(bucket, FOLLOW, hashes[pairs & 0xFFFFFFFF], n)
@@ -513,7 +540,7 @@ class Part:
         at, right = _find(rare, told)
         rare_c[at[right]] = told_c[right]
         counts = np.concatenate([lex.counts, rare_c])
-        pair = v << 32 | w
+        pair = both(v, w)
         if rows.get(FOLLOW):
             # A hot word's bucket: sums over all its buckets are given.
             hot = int(v[0]) if len(v) else int(next(k for k in np.flatnonzero(lex.splits) if lex.first[k] <= rows["bucket"] < lex.first[k] + lex.splits[k]))
@@ -525,8 +552,7 @@ class Part:
             of = np.zeros(len(n2), np.int64)
             g = discounted(n2, d2) / self.middle_c[of]
         else:
-            self.pairs, back = np.unique(pair, return_inverse=True)
-            n2 = np.bincount(back, c, len(self.pairs)).astype(np.int64)
+            self.pairs, n2 = summed(pair, c)
             starts = np.flatnonzero(_changes(self.pairs >> 32))
             self.middles, self.middle_c = (self.pairs >> 32)[starts], _added(n2, starts)
             of = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(n2)))
@@ -538,7 +564,7 @@ class Part:
         self.pair_adds = np.log10(p2) - np.log10(p1)
         at = _find(self.pairs, pair)[0]
         starts = np.flatnonzero(_changes(v, u))
-        self.contexts = v[starts] << 32 | u[starts]
+        self.contexts = both(v[starts], u[starts])
         self.shares = _added(c, starts), _added(discounted(c, d3), starts), _added(p2[at], starts)
         if rows.get(CONTEXT):
             code = lex.codes(column(CONTEXT, 2).view(np.uint64), rare)
@@ -549,17 +575,17 @@ class Part:
         else:
             context_c, used, lower = self.shares
         self.context_adds, shrink = _weights(used / context_c, lower, context_c)
-        of = _find(self.contexts, v << 32 | u)[0]
-        self.trigrams = of << 32 | w
+        of = _find(self.contexts, both(v, u))[0]
+        self.trigrams = both(of, w)
         self.trigram_adds = np.log10(discounted(c, d3) / context_c[of] * shrink[of]) - np.log10(p1[at]) if len(v) else np.zeros(0)
 
     def adds(self, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each trigram: what it adds to the score, and the count of its middle word (-1 for a start)."""
         pick = lambda values, at, found, rest=0.0: np.where(found, values[at], rest) if len(values) else np.full(len(found), rest)
         middle, known = _find(self.middles, v)
-        pair, has_pair = _find(self.pairs, v << 32 | w)
-        context, has_context = _find(self.contexts, v << 32 | u)
-        trigram, has_trigram = _find(self.trigrams, context << 32 | w)
+        pair, has_pair = _find(self.pairs, both(v, w))
+        context, has_context = _find(self.contexts, both(v, u))
+        trigram, has_trigram = _find(self.trigrams, both(context, w))
         has_trigram &= has_context
         backed = pick(self.context_adds, context, has_context) + np.where(has_pair, pick(self.pair_adds, pair, has_pair), pick(self.middle_alpha, middle, known))
         score = np.where(has_trigram, pick(self.trigram_adds, trigram, has_trigram), backed)
@@ -590,15 +616,17 @@ def train(docs: DataFrame) -> Model:
     lex = lexicon(counts, summary)
     found = materialize(trigram_counts(docs, lex), "lm-trigrams")
     release_shuffles(spark)
-    told = found.filter(F.col("kind") >= BIGRAMS_OF).groupBy("kind", "h").agg(F.sum("c").alias("n")).collect()  # 2 * COUNTS rows
-    of = {k: {r.h: r.n for r in told if r.kind == k} for k in (BIGRAMS_OF, TRIGRAMS_OF)}
+    types = found.filter(F.col("kind") >= BIGRAMS_OF).groupBy("kind", "h").agg(F.sum("c").alias("n")).collect()  # 2 * COUNTS rows
+    of = {k: {r.h: r.n for r in types if r.kind == k} for k in (BIGRAMS_OF, TRIGRAMS_OF)}
     d3 = discounts(of[TRIGRAMS_OF])
     rare = found.filter(F.col("kind") == WANTED).select("bucket", "h").join(counts, "h")
     row = lambda rows, kind: rows.select("bucket", F.lit(kind).alias("kind"), "h", "c", *(["blob"] if "blob" in rows.columns else [F.lit(None).cast("binary").alias("blob")]))
-    tables = found.filter(F.col("kind") == GRAMS).unionByName(row(rare, RARE))
+    told = materialize(row(rare, RARE), "lm-rare")
+    tables = found.filter(F.col("kind") == GRAMS).unionByName(told)
     if not lex.splits.any():
-        d2 = discounts(of[BIGRAMS_OF])
-        return Model(summary, d2, d3, lex, materialize(tables, "lm-model"))
+        remove(spark, counts)
+        release_shuffles(spark)
+        return Model(summary, discounts(of[BIGRAMS_OF]), d3, lex, tables)
     # Hot words: followers and contexts summed over all buckets of a word, and given to each.
     own = materialize(spark.createDataFrame(lex.hot(), "bucket int, word int"), "lm-hot-buckets")
     follow = materialize(found.filter(F.col("kind") == FOLLOW).select("bucket", "h", "c").join(own, "bucket").groupBy("word", "h").agg(F.sum("c").alias("c")), "lm-followers")
@@ -610,11 +638,14 @@ def train(docs: DataFrame) -> Model:
     # A hot word's followers and their counts go to all its buckets.
     given = follow.join(own, "word")
     followers = row(given, FOLLOW).unionByName(row(given.drop("c").join(counts, "h"), RARE))
-    hot = materialize(found.filter((F.col("kind") == GRAMS) & (F.col("bucket") >= lex.cold)).unionByName(followers), "lm-hot")
+    given = materialize(followers, "lm-hot")
+    hot = found.filter((F.col("kind") == GRAMS) & (F.col("bucket") >= lex.cold)).unionByName(given)
     sums = _context_sums(hot, lex, summary, d2, d3).join(own, "bucket").groupBy("word", "h").agg(F.sum("c").alias("c"), F.sum("used").alias("used"), F.sum("lower").alias("lower"))
-    packed = sums.join(own, "word").select("bucket", "h", "c", "used", "lower").mapInArrow(_packed_contexts, ROWS)
-    tables = tables.filter(F.col("bucket") < lex.cold).unionByName(hot).unionByName(packed)
-    return Model(summary, d2, d3, lex, materialize(tables, "lm-model"))
+    packed = materialize(sums.join(own, "word").select("bucket", "h", "c", "used", "lower").mapInArrow(_packed_contexts, ROWS), "lm-contexts")
+    for done in (counts, own, follow):
+        remove(spark, done)
+    release_shuffles(spark)
+    return Model(summary, d2, d3, lex, tables.unionByName(given).unionByName(packed))
 
 
 def _packed_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
