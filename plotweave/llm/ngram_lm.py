@@ -20,7 +20,7 @@ by the recursion: the trigram, else its context's weight and the bigram, else ``
 
 Words are 64-bit hashes. The ``LEXICON`` most frequent ones have short codes; they are the only thing that is broadcast,
 and this bounds it. Counting and scoring shuffle packed blobs: a map task merges the trigrams of ``BATCH_TOKENS``
-tokens first, and deals them into buckets of about ``BUCKET_TOKENS`` tokens. A word with more than a bucket's tokens is
+tokens first, and deals them into buckets of about ``BUCKET_TOKENS`` tokens. A word with more than two buckets' tokens is
 hot: it has as many buckets of its own as it fills, by ``u`` and ``w``, and the sums over its followers and contexts
 are added up across them and given to each. (Of words beyond the lexicon none can be as frequent as those in it.)
 A bucket's task holds its part of the model and streams blobs past it; sums come back to the documents of a batch.
@@ -33,7 +33,6 @@ of their own; an empty table gives an empty table. Only the columns named are re
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, replace
 
@@ -53,9 +52,9 @@ KATZ_K = 5
 #: Counts whose counts are known, for the log-linear fit.
 COUNTS = 64
 #: Words with codes of their own.
-LEXICON = 1 << 17
-#: Tokens that a map task merges at once, and of a bucket on average.
-BATCH_TOKENS, BUCKET_TOKENS = 1 << 20, 1 << 21
+LEXICON = 1 << 18
+#: Tokens that a map task merges at once, and of a bucket on average. A word with more than twice these is hot.
+BATCH_TOKENS, BUCKET_TOKENS = 1 << 20, 1 << 20
 #: Rows that are split into words at once.
 ROWS_AT_ONCE = 256
 #: No word contains a line feed, so these are no words' hashes.
@@ -66,7 +65,7 @@ END_ID = int(END.view(np.int64))
 MISSING = 2**31 - 1
 LEAST_LEFT = 1e-12
 #: Sums travel as integers of this part of one.
-UNIT = 2.0**-36
+UNIT = 2.0**-30
 
 
 @dataclass
@@ -320,13 +319,13 @@ class Lexicon:
 
 def lexicon(counts: DataFrame, summary: Words) -> Lexicon:
     # LEXICON rows at most come to the driver.
-    top = counts.filter(F.col("h") != END_ID).orderBy(F.desc("c"), "h").limit(LEXICON).collect()
+    top = counts.filter(F.col("h") != END_ID).orderBy(F.desc("c"), "h").limit(LEXICON).toArrow()
     ends = counts.filter(F.col("h") == END_ID).collect()
     docs = ends[0].c if ends else 0
-    hashes = np.array([START.view(np.int64), END.view(np.int64), *(r.h for r in top)], np.int64).view(np.uint64)
+    hashes = np.concatenate([[START, END], top.column("h").to_numpy().view(np.uint64)]).astype(np.uint64)
     # A start is a context as often as there are documents.
-    own = np.array([docs, docs, *(r.c for r in top)], np.int64)
-    splits = np.where(own > BUCKET_TOKENS, -(-own // BUCKET_TOKENS), 0)
+    own = np.concatenate([[docs, docs], top.column("c").to_numpy()]).astype(np.int64)
+    splits = np.where(own > 2 * BUCKET_TOKENS, -(-own // BUCKET_TOKENS), 0)
     splits[END_CODE] = 0  # nothing follows an end
     cold = max(1, -(-(summary.total - int(own[splits > 0].sum())) // BUCKET_TOKENS))
     return Lexicon(hashes, own, np.argsort(hashes), cold, cold + np.cumsum(splits) - splits, splits, np.zeros(len(own)), np.ones(len(own)))
@@ -411,8 +410,25 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.Reco
             yield int(bucket[a]), int(kind[a]), batch.slice(int(a), int(b - a))
 
 
-def _dealt(rows: DataFrame, lex: Lexicon) -> DataFrame:
-    return rows.repartitionById(lex.buckets, "bucket").sortWithinPartitions("bucket", "kind")
+def _dealt(rows: DataFrame, lex: Lexicon, *more: str) -> DataFrame:
+    return rows.repartitionById(lex.buckets, "bucket").sortWithinPartitions("bucket", "kind", *more)
+
+
+def _packed(rows: DataFrame, lex: Lexicon) -> DataFrame:
+    """Rows (bucket, kind, h, c, used, lower) as blobs of their buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, kind, found in _runs(batches):
+            h, c, *sums = (found.column(k).to_numpy(zero_copy_only=False) for k in range(2, 6))
+            yield _blobs(bucket, kind, 0, _joined(planes(np.diff(h.view(np.uint64), prepend=np.uint64(0))), planes(c.astype("<i8")), *(x.astype("<f8").tobytes() for x in sums if kind == CONTEXT)))
+
+    return _dealt(rows.select("bucket", "kind", "h", "c", "used", "lower"), lex, "h").mapInArrow(run, ROWS)
+
+
+def _unpacked(blobs: list[list[bytes]]) -> list[np.ndarray]:
+    """Hashes, counts and, of contexts, both sums."""
+    found = [[np.cumsum(unplanes(b[0], "<u8")), unplanes(b[1], "<i8"), *(np.frombuffer(x, "<f8") for x in b[2:])] for b in blobs]
+    return [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
 
 
 # ---- counting
@@ -525,14 +541,12 @@ class Part:
     What trigrams and bigrams add is over the word's own, which is added where the word is the middle one.
     """
 
-    def __init__(self, lex: Lexicon, words: Words, d2: list[float], d3: list[float], rows: dict[int, list[pa.RecordBatch]]):
-        column = lambda kind, k: np.concatenate([r.column(k).to_numpy(zero_copy_only=False) for r in rows.get(kind, ())] or [np.zeros(0, np.int64)])
+    def __init__(self, lex: Lexicon, words: Words, d2: list[float], d3: list[float], bucket: int, blobs: dict[int, list[list[bytes]]]):
         self.lex, self.words = lex, words
-        blobs = [_parts(b.as_py()) for r in rows.get(GRAMS, ()) for b in r.column(4)]
-        none = np.zeros(0, np.int64)
-        own, v, u, w, c = merged(blobs, lex.size) if blobs else (none.view(np.uint64), *[none] * 4)
-        told, told_c = column(RARE, 2).view(np.uint64), column(RARE, 3)
-        self.rare = rare = np.unique(np.concatenate([own, *([told, column(CONTEXT, 2).view(np.uint64)] if rows.get(FOLLOW) else [])]))
+        none, is_hot = np.zeros(0, np.int64), bucket >= lex.cold
+        own, v, u, w, c = merged(blobs[GRAMS], lex.size) if blobs.get(GRAMS) else (none.view(np.uint64), *[none] * 4)
+        (told, told_c), follow, context = (_unpacked(blobs.get(k, [])) for k in (RARE, FOLLOW, CONTEXT))
+        rare = np.unique(np.concatenate([own, told, context[0]])) if is_hot else own
         beyond = lex.codes(rare, none.view(np.uint64)) == MISSING
         self.rare = rare = rare[beyond]
         v, u, w = (_in_bucket(x, lex.size, own, rare) for x in (v, u, w))
@@ -541,12 +555,12 @@ class Part:
         rare_c[at[right]] = told_c[right]
         counts = np.concatenate([lex.counts, rare_c])
         pair = both(v, w)
-        if rows.get(FOLLOW):
-            # A hot word's bucket: sums over all its buckets are given.
-            hot = int(v[0]) if len(v) else int(next(k for k in np.flatnonzero(lex.splits) if lex.first[k] <= rows["bucket"] < lex.first[k] + lex.splits[k]))
-            follower = lex.codes(column(FOLLOW, 2).view(np.uint64), rare)
+        if is_hot:
+            # Sums over all the word's buckets are given.
+            hot = next(int(k) for k in np.flatnonzero(lex.splits) if lex.first[k] <= bucket < lex.first[k] + lex.splits[k])
+            follower = lex.codes(follow[0], rare)
             order = np.argsort(follower)
-            self.pairs, n2 = hot << 32 | follower[order], column(FOLLOW, 3)[order]
+            self.pairs, n2 = hot << 32 | follower[order], follow[1][order]
             self.middles, self.middle_c = np.array([hot]), lex.counts[[hot]]
             self.middle_alpha, shrink = lex.log_alpha[[hot]], lex.shrink[[hot]]
             of = np.zeros(len(n2), np.int64)
@@ -558,7 +572,7 @@ class Part:
             of = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(n2)))
             g = discounted(n2, d2) / self.middle_c[of]
         p1 = words.p(counts[self.pairs & 0xFFFFFFFF])
-        if not rows.get(FOLLOW):
+        if not is_hot:
             self.middle_alpha, shrink = _weights(_added(g, starts), _added(p1, starts), self.middle_c)
         self.p2 = p2 = g * shrink[of]
         self.pair_adds = np.log10(p2) - np.log10(p1)
@@ -566,32 +580,50 @@ class Part:
         starts = np.flatnonzero(_changes(v, u))
         self.contexts = both(v[starts], u[starts])
         self.shares = _added(c, starts), _added(discounted(c, d3), starts), _added(p2[at], starts)
-        if rows.get(CONTEXT):
-            code = lex.codes(column(CONTEXT, 2).view(np.uint64), rare)
+        if len(context) > 2:
+            code = lex.codes(context[0], rare)
             order = np.argsort(code)
-            self.contexts, context_c = hot << 32 | code[order], column(CONTEXT, 3)[order]
-            sums = np.frombuffer(b"".join(b.as_py() for r in rows[CONTEXT] for b in r.column(4)), "<f8").reshape(-1, 2)[order]
-            used, lower = sums[:, 0], sums[:, 1]
+            self.contexts, (context_c, used, lower) = hot << 32 | code[order], (x[order] for x in context[1:])
         else:
             context_c, used, lower = self.shares
         self.context_adds, shrink = _weights(used / context_c, lower, context_c)
         of = _find(self.contexts, both(v, u))[0]
-        self.trigrams = both(of, w)
+        # Where the three codes fit into one key, a trigram is found without its context.
+        self.bits = (lex.size + len(rare)).bit_length()
+        self.trigrams = self._keys(v, u, w, of)
         self.trigram_adds = np.log10(discounted(c, d3) / context_c[of] * shrink[of]) - np.log10(p1[at]) if len(v) else np.zeros(0)
 
+    def _keys(self, v: np.ndarray, u: np.ndarray, w: np.ndarray, context: np.ndarray) -> np.ndarray:
+        return v.astype(np.int64) << 2 * self.bits | u.astype(np.int64) << self.bits | w if 3 * self.bits < 64 else both(context, w)
+
     def adds(self, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each trigram: what it adds to the score, and the count of its middle word (-1 for a start)."""
+        """For each trigram: what it adds to the score, and the count of its middle word if that is beyond the lexicon (else -1).
+
+        Words of the lexicon have their own share added where they are read.
+        """
         pick = lambda values, at, found, rest=0.0: np.where(found, values[at], rest) if len(values) else np.full(len(found), rest)
-        middle, known = _find(self.middles, v)
-        pair, has_pair = _find(self.pairs, both(v, w))
-        context, has_context = _find(self.contexts, both(v, u))
-        trigram, has_trigram = _find(self.trigrams, both(context, w))
-        has_trigram &= has_context
-        backed = pick(self.context_adds, context, has_context) + np.where(has_pair, pick(self.pair_adds, pair, has_pair), pick(self.middle_alpha, middle, known))
-        score = np.where(has_trigram, pick(self.trigram_adds, trigram, has_trigram), backed)
-        count = np.where(v < self.lex.size, self.lex.counts[np.minimum(v, self.lex.size - 1)], pick(self.middle_c, middle, known, 0))
-        start = v == START_CODE
-        return score + np.where(start, 0.0, np.log10(self.words.p(count))), np.where(start, -1, count)
+        seen = (v != MISSING) & (u != MISSING) & (w != MISSING)
+        context = has_context = None
+        if 3 * self.bits >= 64:
+            context, has_context = _find(self.contexts, both(v, u))
+            seen &= has_context
+        trigram, found = _find(self.trigrams, self._keys(*(np.where(seen, x, 0) for x in (v, u, w)), context))
+        found &= seen
+        score = pick(self.trigram_adds, trigram, found)
+        rest = np.flatnonzero(~found)
+        if len(rest):
+            v_, u_, w_ = v[rest], u[rest], w[rest]
+            middle, known = _find(self.middles, v_)
+            pair, has_pair = _find(self.pairs, both(v_, w_))
+            context, has_context = _find(self.contexts, both(v_, u_))
+            score[rest] = pick(self.context_adds, context, has_context) + np.where(has_pair, pick(self.pair_adds, pair, has_pair), pick(self.middle_alpha, middle, known))
+        count = np.full(len(v), -1)
+        own = np.flatnonzero(v >= self.lex.size)
+        if len(own):
+            middle, known = _find(self.middles, v[own])
+            count[own] = pick(self.middle_c, middle, known, 0)
+            score[own] += np.log10(self.words.p(count[own]))
+        return score, count
 
 
 # ---- training
@@ -620,9 +652,9 @@ def train(docs: DataFrame) -> Model:
     of = {k: {r.h: r.n for r in types if r.kind == k} for k in (BIGRAMS_OF, TRIGRAMS_OF)}
     d3 = discounts(of[TRIGRAMS_OF])
     rare = found.filter(F.col("kind") == WANTED).select("bucket", "h").join(counts, "h")
-    row = lambda rows, kind: rows.select("bucket", F.lit(kind).alias("kind"), "h", "c", *(["blob"] if "blob" in rows.columns else [F.lit(None).cast("binary").alias("blob")]))
-    told = materialize(row(rare, RARE), "lm-rare")
-    tables = found.filter(F.col("kind") == GRAMS).unionByName(told)
+    none = F.lit(None).cast("double")
+    row = lambda rows, kind, used=none, lower=none: rows.select("bucket", F.lit(kind).alias("kind"), "h", "c", used.alias("used"), lower.alias("lower"))
+    tables = found.filter(F.col("kind") == GRAMS).unionByName(materialize(_packed(row(rare, RARE), lex), "lm-rare"))
     if not lex.splits.any():
         remove(spark, counts)
         release_shuffles(spark)
@@ -634,25 +666,18 @@ def train(docs: DataFrame) -> Model:
         if r <= COUNTS:
             of[BIGRAMS_OF][r] = of[BIGRAMS_OF].get(r, 0) + n
     d2 = discounts(of[BIGRAMS_OF])
-    lex = _hot_weights(lex, follow.join(counts.withColumnRenamed("c", "n"), "h"), summary, d2)
-    # A hot word's followers and their counts go to all its buckets.
-    given = follow.join(own, "word")
-    followers = row(given, FOLLOW).unionByName(row(given.drop("c").join(counts, "h"), RARE))
-    given = materialize(followers, "lm-hot")
-    hot = found.filter((F.col("kind") == GRAMS) & (F.col("bucket") >= lex.cold)).unionByName(given)
+    follow_c = follow.join(counts.withColumnRenamed("c", "n"), "h")
+    lex = _hot_weights(lex, follow_c, summary, d2)
+    # A hot word's followers and their own counts go to all its buckets.
+    given = follow_c.join(own, "word")
+    followers = materialize(_packed(row(given, FOLLOW).unionByName(row(given.drop("c").withColumnRenamed("n", "c"), RARE)), lex), "lm-hot")
+    hot = found.filter((F.col("kind") == GRAMS) & (F.col("bucket") >= lex.cold)).unionByName(followers)
     sums = _context_sums(hot, lex, summary, d2, d3).join(own, "bucket").groupBy("word", "h").agg(F.sum("c").alias("c"), F.sum("used").alias("used"), F.sum("lower").alias("lower"))
-    packed = materialize(sums.join(own, "word").select("bucket", "h", "c", "used", "lower").mapInArrow(_packed_contexts, ROWS), "lm-contexts")
+    contexts = materialize(_packed(row(sums.join(own, "word"), CONTEXT, F.col("used"), F.col("lower")), lex), "lm-contexts")
     for done in (counts, own, follow):
         remove(spark, done)
     release_shuffles(spark)
-    return Model(summary, d2, d3, lex, tables.unionByName(given).unionByName(packed))
-
-
-def _packed_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sums = np.stack([batch.column(k).to_numpy() for k in (3, 4)], 1).astype("<f8")
-        blobs = pa.array([x.tobytes() for x in sums], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(batch.num_rows, CONTEXT, np.int32)), batch.column(1), batch.column(2), blobs], _NAMES)
+    return Model(summary, d2, d3, lex, tables.unionByName(followers).unionByName(contexts))
 
 
 def _hot_weights(lex: Lexicon, followers: DataFrame, words: Words, d2: list[float]) -> Lexicon:
@@ -676,7 +701,7 @@ def _context_sums(hot: DataFrame, lex: Lexicon, words: Words, d2: list[float], d
     shared = hot.sparkSession.sparkContext.broadcast(lex)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, part, _ in _loaded(batches, shared.value, words, d2, d3):
+        for bucket, part, _ in _loaded(batches, shared.value, words, d2, d3, always=True):
             hashes = np.concatenate([shared.value.hashes, part.rare])[part.contexts & 0xFFFFFFFF]
             c, used, lower = part.shares
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), bucket, np.int32)), pa.array(hashes.view(np.int64)), pa.array(c), pa.array(used.astype(np.float64)), pa.array(lower)], ["bucket", "h", "c", "used", "lower"])
@@ -684,23 +709,23 @@ def _context_sums(hot: DataFrame, lex: Lexicon, words: Words, d2: list[float], d
     return _dealt(hot, lex).mapInArrow(sums, "bucket int, h bigint, c bigint, used double, lower double")
 
 
-def _loaded(batches: Iterator[pa.RecordBatch], lex: Lexicon, words: Words, d2: list[float], d3: list[float]) -> Iterator[tuple[int, Part, tuple[int, pa.RecordBatch] | None]]:
-    """Each bucket's part with each of the rows that go past it; a bucket without such rows comes once, with none."""
-    held, rows, part = None, {}, None
+def _loaded(batches: Iterator[pa.RecordBatch], lex: Lexicon, words: Words, d2: list[float], d3: list[float], always: bool = False) -> Iterator[tuple[int, Part | None, tuple[int, int, bytes] | None]]:
+    """Each bucket's part with each of the rows (kind, name, blob) that go past it; with ``always`` also, once, that of a bucket without such rows."""
+    held, blobs, part = None, {}, None
     for bucket, kind, found in _runs(batches):
         if bucket != held:
-            if held is not None and part is None:
-                yield held, Part(lex, words, d2, d3, rows), None
-            held, rows, part = bucket, {"bucket": bucket}, None
+            if always and held is not None and part is None:
+                yield held, Part(lex, words, d2, d3, held, blobs), None
+            held, blobs, part = bucket, {}, None
         if kind <= GRAMS:
-            rows.setdefault(kind, []).append(found)
+            blobs.setdefault(kind, []).extend(_parts(b.as_py()) for b in found.column(4))
             continue
-        part = part or Part(lex, words, d2, d3, rows)
-        rows = {}
         for k in range(found.num_rows):
-            yield bucket, part, (kind, found.slice(k, 1))
-    if held is not None and part is None:
-        yield held, Part(lex, words, d2, d3, rows), None
+            if kind != HEAD and part is None:
+                part, blobs = Part(lex, words, d2, d3, bucket, blobs), {}
+            yield bucket, part, (kind, found.column(2)[k].as_py(), found.column(4)[k].as_py())
+    if always and held is not None and part is None:
+        yield held, Part(lex, words, d2, d3, held, blobs), None
 
 
 def ngrams(model: Model) -> DataFrame:
@@ -728,20 +753,26 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
     lex, words, d2, d3 = model.lexicon, model.words, model.d2, model.d3
     shared = docs.sparkSession.sparkContext.broadcast(lex)
-    ends = int(lex.counts[END_CODE])
-    end_score, end_base = float(np.log10(words.p(np.array([ends])))[0]), math.log10(ends + 1)
+    # What a word adds by itself: its probability, its base and whether it is known.
+    own_score, own_base = np.log10(words.p(lex.counts)), np.log10(lex.counts + 1.0)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
         task = TaskContext.get().partitionId()
         for number, lot in enumerate(_batched(batches, False)):
             name = task << 24 | number
-            head = pa.record_batch([pa.array(lot.ids, pa.int64()), pa.array(lot.held, pa.bool_()), pa.array(lot.lengths)], ["doc_id", "held", "n"])
+            code = lex.codes(lot.hashes, lot.hashes[:0])
+            inside = code != MISSING
+            code = np.where(inside, code, 0)
+            of = lot.of
+            add = lambda x, of=of, lot=lot, inside=inside: np.bincount(of, np.where(inside, x, 0.0)[lot.words], len(lot.ids))
+            own = [add(own_score[code]), add(own_base[code]), add(lex.counts[code] > 0)]
+            head = pa.record_batch([pa.array(lot.ids, pa.int64()), pa.array(lot.held, pa.bool_()), pa.array(lot.lengths), *map(pa.array, own)], ["doc_id", "held", "n", "score", "base", "known"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, head.schema) as out:
                 out.write_batch(head)
             yield _blobs(name % lex.buckets, HEAD, name, sink.getvalue().to_pybytes())
-            g, of = grams(lot, lex), lot.of
+            g = grams(lot, lex)
             of = of[g.places]
             for bucket, own, their in g.slices():
                 starts = np.zeros(their.stop - their.start, bool)
@@ -764,16 +795,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, part, row in _loaded(batches, shared.value, words, d2, d3):
             if row is not None:
-                kind, found = row
-                name, blob = found.column(2)[0].as_py(), found.column(4)[0].as_py()
+                kind, name, blob = row
                 yield _blobs(bucket, kind, name, blob if kind == HEAD else sums(part, blob))
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, head, added = None, None, []
 
         def finished() -> pa.RecordBatch:
-            known = added[2] + (ends > 0)
-            return pa.RecordBatch.from_arrays([head.column(0), head.column(1), head.column(2), pa.array(known), pa.array(added[1] * UNIT + end_base), pa.array(added[0] * UNIT + end_score)], ["doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
+            score, base, known = (head.column(k).to_numpy() for k in (3, 4, 5))
+            return pa.RecordBatch.from_arrays([head.column(0), head.column(1), head.column(2), pa.array(np.rint(known).astype(np.int64) + added[2]), pa.array(base + added[1] * UNIT), pa.array(score + added[0] * UNIT)], ["doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
 
         for batch in batches:
             for kind, name, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(4), strict=True):
