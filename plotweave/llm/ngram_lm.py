@@ -96,7 +96,7 @@ def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 def _lot(ids: list, held: list[bool], counts: list[np.ndarray], words: list[pa.Array]) -> Batch:
     coded = pa.concat_arrays(words).dictionary_encode()
-    own = coded.dictionary.cast(pa.binary()).to_pylist()
+    own = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)
     hashes = np.array([*(xxhash.xxh3_64_intdigest(w) for w in own), int(END)], np.uint64)
     lengths = np.concatenate(counts).astype(np.int64) + 1
     places = np.full(int(lengths.sum()), len(own), np.int32)
@@ -179,8 +179,14 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
 
 def pack(v: np.ndarray, u: np.ndarray, w: np.ndarray, rare: np.ndarray, known: int) -> list[bytes]:
     """Trigrams in order as small steps; codes from ``known`` up are places in ``rare`` (hashes in order), of which only those that occur are kept."""
-    used = np.unique(np.concatenate([x[x >= known] for x in (v, u, w)])) - known
-    v, u, w = (np.where(x >= known, known + np.searchsorted(used, x - np.minimum(x, known)), x) for x in (v, u, w))
+    beyond = [np.flatnonzero(x >= known) for x in (v, u, w)]
+    seen = np.zeros(len(rare), bool)
+    for x, at in zip((v, u, w), beyond, strict=True):
+        seen[x[at] - known] = True
+    used = np.flatnonzero(seen)
+    v, u, w = (x.copy() for x in (v, u, w))
+    for x, at in zip((v, u, w), beyond, strict=True):
+        x[at] = known + np.searchsorted(used, x[at] - known)
     by_v, by_u = _changes(v), _changes(v, u)
     return [planes(np.diff(rare[used], prepend=np.uint64(0))), planes(_steps(v, np.arange(len(v)) == 0)), planes(_steps(u, by_v)), planes(_steps(w, by_u))]
 
@@ -335,52 +341,60 @@ def lexicon(counts: DataFrame, summary: Words) -> Lexicon:
 
 
 def ranked(v: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """The order of trigrams by ``v``, ``u``, ``w``; equal ones stay in theirs."""
+    """An order of trigrams by ``v``, ``u``, ``w``."""
     bits = int(max(x.max(initial=0) for x in (v, u, w))).bit_length()
     if 3 * bits <= 64:
-        key = v.astype(np.uint64) << np.uint64(2 * bits) | u.astype(np.uint64) << np.uint64(bits) | w.astype(np.uint64)
-        return np.argsort(key, kind="stable")
+        return np.argsort(v.astype(np.uint64) << np.uint64(2 * bits) | u.astype(np.uint64) << np.uint64(bits) | w.astype(np.uint64))
     return np.lexsort((w, u, v))
 
 
 @dataclass
 class Grams:
-    """A batch's distinct trigrams by bucket and in order, how often each occurs, and the tokens of each, one after another."""
+    """A batch's distinct trigrams by bucket and in order, how often each occurs, and in which documents (rising), one after another."""
 
     bucket: np.ndarray
     v: np.ndarray
     u: np.ndarray
     w: np.ndarray
     runs: np.ndarray
-    places: np.ndarray
+    docs: np.ndarray
     rare: np.ndarray
 
     def slices(self) -> Iterator[tuple[int, slice, slice]]:
-        """Each bucket with its trigrams and their tokens."""
+        """Each bucket with its trigrams and their documents."""
         starts = np.flatnonzero(_changes(self.bucket))
         upto = np.concatenate([[0], np.cumsum(self.runs)])
         for a, b in zip(starts, [*starts[1:], len(self.bucket)], strict=True):
             yield int(self.bucket[a]), slice(int(a), int(b)), slice(int(upto[a]), int(upto[b]))
 
 
-def grams(lot: Batch, lex: Lexicon) -> Grams:
-    code = lex.codes(lot.hashes, lot.hashes[:0])
-    rare = np.unique(lot.hashes[code == MISSING])
-    w = lex.codes(lot.hashes, rare).astype(np.int32)[lot.words]
+def grams(lot: Batch, lex: Lexicon, with_docs: bool) -> Grams:
+    by_hash = np.argsort(lot.hashes)
+    hashes = lot.hashes[by_hash]
+    found = lex.codes(hashes, hashes[:0])
+    beyond = found == MISSING
+    rare = hashes[beyond]
+    found[beyond] = lex.size + np.arange(len(rare))
+    code = np.empty(len(hashes), np.int32)
+    code[by_hash] = found
+    w = code[lot.words]
     starts = np.cumsum(lot.lengths) - lot.lengths
     v, u = np.empty_like(w), np.empty_like(w)
     v[1:], v[starts] = w[:-1], START_CODE
     u[1:], u[starts] = v[:-1], START_CODE
     order = ranked(v, u, w)
     v, u, w = v[order], u[order], w[order]
-    at = np.flatnonzero(_changes(v, u, w))
+    new = _changes(v, u, w)
+    at = np.flatnonzero(new)
     runs = np.diff(at, append=len(order))
+    docs = np.sort((np.cumsum(new) << 32) | lot.of[order]) & 0xFFFFFFFF if with_docs else None
     v, u, w = v[at], u[at], w[at]
     bucket = lex.dealt(v, u, w, rare)
     deal = np.argsort(bucket, kind="stable")
     runs, at = runs[deal], at[deal]
-    places = order[np.repeat(at - np.cumsum(runs) + runs, runs) + np.arange(len(order))]
-    return Grams(bucket[deal], v[deal], u[deal], w[deal], runs, places, rare)
+    if with_docs:
+        docs = docs[np.repeat(at - np.cumsum(runs) + runs, runs) + np.arange(len(order))]
+    return Grams(bucket[deal], v[deal], u[deal], w[deal], runs, docs, rare)
 
 
 # ---- rows of the tables that are dealt into buckets
@@ -468,7 +482,7 @@ def both(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and the sums of their counts."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     at = np.flatnonzero(_changes(keys))
     return keys[at], np.add.reduceat(counts[order], at) if len(at) else counts[:0]
@@ -481,7 +495,7 @@ def trigram_counts(docs: DataFrame, lex: Lexicon) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
         for lot in _batched(batches, True):
-            g = grams(lot, lex)
+            g = grams(lot, lex, False)
             for bucket, own, _ in g.slices():
                 yield _blobs(bucket, GRAMS, 0, _joined(*pack(g.v[own], g.u[own], g.w[own], g.rare, lex.size), planes(g.runs[own].astype("<u4"))))
 
@@ -772,12 +786,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             with pa.ipc.new_stream(sink, head.schema) as out:
                 out.write_batch(head)
             yield _blobs(name % lex.buckets, HEAD, name, sink.getvalue().to_pybytes())
-            g = grams(lot, lex)
-            of = of[g.places]
+            g = grams(lot, lex, True)
             for bucket, own, their in g.slices():
                 starts = np.zeros(their.stop - their.start, bool)
                 starts[np.cumsum(g.runs[own]) - g.runs[own]] = True
-                yield _blobs(bucket, TEXTS, name, _joined(*pack(g.v[own], g.u[own], g.w[own], g.rare, lex.size), planes(g.runs[own].astype("<u4")), planes(_steps(of[their], starts))))
+                yield _blobs(bucket, TEXTS, name, _joined(*pack(g.v[own], g.u[own], g.w[own], g.rare, lex.size), planes(g.runs[own].astype("<u4")), planes(_steps(g.docs[their], starts))))
 
     def sums(part: Part, blob: bytes) -> bytes:
         """Documents in order, and what the bucket adds to each."""
