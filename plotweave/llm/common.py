@@ -6,6 +6,7 @@ executor (``spark.submit.pyFiles`` or an installed wheel).
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import uuid
@@ -90,6 +91,14 @@ def byte_values(column: pa.Array) -> Iterator[bytes]:
         yield value.as_py()
 
 
+def give_back() -> None:
+    """Return memory that this Python worker has freed to the system, so that its peaks don't add up with those of its neighbours."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # there is none but in glibc
+    if trim:
+        trim(0)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark delete shuffle files of finished jobs, before the next ones write theirs.
 

@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import materialize, release_shuffles, remove, slices
+from plotweave.llm.common import give_back, materialize, release_shuffles, remove, slices
 from plotweave.llm.mph import mixed
 
 KATZ_K = 5
@@ -122,6 +122,7 @@ def _batched(batches: Iterator[pa.RecordBatch], train_only: bool) -> Iterator[Ba
         if total >= BATCH_TOKENS:
             yield _lot(ids, held, counts, words)
             ids, held, counts, words, total = [], [], [], [], 0
+            give_back()
     if ids:
         yield _lot(ids, held, counts, words)
 
@@ -520,6 +521,7 @@ def trigram_counts(docs: DataFrame, lex: Lexicon) -> DataFrame:
             if bucket != held and blobs:
                 yield from counted(held, blobs)
                 blobs = []
+                give_back()
             held = bucket
             blobs += [_parts(b.as_py()) for b in rows.column(4)]
         if blobs:
@@ -731,6 +733,7 @@ def _loaded(batches: Iterator[pa.RecordBatch], lex: Lexicon, words: Words, d2: l
             if always and held is not None and part is None:
                 yield held, Part(lex, words, d2, d3, held, blobs), None
             held, blobs, part = bucket, {}, None
+            give_back()
         if kind <= GRAMS:
             blobs.setdefault(kind, []).extend(_parts(b.as_py()) for b in found.column(4))
             continue
