@@ -131,15 +131,18 @@ def _batched(batches: Iterator[pa.RecordBatch], train_only: bool) -> Iterator[Ba
 
 
 def planes(values: np.ndarray) -> bytes:
-    """Integers compressed byte position by byte position."""
-    width = values.dtype.itemsize
-    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, width).T).tobytes(), 1)
+    """Integers compressed byte position by byte position, each by itself; positions of zeros cost nothing."""
+    grid = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.dtype.itemsize).T)
+    return _joined(len(values).to_bytes(4, "little"), *(zstandard.compress(row.tobytes(), 1) if row.any() else b"" for row in grid))
 
 
 def unplanes(data: bytes, kind: str) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    flat = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(width, -1)
-    return np.ascontiguousarray(flat.T).reshape(-1).view(kind)
+    n, *rows = _parts(data)
+    out = np.zeros((int.from_bytes(n, "little"), len(rows)), np.uint8)
+    for k, row in enumerate(rows):
+        if row:
+            out[:, k] = np.frombuffer(zstandard.decompress(row), np.uint8)
+    return out.reshape(-1).view(kind)
 
 
 def _joined(*parts: bytes) -> bytes:
