@@ -15,11 +15,15 @@ def product_date(name: Column) -> Column:
     return F.try_to_date(F.regexp_extract(base_name(name), r"MSIL2A_(\d{8})T", 1), "yyyyMMdd")
 
 
+# Fixed value: a name keeps its extension if less than two characters, the first no dot, come before it.
+EXTENSION = r"([^.]+.+)\.[A-Za-z0-9]+$"
+
+
 def without_extension(path: Column, compression: bool = False) -> Column:
     """A path without its last extension; with ``compression``, first without one of a compressed file."""
     if compression:
         path = F.regexp_replace(path, r"\.(gz|bz2|xz)$", "")
-    return F.regexp_replace(path, r"\.[A-Za-z0-9]+$", "")
+    return F.regexp_replace(path, EXTENSION, "$1")
 
 
 def header_path(path: Column) -> Column:

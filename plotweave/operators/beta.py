@@ -33,9 +33,11 @@ def bray_curtis_pairs(sparse: DataFrame, key: str, by: Sequence[str] = ()) -> Da
     Shares of both sides sum to 1, so only species that both have count:
     the dissimilarity is 1 less the sum of the smaller shares. The join is on the species; windows
     without a common one follow from the list of windows. The result has all pairs, so
-    it is for plots and training windows.
+    it is for plots and training windows, ``MAX_TRAINING`` at most; with more it raises.
     """
     names = list(by)
+    if sparse.select(key).distinct().limit(MAX_TRAINING + 1).count() > MAX_TRAINING:
+        raise ValueError(f"more than {MAX_TRAINING} plots to compare")
     totals = sparse.groupBy(*names, key).agg(F.sum("p").alias("t"))
     left, right = (sparse.select(*names, F.col(key).alias(x), "cid", F.col("p").alias(f"p{x}")) for x in "ab")
     shared = left.join(right, [*names, "cid"]).filter("a < b").groupBy(*names, "a", "b").agg(F.sum(F.least("pa", "pb")).alias("m"))
@@ -57,6 +59,32 @@ def bray_curtis_to(windows: DataFrame, training: DataFrame, key: str) -> DataFra
     return pairs.join(shared, [key, "train_id"], "left").select(key, "train_id", (F.lit(1.0) - F.coalesce("m", F.lit(0.0))).alias("bc"))
 
 
+def project_shares(shares: DataFrame, training: DataFrame, coordinates: DataFrame, key: str, axes: Sequence[str], k: int = 3) -> DataFrame:
+    """``key`` and ``axes``: places of windows in the ordination of training plots, from sparse shares of both.
+
+    ``shares`` has ``key``, ``cid``, ``p``; ``training`` (``train_id``, ``cid``, ``p``) and ``coordinates`` are bounded
+    (``MAX_TRAINING`` plots, checked) and broadcast, so a window meets no row per plot. Species that no
+    plot has are one species more.
+    """
+    names = [r.train_id for r in training.select("train_id").distinct().orderBy("train_id").limit(MAX_TRAINING + 1).collect()]
+    if len(names) > MAX_TRAINING:
+        raise ValueError(f"more than {MAX_TRAINING} training plots")
+    rows = training.select("train_id", "cid", "p").collect()
+    species = {c: i for i, c in enumerate(sorted({r.cid for r in rows}))}
+    at = {n: i for i, n in enumerate(names)}
+    plots, places = np.zeros((len(names), len(species) + 1)), np.zeros((len(names), len(axes)))
+    for r in rows:
+        plots[at[r.train_id], species[r.cid]] += r.p
+    for r in coordinates.filter(F.col("train_id").isin(names)).collect():
+        places[at[r.train_id]] = [r[x] for x in axes]
+    kind = training.schema["cid"].dataType.simpleString()
+    numbers = shares.sparkSession.createDataFrame([(c, i + 1) for c, i in species.items()], f"cid {kind}, _no int")
+    known = shares.join(F.broadcast(numbers), "cid", "left").select(key, F.coalesce("_no", F.lit(len(species) + 1)).alias("cid"), "p")
+    windows = dense(known.groupBy(key, "cid").agg(F.sum("p").alias("p")), [key], len(species) + 1)
+    found = project(windows, plots, places, [key], k)
+    return found.select(key, *(F.col("coord")[i].alias(x) for i, x in enumerate(axes)))
+
+
 def weighted_neighbours(distances: DataFrame, coordinates: DataFrame, key: str, axes: Sequence[str], k: int = 3) -> DataFrame:
     """``key`` and ``axes``: coordinates of the ``k`` nearest training plots, weighted by inverse distance.
 
@@ -104,7 +132,8 @@ def bray_curtis_matrix(a: np.ndarray, b: np.ndarray, n_iter: int = 1, block: int
 
 
 def nearest_places(distance: np.ndarray, places: np.ndarray, k: int = 3) -> np.ndarray:
-    k = min(k, distance.shape[1])
+    """Places by inverse distance among the ``k`` nearest; distances that differ by rounding alone are ties, which go to the first."""
+    k, distance = min(k, distance.shape[1]), np.round(distance, 12)
     near = np.argsort(distance, 1, kind="stable")[:, :k]
     d = np.take_along_axis(distance, near, 1)
     exact = d[:, :1] == 0

@@ -6,13 +6,15 @@ from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Wavelengths (nm) of water vapour absorption and noise, left out of spectra.
 EXCLUDED_DOMAINS = ((0, 400), (895, 1005), (1320, 1480), (1780, 2040), (2450, 2600))
 NDVI_LEAST, BLUE_MOST, NIR_LEAST = 0.65, 500.0, 1500.0
 BLUE_NM, RED_NM, NIR_NM = 480, 670, 835
+#: Accuracy of the sketch that narrows quartiles down; and values that are counted without one.
+ACCURACY, SMALL = 1 << 16, 100_000
 
 
 def finite(column: str) -> Column:
@@ -29,20 +31,56 @@ def clean(pixels: DataFrame, bands: Sequence[str]) -> DataFrame:
 def iqr_bounds(pixels: DataFrame, bands: Sequence[str], weight: float = 3.0, keys: Sequence[str] = (), approximate: int | None = None) -> DataFrame:
     """``band``, ``low``, ``high``: quartiles widened by ``weight`` interquartile ranges.
 
-    All bands in one pass; exact interpolated quartiles, or with ``approximate`` (an accuracy)
-    a sketch, whose size doesn't grow with the pixels.
+    Exact interpolated quartiles, or with ``approximate`` (an accuracy) a sketch's.
     """
-    quartile = (lambda b: F.percentile_approx(b, [0.25, 0.75], approximate)) if approximate else (lambda b: F.percentile(b, [0.25, 0.75]))
-    wide = pixels.groupBy(*keys).agg(*(quartile(F.when(finite(b), F.col(b))).alias(b) for b in bands))
-    long = wide.select(*keys, F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.col(b)[0].cast("double").alias("q1"), F.col(b)[1].cast("double").alias("q3")) for b in bands))).alias("x")).select(*keys, "x.*")
+    found = _sketched(pixels, bands, keys, approximate) if approximate else quartiles(pixels, bands, keys)
     reach = (F.col("q3") - F.col("q1")) * weight
-    return long.select(*keys, "band", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
+    return found.select(*keys, "band", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
+
+
+def _long(pixels: DataFrame, bands: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """``keys``, ``band``, ``value``, null where it isn't finite."""
+    each = F.array(*(F.struct(F.lit(b).alias("band"), F.when(finite(b), F.col(b).cast("double")).alias("value")) for b in bands))
+    return pixels.select(*keys, F.explode(each).alias("x")).select(*keys, "x.*")
+
+
+def _sketched(pixels: DataFrame, bands: Sequence[str], keys: Sequence[str], accuracy: int) -> DataFrame:
+    found = _long(pixels, bands, keys).groupBy(*keys, "band").agg(F.percentile_approx("value", [0.25, 0.75], accuracy).alias("q"))
+    return found.select(*keys, "band", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+
+
+def quartiles(pixels: DataFrame, bands: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """``keys``, ``band``, ``q1``, ``q3``: exact interpolated quartiles.
+
+    A sketch gives a range that surely holds the wanted order statistics: a few ``1 / ACCURACY`` of all
+    values. Only values in it are counted one by one; of those below just the number matters. So no
+    aggregate holds all values of a band. Up to ``SMALL`` values are counted all.
+    """
+    margin = 3 / ACCURACY
+    long = _long(pixels, bands, keys)
+    around = [q + d for q in (0.25, 0.75) for d in (-margin, margin)]
+    sketch = long.groupBy(*keys, "band").agg(F.count("value").alias("n"), F.percentile_approx("value", around, ACCURACY).alias("a"))
+    few, ends = F.col("n") <= SMALL, F.lit(float("inf"))
+    limits = F.array(*(F.struct(F.lit(q).alias("q"), F.when(few, -ends).otherwise(F.col("a")[k]).alias("from"), F.when(few, ends).otherwise(F.col("a")[k + 1]).alias("to")) for q, k in ((0.25, 0), (0.75, 2))))
+    ranges = sketch.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("band").alias("_band"), "n", F.explode(limits).alias("x")).select("*", "x.*").drop("x")
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in (*keys, "band")))
+    names = [f"_{k}" for k in (*keys, "band")]
+    inside = long.filter("value is not null").join(ranges, same).filter(F.col("value") <= F.col("to"))
+    counted = inside.groupBy(*names, "q", "n", F.when(F.col("value") >= F.col("from"), F.col("value")).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    upto = counted.withColumn("upto", F.sum("c").over(Window.partitionBy(*names, "q").orderBy(F.asc_nulls_first("v"))))
+    place = F.col("q") * (F.col("n") - 1)
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("v")))
+    found = upto.groupBy(*names, "q", "n").agg(at(F.floor(place)).alias("low"), at(F.ceil(place)).alias("high"))
+    value = F.when(F.ceil(place) == F.floor(place), F.col("low")).otherwise((F.ceil(place) - place) * F.col("low") + (place - F.floor(place)) * F.col("high"))
+    each = found.groupBy(*names).agg(F.max(F.when(F.col("q") == 0.25, value)).alias("q1"), F.max(F.when(F.col("q") == 0.75, value)).alias("q3"))
+    return sketch.join(each, same, "left").select(*keys, "band", "q1", "q3")
 
 
 def within(pixels: DataFrame, bounds: DataFrame, bands: Sequence[str], mask: str | None = None) -> DataFrame:
     """``pixels`` with ``mask``: 1 where every band is within its bounds (and the given mask is 1), else 0."""
     found = {r.band: (r.low, r.high) for r in bounds.select("band", "low", "high").collect()}  # a row a band
-    test = reduce(and_, (finite(b) & F.col(b).between(*map(F.lit, found[b])) for b in bands))
+    # Of an empty table nothing is known, and nothing is within.
+    test = reduce(and_, (finite(b) & F.col(b).between(*map(F.lit, found.get(b, (None, None)))) for b in bands))
     if mask is not None:
         test = test & F.coalesce(F.col(mask) == 1, F.lit(False))
     return pixels.withColumn("mask", F.when(test, 1).otherwise(0))
@@ -71,18 +109,16 @@ def keep_bands(catalog: DataFrame, domains: Iterable[tuple[float, float]] = EXCL
 
 
 def invariant_bands(pixels: DataFrame, bands: Sequence[str]) -> DataFrame:
-    """``band``, ``sd``, ``invariant`` over pixels without an infinite value, in one pass."""
-    usable = pixels.filter(reduce(and_, (F.col(b) != float("inf") for b in bands)))
-    wide = usable.agg(*(F.stddev_samp(b).alias(b) for b in bands))
+    """``band``, ``sd``, ``invariant`` over pixels whose bands are all finite, in one pass."""
+    wide = clean(pixels, bands).agg(*(F.stddev_samp(b).alias(b) for b in bands))
     long = wide.select(F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.col(b).alias("sd")) for b in bands))).alias("x")).select("x.*")
     return long.withColumn("invariant", F.coalesce(F.col("sd") == 0, F.lit(True)))
 
 
 def drop_invariant(pixels: DataFrame, bands: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """Pixels without infinite values and without constant bands; the bands left."""
+    """Pixels whose bands are all finite, without constant bands; the bands left."""
     constant = {r.band for r in invariant_bands(pixels, bands).filter("invariant").collect()}
-    usable = pixels.filter(reduce(and_, (F.col(b) != float("inf") for b in bands)))
-    return usable.drop(*constant), [b for b in bands if b not in constant]
+    return clean(pixels, bands).drop(*constant), [b for b in bands if b not in constant]
 
 
 def ndvi(nir: Column, red: Column) -> Column:

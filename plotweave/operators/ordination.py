@@ -109,6 +109,8 @@ def distance_matrix(pairs: DataFrame, ids: Sequence) -> np.ndarray:
 def ordinate(pairs: DataFrame, windows: DataFrame, key: str, axes: int = 3) -> DataFrame:
     """``key``, ``coord``, ``eigenvalues``: principal coordinates of a bounded set of plots."""
     ids = [r[0] for r in windows.select(key).distinct().orderBy(key).limit(MAX_TRAINING + 1).collect()]
+    if len(ids) > MAX_TRAINING:
+        raise ValueError(f"more than {MAX_TRAINING} plots")
     coords, values = principal_coordinates(distance_matrix(pairs, ids), axes)
     kind = windows.schema[key].dataType.simpleString()
     rows = [(i, [float(x) for x in c], [float(v) for v in values[:axes]]) for i, c in zip(ids, coords, strict=True)]

@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges that a tile's order is cut into.
+RANGES = 256
+
+
 def hash_order(key: str, seed: int = 0) -> Column:
     return F.xxhash64(F.col(key), F.lit(seed))
 
@@ -37,22 +41,36 @@ def quotas(per_tile: DataFrame, wanted: int, up: bool = False) -> DataFrame:
     return per_tile.withColumn("quota", (F.ceil(share) if up else F.round(share)).cast("bigint"))
 
 
+def ranked(rows: DataFrame, tile: str, order: Column, key: str) -> DataFrame:
+    """``rows`` with ``_i``, the rank in its tile by ``order`` and ``key`` (from 1), and ``_n``, the tile's rows.
+
+    A tile is cut into ``RANGES`` ranges of its order (a number) whose sizes are added up first, so that no task sorts a
+    tile whole.
+    """
+    by = rows.withColumn("_o", order)
+    whole = by.groupBy(tile).agg(F.min("_o").cast("double").alias("_low"), F.max("_o").cast("double").alias("_high"), F.count(F.lit(1)).alias("_n"))
+    share = F.try_divide(F.col("_o").cast("double") - F.col("_low"), F.col("_high") - F.col("_low"))
+    cut = by.join(whole, tile).withColumn("_part", F.coalesce(F.least(F.floor(share * RANGES), F.lit(RANGES - 1)), F.lit(0)))
+    before = Window.partitionBy(tile).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy(tile, "_part").agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+    place = F.row_number().over(Window.partitionBy(tile, "_part").orderBy("_o", key))
+    return cut.join(sizes, [tile, "_part"]).withColumn("_i", F.col("_before") + place).drop("_o", "_low", "_high", "_part", "_before")
+
+
 def sample_tiles(pixels: DataFrame, tile: str, wanted: int, key: str, regular: bool = True, order: Column | None = None) -> DataFrame:
     """Pixels of every tile in proportion to its size: evenly spaced by ``key``, or in hash order."""
     counts = pixels.groupBy(tile).agg(F.count(F.lit(1)).alias("n"))
-    shared = pixels.join(quotas(counts, wanted), tile)
-    rank = Window.partitionBy(tile).orderBy(F.col(key) if regular else (hash_order(key) if order is None else order), F.col(key))
-    ranked = shared.withColumn("_i", F.row_number().over(rank))
+    own = F.col(key) if regular else (hash_order(key) if order is None else order)
+    placed = ranked(pixels, tile, own, key).join(quotas(counts, wanted), tile)
     step = lambda i: F.floor(i * F.col("quota") / F.col("n"))
     picked = (step(F.col("_i")) > step(F.col("_i") - 1)) if regular else F.col("_i") <= F.col("quota")
-    return ranked.filter(picked).drop("_i", "n", "quota")
+    return placed.filter(picked).drop("_i", "_n", "n", "quota")
 
 
 def sample_fraction(pixels: DataFrame, tile: str, share: float, key: str, order: Column | None = None) -> DataFrame:
     """The first ``share`` of each tile in the draw's order, at least one pixel."""
-    rank = Window.partitionBy(tile).orderBy(hash_order(key) if order is None else order, F.col(key))
-    ranked = pixels.withColumn("_i", F.row_number().over(rank)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(tile)))
-    return ranked.filter(F.col("_i") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share))).drop("_i", "_n")
+    placed = ranked(pixels, tile, hash_order(key) if order is None else order, key)
+    return placed.filter(F.col("_i") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share))).drop("_i", "_n")
 
 
 def around(centres: DataFrame, pixels: DataFrame, width: int, row: str = "r", col: str = "c", keys: Sequence[str] = ()) -> DataFrame:

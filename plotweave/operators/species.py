@@ -7,13 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotweave.operators.masks import clean, iqr_bounds
 from plotweave.operators.transforms import scale
 
 N_CLUSTERS, N_ITER, N_START, MAX_STEPS = 50, 10, 10, 50
+MAX_CENTROIDS = 10_000
 
 
 @dataclass(frozen=True)
@@ -90,18 +91,23 @@ def fit_lots(scaled: DataFrame, bands: Sequence[str], lot: str, clusters: Sequen
     return each.groupBy("_clusters", "_iter").applyInPandas(fit, "k int, iter int, cid int, center array<double>, cost double")
 
 
+def lot(key: str, lots: int, seed: int = 0) -> Column:
+    """Which of ``lots`` lots (from 1) a pixel is in, by a hash of its key, so lots are even but for chance and nothing is sorted."""
+    return (F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(lots)) + 1).cast("int")
+
+
 def fit_species(sample: DataFrame, bands: Sequence[str], key: str, n_iter: int = N_ITER, n_clusters: int = N_CLUSTERS, weight: float = 3.0, starts: int = N_START, steps: int = MAX_STEPS, seed: int = 0) -> SpeciesModel:
     """Bounds, scaling and one k-means on each of ``n_iter`` lots of a bounded sample."""
     usable = clean(sample, bands)
     bounds = iqr_bounds(usable, bands, weight)
-    lots = scale(usable, bounds, bands).withColumn("_lot", F.ntile(n_iter).over(Window.orderBy(F.xxhash64(key, F.lit(seed)), key)))
+    lots = scale(usable, bounds, bands).withColumn("_lot", lot(key, n_iter, seed))
     return SpeciesModel(fit_lots(lots, bands, "_lot", (n_clusters,), starts, steps, seed).drop("k"), bounds, tuple(bands))
 
 
 def explore_clusters(sample: DataFrame, bands: Sequence[str], key: str, candidates: Sequence[int], n_iter: int = N_ITER, weight: float = 3.0, starts: int = N_START, seed: int = 0) -> DataFrame:
     """``k``, ``n_iter``, ``cost_mean``, ``cost_sd`` of each candidate number of clusters."""
     usable = clean(sample, bands)
-    lots = scale(usable, iqr_bounds(usable, bands, weight), bands).withColumn("_lot", F.ntile(n_iter).over(Window.orderBy(F.xxhash64(key, F.lit(seed)), key)))
+    lots = scale(usable, iqr_bounds(usable, bands, weight), bands).withColumn("_lot", lot(key, n_iter, seed))
     fits = fit_lots(lots, bands, "_lot", candidates, starts, seed=seed).select("k", "iter", "cost").distinct()
     return fits.groupBy("k").agg(F.count(F.lit(1)).alias("n_iter"), F.avg("cost").alias("cost_mean"), F.stddev_samp("cost").alias("cost_sd"))
 
@@ -137,7 +143,13 @@ def assign_model(pixels: DataFrame, model: SpeciesModel, keep: Sequence[str]) ->
 
 
 def assign_native(pixels: DataFrame, centroids: DataFrame, features: str, key: str) -> DataFrame:
-    """``key``, ``iter``, ``cid`` with built-in functions: each pixel meets every centroid of the broadcast table."""
-    gap = F.aggregate(F.zip_with(F.col(features), F.col("center"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    pairs = pixels.select(key, features).crossJoin(F.broadcast(centroids)).withColumn("d", gap)  # a few hundred centroids
-    return pairs.groupBy(key, "iter").agg(F.min_by("cid", F.struct("d", "cid")).alias("cid"))
+    """``key``, ``iter``, ``cid`` with built-in functions: each pixel looks through an iteration's centroids, which are an array.
+
+    ``centroids`` is a model, ``MAX_CENTROIDS`` rows at most; with more it raises. Pixels stay where they are.
+    """
+    if centroids.limit(MAX_CENTROIDS + 1).count() > MAX_CENTROIDS:
+        raise ValueError(f"more than {MAX_CENTROIDS} centroids")
+    sets = centroids.groupBy("iter").agg(F.collect_list(F.struct("cid", "center")).alias("own"))
+    gap = lambda c: F.aggregate(F.zip_with(F.col(features), c["center"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    best = F.array_min(F.transform("own", lambda c: F.struct(gap(c).alias("d"), c["cid"].alias("cid"))))
+    return pixels.select(key, features).crossJoin(F.broadcast(sets)).select(key, "iter", best["cid"].alias("cid"))  # a row an iteration

@@ -61,7 +61,7 @@ def _training(spark, sf_dir):
 
 def knn_projection(spark, sf_dir):
     shares, train, coordinates = _training(spark, sf_dir)
-    return rounded(beta_ops.weighted_neighbours(beta_ops.bray_curtis_to(shares, train, "site"), coordinates, "site", ["x", "y"]))
+    return rounded(beta_ops.project_shares(shares, train, coordinates, "site", ["x", "y"]))
 
 
 def knn_projection_broadcast(spark, sf_dir):

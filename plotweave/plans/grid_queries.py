@@ -54,6 +54,12 @@ def alpha_classif(spark, sf_dir):
     return rounded(workflows.class_diversity(numbered, "cid", ["win_id"], for_entry("classes", window=WINDOW)))
 
 
+def beta_classif(spark, sf_dir):
+    """Distances between the places of windows by their classes: of both signs of an axis the same."""
+    found = workflows.class_beta(windowed(spark, sf_dir), "event_type", ["win_id"], for_entry("classes", window=WINDOW))
+    return rounded(found.select("win_id", F.transform("coord", F.abs).alias("x")).select("win_id", F.posexplode("x").alias("axis", "place")))
+
+
 def alpha_moving_window(spark, sf_dir):
     return rounded(workflows.moving_diversity(pixels(spark, sf_dir), "event_type", Options(window=3, alpha_metrics=METRICS)))
 
@@ -184,7 +190,8 @@ def plot_values(spark, sf_dir):
 
 
 def functional_1d(spark, sf_dir):
-    return rounded(fd_ops.functional_1d(pixels(spark, sf_dir), ["user_id"], "value"))
+    # Rounded twice on both sides: some values are halves of the last digit.
+    return rounded(rounded(fd_ops.functional_1d(pixels(spark, sf_dir), ["user_id"], "value"), 10))
 
 
 def functional_hull(spark, sf_dir):
@@ -261,7 +268,7 @@ def cluster_search(spark, sf_dir):
     return rounded(search.cluster_search(sample, own, _observed(px), masks.iqr_bounds(px, BANDS), BANDS, (4, 8), 2, key="event_id", starts=1))
 
 
-QUERIES = {f.__name__: f for f in (alpha_grid, alpha_plots, alpha_classif, alpha_moving_window, alpha_tiles, mosaic_tiles, map_layers, window_ids, sunlit_windows, iqr_bounds, iqr_mask, tile_masks, clean_rows, scale_bands, noise_diff, sample_pixels, pixels_per_lot, sample_regular_tiles, sample_random_tiles, sample_plots, sample_tile_plots, tile_stats, valid_pixels, extract_plots, plot_layers, cells_at_coords, plot_values, functional_1d, functional_hull, mnf_scores, crop_border, grid_extent, grid_cells, full_workflow, full_workflow_tiles, plot_workflow, forward_selection, forward_selection_functional, cluster_search)}
+QUERIES = {f.__name__: f for f in (alpha_grid, alpha_plots, alpha_classif, beta_classif, alpha_moving_window, alpha_tiles, mosaic_tiles, map_layers, window_ids, sunlit_windows, iqr_bounds, iqr_mask, tile_masks, clean_rows, scale_bands, noise_diff, sample_pixels, pixels_per_lot, sample_regular_tiles, sample_random_tiles, sample_plots, sample_tile_plots, tile_stats, valid_pixels, extract_plots, plot_layers, cells_at_coords, plot_values, functional_1d, functional_hull, mnf_scores, crop_border, grid_extent, grid_cells, full_workflow, full_workflow_tiles, plot_workflow, forward_selection, forward_selection_functional, cluster_search)}
 
 _WINDOWS = f"(select {WIN_SQL} as win_id, event_type as cid, count(*) as n from px group by 1, 2)"
 _TILED = f"(select tile, {WIN_SQL} as win_id, event_type as cid, count(*) as n from px group by 1, 2, 3)"
@@ -312,7 +319,7 @@ ORACLE_SQL = {
     "functional_1d": f"""with {PIXELS_SQL}, m as (select user_id, max(value) - min(value) as fric, avg(value) as m from px group by 1),
  f as (select px.user_id, avg(abs(value - m)) as fdis from px join m using (user_id) group by 1),
  q as (select a.user_id, avg(abs(a.value - b.value)) as raoq from px as a join px as b on a.user_id = b.user_id group by 1)
- select user_id, round(fric, 6) as fric, round(fdis, 6) as fdis, round(raoq, 6) as raoq from m join f using (user_id) join q using (user_id)""",
+ select user_id, round(round(fric, 10), 6) as fric, round(round(fdis, 10), 6) as fdis, round(round(raoq, 10), 6) as raoq from m join f using (user_id) join q using (user_id)""",
     "crop_border": f"with {PIXELS_SQL} select r, c, event_id from px where r between 3 and (select max(r) from px) - 3 and c between 3 and 96",
     "grid_extent": f"with {PIXELS_SQL} select min(r) as r_min, max(r) as r_max, min(c) as c_min, max(c) as c_max from px",
     "grid_cells": f"with {PIXELS_SQL} select r // 15 as cell_r, c // 15 as cell_c, r // 15 * 15 as r_min, r // 15 * 15 + 14 as r_max, c // 15 * 15 as c_min, c // 15 * 15 + 14 as c_max, count(*) as n from px group by all",

@@ -14,7 +14,7 @@ PRODUCTS = [
     "S2B_MSIL1C_20231201T104319",
     "/data/S2A_MSIL2A_20200229T000000/",
 ]
-PATHS = ["/x/scene.tif", "/x/scene.tif.gz", "/x/scene.tar.bz2", "scene", "/x.d/scene.tiff", "/x/scene.tif.aux.xml", "/x/scene.tfw", "a.b/c.dat"]
+PATHS = ["/x/scene.tif", "/x/scene.tif.gz", "/x/scene.tar.bz2", "scene", "/x.d/scene.tiff", "/x/scene.tif.aux.xml", "/x/scene.tfw", "a.b/c.dat", "x.c", ".hidden", ".profile.bak", "/a/.b.tif"]
 HEADER = """ENVI
 description = { a
  template }
@@ -85,7 +85,7 @@ def linear_index(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (product_date, path_parts, image_list, page_paths, split_lines, raster_header, asset_lookup, array_tile, linear_index)}
 
 _VALUES = lambda rows: ", ".join("('" + r.replace("'", "''") + "')" for r in rows)
-_STEM = r"regexp_replace({}, '\.[A-Za-z0-9]+$', '')"
+_STEM = r"regexp_replace({}, '([^.]+.+)\.[A-Za-z0-9]+$', '\1')"
 _PLAIN = r"regexp_replace(path, '\.(gz|bz2|xz)$', '')"
 _IMAGE = r"regexp_replace(regexp_replace(path, '\.aux\.xml$', ''), '\.tfw$', '.tiff')"
 

@@ -20,7 +20,7 @@ from plotweave.operators.sampling import sample_pixels, sample_plots
 from plotweave.operators.search import correlation, mantel
 from plotweave.operators.species import SpeciesModel, assign_model, fit_species
 from plotweave.operators.transforms import scale
-from plotweave.operators.windows import enough_pixels, moving_counts, window_id
+from plotweave.operators.windows import enough_pixels, moving_counts, offsets, window_id
 from plotweave.plans.options import Options, report
 
 
@@ -90,19 +90,62 @@ def transform(pixels: DataFrame, model: Model, keys: Sequence[str], options: Opt
     return out
 
 
-def diversity(pixels: DataFrame, bands: Sequence[str], key: str, n_cols: int, options: Options, tile: str | None = None) -> DataFrame:
-    """The whole workflow on a grid: fit, then every window (of every tile)."""
-    model = fit(pixels, bands, key, options)
+def window_shares(pixels: DataFrame, species: SpeciesModel, keys: Sequence[str], options: Options) -> DataFrame:
+    """``keys``, ``ssd``: the distributions of species over all iterations, of windows of ``pixels``."""
+    counts = alpha_ops.iteration_counts(assign_model(clean(pixels, species.bands), species, keys), keys)
+    return stacked_shares(counts, keys, options.n_clusters, options.n_iter, options.pcelim)
+
+
+def neighbourhoods(pixels: DataFrame, bands: Sequence[str], width: int) -> DataFrame:
+    """``r``, ``c`` of every pixel with the bands of each pixel around it: ``width`` squared rows a pixel, as some metrics need all of them."""
+    low, high = offsets(width)
+    shifts = lambda: F.explode(F.sequence(F.lit(-high), F.lit(-low)))
+    spread = pixels.select("r", "c", *bands, shifts().alias("_y")).select("*", shifts().alias("_x"))
+    spread = spread.select((F.col("r") + F.col("_y")).alias("r"), (F.col("c") + F.col("_x")).alias("c"), *bands)
+    return spread.join(pixels.select("r", "c").distinct(), ["r", "c"], "left_semi")
+
+
+def transform_moving(pixels: DataFrame, model: Model, options: Options) -> DataFrame:
+    """Diversity of the neighbourhood of every pixel: ``r``, ``c`` and what ``transform`` gives for windows.
+
+    Neighbourhoods need more valid pixels than ``min_sun`` of their size.
+    """
+    bands, keys = model.species.bands, ["r", "c"]
+    usable, least = clean(pixels, bands), options.min_sun * options.window**2
+    each = assign_model(usable, model.species, keys).select(*keys, F.posexplode("species").alias("iter", "cid")).withColumn("iter", F.col("iter") + 1)
+    counts = enough_pixels(moving_counts(each, "cid", options.window, keep=["iter"]), [*keys, "iter"], least)
+    out = alpha_ops.alpha_iterations(counts, keys, options.alpha_metrics, options.hill_order, options.pcelim)
+    if model.beta is not None:
+        ssd = stacked_shares(counts, keys, model.beta.n_clusters, model.beta.n_iter, options.pcelim)
+        out = out.join(beta_ops.project(ssd, model.beta.training, model.beta.coordinates, keys, options.neighbours, model.beta.n_iter), keys, "left")
+    if options.fd_metrics:
+        around = neighbourhoods(usable, bands, options.window)
+        own = around.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        around = around.join(enough_pixels(own, keys, least).select(*keys), keys, "left_semi")
+        out = out.join(fd_ops.functional(around, keys, bands, options.fd_metrics), keys, "left")
+    return out
+
+
+def evaluate(pixels: DataFrame, model: Model, n_cols: int, options: Options, tile: str | None = None) -> DataFrame:
+    """Diversity by a model: of fixed windows (of every tile), or with ``moving_window`` around every pixel."""
+    if options.moving_window:
+        if tile:
+            raise ValueError("moving windows don't stop at tiles")
+        return transform_moving(pixels, model, options)
     windowed = pixels.withColumn("win_id", window_id(F.col("r"), F.col("c"), options.window, n_cols))
     return transform(windowed, model, [tile, "win_id"] if tile else ["win_id"], options)
 
 
+def diversity(pixels: DataFrame, bands: Sequence[str], key: str, n_cols: int, options: Options, tile: str | None = None) -> DataFrame:
+    """The whole workflow on a grid: fit, then every window (of every tile), or the neighbourhood of every pixel."""
+    return evaluate(pixels, fit(pixels, bands, key, options), n_cols, options, tile)
+
+
 def apply_tiles(pixels: DataFrame, tile: str, n_cols: int, model: Model | None, options: Options) -> DataFrame:
     """All tiles with a stored model; without one there is nothing to apply."""
     if model is None:
         report("no_stored_model")
-    windowed = pixels.withColumn("win_id", window_id(F.col("r"), F.col("c"), options.window, n_cols))
-    return transform(windowed, model, [tile, "win_id"], options)
+    return evaluate(pixels, model, n_cols, options, tile)
 
 
 def plot_diversity(pixels: DataFrame, plots: DataFrame, model: Model, options: Options) -> DataFrame:
@@ -172,6 +215,23 @@ def class_diversity(pixels: DataFrame, column: str, keys: Sequence[str], options
     return alpha_ops.alpha(counts, keys, options.alpha_metrics, options.hill_order, options.pcelim, options.min_sun * options.window**2)
 
 
+def class_beta(pixels: DataFrame, column: str, keys: Sequence[str], options: Options) -> DataFrame:
+    """``keys``, ``coord``: places of windows in an ordination of up to ``beta_sample`` of them, by their classes.
+
+    Windows are sampled in hash order; the sample is bounded (``MAX_TRAINING``, checked where it is used).
+    """
+    numbers = class_numbers(pixels, column)
+    own = pixels.join(numbers.withColumnRenamed("class", column), column)
+    counts = enough_pixels(alpha_ops.species_counts(own, keys, "cid"), keys, options.min_sun * options.window**2)
+    ssd = beta_ops.dense(beta_ops.species_shares(counts, keys, options.pcelim), keys, numbers.count())
+    rows = ssd.orderBy(F.xxhash64(*keys, F.lit(options.seed)), *keys).limit(min(options.beta_sample, beta_ops.MAX_TRAINING + 1)).collect()
+    if not rows:
+        return ssd.select(*keys, F.array().cast("array<double>").alias("coord"))
+    training = np.array([r.ssd for r in rows], float)
+    places = principal_coordinates(beta_ops.bray_curtis_matrix(training, training), options.dimensions)[0]
+    return beta_ops.project(ssd, training, places, keys, options.neighbours)
+
+
 def moving_diversity(pixels: DataFrame, column: str, options: Options, keep: Sequence[str] = ()) -> DataFrame:
     """Alpha diversity of the neighbourhood of every pixel."""
     counts = moving_counts(pixels, column, options.window, keep=keep).withColumnRenamed(column, "cid")
@@ -186,5 +246,4 @@ def abundance_diversity(abundance: DataFrame, site: str, options: Options, train
     if training is None:
         return out
     shares = beta_ops.species_shares(abundance, [site], 0.0)
-    distance = beta_ops.bray_curtis_to(shares, training, site)
-    return out.join(beta_ops.weighted_neighbours(distance, coordinates, site, axes, options.neighbours), site, "left")
+    return out.join(beta_ops.project_shares(shares, training, coordinates, site, axes, options.neighbours), site, "left")
