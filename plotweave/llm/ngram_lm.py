@@ -130,19 +130,23 @@ def _batched(batches: Iterator[pa.RecordBatch], train_only: bool) -> Iterator[Ba
 # ---- packed integers
 
 
+#: Contexts of their own for each call would cost as much as what they do.
+_ZIP, _UNZIP = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def planes(values: np.ndarray) -> bytes:
     """Integers compressed byte position by byte position, each by itself; positions of zeros cost nothing."""
     grid = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.dtype.itemsize).T)
-    return _joined(len(values).to_bytes(4, "little"), *(zstandard.compress(row.tobytes(), 1) if row.any() else b"" for row in grid))
+    return _joined(len(values).to_bytes(4, "little"), *(_ZIP.compress(row) if row.any() else b"" for row in grid))
 
 
 def unplanes(data: bytes, kind: str) -> np.ndarray:
     n, *rows = _parts(data)
-    out = np.zeros((int.from_bytes(n, "little"), len(rows)), np.uint8)
-    for k, row in enumerate(rows):
+    grid = np.zeros((len(rows), int.from_bytes(n, "little")), np.uint8)
+    for own, row in zip(grid, rows, strict=True):
         if row:
-            out[:, k] = np.frombuffer(zstandard.decompress(row), np.uint8)
-    return out.reshape(-1).view(kind)
+            own[:] = np.frombuffer(_UNZIP.decompress(row), np.uint8)
+    return np.ascontiguousarray(grid.T).reshape(-1).view(kind)
 
 
 def _joined(*parts: bytes) -> bytes:
@@ -344,12 +348,21 @@ def lexicon(counts: DataFrame, summary: Words) -> Lexicon:
 # ---- trigrams of a batch
 
 
-def ranked(v: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """An order of trigrams by ``v``, ``u``, ``w``."""
+def ranked(v: np.ndarray, u: np.ndarray, w: np.ndarray, with_order: bool = True) -> tuple[np.ndarray | None, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """An order of trigrams by ``v``, ``u``, ``w`` (if it is wanted), where in it a new one starts, and the distinct ones."""
     bits = int(max(x.max(initial=0) for x in (v, u, w))).bit_length()
-    if 3 * bits <= 64:
-        return np.argsort(v.astype(np.uint64) << np.uint64(2 * bits) | u.astype(np.uint64) << np.uint64(bits) | w.astype(np.uint64))
-    return np.lexsort((w, u, v))
+    if 3 * bits > 64:
+        order = np.lexsort((w, u, v))
+        new = _changes(v[order], u[order], w[order])
+        at = order[new]
+        return order, new, (v[at], u[at], w[at])
+    one, two = np.uint64(bits), np.uint64(2 * bits)
+    key = v.astype(np.uint64) << two | u.astype(np.uint64) << one | w.astype(np.uint64)
+    order = np.argsort(key) if with_order else None
+    key = key[order] if with_order else np.sort(key)
+    new = _changes(key)
+    key, mask = key[new], np.uint64((1 << bits) - 1)
+    return order, new, ((key >> two).astype(np.int32), (key >> one & mask).astype(np.int32), (key & mask).astype(np.int32))
 
 
 @dataclass
@@ -386,18 +399,15 @@ def grams(lot: Batch, lex: Lexicon, with_docs: bool) -> Grams:
     v, u = np.empty_like(w), np.empty_like(w)
     v[1:], v[starts] = w[:-1], START_CODE
     u[1:], u[starts] = v[:-1], START_CODE
-    order = ranked(v, u, w)
-    v, u, w = v[order], u[order], w[order]
-    new = _changes(v, u, w)
+    order, new, (v, u, w) = ranked(v, u, w, with_docs)
     at = np.flatnonzero(new)
-    runs = np.diff(at, append=len(order))
+    runs = np.diff(at, append=len(new))
     docs = np.sort((np.cumsum(new) << 32) | lot.of[order]) & 0xFFFFFFFF if with_docs else None
-    v, u, w = v[at], u[at], w[at]
     bucket = lex.dealt(v, u, w, rare)
     deal = np.argsort(bucket, kind="stable")
     runs, at = runs[deal], at[deal]
     if with_docs:
-        docs = docs[np.repeat(at - np.cumsum(runs) + runs, runs) + np.arange(len(order))]
+        docs = docs[np.repeat(at - np.cumsum(runs) + runs, runs) + np.arange(len(docs))]
     return Grams(bucket[deal], v[deal], u[deal], w[deal], runs, docs, rare)
 
 
@@ -473,10 +483,8 @@ def merged(blobs: list[list[bytes]], size: int) -> tuple[np.ndarray, np.ndarray,
     del found
     if len(blobs) == 1:
         return rare, v, u, w, c.astype(np.int64)
-    order = ranked(v, u, w)
-    v, u, w = v[order], u[order], w[order]
-    at = np.flatnonzero(_changes(v, u, w))
-    return rare, v[at], u[at], w[at], np.add.reduceat(c[order], at, dtype=np.int64)
+    order, new, found = ranked(v, u, w)
+    return rare, *found, np.add.reduceat(c[order], np.flatnonzero(new), dtype=np.int64)
 
 
 def both(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -484,12 +492,14 @@ def both(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return first.astype(np.int64) << 32 | second
 
 
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and the sums of their counts."""
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, the sums of their counts, and where each given key is among them."""
     order = np.argsort(keys)
     keys = keys[order]
-    at = np.flatnonzero(_changes(keys))
-    return keys[at], np.add.reduceat(counts[order], at) if len(at) else counts[:0]
+    new = _changes(keys)
+    at, back = np.flatnonzero(new), np.empty(len(keys), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return keys[at], np.add.reduceat(counts[order], at) if len(at) else counts[:0], back
 
 
 def trigram_counts(docs: DataFrame, lex: Lexicon) -> DataFrame:
@@ -509,7 +519,7 @@ def trigram_counts(docs: DataFrame, lex: Lexicon) -> DataFrame:
         yield _blobs(bucket, GRAMS, 0, _joined(*pack(v, u, w, rare, lex.size), planes(c.astype("<u4"))))
         counts = np.arange(1, COUNTS + 1)
         yield _flat(bucket, TRIGRAMS_OF, counts, np.bincount(np.minimum(c, COUNTS + 1), minlength=COUNTS + 2)[1 : COUNTS + 1])
-        pairs, n = summed(both(v, w), c)
+        pairs, n, _ = summed(both(v, w), c)
         if bucket >= lex.cold:
             hashes = np.concatenate([lex.hashes, rare])
             yield _flat(bucket, FOLLOW, hashes[pairs & 0xFFFFFFFF], n)
@@ -566,8 +576,9 @@ class Part:
         own, v, u, w, c = merged(blobs[GRAMS], lex.size) if blobs.get(GRAMS) else (none.view(np.uint64), *[none] * 4)
         (told, told_c), follow, context = (_unpacked(blobs.get(k, [])) for k in (RARE, FOLLOW, CONTEXT))
         rare = np.unique(np.concatenate([own, told, context[0]])) if is_hot else own
-        beyond = lex.codes(rare, none.view(np.uint64)) == MISSING
-        self.rare = rare = rare[beyond]
+        if is_hot:
+            rare = rare[lex.codes(rare, none.view(np.uint64)) == MISSING]
+        self.rare = rare
         v, u, w = (_in_bucket(x, lex.size, own, rare) for x in (v, u, w))
         rare_c = np.zeros(len(rare), np.int64)
         at, right = _find(rare, told)
@@ -585,7 +596,7 @@ class Part:
             of = np.zeros(len(n2), np.int64)
             g = discounted(n2, d2) / self.middle_c[of]
         else:
-            self.pairs, n2 = summed(pair, c)
+            self.pairs, n2, of_pair = summed(pair, c)
             starts = np.flatnonzero(_changes(self.pairs >> 32))
             self.middles, self.middle_c = (self.pairs >> 32)[starts], _added(n2, starts)
             of = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(n2)))
@@ -595,7 +606,7 @@ class Part:
             self.middle_alpha, shrink = _weights(_added(g, starts), _added(p1, starts), self.middle_c)
         self.p2 = p2 = g * shrink[of]
         self.pair_adds = np.log10(p2) - np.log10(p1)
-        at = _find(self.pairs, pair)[0]
+        at = _find(self.pairs, pair)[0] if is_hot else of_pair
         starts = np.flatnonzero(_changes(v, u))
         self.contexts = both(v[starts], u[starts])
         self.shares = _added(c, starts), _added(discounted(c, d3), starts), _added(p2[at], starts)
@@ -606,7 +617,7 @@ class Part:
         else:
             context_c, used, lower = self.shares
         self.context_adds, shrink = _weights(used / context_c, lower, context_c)
-        of = _find(self.contexts, both(v, u))[0]
+        of = _find(self.contexts, both(v, u))[0] if len(context) > 2 else np.cumsum(_changes(v, u)) - 1
         # Where the three codes fit into one key, a trigram is found without its context.
         self.bits = (lex.size + len(rare)).bit_length()
         self.trigrams = self._keys(v, u, w, of)
@@ -806,8 +817,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         starts = np.zeros(int(runs.sum()), bool)
         starts[np.cumsum(runs) - runs] = True
         score, count = part.adds(*(_in_bucket(x, part.lex.size, rare, part.rare) for x in codes))
-        of, place = np.unique(_sums(unplanes(parts[5], "<u4"), starts), return_inverse=True)
-        add = lambda x: np.bincount(place, np.repeat(x, runs), len(of))
+        docs = _sums(unplanes(parts[5], "<u4"), starts)
+        of = np.flatnonzero(np.bincount(docs))
+        add = lambda x: np.bincount(docs, np.repeat(x, runs))[of]
         fixed = lambda x: planes(np.rint(x / UNIT).astype("<i8"))
         return _joined(planes(np.diff(of, prepend=0).astype("<u4")), fixed(add(score)), fixed(add(np.log10(np.maximum(count, 0) + 1.0))), planes(add(count > 0).astype("<u4")))
 
