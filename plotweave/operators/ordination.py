@@ -34,8 +34,42 @@ def signed(vectors: np.ndarray) -> np.ndarray:
     return vectors * np.where(vectors[at, np.arange(vectors.shape[1])] < 0, -1, 1)
 
 
+#: Bands up to which covariances are column expressions.
+FEW_BANDS = 16
+
+
+def array_moments(pixels: DataFrame, column: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number, means and sample covariances of an array column of equal lengths; arrays with a missing value are left out.
+
+    Means in one pass, then each task adds up the products of its centred rows as a matrix, and the tasks' sums
+    are added by place: half the bands squared numbers a task, and as many on the driver, however many pixels there are.
+    """
+    whole = pixels.select(F.col(column).cast("array<double>").alias("x")).filter(F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
+    means = whole.select(F.posexplode("x").alias("k", "v")).groupBy("k").agg(F.count("v").alias("n"), F.avg("v").alias("m")).orderBy("k").collect()  # a row a band
+    if not means:
+        return 0, np.zeros(0), np.zeros((0, 0))
+    center = np.array([r.m for r in means])
+    upper = np.triu_indices(len(center))
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(center), len(center)))
+        for batch in batches:
+            if len(batch):
+                rows = np.stack(batch["x"].to_numpy()) - center
+                total += rows.T @ rows
+        yield pd.DataFrame({"k": np.arange(len(upper[0])), "v": total[upper]})
+
+    sums = whole.mapInPandas(products, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").collect()
+    covariance = np.zeros((len(center), len(center)))
+    covariance[upper] = [r.v for r in sums]
+    covariance = covariance + np.triu(covariance, 1).T
+    return means[0].n, center, covariance / max(1, means[0].n - 1)
+
+
 def moments(pixels: DataFrame, bands: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number, means and sample covariances in one pass; rows with a missing value are left out."""
+    """Number, means and sample covariances; rows with a missing value are left out. Few bands take one pass of expressions, many ``array_moments``."""
+    if len(bands) > FEW_BANDS:
+        return array_moments(pixels.select(F.array(*(F.col(b).cast("double") for b in bands)).alias("x")), "x")
     usable = pixels.select(*(F.col(b).cast("double").alias(b) for b in bands)).dropna()
     pairs = [(i, j) for i in range(len(bands)) for j in range(i, len(bands))]
     row = usable.agg(F.count(F.lit(1)), *(F.avg(b) for b in bands), *(F.covar_samp(bands[i], bands[j]) for i, j in pairs)).first()
@@ -47,7 +81,10 @@ def moments(pixels: DataFrame, bands: Sequence[str]) -> tuple[int, np.ndarray, n
 
 def fit_pca(sample: DataFrame, bands: Sequence[str], standardize: bool = False, keep: int | None = None) -> Rotation:
     """Principal components of centred, and with ``standardize`` scaled, bands."""
-    _, mean, covariance = moments(sample, bands)
+    return _components(bands, *moments(sample, bands)[1:], standardize, keep)
+
+
+def _components(bands: Sequence[str], mean: np.ndarray, covariance: np.ndarray, standardize: bool, keep: int | None) -> Rotation:
     sd = np.sqrt(np.diag(covariance)) if standardize else np.ones(len(bands))
     if (sd == 0).any():
         raise ValueError("a constant band can't be scaled")
@@ -56,6 +93,19 @@ def fit_pca(sample: DataFrame, bands: Sequence[str], standardize: bool = False,
     return Rotation(tuple(bands), mean, sd, signed(vectors[:, order]), values[order])
 
 
+def fit_array_pca(sample: DataFrame, column: str, standardize: bool = False, keep: int | None = None, least_sd: float = 0.0) -> tuple[Rotation, list[int]]:
+    """Principal components of an array column, without its constant places; and the places (from 0) that are left."""
+    _, mean, covariance = array_moments(sample, column)
+    left = np.flatnonzero(np.sqrt(np.diag(covariance)) > least_sd).tolist()
+    return _components([str(k) for k in left], mean[left], covariance[np.ix_(left, left)], standardize, keep), left
+
+
+def rotate_array(pixels: DataFrame, model: Rotation, places: Sequence[int], column: str, keep: Sequence[str], select: Sequence[int] | None = None) -> DataFrame:
+    """``keep`` and ``pc1`` ... of an array column; an array with a missing value gives nulls."""
+    each = pixels.select(*keep, *(F.get(column, F.lit(k)).alias(name) for k, name in zip(places, model.bands, strict=True)))
+    return rotate(each, model, keep, select)
+
+
 def fit_mnf(pixels: DataFrame, noise: DataFrame, bands: Sequence[str]) -> Rotation:
     """Maximum noise fraction: eigenvectors of the inverse noise covariance times the covariance."""
     _, mean, covariance = moments(pixels, bands)

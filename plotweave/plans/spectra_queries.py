@@ -134,6 +134,19 @@ def spca_scores(spark, sf_dir):
     return rounded(ord_ops.rotate(px, ord_ops.fit_pca(px, BANDS, True), ["vec_id"], [1, 3]))
 
 
+def band_covariance(spark, sf_dir):
+    """Covariances of all 64 bands."""
+    _, _, covariance = ord_ops.array_moments(spectra(spark, sf_dir), "x")
+    rows = [(i, j, float(v)) for i, own in enumerate(covariance) for j, v in enumerate(own) if i <= j]
+    return rounded(spark.createDataFrame(rows, "i int, j int, covariance double"))
+
+
+def spectral_components(spark, sf_dir):
+    """All bands: domains, continuum, constant bands, standardised components."""
+    model = workflows.fit_components(spectra(spark, sf_dir), WAVELENGTHS, "vec_id", "x", keep=4)
+    return rounded(workflows.components(spectra(spark, sf_dir), model, "vec_id", "x"))
+
+
 def kmeans_fit(spark, sf_dir):
     model = species.fit_species(flat(spark, sf_dir), BANDS, "vec_id", 4, 6, starts=3)
     return rounded(model.centroids.select("iter", "cid", F.col("center")[0].alias("c0"), "cost"))
@@ -149,7 +162,7 @@ def species_workflow(spark, sf_dir):
     return workflows.species_map(px, model, ["vec_id"])
 
 
-QUERIES = {f.__name__: f for f in (species_assign, species_assign_native, species_map, plot_species, alpha_iterations, bc_iteration_mean, pcoa_spectra, nearest_bands, excluded_domains, band_check, radiometric_mask, spectral_indices, invariant_bands, continuum_removed, pca_scores, spca_scores, kmeans_fit, explore_k, species_workflow)}
+QUERIES = {f.__name__: f for f in (species_assign, species_assign_native, species_map, plot_species, alpha_iterations, bc_iteration_mean, pcoa_spectra, nearest_bands, excluded_domains, band_check, radiometric_mask, spectral_indices, invariant_bands, continuum_removed, pca_scores, spca_scores, band_covariance, spectral_components, kmeans_fit, explore_k, species_workflow)}
 
 _CENTRES = ", ".join(map(str, CENTRES))
 _ASSIGN = f"""{SPECTRA_SQL}, ce(iter, cid, vec) as (values {_CENTRES}),
@@ -165,6 +178,7 @@ _ITER = f"""a as (select label, iter, cid, count(*) as n from asg group by 1, 2,
  s as (select label, iter, cid, n * 1.0 / sum(n) over (partition by label, iter) as p from t where n >= {alpha_ops.PCELIM}::double * t)"""
 
 ORACLE_SQL = {
+    "band_covariance": f"with {SPECTRA_SQL}, u as (select vec_id, unnest(x) as v, generate_subscripts(x, 1) as i from sp) select (a.i - 1)::int as i, (b.i - 1)::int as j, round(covar_samp(a.v, b.v), 6) as covariance from u as a join u as b on a.vec_id = b.vec_id and a.i <= b.i group by 1, 2",
     "species_assign": f"with {_ASSIGN} select vec_id, " + ", ".join(f"max(case when iter = {i} then cid end) as iter_{i}" for i in (1, 2, 3)) + " from asg group by 1",
     "species_assign_native": f"with {_ASSIGN} select vec_id, iter, cid from asg",
     "species_map": f"with {_ASSIGN} select vec_id, cid from asg where iter = 1",

@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from plotweave.operators import alpha as alpha_ops
 from plotweave.operators import beta as beta_ops
 from plotweave.operators import functional as fd_ops
-from plotweave.operators.masks import clean, iqr_bounds
-from plotweave.operators.ordination import ordinate, principal_coordinates
+from plotweave.operators.masks import EXCLUDED_DOMAINS, clean, iqr_bounds
+from plotweave.operators.ordination import Rotation, fit_array_pca, ordinate, principal_coordinates, rotate_array
 from plotweave.operators.plots import with_attributes
 from plotweave.operators.sampling import sample_pixels, sample_plots
 from plotweave.operators.search import correlation, mantel
 from plotweave.operators.species import SpeciesModel, assign_model, fit_species
-from plotweave.operators.transforms import scale
+from plotweave.operators.transforms import continuum_removed, scale
 from plotweave.operators.windows import enough_pixels, moving_counts, offsets, window_id
 from plotweave.plans.options import Options, report
 
@@ -198,6 +198,46 @@ def feature_criterion(sample: DataFrame, pixels: DataFrame, observed: DataFrame,
     return criterion
 
 
+@dataclass(frozen=True)
+class SpectralModel:
+    """How spectra become components: the rotation, the places of a continuum-removed spectrum that it takes, and which components are used."""
+
+    rotation: Rotation
+    places: tuple[int, ...]
+    wavelengths: tuple[float, ...]
+    continuum: bool
+    selected: tuple[int, ...] | None = None
+
+    def chosen(self) -> tuple[int, ...]:
+        """The components chosen for what follows; without a choice there is nothing to go on with."""
+        if not self.selected:
+            report("pca_choice")
+        return self.selected
+
+
+def prepared_spectra(spectra: DataFrame, wavelengths: Sequence[float], key: str, column: str, continuum: bool) -> DataFrame:
+    """``key``, ``x``: spectra without excluded domains, over their continuum if wanted."""
+    if continuum:
+        return continuum_removed(spectra, wavelengths, key, column).withColumnRenamed("cr", "x")
+    kept = [i for i, w in enumerate(wavelengths) if not any(low < w < high for low, high in EXCLUDED_DOMAINS)]
+    return spectra.select(key, F.transform(F.array(*map(F.lit, kept)), lambda i: F.get(column, i).cast("double")).alias("x"))
+
+
+def fit_components(spectra: DataFrame, wavelengths: Sequence[float], key: str, column: str, n_sample: int = 1_000_000, standardize: bool = True, keep: int | None = None, continuum: bool = True, selected: Sequence[int] | None = None) -> SpectralModel:
+    """Excluded domains, continuum removal, constant bands, then (standardised) components of a sample of pixels."""
+    sample = prepared_spectra(sample_pixels(spectra.select(key, column), n_sample, key), wavelengths, key, column, continuum)
+    rotation, places = fit_array_pca(sample, "x", standardize, keep, 1e-12)
+    return SpectralModel(rotation, tuple(places), tuple(wavelengths), continuum, tuple(selected) if selected else None)
+
+
+def components(spectra: DataFrame, model: SpectralModel | None, key: str, column: str) -> DataFrame:
+    """``key`` and the components (those chosen, if any were) of every pixel by a stored model."""
+    if model is None:
+        report("no_pca")
+    x = prepared_spectra(spectra, model.wavelengths, key, column, model.continuum)
+    return rotate_array(x, model.rotation, model.places, "x", [key], model.selected)
+
+
 def species_map(pixels: DataFrame, model: SpeciesModel, keys: Sequence[str], mask: str | None = None) -> DataFrame:
     """``keys``, ``cid``: the species of every valid pixel by the first set of centroids."""
     valid = pixels if mask is None else pixels.filter(F.col(mask) == 1)
