@@ -93,18 +93,31 @@ def sample_plots(pixels: DataFrame, n: int, key: str, width: int, least: float,
     return own.join(counts.filter(F.col("_n") > bound if strict else F.col("_n") >= bound).select("plot_id"), "plot_id", "left_semi")
 
 
-def sample_tile_plots(pixels: DataFrame, tile: str, per_tile: int, key: str, width: int, least: float = 0.6, spare: int = 5, order: Column | None = None) -> DataFrame:
-    """Pixels of plots in each tile: ``spare`` more centres than wanted, those with more than ``least`` of their area, the first ``per_tile`` of them, numbered over all tiles."""
-    rank = hash_order(key) if order is None else order
-    first = Window.partitionBy(tile).orderBy(rank, F.col(key))
-    centres = pixels.withColumn("_i", F.row_number().over(first)).filter(F.col("_i") <= per_tile + spare).select(F.col(tile).alias("_tile"), F.col("_i").alias("plot_id"), "r", "c", tile)
-    own = around(centres.drop("_tile"), pixels.withColumnRenamed(key, "_key"), width, keys=[tile]).withColumnRenamed("_key", key)
+def sample_tile_plots(pixels: DataFrame, tile: str, per_tile: int | DataFrame, key: str, width: int, least: float = 0.6, spare: int = 5, order: Column | None = None) -> DataFrame:
+    """Pixels of plots in each tile: ``spare`` more centres than wanted, those with more than ``least`` of their area, the first ``per_tile`` of them, numbered over all tiles.
+
+    ``per_tile`` is a number or a table (``tile``, ``quota``).
+    """
+    own_order = ranked(pixels, tile, hash_order(key) if order is None else order, key).drop("_n")
+    placed = own_order.withColumn("quota", F.lit(per_tile)) if isinstance(per_tile, int) else own_order.join(per_tile.select(tile, "quota"), tile)
+    centres = placed.filter(F.col("_i") <= F.col("quota") + spare).select(F.col("_i").alias("plot_id"), "r", "c", tile, "quota")
+    own = around(centres.drop("quota"), pixels.withColumnRenamed(key, "_key"), width, keys=[tile]).withColumnRenamed("_key", key)
     good = own.groupBy(tile, "plot_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > least * width * width)
-    kept = good.withColumn("_j", F.row_number().over(Window.partitionBy(tile).orderBy("plot_id"))).filter(F.col("_j") <= per_tile)
+    kept = good.withColumn("_j", F.row_number().over(Window.partitionBy(tile).orderBy("plot_id"))).join(centres.select(tile, "plot_id", "quota"), [tile, "plot_id"]).filter(F.col("_j") <= F.col("quota"))
+    # A row a plot, and plots are as many as the sample wants.
     numbered = kept.withColumn("plot", F.dense_rank().over(Window.orderBy(tile, "plot_id"))).select(tile, "plot_id", "plot")
     return own.join(numbered, [tile, "plot_id"]).drop("plot_id").withColumnRenamed("plot", "plot_id")
 
 
+def sample_all_tiles(pixels: DataFrame, tile: str, key: str, n_pixels: int, n_plots: int, width: int, order: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pixels for the species and pixels of plots (``plot_id``) for the ordination, of every tile in proportion to its pixels.
+
+    Pixels are evenly spaced, quotas of plots are rounded up.
+    """
+    counts = pixels.groupBy(tile).agg(F.count(F.lit(1)).alias("n"))
+    return sample_tiles(pixels, tile, n_pixels, key), sample_tile_plots(pixels, tile, quotas(counts, n_plots, up=True), key, width, order=order)
+
+
 def cells_at(pixels: DataFrame, coordinates: DataFrame, mask: str | None = None, row: str = "r", col: str = "c") -> DataFrame:
     """The pixels at given cells, with mask 1."""
     valid = pixels if mask is None else pixels.filter(F.col(mask) == 1)

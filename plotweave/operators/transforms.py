@@ -95,11 +95,12 @@ def remove_continuum(x: np.ndarray, wl: np.ndarray, absorbance: bool = False, su
     return 1 / out - 1 if absorbance else out
 
 
-def continuum_removed(spectra: DataFrame, wavelengths: Sequence[float], key: str, column: str = "spectrum", domains: Sequence[tuple[float, float]] = EXCLUDED_DOMAINS) -> DataFrame:
+def continuum_removed(spectra: DataFrame, wavelengths: Sequence[float], key: str, column: str = "spectrum", domains: Sequence[tuple[float, float]] = EXCLUDED_DOMAINS, absorbance: bool = False, subtract: bool = False, spline: bool = False) -> DataFrame:
     """``key``, ``cr``: spectra without excluded domains, negatives as 0, over their hull, first and last band dropped.
 
-    A constant spectrum, and one with a missing value, gives zeros. Runs in Arrow batches, whose
-    size bounds the memory.
+    With ``subtract``, 1 plus the difference to the hull; with ``absorbance``, the hull is that of the inverse; with
+    ``spline``, the hull's points are joined by a cubic. A constant spectrum, and one with a missing value (or, as
+    absorbance, a zero), gives zeros. Runs in Arrow batches, whose size bounds the memory.
     """
     wl = np.array(wavelengths, float)
     use = np.array([not any(low < w < high for low, high in domains) for w in wl])
@@ -112,8 +113,8 @@ def continuum_removed(spectra: DataFrame, wavelengths: Sequence[float], key: str
             for spectrum in batch[column]:
                 x = np.full(len(wl), np.nan) if spectrum is None else np.asarray(spectrum, float)
                 x = np.maximum(x[use], 0)
-                good = len(x) > 2 and np.isfinite(x).all() and x.min() < x.max()
-                rows.append(remove_continuum(x, kept)[1:-1] if good else np.zeros(max(0, len(kept) - 2)))
+                good = len(x) > 2 and np.isfinite(x).all() and x.min() < x.max() and not (absorbance and x.min() == 0)
+                rows.append(remove_continuum(x, kept, absorbance, subtract, spline)[1:-1] if good else np.zeros(max(0, len(kept) - 2)))
             yield pd.DataFrame({key: batch[key], "cr": rows})
 
     return spectra.select(key, column).mapInPandas(run, f"`{key}` {kind}, cr array<double>")

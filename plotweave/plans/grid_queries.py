@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotweave.operators import alpha as alpha_ops
+from plotweave.operators import beta as beta_ops
 from plotweave.operators import functional as fd_ops
 from plotweave.operators import masks, plots, sampling, search, transforms, windows
 from plotweave.operators import ordination as ord_ops
@@ -145,6 +148,14 @@ def sample_tile_plots(spark, sf_dir):
     return rounded(own.groupBy("tile", "plot_id").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_value")).select("tile", F.col("plot_id").cast("bigint").alias("plot_id"), "n", "mean_value"))
 
 
+def tile_samples(spark, sf_dir):
+    """How many pixels of every tile the species are fitted on, and the ordination's plots with theirs."""
+    alpha, beta = sampling.sample_all_tiles(pixels(spark, sf_dir), "tile", "event_id", 300, 20, 5, portable())
+    count = F.count(F.lit(1)).alias("n")
+    sizes = alpha.groupBy("tile").agg(count).select("tile", F.lit(0).cast("bigint").alias("plot_id"), "n")
+    return sizes.unionByName(beta.groupBy("tile", "plot_id").agg(count).withColumn("plot_id", F.col("plot_id").cast("bigint")))
+
+
 def tile_stats(spark, sf_dir):
     part = sampling.sample_fraction(pixels(spark, sf_dir), "tile", 0.25, "event_id", portable())
     return rounded(masks.iqr_bounds(part, ["value"], 1.5, ["tile"]))
@@ -200,6 +211,12 @@ def functional_hull(spark, sf_dir):
     return rounded(fd_ops.functional(scaled, ["win_id"], BANDS))
 
 
+def functional_traits(spark, sf_dir):
+    """Dispersion and quadratic entropy of three traits."""
+    # Rounded twice on both sides: some values are halves of the last digit.
+    return rounded(rounded(fd_ops.functional(windowed(spark, sf_dir), ["win_id"], BANDS, ("fdis", "raoq")), 9))
+
+
 def mnf_scores(spark, sf_dir):
     px = pixels(spark, sf_dir)
     model = ord_ops.fit_mnf(px, transforms.noise(px, BANDS), BANDS)
@@ -227,7 +244,8 @@ def full_workflow(spark, sf_dir):
 
 
 def full_workflow_tiles(spark, sf_dir):
-    return rounded(workflows.diversity(pixels(spark, sf_dir), BANDS, "event_id", N_COLS, SMALL, "tile"))
+    """Masks, samples by tile, one model, the mosaic of all tiles."""
+    return rounded(workflows.tiled_diversity(pixels(spark, sf_dir), BANDS, "tile", "event_id", N_COLS, replace(SMALL, iqr_weight=4.0)))
 
 
 def _observed(px: DataFrame) -> DataFrame:
@@ -252,6 +270,30 @@ def forward_selection_functional(spark, sf_dir):
     return rounded(spark.createDataFrame(search.select_forward(BANDS, criterion, 1), "round int, band string, r double"))
 
 
+def _blocks(spark, sf_dir) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Pixels by plots of 20 x 20, and what their event types say of alpha and beta diversity."""
+    px = pixels(spark, sf_dir).withColumn("plot_id", windows.window_id(F.col("r"), F.col("c"), 20, N_COLS))
+    counts = alpha_ops.species_counts(px, ["plot_id"], "event_type")
+    alpha = alpha_ops.alpha(counts, ["plot_id"], ["shannon", "simpson"])
+    found = {m: alpha.select("plot_id", F.col(m).alias("value")) for m in ("shannon", "simpson")}
+    found["fdis"] = found["shannon"]
+    found["bc"] = beta_ops.bray_curtis_pairs(beta_ops.species_shares(counts, ["plot_id"]), "plot_id")
+    return px, found
+
+
+def forward_selection_report(spark, sf_dir):
+    """Every metric of every candidate of a selection by Bray-Curtis dissimilarity."""
+    px, observed = _blocks(spark, sf_dir)
+    criterion = workflows.feature_criterion(sampling.sample_pixels(px, 1000, "event_id"), px, observed, "event_id", None, Options(n_clusters=6, n_iter=2, starts=1))
+    return rounded(spark.createDataFrame(search.forward_report(BANDS, criterion, "bc"), "round int, band string, metric string, r double, chosen boolean"))
+
+
+def cluster_search_beta(spark, sf_dir):
+    px, observed = _blocks(spark, sf_dir)
+    sample = sampling.sample_pixels(px, 1000, "event_id")
+    return rounded(search.cluster_search(sample, px, observed["bc"], masks.iqr_bounds(px, BANDS), BANDS, (4, 8), 2, "bc", "event_id", 1))
+
+
 def plot_workflow(spark, sf_dir):
     """Field plots with attributes: alpha, functional metrics and both ordinations."""
     px = pixels(spark, sf_dir)
@@ -268,7 +310,7 @@ def cluster_search(spark, sf_dir):
     return rounded(search.cluster_search(sample, own, _observed(px), masks.iqr_bounds(px, BANDS), BANDS, (4, 8), 2, key="event_id", starts=1))
 
 
-QUERIES = {f.__name__: f for f in (alpha_grid, alpha_plots, alpha_classif, beta_classif, alpha_moving_window, alpha_tiles, mosaic_tiles, map_layers, window_ids, sunlit_windows, iqr_bounds, iqr_mask, tile_masks, clean_rows, scale_bands, noise_diff, sample_pixels, pixels_per_lot, sample_regular_tiles, sample_random_tiles, sample_plots, sample_tile_plots, tile_stats, valid_pixels, extract_plots, plot_layers, cells_at_coords, plot_values, functional_1d, functional_hull, mnf_scores, crop_border, grid_extent, grid_cells, full_workflow, full_workflow_tiles, plot_workflow, forward_selection, forward_selection_functional, cluster_search)}
+QUERIES = {f.__name__: f for f in (alpha_grid, alpha_plots, alpha_classif, beta_classif, alpha_moving_window, alpha_tiles, mosaic_tiles, map_layers, window_ids, sunlit_windows, iqr_bounds, iqr_mask, tile_masks, clean_rows, scale_bands, noise_diff, sample_pixels, pixels_per_lot, sample_regular_tiles, sample_random_tiles, sample_plots, sample_tile_plots, tile_samples, tile_stats, valid_pixels, extract_plots, plot_layers, cells_at_coords, plot_values, functional_1d, functional_hull, functional_traits, mnf_scores, crop_border, grid_extent, grid_cells, full_workflow, full_workflow_tiles, plot_workflow, forward_selection, forward_selection_functional, forward_selection_report, cluster_search, cluster_search_beta)}
 
 _WINDOWS = f"(select {WIN_SQL} as win_id, event_type as cid, count(*) as n from px group by 1, 2)"
 _TILED = f"(select tile, {WIN_SQL} as win_id, event_type as cid, count(*) as n from px group by 1, 2, 3)"
@@ -308,6 +350,13 @@ ORACLE_SQL = {
  g as (select a.tile, a.i, count(*) as n, avg(px.value) as m from a, o as y, o as x, px where a.i <= 9 and px.tile = a.tile and px.r = a.r + y.d and px.c = a.c + x.d group by 1, 2 having count(*) > 0.7 * 25),
  k as (select *, row_number() over (partition by tile order by i) as j from g)
  select tile, row_number() over (order by tile, i) as plot_id, n, round(m, 6) as mean_value from k where j <= 4""",
+    "tile_samples": f"""with {PIXELS_SQL}, {_QUOTAS}, o as (select unnest(range(-2, 3)) as d),
+ u as (select tile, ceil(count(*) * least(1.0::double, 20.0::double / (select count(*) from px)))::bigint as quota from px group by tile),
+ a as (select *, row_number() over (partition by tile order by {PORTABLE_SQL}, event_id) as i, row_number() over (partition by tile order by event_id) as j from px),
+ g as (select a.tile, a.i, count(*) as n from a join u on a.tile = u.tile and a.i <= u.quota + 5, o as y, o as x, px where px.tile = a.tile and px.r = a.r + y.d and px.c = a.c + x.d group by 1, 2 having count(*) > 0.6 * 25),
+ k as (select g.*, row_number() over (partition by g.tile order by i) as j from g),
+ b as (select k.tile, row_number() over (order by k.tile, i) as plot_id, n from k join u on k.tile = u.tile and k.j <= u.quota)
+ select a.tile, 0::bigint as plot_id, count(*) as n from a join q on a.tile = q.tile where (j * quota) // n > ((j - 1) * quota) // n group by 1 union all select tile, plot_id, n from b""",
     "tile_stats": f"""with {PIXELS_SQL}, i as (select *, row_number() over (partition by tile order by {PORTABLE_SQL}, event_id) as i, count(*) over (partition by tile) as n from px),
  q as (select tile, quantile_cont(value, 0.25) as a, quantile_cont(value, 0.75) as b from i where i <= greatest(1, floor(n * 0.25)) group by tile)
  select tile, 'value' as band, round(a - (b - a) * 1.5, 6) as low, round(b + (b - a) * 1.5, 6) as high from q""",
@@ -320,6 +369,11 @@ ORACLE_SQL = {
  f as (select px.user_id, avg(abs(value - m)) as fdis from px join m using (user_id) group by 1),
  q as (select a.user_id, avg(abs(a.value - b.value)) as raoq from px as a join px as b on a.user_id = b.user_id group by 1)
  select user_id, round(round(fric, 10), 6) as fric, round(round(fdis, 10), 6) as fdis, round(round(raoq, 10), 6) as raoq from m join f using (user_id) join q using (user_id)""",
+    "functional_traits": f"""with {PIXELS_SQL}, v as (select {WIN_SQL} as win_id, event_id, value, minute, k from px where value is not null and minute is not null and k is not null),
+ m as (select win_id, avg(value) as a, avg(minute) as b, avg(k) as c from v group by 1 having count(*) > 3),
+ f as (select v.win_id, avg(sqrt(power(value - a, 2) + power(minute - b, 2) + power(k - c, 2))) as fdis from v join m on v.win_id = m.win_id group by 1),
+ q as (select x.win_id, avg(sqrt(power(x.value - y.value, 2) + power(x.minute - y.minute, 2) + power(x.k - y.k, 2))) as raoq from v as x join v as y on x.win_id = y.win_id group by 1)
+ select w.win_id, round(round(fdis, 9), 6) as fdis, round(round(case when fdis is not null then raoq end, 9), 6) as raoq from (select distinct win_id from v) as w left join f on f.win_id = w.win_id left join q on q.win_id = w.win_id""",
     "crop_border": f"with {PIXELS_SQL} select r, c, event_id from px where r between 3 and (select max(r) from px) - 3 and c between 3 and 96",
     "grid_extent": f"with {PIXELS_SQL} select min(r) as r_min, max(r) as r_max, min(c) as c_min, max(c) as c_max from px",
     "grid_cells": f"with {PIXELS_SQL} select r // 15 as cell_r, c // 15 as cell_c, r // 15 * 15 as r_min, r // 15 * 15 + 14 as r_max, c // 15 * 15 as c_min, c // 15 * 15 + 14 as c_max, count(*) as n from px group by all",

@@ -124,6 +124,13 @@ def continuum_removed(spark, sf_dir):
     return rounded(found.select("vec_id", F.posexplode("cr").alias("i", "cr")).select("vec_id", (F.col("i") + 1).cast("bigint").alias("i"), "cr"))
 
 
+def continuum_variants(spark, sf_dir):
+    """Differences to the hull, and the same spectra taken as absorbances; they are positive."""
+    positive = spectra(spark, sf_dir).select("vec_id", F.transform("x", lambda v: F.abs(v) + 0.1).alias("x"))
+    found = [transforms.continuum_removed(positive, WAVELENGTHS, "vec_id", "x", **{kind: True}).select("vec_id", F.posexplode("cr").alias("i", kind)) for kind in ("subtract", "absorbance")]
+    return rounded(found[0].join(found[1], ["vec_id", "i"]).withColumn("i", (F.col("i") + 1).cast("bigint")))
+
+
 def pca_scores(spark, sf_dir):
     px = flat(spark, sf_dir)
     return rounded(ord_ops.rotate(px, ord_ops.fit_pca(px, BANDS, keep=3), ["vec_id"]))
@@ -162,7 +169,7 @@ def species_workflow(spark, sf_dir):
     return workflows.species_map(px, model, ["vec_id"])
 
 
-QUERIES = {f.__name__: f for f in (species_assign, species_assign_native, species_map, plot_species, alpha_iterations, bc_iteration_mean, pcoa_spectra, nearest_bands, excluded_domains, band_check, radiometric_mask, spectral_indices, invariant_bands, continuum_removed, pca_scores, spca_scores, band_covariance, spectral_components, kmeans_fit, explore_k, species_workflow)}
+QUERIES = {f.__name__: f for f in (species_assign, species_assign_native, species_map, plot_species, alpha_iterations, bc_iteration_mean, pcoa_spectra, nearest_bands, excluded_domains, band_check, radiometric_mask, spectral_indices, invariant_bands, continuum_removed, continuum_variants, pca_scores, spca_scores, band_covariance, spectral_components, kmeans_fit, explore_k, species_workflow)}
 
 _CENTRES = ", ".join(map(str, CENTRES))
 _ASSIGN = f"""{SPECTRA_SQL}, ce(iter, cid, vec) as (values {_CENTRES}),
@@ -202,5 +209,9 @@ ORACLE_SQL = {
  k as (select vec_id, i, wl, greatest(x[ix + 1], 0) as v from sp, u), r as (select vec_id, max(v) > min(v) as good, max(i) as last from k group by 1),
  h as (select a.vec_id, m.i, max(a.v + (b.v - a.v) * (m.wl - a.wl) / (b.wl - a.wl)) as hull from k as a join k as b on a.vec_id = b.vec_id and a.i < b.i join k as m on m.vec_id = a.vec_id and m.i between a.i and b.i group by 1, 2)
  select k.vec_id, k.i, case when good and hull <> 0 then round(v / hull, 6) else 0.0::double end as cr from k join r on k.vec_id = r.vec_id join h on h.vec_id = k.vec_id and h.i = k.i where k.i between 1 and last - 1""",
+    "continuum_variants": f"""with {SPECTRA_SQL}, {_WL}, u as (select ix, wl, row_number() over (order by ix) - 1 as i from wl where {_DOMAINS}),
+ k as (select vec_id, i, wl, abs(x[ix + 1]) + 0.1::double as v, 1 / (abs(x[ix + 1]) + 0.1::double) as w from sp, u),
+ h as (select a.vec_id, m.i, max(a.v + (b.v - a.v) * (m.wl - a.wl) / (b.wl - a.wl)) as hv, max(a.w + (b.w - a.w) * (m.wl - a.wl) / (b.wl - a.wl)) as hw from k as a join k as b on a.vec_id = b.vec_id and a.i < b.i join k as m on m.vec_id = a.vec_id and m.i between a.i and b.i group by 1, 2)
+ select k.vec_id, k.i, round(1 + v - hv, 6) as subtract, round(hw / w - 1, 6) as absorbance from k join h on h.vec_id = k.vec_id and h.i = k.i where k.i between 1 and (select max(i) - 1 from u)""",
     "invariant_bands": f"with {SPECTRA_SQL} " + " union all ".join([*(f"select 'b{i}' as band, round(stddev_samp(x[{i + 1}]), 6) as sd, stddev_samp(x[{i + 1}]) = 0 as invariant from sp" for i in range(N_FLAT)), "select 'constant', 0.0::double, true"]),
 }

@@ -2,27 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotweave.operators import alpha as alpha_ops
 from plotweave.operators import beta as beta_ops
 from plotweave.operators import functional as fd_ops
-from plotweave.operators.masks import EXCLUDED_DOMAINS, clean, iqr_bounds
+from plotweave.operators.masks import EXCLUDED_DOMAINS, clean, iqr_bounds, within
 from plotweave.operators.ordination import Rotation, fit_array_pca, ordinate, principal_coordinates, rotate_array
 from plotweave.operators.plots import with_attributes
-from plotweave.operators.sampling import sample_pixels, sample_plots
+from plotweave.operators.sampling import sample_all_tiles, sample_fraction, sample_pixels, sample_plots
 from plotweave.operators.search import correlation, mantel
 from plotweave.operators.species import SpeciesModel, assign_model, fit_species
 from plotweave.operators.transforms import continuum_removed, scale
 from plotweave.operators.windows import enough_pixels, moving_counts, offsets, window_id
 from plotweave.plans.options import Options, report
 
+#: Pixels of all tiles that the bounds of their masks are taken from.
+STATISTICS = 5_000_000
+
 
 @dataclass(frozen=True)
 class BetaModel:
@@ -141,6 +144,32 @@ def diversity(pixels: DataFrame, bands: Sequence[str], key: str, n_cols: int, op
     return evaluate(pixels, fit(pixels, bands, key, options), n_cols, options, tile)
 
 
+def tile_masks(pixels: DataFrame, bands: Sequence[str], tile: str, key: str, options: Options, n_stats: int = STATISTICS, order: Column | None = None) -> DataFrame:
+    """Pixels of all tiles within the bounds of a sample that takes the same share of each."""
+    usable = clean(pixels, bands)
+    n = usable.count()
+    part = usable if n <= n_stats else sample_fraction(usable, tile, n_stats / n, key, order)
+    return within(usable, iqr_bounds(part, bands, options.iqr_weight), bands).filter("mask = 1").drop("mask")
+
+
+def fit_tiles(pixels: DataFrame, bands: Sequence[str], tile: str, key: str, options: Options, stored: SpeciesModel | None = None) -> Model:
+    """As ``fit``, from samples that take of every tile in proportion to its pixels."""
+    sample, plots = sample_all_tiles(pixels, tile, key, options.alpha_sample, options.beta_sample, options.window)
+    if stored is None:
+        stored = fit_species(sample, bands, key, options.n_iter, options.n_clusters, options.iqr_weight, options.starts, seed=options.seed)
+        stored = SpeciesModel(stored.centroids.cache(), stored.bounds.cache(), stored.bands)
+    return Model(stored, fit_beta(plots, stored, options) if options.beta_metrics else None)
+
+
+def tiled_diversity(pixels: DataFrame, bands: Sequence[str], tile: str, key: str, n_cols: int, options: Options, stored: SpeciesModel | None = None, n_stats: int = STATISTICS) -> DataFrame:
+    """Tiles from pixels to one map: masks by a sample's bounds, samples by tile, one model, every tile's windows.
+
+    The result is the mosaic of all tiles, with their number; ``maps.write_map`` stores a folder a tile.
+    """
+    masked = tile_masks(pixels, bands, tile, key, options, n_stats)
+    return apply_tiles(masked, tile, n_cols, fit_tiles(masked, bands, tile, key, options, stored), options)
+
+
 def apply_tiles(pixels: DataFrame, tile: str, n_cols: int, model: Model | None, options: Options) -> DataFrame:
     """All tiles with a stored model; without one there is nothing to apply."""
     if model is None:
@@ -174,26 +203,36 @@ def plot_dissimilarity(counts: DataFrame, pcelim: float = alpha_ops.PCELIM) -> D
     return beta_ops.mean_over_iterations(beta_ops.bray_curtis_pairs(sparse, "plot_id", ["iter"]))
 
 
-def feature_criterion(sample: DataFrame, pixels: DataFrame, observed: DataFrame, key: str, metric: str, options: Options, method: str = "spearman"):
-    """The criterion of a forward selection: how ``metric`` of plots, by candidate bands, follows what was observed.
+def feature_criterion(sample: DataFrame, pixels: DataFrame, observed: DataFrame | Mapping[str, DataFrame], key: str, metric: str | None, options: Options, method: str = "spearman"):
+    """The criterion of a forward selection: how metrics of plots, by candidate bands, follow what was observed.
 
-    ``pixels`` has ``plot_id``; ``observed`` has ``plot_id`` and ``value``, or for ``bc`` the pairs ``a``, ``b``, ``bc``.
-    ``metric`` is an alpha metric, a functional one or ``bc``.
+    ``pixels`` has ``plot_id``; an observation has ``plot_id`` and ``value``, or for ``bc`` the pairs ``a``, ``b``, ``bc``.
+    A metric is an alpha metric, a functional one or ``bc``. ``observed`` is that of ``metric``, or one for each of several;
+    species are fitted once for a candidate, whatever the number of metrics.
     """
-
-    def of(bands: list[str]) -> DataFrame:
-        if metric in fd_ops.METRICS:
-            found = fd_ops.functional(scale(pixels, iqr_bounds(sample, bands, options.iqr_weight), bands), ["plot_id"], bands, [metric])
-            return correlation(found.join(observed, "plot_id"), metric, "value", method)
+    wanted = observed if isinstance(observed, Mapping) else {metric: observed}
+    by_species = [m for m in wanted if m not in fd_ops.METRICS]
+
+    def of(bands: list[str]) -> Iterator[DataFrame]:
+        functional = [m for m in wanted if m in fd_ops.METRICS]
+        if functional:
+            found = fd_ops.functional(scale(pixels, iqr_bounds(sample, bands, options.iqr_weight), bands), ["plot_id"], bands, functional)
+            yield from (correlation(found.join(wanted[m], "plot_id"), m, "value", method).withColumn("metric", F.lit(m)) for m in functional)
+        if not by_species:
+            return
         model = fit_species(sample, bands, key, options.n_iter, options.n_clusters, options.iqr_weight, options.starts, seed=options.seed)
         counts = alpha_ops.iteration_counts(assign_model(pixels, model, ["plot_id"]), ["plot_id"])
-        if metric == "bc":
-            return mantel(plot_dissimilarity(counts, options.pcelim), observed, method)
-        found = alpha_ops.alpha_iterations(counts, ["plot_id"], [metric], options.hill_order, options.pcelim)
-        return correlation(found.join(observed, "plot_id"), f"{metric}_mean", "value", method)
+        if "bc" in by_species:
+            yield mantel(plot_dissimilarity(counts, options.pcelim), wanted["bc"], method).withColumn("metric", F.lit("bc"))
+        alpha = [m for m in by_species if m != "bc"]
+        if alpha:
+            found = alpha_ops.alpha_iterations(counts, ["plot_id"], alpha, options.hill_order, options.pcelim)
+            yield from (correlation(found.join(wanted[m], "plot_id"), f"{m}_mean", "value", method).withColumn("metric", F.lit(m)) for m in alpha)
 
     def criterion(sets: list[list[str]]) -> DataFrame:
-        return reduce(lambda a, b: a.unionByName(b), (of(bands).select(F.lit(i).alias("candidate"), "r") for i, bands in enumerate(sets)))
+        each = [x.select(F.lit(i).alias("candidate"), "metric", "r") for i, bands in enumerate(sets) for x in of(bands)]
+        rows = reduce(lambda a, b: a.unionByName(b), each)
+        return rows if isinstance(observed, Mapping) else rows.drop("metric")
 
     return criterion
 

@@ -327,3 +327,38 @@ def test_rao_by_ranks(values):
     n = len(x)
     ranked = 2 * sum((2 * i - n - 1) * v for i, v in enumerate(sorted(values), 1)) / n**2
     assert math.isclose(functional.rao(x[:, None], 3), ranked, abs_tol=1e-9)
+
+
+def test_continuum_variants_follow_the_plain_function(spark):
+    """Every variant of the operator is the function's; a zero has no absorbance."""
+    wl = [410.0, 420.0, 430.0, 440.0, 450.0, 460.0]
+    spectra = {1: [1.0, 3.0, 2.0, 4.0, 2.0, 1.0], 2: [0.0, 3.0, 2.0, 4.0, 2.0, 1.0]}
+    rows = spark.createDataFrame(list(spectra.items()), "i int, s array<double>")
+    for kind in ({"absorbance": True}, {"subtract": True}, {"spline": True}, {"subtract": True, "spline": True}):
+        got = {r.i: r.cr for r in transforms.continuum_removed(rows, wl, "i", "s", **kind).collect()}
+        for i, s in spectra.items():
+            whole = transforms.remove_continuum(np.array(s), np.array(wl), **kind)[1:-1] if i == 1 or "absorbance" not in kind else np.zeros(4)
+            assert np.allclose(got[i], whole)
+
+
+def test_forward_report_lists_every_candidate(spark):
+    """The metric that chooses is one of several; a candidate without it is never preferred."""
+    score = {"a": (0.9, 0.1), "b": (0.2, 0.5), "c": (0.3, None)}
+
+    def criterion(sets):
+        rows = [(i, m, r) for i, s in enumerate(sets) for m, r in zip(("x", "y"), score[s[-1]], strict=True)]
+        return spark.createDataFrame(rows, "candidate int, metric string, r double")
+
+    got = search.forward_report(["a", "b", "c"], criterion, "y")
+    assert [(step, f) for step, f, m, _, best in got if best and m == "y"] == [(1, "b"), (2, "a"), (3, "c")]
+    assert len(got) == 2 * (3 + 2 + 1)
+
+
+def test_tile_quotas_of_plots(spark):
+    """Tiles share the plots by their size, rounded up; a tile with too few pixels around gives none."""
+    pixels = spark.createDataFrame([(r * 30 + c, r, c, 0 if c < 20 else 1) for r in range(30) for c in range(30)] + [(5000, 90, 90, 2)], "id long, r long, c long, t int")
+    alpha, beta = sampling.sample_all_tiles(pixels, "t", "id", 90, 9, 3)
+    assert {r.t: r["count"] for r in alpha.groupBy("t").count().collect()} == {0: 60, 1: 30}
+    plots = beta.select("t", "plot_id").distinct().collect()
+    assert sorted(r.plot_id for r in plots) == list(range(1, len(plots) + 1))
+    assert sorted(r.t for r in plots) == [0] * 6 + [1] * 3
