@@ -12,7 +12,8 @@ the hosts. Spark picks the join by size and splits hot hosts.
 
 Cases: a null text counts as empty and fails; a document without a host (null) is
 judged on its own; repeated rows are documents each; with no document or no
-host, nothing fails by host; hosts of equal rates share a verdict. Only the columns named are read.
+host, nothing fails by host; hosts of equal rates share a verdict; very long texts are counted whole. Only the
+columns named are read.
 """
 
 from __future__ import annotations

@@ -15,8 +15,8 @@
 
 Cases: a null or empty text is one empty line; a null identifier counts as a
 document and is below every other; rows that repeat an identifier count each and
-get the same verdicts; ties can't occur, identifiers being compared whole; an empty table
-gives an empty table. Only the columns named are read.
+get the same verdicts; ties can't occur, identifiers being compared whole; very long texts and lines are
+read whole; an empty table gives an empty table. Only the columns named are read.
 """
 
 from __future__ import annotations

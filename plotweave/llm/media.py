@@ -17,7 +17,8 @@ SHA-256.
 
 Cases: a null or empty payload is one row of zeros; repeated rows store their chunks once or,
 having one identifier, each, and read alike; an empty table gives an empty table;
-null identifiers own nothing that another document has. Only the columns named are read.
+null identifiers own nothing that another document has; very long payloads are cut and stored whole; of equal
+chunks it doesn't matter whose is stored. Only the columns named are read.
 """
 
 from __future__ import annotations

@@ -17,8 +17,8 @@
 
 Cases: a null or empty text, or one without words, has fingerprint 0, which links like
 any other; fewer words than a shingle make one shingle; repeated rows and ties share a
-component; null identifiers never name a component that has another; an empty table gives an
-empty table. Only the columns named are read.
+component; null identifiers never name a component that has another; very long texts are read whole, the
+bits of their shingles added up in parts; an empty table gives an empty table. Only the columns named are read.
 """
 
 from __future__ import annotations
