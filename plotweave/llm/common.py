@@ -78,11 +78,20 @@ def no_clash(carry: Sequence[str], *own: str) -> None:
         raise ValueError(f"carried columns clash: {', '.join(clashes)}")
 
 
+def give_back() -> None:
+    """Return memory that this Python worker has freed to the system, so that its peaks don't add up with those of its neighbours."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # there is none but in glibc
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """Batches in parts of at most ``rows`` rows, so that what a function makes of one stays small."""
+    """Batches in parts of at most ``rows`` rows, so that what a function makes of one stays small; freed memory is given back after each batch."""
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+        give_back()
 
 
 def byte_values(column: pa.Array) -> Iterator[bytes]:
@@ -91,14 +100,6 @@ def byte_values(column: pa.Array) -> Iterator[bytes]:
         yield value.as_py()
 
 
-def give_back() -> None:
-    """Return memory that this Python worker has freed to the system, so that its peaks don't add up with those of its neighbours."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # there is none but in glibc
-    if trim:
-        trim(0)
-
-
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark delete shuffle files of finished jobs, before the next ones write theirs.
 

@@ -31,7 +31,7 @@ gives an empty table. Only the columns named are read; a carried column with the
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -198,7 +198,7 @@ def phrase_counts(model: Automata, blocks: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def judge(model: Automata, texts: list[str | None]) -> tuple[list[str], list[float], list[float | None], list[bool]]:
+def judge(model: Automata, texts: Iterable[str | None]) -> tuple[list[str], list[float], list[float | None], list[bool]]:
     """Language, score, the winner's bits a symbol, and whether the text looks like that language, for each text.
 
     It does if its phrases but for the first, which any text has, need fewer bits than random order.
@@ -269,7 +269,7 @@ def predict(docs: DataFrame, model: Automata, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            lang, score, bits, known = judge(shared.value, batch.column(1).to_pylist())
+            lang, score, bits, known = judge(shared.value, (text.as_py() for text in batch.column(1)))
             columns = [batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), pa.array(known, pa.bool_()), *batch.columns[2:]]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "bits", "known", *carry])
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import byte_values, materialize
+from plotweave.llm.common import byte_values, materialize, slices
 
 WEIGHTS, SHARE, MAX_EPOCHS, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, 20
 BLOCK_WORDS, DRAWS_PER_SHARD = 1 << 18, 16
@@ -92,7 +92,7 @@ def document_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``row`` (unique), ``doc_id``, ``source``, ``size`` and ``h``, a hash of identifier and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sizes = [len(t.split()) for t in byte_values(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(sizes, pa.int64())], ["doc_id", "source", "h", "size"])
 
