@@ -1,18 +1,22 @@
-"""Near-duplicates by the similarity of their sets of word shingles.
+"""Near-duplicates by SimHash and the similarity of their sets of word shingles.
 
 Two texts are linked if the Jaccard similarity of their sets of distinct five-word shingles is at least
-``SIMILARITY``. MinHash only proposes pairs, the sets themselves decide:
+``SIMILARITY``. SimHash proposes, MinHash adds what SimHash can't see, the sets themselves decide:
 
 1. A text's set of shingle hashes has a name (a hash of the set); texts of equal sets are one row from here on.
-2. ``BANDS`` keys a set, each of the minima of ``ROWS`` hash functions. Sets that share a key are
-   candidates; a pair of similarity s shares none with probability (1 - s^ROWS)^BANDS, 3e-6 at 0.8.
-3. First each set is compared with the smallest of each of its buckets, which joins a group of copies
-   in linear time. Buckets that then still hold several components are searched whole: those of at most
+2. The same shingles, repeats included, give the text's fingerprint. ``simhash.classes`` joins fingerprints within two bits by
+   their Golay keys; the sets of a class are candidates. Texts of one set may have several fingerprints, as repeats
+   count there; the set is then in the class of each.
+3. Two bits of 64 answer to a similarity of about 0.99, so beside it a set has ``BANDS`` keys, each of the minima of
+   ``ROWS`` hash functions. Sets that share a key are candidates too; a pair of similarity s shares none with
+   probability (1 - s^ROWS)^BANDS, 3e-6 at 0.8. With ``bands=0`` SimHash proposes alone.
+4. Classes and keys are buckets alike. First each set is compared with the smallest of each of its buckets, which
+   joins a group of copies in linear time. Buckets that then still hold several components are searched whole: those of at most
    ``BUCKET`` sets by pairs across components, which is linear in the rows; larger ones in blocks of about
    ``BLOCK`` sets, each two of which are multiplied as 0/1 matrices in a task of their own. No row per
    pair is made there, no task gets more than two blocks, and only links that join components come out. The
    work on a bucket still grows with the square of its sets; nothing is capped.
-4. Connected components of the links; a component's name is its smallest identifier.
+5. Connected components of the links; a component's name is its smallest identifier.
 
 Only sets of candidates are made again and shuffled, as 64-bit hashes.
 
@@ -31,6 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plotweave.llm import simhash
 from plotweave.llm.common import byte_values, materialize, release_shuffles, remove, slices, with_text
 from plotweave.llm.components import components
 
@@ -47,29 +52,41 @@ MASKS, FACTORS = (_draws.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) for
 FACTORS |= np.uint64(1)
 
 
-def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
-    """Distinct hashes of the shingles, in order."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of the shingles, repeats included, those of ``simhash.fingerprint``."""
     words = text.lower().split()
     digest, join = xxhash.xxh64_intdigest, b" ".join
     if not words:
         return np.zeros(0, np.uint64)
     if len(words) < shingle:
         return np.array([digest(join(words), SEED)], np.uint64)
-    return np.unique(np.fromiter((digest(join(w), SEED) for w in zip(*(words[k:] for k in range(shingle)), strict=False)), np.uint64))
+    return np.fromiter((digest(join(w), SEED) for w in zip(*(words[k:] for k in range(shingle)), strict=False)), np.uint64)
+
+
+def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """Distinct hashes of the shingles, in order."""
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def described(text: bytes, shingle: int = SHINGLE) -> tuple[int, np.ndarray]:
+    """The fingerprint of a text, and the set of its hashes."""
+    hashes = shingle_hashes(text, shingle)
+    return simhash.majority(simhash.bit_totals(hashes), len(hashes)), np.unique(hashes)
 
 
 def set_name(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes(), SEED)).view(np.int64))
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """The keys of a set (signed); none of the empty one."""
-    if not len(hashes):
+def band_keys(hashes: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """The first ``bands`` keys of a set (signed); none of the empty one."""
+    if not len(hashes) or not bands:
         return np.zeros(0, np.int64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    masks, factors = MASKS[: bands * ROWS], FACTORS[: bands * ROWS]
+    least = np.full(bands * ROWS, np.iinfo(np.uint64).max)
     for start in range(0, len(hashes), AT_ONCE):
-        least = np.minimum(least, ((hashes[None, start : start + AT_ONCE] ^ MASKS) * FACTORS).min(1))
-    return np.array([xxhash.xxh3_64_intdigest(m.tobytes(), k) for k, m in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+        least = np.minimum(least, ((hashes[None, start : start + AT_ONCE] ^ masks) * factors).min(1))
+    return np.array([xxhash.xxh3_64_intdigest(m.tobytes(), k) for k, m in enumerate(least.reshape(bands, ROWS))], np.uint64).view(np.int64)
 
 
 def similar(one: np.ndarray, other: np.ndarray) -> bool:
@@ -85,18 +102,31 @@ def _sizes_allow(one: Column, other: Column) -> Column:
     return SIMILARITY[0] * F.greatest(one, other) <= SIMILARITY[1] * F.least(one, other)
 
 
-def _described(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id``, ``name`` and size ``n`` of its set, the set's ``bands``, and ``text_hash``."""
+def _described(docs: DataFrame, shingle: int, id_col: str, text_col: str, bands: int) -> DataFrame:
+    """``doc_id``, fingerprint ``fp``, ``name`` and size ``n`` of its set, the set's ``bands``, and ``text_hash``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [shingles(t, shingle) for t in byte_values(batch.column(1))]
-            columns = [pa.array([set_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "text_hash", "name", "n", "bands"])
+            fps, sets = zip(*(described(t, shingle) for t in byte_values(batch.column(1))), strict=True)
+            numbers = [np.array(fps, np.uint64).view(np.int64), [set_name(s) for s in sets], [len(s) for s in sets]]
+            columns = [*(pa.array(x, pa.int64()) for x in numbers), pa.array([band_keys(s, bands) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "text_hash", "fp", "name", "n", "bands"])
 
     texts = with_text(docs, id_col, text_col, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"doc_id {kind}, text_hash bigint, name bigint, n bigint, bands array<bigint>")
+    return texts.mapInArrow(run, f"doc_id {kind}, text_hash bigint, fp bigint, name bigint, n bigint, bands array<bigint>")
+
+
+def _classed(rows: DataFrame, bucket: int) -> DataFrame:
+    """``name`` of each set and ``band``, a key of a SimHash class that it is in."""
+    spark = rows.sparkSession
+    distinct = materialize(rows.select("fp").distinct(), "set-fingerprints")
+    classes = simhash.classes(distinct, bucket)
+    held = rows.select("name", "fp").distinct().join(classes, "fp").select("name", F.xxhash64(F.lit("simhash"), "root").alias("band")).distinct()
+    held = materialize(held, "simhash-classes")
+    remove(spark, classes)
+    release_shuffles(spark)
+    return held
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int, text_col: str) -> DataFrame:
@@ -181,9 +211,10 @@ def _across_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
     return meeting.groupBy("band", "low", "high").applyInArrow(compare, "u bigint, v bigint")
 
 
-def links(docs: DataFrame, distinct: DataFrame, shingle: int = SHINGLE, text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
-    """``u``, ``v``: links between distinct sets (name, n, text_hash, bands) that connect all candidates that are similar."""
+def links(docs: DataFrame, distinct: DataFrame, classed: DataFrame, shingle: int = SHINGLE, text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
+    """``u``, ``v``: links between distinct sets (name, n, text_hash, bands), by SimHash in classes (name, band), that connect all candidates that are similar."""
     keyed = distinct.select("name", "n", "text_hash", F.explode("bands").alias("band"))
+    keyed = distinct.select("name", "n", "text_hash").join(classed, "name").unionByName(keyed)
     first = keyed.groupBy("band").agg(F.min(F.struct("name", "n")).alias("first"), F.max("name").alias("last")).filter("first.name <> last").select("band", "first")
     shared = materialize(keyed.join(first, "band"), "shared-bands")
     sets = materialize(_sets(docs, shared.select("text_hash").distinct(), shingle, text_col), "shingle-sets")
@@ -206,16 +237,17 @@ def links(docs: DataFrame, distinct: DataFrame, shingle: int = SHINGLE, text_col
     return near.unionByName(far).unionByName(large)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET, bands: int = BANDS) -> DataFrame:
     """``doc_id``, ``text_hash``, ``group`` (a key of the component) and ``component_id`` of each row.
 
     A component may have no identifier (all null), and one identifier may be in several (rows that repeat it), so
     a component is told by its ``group``.
     """
-    rows = materialize(_described(docs, shingle, id_col, text_col), "shingled")
+    rows = materialize(_described(docs, shingle, id_col, text_col, bands), "shingled")
+    classed = _classed(rows, bucket)
     distinct = rows.groupBy("name").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.min("text_hash").alias("text_hash"), F.first("bands").alias("bands"))
     distinct = materialize(distinct, "distinct-sets")
-    roots = components(links(docs, distinct, shingle, text_col, bucket)).select(F.col("node").alias("name"), "root")
+    roots = components(links(docs, distinct, classed, shingle, text_col, bucket)).select(F.col("node").alias("name"), "root")
     named = distinct.select("name", "least_id").join(roots, "name", "left").select("name", "least_id", F.coalesce("root", "name").alias("root"))
     names = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     classes = named.join(names, "root").select("name", F.col("root").alias("group"), "component_id")

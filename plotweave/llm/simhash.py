@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotweave.llm import golay
-from plotweave.llm.common import byte_values, materialize, with_text
+from plotweave.llm.common import byte_values, materialize, remove, with_text
 from plotweave.llm.components import components
 
 SEED, SHINGLE, DISTANCE = 42, 5, 2
@@ -44,6 +44,20 @@ BUCKET = 64
 AT_ONCE = 1 << 16
 
 
+def bit_totals(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes (64 bits, unsigned) have each bit, counted in parts."""
+    totals = np.zeros(64, np.int64)
+    for start in range(0, len(hashes), AT_ONCE):
+        part = np.ascontiguousarray(hashes[start : start + AT_ONCE], "<u8")
+        totals += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return totals
+
+
+def majority(totals: np.ndarray, runs: int) -> int:
+    """The fingerprint of ``runs`` shingles whose bits add up to ``totals``."""
+    return int(np.packbits(2 * totals > runs, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     words = text.lower().split()
     if not words:
@@ -54,9 +68,8 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     for start in range(0, runs, AT_ONCE):
         part = words[start : min(runs, start + AT_ONCE) + shingle - 1]
         hashes = [digest(join(w), SEED) for w in zip(*(part[k:] for k in range(shingle)), strict=False)] if len(words) >= shingle else [digest(join(words), SEED)]
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        totals += bits.sum(0, dtype=np.int64)
-    return int(np.packbits(2 * totals > runs, bitorder="little").view("<u8")[0])
+        totals += bit_totals(np.array(hashes, np.uint64))
+    return majority(totals, runs)
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,12 +142,18 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return small.unionByName(far).distinct()
 
 
+def classes(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """``fp`` and ``root``, the smallest fingerprint reachable, of distinct fingerprints."""
+    near = links(distinct, bucket)
+    roots = components(near).select(F.col("node").alias("fp"), "root")
+    remove(distinct.sparkSession, near)  # the keys: components has read them
+    return distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``fp`` (signed long) and ``component_id`` of each row."""
     rows = materialize(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
-    roots = components(links(distinct, bucket)).select(F.col("node").alias("fp"), "root")
-    named = distinct.join(roots, "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    named = classes(distinct, bucket)
     names = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = named.join(names, "root").select("fp", "component_id")
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(named.join(names, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")

@@ -47,7 +47,9 @@ def fewer_lines(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity of 0.8 or more).
 
-    It is the one with the smallest identifier (null ones last), then the smallest hash of its text, and of equal rows
+    Groups are proposed by SimHash, as ``op7`` finds them, and by MinHash for what lies beyond its two bits; the exact
+    similarity decides (``minhash``).
+    The one that stays has the smallest identifier (null ones last), then the smallest hash of its text, and of equal rows
     one. Null and empty texts are a group; an identifier that several texts have keeps those that are chosen, not
     the others; very long texts are compared whole; an empty table gives an empty table.
     """

@@ -1,11 +1,13 @@
 """Near-duplicates by shingle similarity, against brute-force Jaccard."""
 
+from functools import partial
 from itertools import combinations
 
 import numpy as np
 import pytest
 
-from plotweave.llm import minhash, stages
+from plotweave.llm import minhash, simhash, stages
+from tests.llm.test_corpus_operators import brute_classes, brute_fingerprint
 
 
 def brute_set(text):
@@ -87,3 +89,58 @@ def test_pairs_of_similarity_share_a_band():
         pool = rng.integers(0, 1 << 64, 90, np.uint64)
         one, other = np.sort(pool[:81]), np.sort(pool[9:])
         assert (minhash.band_keys(one) == minhash.band_keys(other)).any() and minhash.similar(one, other) == (72 * 5 >= 90 * 4)
+
+
+def simhash_texts():
+    """Texts that SimHash joins and the exact check tells apart, and the other way round."""
+    rng = np.random.default_rng(8)
+    out = ["", None, "a b", "A  b", "one"]
+    for size, changes in [(3000, 1), (3000, 2), (1000, 1), (200, 2)]:
+        for _ in range(3):
+            words = [f"w{x}" for x in rng.integers(0, 5000, size)]
+            out += [" ".join(words), changed_words(rng, words, changes)]
+    # One fingerprint, but what differs is most of the sets.
+    line = " ".join(f"l{x}" for x in range(11)) + " "
+    out += [line * 200 + " ".join(f"t{k}x{x}" for x in range(40)) for k in range(3)]
+    # One set with two fingerprints, and near each of them a set of its own.
+    a, b = (" ".join(f"{k}{x}" for x in range(100)) + " " for k in "ab")
+    out += [a * 2 + b * 10, a * 10 + b * 2, a * 2 + b * 10 + "end", a * 10 + b * 2 + "other"]
+    return dict(enumerate(out))
+
+
+@pytest.mark.parametrize("bucket", [simhash.BUCKET, 0])
+def test_simhash_proposes(spark, bucket):
+    """SimHash alone gives the similar ones of each of its classes."""
+    texts = simhash_texts()
+    sets, fps = {i: brute_set(t) for i, t in texts.items()}, {i: brute_fingerprint(t, 5) for i, t in texts.items()}
+    classes, same = brute_classes(fps), {}
+    for i in texts:
+        same.setdefault(sets[i], []).append(i)
+    met = lambda a, b: {classes[x] for x in same[sets[a]]} & {classes[x] for x in same[sets[b]]}
+    alike = {(a, b) for a, b in combinations(texts, 2) if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    want = {i: i for i in texts}
+    for _ in texts:
+        for a, b in alike:
+            if met(a, b):
+                want[a] = want[b] = min(want[a], want[b])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, bucket=bucket, bands=0).collect()} == want
+    # The texts hold each case: joined by SimHash, joined by it wrongly, missed by it, near either fingerprint of one set.
+    assert any(met(a, b) and sets[a] != sets[b] for a, b in alike)
+    assert any(classes[a] == classes[b] and (a, b) not in alike for a, b in combinations(texts, 2)) and any(not met(a, b) for a, b in alike)
+    last = max(texts)
+    assert sets[last - 3] == sets[last - 2] and classes[last - 3] == classes[last - 1] != classes[last - 2] == classes[last]
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, bucket=bucket).collect()} == brute_components(texts)
+
+
+def test_stage_goes_through_simhash(spark, monkeypatch):
+    """The stage's groups come from op7's links of the texts' fingerprints, without MinHash too."""
+    texts, seen, links = simhash_texts(), [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda distinct, *more: seen.append({r.fp % 2**64 for r in distinct.collect()}) or links(distinct, *more))
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts.items()], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = sorted(r.doc_id for r in stages.one_of_each(docs).collect())
+    names = brute_components(texts)
+    assert kept == sorted({*names.values()}) and seen == [{brute_fingerprint(t, 5) for t in texts.values()}]
+    monkeypatch.setattr(minhash, "near_duplicates", partial(minhash.near_duplicates, bands=0))
+    alone = {r.doc_id for r in stages.one_of_each(docs).collect()}
+    assert {*kept} <= alone < {*texts} and max(texts) not in alone and len(alone) < len({brute_set(t) for t in texts.values()})
