@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotweave.llm import bpe, host_quality, language_id, line_dedup, media, mixing, ngram_lm, secrets, simhash, warc
+from plotweave.llm import bpe, host_quality, language_id, line_dedup, media, mixing, ngram_lm, secrets, simhash, spelling, warc
 from plotweave.llm.common import table
 
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -88,6 +88,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.described(media.read(kept)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), every=spelling.ERROR_EVERY)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_katz": op2_katz,
@@ -99,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_lines": op9_lines,
     "op10_media": op10_media,
+    "op11_spelling": op11_spelling,
 }
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
