@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotweave.llm import bpe, host_quality, language_id, line_dedup, media, mixing, ngram_lm, secrets, simhash, spelling, warc
+from plotweave.llm import ball_kmeans, bpe, host_quality, language_id, line_dedup, media, mixing, ngram_lm, secrets, simhash, spelling, warc
 from plotweave.llm.common import table
 
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -92,6 +92,12 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"), every=spelling.ERROR_EVERY)
 
 
+def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ball_kmeans.cluster(table(spark, sf_dir, "embeddings"))
+    components = F.array_join(F.transform("centroid", lambda x: x.cast("string")), ",")
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(components, 256).alias("centroid_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_katz": op2_katz,
@@ -104,11 +110,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lines": op9_lines,
     "op10_media": op10_media,
     "op11_spelling": op11_spelling,
+    "op12_ball_kmeans": op12_ball_kmeans,
 }
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 _DIGESTED = "select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages"
 
+
+
+def _kmeans_sql() -> str:
+    """Lloyd's rounds, one after the other, in doubles that hold the integers exactly."""
+    k, rounds, dims, units, seed = ball_kmeans.CLUSTERS, ball_kmeans.ROUNDS, ball_kmeans.DIMENSIONS, ball_kmeans.UNITS, ball_kmeans.SEED
+    parts = [
+        f"""e as (select vec_id, embedding::double[] as x from embeddings where len(embedding) = {dims} and len(list_filter(embedding, lambda y: y is not null and isfinite(y))) = {dims})""",
+        f"""v as materialized (select row_number() over () as r, vec_id, list_transform(x, lambda y: floor({units} * y)) as v from e)""",
+        f"""c0 as materialized (select row_number() over (order by h, v) - 1 as c, v from (select sha256('{seed}:' || coalesce(vec_id::varchar, '')) as h, v from v) order by h, v limit {k})""",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} as materialized (select * from (select r, vec_id, v.v, c, list_inner_product(v.v, v.v) - 2 * list_inner_product(v.v, c{i}.v) + list_inner_product(c{i}.v, c{i}.v) as d from v cross join c{i})
+ qualify row_number() over (partition by r order by d, c) = 1)""")
+        if i < rounds:
+            parts.append(f"""c{i + 1} as materialized (with p as (select c, unnest(v) as x, generate_subscripts(v, 1) as k from a{i}), s as (select c, k, sum(x)::bigint as s, count(*)::bigint as n from p group by 1, 2),
+ m as (select c, list(((s - ((s % n) + n) % n) // n)::double order by k) as v from s group by 1) select c{i}.c, coalesce(m.v, c{i}.v) as v from c{i} left join m on c{i}.c = m.c)""")
+    t = f"a{rounds}"
+    return f"""with {", ".join(parts)} select vec_id, {t}.c::int as cluster, d::bigint as distance, sum(d) over (partition by {t}.c)::bigint as cluster_inertia, sum(d) over ()::bigint as inertia,
+ sha256(array_to_string(list_transform(c{rounds}.v, lambda y: y::bigint::varchar), ',')) as centroid_sha256 from {t} join c{rounds} on {t}.c = c{rounds}.c"""
+
+
 #: SQL twins of the queries that SQL can express; tests hold the others against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op3_host_quality": rf"""with d as (select doc_id, source, coalesce(text, '') as text, {_WORDS} as w,
@@ -128,6 +156,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_warc": f"""with p as ({_DIGESTED}), m as (select payload_digest, max(page_id) as last from p where payload_bytes >= {warc.MIN_REVISIT} group by 1)
  select page_id, payload_bytes, p.payload_digest, case when page_id < last then 'revisit' else 'response' end as record_type, case when page_id < last then last end as refers_to
  from p left join m on p.payload_digest = m.payload_digest""",
+    "op12_ball_kmeans": _kmeans_sql(),
     "op9_lines": f"""with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents),
  k as (select *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as s from l),
  n as (select *, translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from k),
