@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotweave.llm import ball_kmeans, bpe, host_quality, language_id, line_dedup, media, mixing, ngram_lm, secrets, simhash, spelling, warc
+from plotweave.llm import ball_kmeans, bpe, host_quality, language_id, line_dedup, media, mixing, ngram_lm, quality_fm, secrets, simhash, spelling, warc
 from plotweave.llm.common import table
 
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -98,6 +98,20 @@ def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(components, 256).alias("centroid_sha256"))
 
 
+QUALITY_FOLDS = 4, 2
+#: Scores from this on are predicted to be of label 1.
+QUALITY_CUT = 0.7
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    folds, held_out = QUALITY_FOLDS
+    learned = labels.filter(language_id.remainder("doc_id", folds) != held_out)
+    scored = quality_fm.score(docs, quality_fm.fit(docs, learned, label_col="quality", metadata=("n_chars",)))
+    rest = F.coalesce(language_id.remainder("doc_id", folds) == held_out, F.lit(False))
+    return scored.select("doc_id", rest.alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_katz": op2_katz,
@@ -111,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_media": op10_media,
     "op11_spelling": op11_spelling,
     "op12_ball_kmeans": op12_ball_kmeans,
+    "op13_quality": op13_quality,
 }
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
