@@ -133,6 +133,27 @@ _DIGESTED = "select page_id, octet_length(encode(coalesce(html, ''))) as payload
 
 
 
+def _spelling_sql() -> str:
+    """Words of checksummed runs; near words are those that share what is left without one code point."""
+    letters, least, count, ratio, every = spelling.LETTERS, spelling.MIN_LENGTH, spelling.MIN_COUNT, spelling.RATIO, spelling.ERROR_EVERY
+    return f"""with recursive t as materialized (select list(c order by i) as crc from (select i, list_reduce(list_prepend(i, range(8)), lambda a, k: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) as c from range(256) as r(i))),
+ o as (select coalesce(doc_id::varchar, '') as doc, translate(unnest(regexp_extract_all(text, '[{letters}]{{{least},}}')), '{spelling.UPPER}', '{spelling.LOWER}') as run from documents),
+ g as (select run, count(*) as n, list_transform(string_split(doc || ':' || run, ''), lambda x: unicode(x)) as p from o group by doc, run),
+ b as (select run, n, flatten(list_transform(p, lambda x: case when x < 128 then [x::bigint] else [192 + (x >> 6)::bigint, 128 + (x & 63)::bigint] end)) as b from g),
+ h as (select run, n, xor(list_reduce(list_prepend(4294967295, b), lambda a, x: xor(a >> 8, t.crc[(xor(a, x) & 255) + 1])), 4294967295) as h from b, t),
+ m as (select case when h % {every} = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, n from h),
+ w as materialized (select word, sum(n)::bigint as n from m where length(word) >= {least} group by 1 having sum(n) >= {count}),
+ i as (select word, n, unnest(range(1, length(word) + 1)) as i from w),
+ d as materialized (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as cut from i),
+ e as (select a.word, b.word as near, b.n as near_n from d as a join d as b on a.cut = b.cut and a.i = b.i and a.word <> b.word
+  union select d.word, w.word, w.n from d join w on d.cut = w.word union select w.word, d.word, d.n from d join w on d.cut = w.word),
+ c as (select word, count(*) as n_near, arg_min(near, (-near_n, near)) as best, max(near_n) as best_n from e group by 1),
+ f as materialized (select w.word, n, coalesce(n_near, 0) as n_near, case when best_n >= {ratio} * n then best end as form, case when best_n >= {ratio} * n then best_n end as form_n from w left join c on w.word = c.word),
+ r as (select word, word as last_word, 0 as depth from f union all select r.word, f.form, depth + 1 from r join f on r.last_word = f.word where f.form is not null),
+ z as (select word, arg_max(last_word, depth) as root from r group by 1)
+ select f.word, form, root, n, n_near, form_n from f join z on f.word = z.word"""
+
+
 def _kmeans_sql() -> str:
     """Lloyd's rounds, one after the other, in doubles that hold the integers exactly."""
     k, rounds, dims, units, seed = ball_kmeans.CLUSTERS, ball_kmeans.ROUNDS, ball_kmeans.DIMENSIONS, ball_kmeans.UNITS, ball_kmeans.SEED
@@ -171,6 +192,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_warc": f"""with p as ({_DIGESTED}), m as (select payload_digest, max(page_id) as last from p where payload_bytes >= {warc.MIN_REVISIT} group by 1)
  select page_id, payload_bytes, p.payload_digest, case when page_id < last then 'revisit' else 'response' end as record_type, case when page_id < last then last end as refers_to
  from p left join m on p.payload_digest = m.payload_digest""",
+    "op11_spelling": _spelling_sql(),
     "op12_ball_kmeans": _kmeans_sql(),
     "op9_lines": f"""with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents),
  k as (select *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as s from l),
