@@ -12,19 +12,21 @@ blank, and the rest are parsed in blocks of ``BLOCK`` symbols, all blocks of an
 batch and all languages in step with each other, so that the work is table
 look-ups on whole vectors. Every symbol of a text is parsed.
 
-The automata are fitted on a bounded sample: of each language the ``SAMPLE_ROWS`` rows (fewer
-beyond ten languages, so that all have ``ALL_ROWS`` at most, but never under ``LEAST_ROWS``) that come first in hash
-order among those with a letter, and of each row a slice of ``SLICE`` symbols at a place that its hash
-chooses. So a language is learned if one labelled text of it has a letter, however long its texts are.
-They are built on the driver and broadcast; these parameters and ``MAX_LANGUAGES`` bound their size.
+The automata are fitted on a bounded sample. Of each language the ``SAMPLE_ROWS`` distinct texts with a letter that come first in the order of
+their hashes are candidates, however often and under whatever identifiers they are repeated. They are taken whole, in that
+order, until the language has ``SAMPLE_SYMBOLS`` letters and blanks (fewer beyond ten languages). Texts of more than 1 / ``SHARE`` of that
+are passed over at first, lest one fills the sample; where the others don't fill half of it, slices of them at places that their hashes choose do.
+So a language is learned if one labelled text of it has a letter, however long or repeated its texts are. The automata are built on the driver
+and broadcast; these parameters and ``MAX_LANGUAGES`` bound their size. Most states have one successor and keep just that; only states with several, about
+a third, have a row of the transition table.
 
 For each language the model also knows the bits that its own symbols in random order
 need: what needs as many isn't in that language (``known``).
 
 Cases: a null text and one without a letter are ``und`` with score 0; equal
 entropies give the language that sorts first; with one language the score is 1; with
-none learned every text is ``und``; rows without or with equal identifiers are sampled by their text
-too; very long texts are parsed whole; repeated rows are judged each; an empty table
+none learned every text is ``und``; equal texts of a language are one candidate of its sample, identifiers don't
+matter; very long texts are parsed whole; repeated rows are judged each; an empty table
 gives an empty table. Only the columns named are read; a carried column with the name of an output raises.
 """
 
@@ -42,10 +44,10 @@ from pyspark.sql import functions as F
 from plotweave.llm.common import no_clash, slices
 
 UNDETERMINED = "und"
-#: Rows of a language's sample at most and at least, and of all languages' samples together.
-SAMPLE_ROWS, LEAST_ROWS, ALL_ROWS, SPARE = 256, 4, 2560, 4
-#: Symbols that a row gives.
-SLICE = 160
+#: Candidates of a language's sample at most and at least, and of all languages' together; how many times as many are sorted.
+SAMPLE_ROWS, LEAST_ROWS, ALL_ROWS, SPARE = 256, 4, 2560, 8
+#: Letters and blanks of a language's sample, and of all together; the part of it that a text may have to be taken first.
+SAMPLE_SYMBOLS, ALL_SYMBOLS, SHARE = 1 << 16, 10 << 16, 16
 #: More labels than this aren't languages, and raise.
 MAX_LANGUAGES = 1000
 #: Letters that get a symbol of their own; others share ``FOLDS`` symbols by code point.
@@ -55,21 +57,34 @@ BLOCK = 1024
 NOISE_SYMBOLS = 1 << 13
 #: Symbols parsed at once.
 AT_ONCE = 1 << 21
-BLANK = 0
+BLANK, NO_SYMBOL = 0, 255
 
 
 @dataclass
 class Automata:
-    """Dense transitions of all languages' automata: ``table[state * width + symbol]``, -1 where there is none."""
+    """Transitions of all languages' automata, -1 where there is none.
+
+    The first states have a row each, ``table[state * width + symbol]``; after these rows is an empty one for all others, which have
+    one successor, ``following``, for one symbol, ``only``. The last of them is no state and follows nothing.
+    """
 
     languages: list[str]
     symbols: np.ndarray  # by code point
     width: int
     table: np.ndarray
+    only: np.ndarray
+    following: np.ndarray
     roots: np.ndarray
     bits: np.ndarray  # of a phrase, by language
     noise: np.ndarray | None = None  # bits a symbol of each sample in random order
 
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The states after ``symbol``."""
+        rows = len(self.table) // self.width - 1
+        to = self.table[np.minimum(state, rows) * self.width + symbol]
+        other = np.maximum(state - rows, -1)
+        return np.where(self.only[other] == symbol, self.following[other], to)
+
 
 _LETTERS: list[np.ndarray] = []
 
@@ -141,22 +156,30 @@ def build(samples: dict[str, list[str]]) -> Automata:
     """Automata of the languages' sample texts."""
     languages = sorted(samples)
     table, width = symbol_table([t for texts in samples.values() for t in texts])
-    parts, roots, bits, first, shuffled = [], [], [], 0, []
+    automata, bits, shuffled = [], [], []
     for language in languages:
         joined: list[int] = []
         for text in samples[language]:
             joined += [BLANK, *to_symbols(text, table).tolist()]
-        edges = suffix_automaton(joined)
-        dense = np.full((len(edges), width), -1, np.int32)
-        for state, out in enumerate(edges):
-            for c, to in out.items():
-                dense[state, c] = first + to
-        parts.append(dense.ravel())
-        roots.append(first)
+        automata.append(suffix_automaton(joined))
         bits.append(np.log2(len(joined) + width))
-        first += len(edges)
         shuffled.append(np.random.default_rng(len(joined)).permutation(np.array(joined, np.uint8))[:NOISE_SYMBOLS])
-    model = Automata(languages, table, width, np.concatenate(parts) if parts else np.zeros(0, np.int32), np.array(roots, np.int64), np.array(bits))
+    # States with several successors are numbered first, and starts with them.
+    wide = [np.array([k == 0 or len(out) > 1 for k, out in enumerate(edges)]) for edges in automata]
+    rows, narrow = sum(int(w.sum()) for w in wide), sum(int((~w).sum()) for w in wide)
+    dense, only, following = np.full((rows + 1, width), -1, np.int32), np.full(narrow + 1, NO_SYMBOL, np.uint8), np.full(narrow + 1, -1, np.int32)
+    roots, first_wide, first_narrow = [], 0, 0
+    for edges, has_row in zip(automata, wide, strict=True):
+        number = np.where(has_row, first_wide + np.cumsum(has_row) - 1, rows + first_narrow + np.cumsum(~has_row) - 1)
+        for state, out in enumerate(edges):
+            for c, to in out.items():
+                if has_row[state]:
+                    dense[number[state], c] = number[to]
+                else:
+                    only[number[state] - rows], following[number[state] - rows] = c, number[to]
+        roots.append(int(number[0]))
+        first_wide, first_narrow = first_wide + int(has_row.sum()), first_narrow + int((~has_row).sum())
+    model = Automata(languages, table, width, dense.ravel(), only, following, np.array(roots, np.int64), np.array(bits))
     if languages:
         blocks = [s[a : a + BLOCK] for s in shuffled for a in range(0, len(s), BLOCK)]
         of = np.repeat(np.arange(len(languages)), [-(-len(s) // BLOCK) for s in shuffled])
@@ -187,7 +210,7 @@ def phrase_counts(model: Automata, blocks: list[np.ndarray]) -> np.ndarray:
             active -= 1
         c = steps[t, :active]
         here = state[:, :active]
-        to = model.table[here * model.width + c]
+        to = model.step(here, c)
         lost = to < 0
         # A state that is a root's opens a phrase: at the start, and after a symbol that the sample lacks.
         count[:, :active] += lost | (here == roots)
@@ -229,37 +252,55 @@ def judge(model: Automata, texts: Iterable[str | None]) -> tuple[list[str], list
     return lang, score, bits, known
 
 
+def sample_bounds(languages: int) -> tuple[int, int]:
+    """Candidates and symbols of each language's sample."""
+    return max(LEAST_ROWS, min(SAMPLE_ROWS, ALL_ROWS // max(1, languages))), min(SAMPLE_SYMBOLS, ALL_SYMBOLS // max(1, languages))
+
+
 def sample_rows(labelled: DataFrame) -> DataFrame:
-    """``lang``, ``place`` and ``text`` (letters and single blanks, ``SLICE`` characters at most) of the sample's rows.
+    """``lang``, ``place``, ``n`` (letters and single blanks of the text) and ``text``: these, of longer texts a slice of the length that a text may have.
 
-    Rows are counted by language first (``MAX_LANGUAGES`` counts come to the driver), so that only about
-    ``SPARE`` times the rows that are needed are sorted.
+    Distinct texts of each language are estimated first (``MAX_LANGUAGES`` numbers come to the driver), so that only about
+    ``SPARE`` times the texts that are needed are sorted.
     """
-    usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("_hash", F.xxhash64("doc_id", "text"))
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("_hash", F.xxhash64("text"))
+    counts = usable.groupBy("lang").agg(F.approx_count_distinct("_hash").alias("n")).limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    rows = max(LEAST_ROWS, min(SAMPLE_ROWS, ALL_ROWS // max(1, len(counts))))
+    rows, symbols = sample_bounds(len(counts))
+    most = max(1, symbols // SHARE)
     early = F.lit(False)
     for r in counts:
         share = SPARE * rows / r.n
         own = F.col("lang") == r.lang
+        # Hashes of distinct texts spread evenly: one in SPARE of those let through is enough.
         early = early | (own if share >= 0.5 else own & (F.col("_hash") < int(-(2**63) + share * 2**64)))
+    distinct = usable.filter(early).groupBy("lang", "_hash").agg(F.min("text").alias("text"))
     first = Window.partitionBy("lang").orderBy("_hash", "text")
-    picked = usable.filter(early).withColumn("place", F.row_number().over(first)).filter(F.col("place") <= rows)
+    picked = distinct.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= rows)
     letters_only = F.trim(F.regexp_replace("text", r"[^\p{L}]+", " "))
-    spare = F.greatest(F.length("_letters") - SLICE + 1, F.lit(1))
-    return picked.withColumn("_letters", letters_only).select("lang", "place", F.substr("_letters", 1 + F.pmod(F.xxhash64("_hash", "place"), spare).cast("int"), F.lit(SLICE)).alias("text"))
+    spare = F.greatest(F.length("_letters") - most + 1, F.lit(1))
+    start = F.pmod(F.xxhash64("_hash", "place"), spare).cast("int")
+    return picked.withColumn("_letters", letters_only).select("lang", "place", F.length("_letters").alias("n"), F.substr("_letters", 1 + start, F.lit(most)).alias("text"))
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Automata:
-    """Automata from the bounded sample described above."""
-    rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+def chosen(rows: list, symbols: int) -> dict[str, list[str]]:
+    """Texts of each language's sample from its candidates (``sample_rows``)."""
+    most = max(1, symbols // SHARE)
     samples: dict[str, list[str]] = {}
-    # Rows of SLICE characters, as many as the parameters allow.
-    for r in sorted(sample_rows(rows).collect(), key=lambda r: (r.lang, r.place)):
-        samples.setdefault(r.lang, []).append(r.text)
-    return build(samples)
+    for long in (False, True):
+        for r in sorted(rows, key=lambda r: (r.lang, r.place)):
+            own = samples.setdefault(r.lang, [])
+            held = sum(map(len, own))
+            if (r.n > most) == long and (not own or held + len(r.text) <= (symbols // 2 if long else symbols)):
+                own.append(r.text)
+    return samples
+
+
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Automata:
+    """Automata from the bounded sample described above; identifiers aren't read."""
+    rows = sample_rows(labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))).collect()
+    return build(chosen(rows, sample_bounds(len({r.lang for r in rows}))[1]))
 
 
 def predict(docs: DataFrame, model: Automata, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

@@ -87,9 +87,8 @@ def brute_languages(docs, rows):
     """The languages of the texts that are kept, by plain searches in the samples."""
     labelled = docs.filter(language_id.remainder("doc_id", 5) != 0)
     model = language_id.fit(labelled)
-    samples = {}
-    for r in sorted(language_id.sample_rows(labelled).collect(), key=lambda r: (r.lang, r.place)):
-        samples.setdefault(r.lang, []).append(r.text)
+    found = language_id.sample_rows(labelled).collect()
+    samples = language_id.chosen(found, language_id.sample_bounds(len({r.lang for r in found}))[1])
     joined = {k: "".join(map(chr, [x for t in v for x in (0, *language_id.to_symbols(t, model.symbols).tolist())])) for k, v in samples.items()}
     out = {}
     for i, r in rows.items():
