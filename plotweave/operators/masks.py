@@ -9,6 +9,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plotweave.operators.bounded import small
+
 # Wavelengths (nm) of water vapour absorption and noise, left out of spectra.
 EXCLUDED_DOMAINS = ((0, 400), (895, 1005), (1320, 1480), (1780, 2040), (2450, 2600))
 NDVI_LEAST, BLUE_MOST, NIR_LEAST = 0.65, 500.0, 1500.0
@@ -25,7 +27,12 @@ def finite(column: str) -> Column:
 
 def clean(pixels: DataFrame, bands: Sequence[str]) -> DataFrame:
     """Pixels whose bands are all finite."""
-    return pixels.filter(reduce(and_, map(finite, bands)))
+    # NaN is above infinity, and nothing is known of null: one comparison tells all, and keeps the code of many bands short.
+    return pixels.filter(reduce(and_, (F.abs(F.col(b).cast("double")) < float("inf") for b in bands)))
+
+
+def _array(bands: Sequence[str]) -> Column:
+    return F.array(*(F.col(b).cast("double") for b in bands))
 
 
 def iqr_bounds(pixels: DataFrame, bands: Sequence[str], weight: float = 3.0, keys: Sequence[str] = (), approximate: int | None = None) -> DataFrame:
@@ -40,8 +47,9 @@ def iqr_bounds(pixels: DataFrame, bands: Sequence[str], weight: float = 3.0, key
 
 def _long(pixels: DataFrame, bands: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """``keys``, ``band``, ``value``, null where it isn't finite."""
-    each = F.array(*(F.struct(F.lit(b).alias("band"), F.when(finite(b), F.col(b).cast("double")).alias("value")) for b in bands))
-    return pixels.select(*keys, F.explode(each).alias("x")).select(*keys, "x.*")
+    each = pixels.select(*keys, F.posexplode(_array(bands)).alias("_at", "_value"))
+    name = F.element_at(F.lit(list(bands)), F.col("_at") + 1)
+    return each.select(*keys, name.alias("band"), F.when(F.abs("_value") < float("inf"), F.col("_value")).alias("value"))
 
 
 def _sketched(pixels: DataFrame, bands: Sequence[str], keys: Sequence[str], accuracy: int) -> DataFrame:
@@ -65,7 +73,7 @@ def quartiles(pixels: DataFrame, bands: Sequence[str], keys: Sequence[str] = ())
     ranges = sketch.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("band").alias("_band"), "n", F.explode(limits).alias("x")).select("*", "x.*").drop("x")
     same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in (*keys, "band")))
     names = [f"_{k}" for k in (*keys, "band")]
-    inside = long.filter("value is not null").join(ranges, same).filter(F.col("value") <= F.col("to"))
+    inside = long.filter("value is not null").join(small(ranges), same).filter(F.col("value") <= F.col("to"))  # two rows a band and key
     counted = inside.groupBy(*names, "q", "n", F.when(F.col("value") >= F.col("from"), F.col("value")).alias("v")).agg(F.count(F.lit(1)).alias("c"))
     upto = counted.withColumn("upto", F.sum("c").over(Window.partitionBy(*names, "q").orderBy(F.asc_nulls_first("v"))))
     place = F.col("q") * (F.col("n") - 1)
@@ -91,9 +99,13 @@ def tile_mask(pixels: DataFrame, bounds: DataFrame, bands: Sequence[str]) -> Dat
     return within(pixels, bounds, bands).withColumn("mask", F.when(F.col("mask") == 1, 1))
 
 
-def band_catalog(spectra: DataFrame, wavelengths: Sequence[float]) -> DataFrame:
-    """``ix`` (from 0), ``wl``."""
-    return spectra.sparkSession.createDataFrame([(i, float(w)) for i, w in enumerate(wavelengths)], "ix int, wl double")
+def band_catalog(spectra: DataFrame, wavelengths: Sequence[float], features: str = "x") -> DataFrame:
+    """``ix`` (from 0), ``wl``: the bands that the spectra have; spectra of another number of bands raise."""
+    sizes = spectra.agg(F.min(F.size(features)).alias("least"), F.max(F.size(features)).alias("most")).first()
+    if sizes.most is not None and not sizes.least == sizes.most == len(wavelengths):
+        raise ValueError(f"spectra of {sizes.least} to {sizes.most} bands, {len(wavelengths)} wavelengths")
+    bands = [(i, float(w)) for i, w in enumerate(wavelengths)] if sizes.most is not None else []
+    return spectra.sparkSession.createDataFrame(bands, "ix int, wl double")
 
 
 def nearest_bands(catalog: DataFrame, targets: DataFrame) -> DataFrame:
@@ -110,9 +122,9 @@ def keep_bands(catalog: DataFrame, domains: Iterable[tuple[float, float]] = EXCL
 
 def invariant_bands(pixels: DataFrame, bands: Sequence[str]) -> DataFrame:
     """``band``, ``sd``, ``invariant`` over pixels whose bands are all finite, in one pass."""
-    wide = clean(pixels, bands).agg(*(F.stddev_samp(b).alias(b) for b in bands))
-    long = wide.select(F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.col(b).alias("sd")) for b in bands))).alias("x")).select("x.*")
-    return long.withColumn("invariant", F.coalesce(F.col("sd") == 0, F.lit(True)))
+    found = _long(clean(pixels, bands), bands, ()).groupBy("band").agg(F.stddev_samp("value").alias("sd"))
+    named = pixels.sparkSession.createDataFrame([(b,) for b in bands], "band string")
+    return named.join(found, "band", "left").withColumn("invariant", F.coalesce(F.col("sd") == 0, F.lit(True)))
 
 
 def drop_invariant(pixels: DataFrame, bands: Sequence[str]) -> tuple[DataFrame, list[str]]:

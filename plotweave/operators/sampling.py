@@ -11,9 +11,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plotweave.operators.bounded import small
 
-#: Ranges that a tile's order is cut into.
-RANGES = 256
+#: A tile's order is cut into ``STEPS`` squared ranges.
+STEPS = 16
+#: Tiles whose cuts are broadcast at most.
+MAX_TILES = 5_000
 
 
 def hash_order(key: str, seed: int = 0) -> Column:
@@ -44,24 +47,29 @@ def quotas(per_tile: DataFrame, wanted: int, up: bool = False) -> DataFrame:
 def ranked(rows: DataFrame, tile: str, order: Column, key: str) -> DataFrame:
     """``rows`` with ``_i``, the rank in its tile by ``order`` and ``key`` (from 1), and ``_n``, the tile's rows.
 
-    A tile is cut into ``RANGES`` ranges of its order (a number) whose sizes are added up first, so that no task sorts a
-    tile whole.
+    A tile is cut into ranges of its order (a number) at quantiles of a sketch, and their sizes are added up first, so that no task
+    sorts a tile whole, however its order is spread. Ranges' cuts and sizes are broadcast as long as tiles are few.
     """
     by = rows.withColumn("_o", order)
-    whole = by.groupBy(tile).agg(F.min("_o").cast("double").alias("_low"), F.max("_o").cast("double").alias("_high"), F.count(F.lit(1)).alias("_n"))
-    share = F.try_divide(F.col("_o").cast("double") - F.col("_low"), F.col("_high") - F.col("_low"))
-    cut = by.join(whole, tile).withColumn("_part", F.coalesce(F.least(F.floor(share * RANGES), F.lit(RANGES - 1)), F.lit(0)))
+    n_ranges = STEPS * STEPS
+    levels = [i / n_ranges for i in range(1, n_ranges)]
+    whole = small(by.groupBy(tile).agg(F.percentile_approx(F.col("_o").cast("double"), levels).alias("_cuts"), F.count(F.lit(1)).alias("_n")), MAX_TILES)
+    above = lambda cuts: F.size(F.filter(cuts, lambda x: x < F.col("_o").cast("double")))
+    # The range in two steps: which of the coarse cuts, then which of those between.
+    coarse = above(F.transform(F.sequence(F.lit(1), F.lit(STEPS - 1)), lambda i: F.element_at("_cuts", i * STEPS)))
+    cut = by.join(whole, tile).withColumn("_coarse", coarse)
+    cut = cut.withColumn("_part", F.col("_coarse") * STEPS + above(F.slice("_cuts", F.col("_coarse") * STEPS + 1, F.lit(STEPS - 1)))).drop("_coarse", "_cuts")
     before = Window.partitionBy(tile).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = cut.groupBy(tile, "_part").agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
     place = F.row_number().over(Window.partitionBy(tile, "_part").orderBy("_o", key))
-    return cut.join(sizes, [tile, "_part"]).withColumn("_i", F.col("_before") + place).drop("_o", "_low", "_high", "_part", "_before")
+    return cut.join(small(sizes, MAX_TILES * STEPS), [tile, "_part"]).withColumn("_i", F.col("_before") + place).drop("_o", "_part", "_before")
 
 
 def sample_tiles(pixels: DataFrame, tile: str, wanted: int, key: str, regular: bool = True, order: Column | None = None) -> DataFrame:
     """Pixels of every tile in proportion to its size: evenly spaced by ``key``, or in hash order."""
     counts = pixels.groupBy(tile).agg(F.count(F.lit(1)).alias("n"))
     own = F.col(key) if regular else (hash_order(key) if order is None else order)
-    placed = ranked(pixels, tile, own, key).join(quotas(counts, wanted), tile)
+    placed = ranked(pixels, tile, own, key).join(small(quotas(counts, wanted)), tile)
     step = lambda i: F.floor(i * F.col("quota") / F.col("n"))
     picked = (step(F.col("_i")) > step(F.col("_i") - 1)) if regular else F.col("_i") <= F.col("quota")
     return placed.filter(picked).drop("_i", "_n", "n", "quota")
@@ -99,7 +107,7 @@ def sample_tile_plots(pixels: DataFrame, tile: str, per_tile: int | DataFrame, k
     ``per_tile`` is a number or a table (``tile``, ``quota``).
     """
     own_order = ranked(pixels, tile, hash_order(key) if order is None else order, key).drop("_n")
-    placed = own_order.withColumn("quota", F.lit(per_tile)) if isinstance(per_tile, int) else own_order.join(per_tile.select(tile, "quota"), tile)
+    placed = own_order.withColumn("quota", F.lit(per_tile)) if isinstance(per_tile, int) else own_order.join(small(per_tile.select(tile, "quota")), tile)
     centres = placed.filter(F.col("_i") <= F.col("quota") + spare).select(F.col("_i").alias("plot_id"), "r", "c", tile, "quota")
     own = around(centres.drop("quota"), pixels.withColumnRenamed(key, "_key"), width, keys=[tile]).withColumnRenamed("_key", key)
     good = own.groupBy(tile, "plot_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > least * width * width)

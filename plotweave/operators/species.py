@@ -33,6 +33,12 @@ class SpeciesModel:
             by_iter.setdefault(r.iter, []).append(r.center)
         return [np.array(by_iter[i], float) for i in sorted(by_iter)]
 
+    def kept(self) -> SpeciesModel:
+        """The same model as local rows, so that nothing fits it twice; it has at most a few thousand rows."""
+        spark = self.centroids.sparkSession
+        own = lambda t: spark.createDataFrame(t.collect(), t.schema)
+        return SpeciesModel(own(self.centroids), own(self.bounds), self.bands)
+
     def save(self, path: str) -> None:
         self.centroids.write.mode("overwrite").parquet(f"{path}/centroids")
         self.bounds.write.mode("overwrite").parquet(f"{path}/bounds")
@@ -49,43 +55,158 @@ def nearest(points: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, np.maximum(0, d[np.arange(len(points)), at] + (points * points).sum(1))
 
 
-def lloyd(points: np.ndarray, k: int, starts: int, steps: int, seed: int) -> tuple[np.ndarray, float]:
-    """The best of several k-means runs from k-means++ starts."""
+def spread_start(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """``k`` points drawn one after another, in proportion to the squared distance to those drawn (k-means++)."""
+    centers = points[[rng.integers(len(points))]]
+    while len(centers) < min(k, len(points)):
+        d = nearest(points, centers)[1]
+        total = d.sum()
+        centers = np.vstack([centers, points[rng.choice(len(points), p=d / total) if total > 0 else rng.integers(len(points))]])
+    return centers
+
+
+def lloyd_steps(points: np.ndarray, centers: np.ndarray, steps: int) -> np.ndarray:
+    """Means of nearest points, until nothing moves; a cluster without points keeps its centre."""
+    for _ in range(steps):
+        at = nearest(points, centers)[0]
+        counts = np.bincount(at, minlength=len(centers))
+        sums = np.zeros_like(centers)
+        np.add.at(sums, at, points)
+        moved = np.where(counts[:, None] > 0, sums / np.maximum(1, counts)[:, None], centers)
+        if np.array_equal(moved, centers):
+            break
+        centers = moved
+    return centers
+
+
+class Transfers:
+    """Single transfers between clusters (Hartigan and Wong 1979): a point leaves its cluster of ``n`` for one of ``m`` if that lowers the sum of squares,
+    ``m / (m + 1) |x - c'|^2 < n / (n - 1) |x - c|^2``; both means move at once.
+
+    Distances to all centres are kept, and made again only for live clusters, those that changed since the last stage. A
+    point of a cluster that isn't live is compared with live ones only.
+    """
+
+    def __init__(self, points: np.ndarray, centers: np.ndarray):
+        self.points = points
+        self.at = nearest(points, centers)[0]
+        self.counts = np.bincount(self.at, minlength=len(centers))
+        self.centers = centers.copy()
+        for c in np.flatnonzero(self.counts):
+            self.centers[c] = points[self.at == c].mean(0)
+        self.distance = np.empty((len(points), len(centers)))
+        self.live = np.ones(len(centers), bool)
+        #: Gains below this are rounding.
+        self.least = 1e-12 * float((points * points).sum() / max(1, len(points)) + 1e-300)
+
+    def refresh(self) -> None:
+        """Distances to the centres that moved."""
+        for c in np.flatnonzero(self.live):
+            apart = self.points - self.centers[c]
+            self.distance[:, c] = np.einsum("ij,ij->i", apart, apart)
+
+    def leaving(self, i: np.ndarray | int) -> np.ndarray:
+        """What the cost falls by if the points leave; a cluster's only point stays."""
+        n = self.counts[self.at[i]]
+        apart = self.points[i] - self.centers[self.at[i]]
+        return np.where(n > 1, n / np.maximum(1, n - 1) * (apart * apart).sum(-1), 0.0)
+
+    def move(self, i: int, targets: np.ndarray) -> int:
+        """Move a point to the best of the targets, if that pays now; where it was."""
+        own = int(self.at[i])
+        apart = self.points[i] - self.centers[targets]
+        joining = self.counts[targets] / (self.counts[targets] + 1) * (apart * apart).sum(1)
+        joining[targets == own] = np.inf
+        best = int(joining.argmin())
+        to = int(targets[best])
+        if self.counts[own] < 2 or not joining[best] < float(self.leaving(i)) - self.least:
+            return -1
+        x, n, m = self.points[i], self.counts[own], self.counts[to]
+        self.centers[own] += (self.centers[own] - x) / (n - 1)
+        self.centers[to] += (x - self.centers[to]) / (m + 1)
+        self.counts[own] -= 1
+        self.counts[to] += 1
+        self.at[i] = to
+        return own
+
+    def optimal(self) -> int:
+        """The optimal-transfer stage: every point against all clusters, or the live ones. How many moved."""
+        self.refresh()
+        joining = self.distance * (self.counts / (self.counts + 1))
+        joining[np.arange(len(self.at)), self.at] = np.inf
+        joining[np.ix_(~self.live[self.at], ~self.live)] = np.inf
+        hopeful = np.flatnonzero(joining.min(1) < self.leaving(np.arange(len(self.at))) - self.least)
+        changed = np.zeros(len(self.counts), bool)
+        everywhere = np.arange(len(self.counts))
+        moved = 0
+        for i in hopeful:
+            own = self.move(i, everywhere)
+            if own >= 0:
+                changed[[own, self.at[i]]] = True
+                moved += 1
+        self.live = changed
+        return moved
+
+    def quick(self, steps: int) -> None:
+        """The quick-transfer stage: points swap between their two nearest clusters as long as that pays."""
+        self.refresh()
+        two = np.argpartition(self.distance, 1, 1)[:, :2] if len(self.counts) > 1 else None
+        open_ = self.live.copy()
+        for _ in range(steps if two is not None else 0):
+            mine = np.flatnonzero(open_[two].any(1))
+            other = np.where(two[mine, 0] == self.at[mine], two[mine, 1], two[mine, 0])
+            apart = self.points[mine] - self.centers[other]
+            joining = self.counts[other] / (self.counts[other] + 1) * (apart * apart).sum(1)
+            pays = joining < self.leaving(mine) - self.least
+            open_ = np.zeros(len(self.counts), bool)
+            for i, to in zip(mine[pays], other[pays], strict=True):
+                own = self.move(int(i), np.array([to]))
+                if own >= 0:
+                    open_[[own, to]] = True
+            self.live |= open_
+            if not open_.any():
+                return
+
+
+def transfer_steps(points: np.ndarray, centers: np.ndarray, steps: int) -> np.ndarray:
+    """Centres that no single transfer improves. Lloyd's steps come first, as they move many points at once; what they leave is transferred."""
+    state = Transfers(points, lloyd_steps(points, centers, steps))
+    while state.optimal():
+        state.quick(steps)
+    for c in np.flatnonzero(state.counts):
+        state.centers[c] = points[state.at == c].mean(0)  # without the rounding of the moves
+    return state.centers
+
+
+#: How centres move on from a start.
+ALGORITHMS = {"hartigan-wong": transfer_steps, "lloyd": lloyd_steps}
+
+
+def kmeans(points: np.ndarray, k: int, starts: int, steps: int, seed: int, algorithm: str = "hartigan-wong") -> tuple[np.ndarray, float]:
+    """The best of several runs from k-means++ starts, and its sum of squares."""
     best, least = points[:k], np.inf
     for start in range(starts):
-        rng = np.random.default_rng([seed, start])
-        centers = points[[rng.integers(len(points))]]
-        while len(centers) < min(k, len(points)):
-            d = nearest(points, centers)[1]
-            total = d.sum()
-            centers = np.vstack([centers, points[rng.choice(len(points), p=d / total) if total > 0 else rng.integers(len(points))]])
-        for _ in range(steps):
-            at = nearest(points, centers)[0]
-            counts = np.bincount(at, minlength=len(centers))
-            sums = np.zeros_like(centers)
-            np.add.at(sums, at, points)
-            moved = np.where(counts[:, None] > 0, sums / np.maximum(1, counts)[:, None], centers)
-            if np.array_equal(moved, centers):
-                break
-            centers = moved
+        centers = ALGORITHMS[algorithm](points, spread_start(points, k, np.random.default_rng([seed, start])), steps)
         cost = float(nearest(points, centers)[1].sum())
         if cost < least:
             best, least = centers, cost
     return best, least
 
 
-def fit_lots(scaled: DataFrame, bands: Sequence[str], lot: str, clusters: Sequence[int] = (N_CLUSTERS,), starts: int = N_START, steps: int = MAX_STEPS, seed: int = 0) -> DataFrame:
-    """``k``, ``iter``, ``cid``, ``center``, ``cost``: a k-means for each lot and number of clusters.
+def fit_lots(scaled: DataFrame, bands: Sequence[str], lot: str, clusters: Sequence[int] = (N_CLUSTERS,), starts: int = N_START, steps: int = MAX_STEPS, seed: int = 0, algorithm: str = "hartigan-wong") -> DataFrame:
+    """``k``, ``iter``, ``cid``, ``center``, ``cost``: a k-means (``ALGORITHMS``) for each lot and number of clusters.
 
     A lot is a bounded sample, so a task holds it; lots and numbers run side by side.
     """
+    if algorithm not in ALGORITHMS:
+        raise ValueError(f"no algorithm {algorithm}; there are {', '.join(ALGORITHMS)}")
     each = scaled.select(F.col(lot).alias("_iter"), *bands, F.explode(F.array(*map(F.lit, clusters))).alias("_clusters"))
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         k, it = int(group["_clusters"].iloc[0]), int(group["_iter"].iloc[0])
         points = group[list(bands)].to_numpy(float)
         points = points[np.lexsort(points.T[::-1])]
-        centers, cost = lloyd(points, k, starts, steps, seed + it)
+        centers, cost = kmeans(points, k, starts, steps, seed + it, algorithm)
         return pd.DataFrame({"k": k, "iter": it, "cid": np.arange(1, len(centers) + 1), "center": list(centers), "cost": cost})
 
     return each.groupBy("_clusters", "_iter").applyInPandas(fit, "k int, iter int, cid int, center array<double>, cost double")
@@ -96,19 +217,19 @@ def lot(key: str, lots: int, seed: int = 0) -> Column:
     return (F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(lots)) + 1).cast("int")
 
 
-def fit_species(sample: DataFrame, bands: Sequence[str], key: str, n_iter: int = N_ITER, n_clusters: int = N_CLUSTERS, weight: float = 3.0, starts: int = N_START, steps: int = MAX_STEPS, seed: int = 0) -> SpeciesModel:
+def fit_species(sample: DataFrame, bands: Sequence[str], key: str, n_iter: int = N_ITER, n_clusters: int = N_CLUSTERS, weight: float = 3.0, starts: int = N_START, steps: int = MAX_STEPS, seed: int = 0, algorithm: str = "hartigan-wong") -> SpeciesModel:
     """Bounds, scaling and one k-means on each of ``n_iter`` lots of a bounded sample."""
     usable = clean(sample, bands)
     bounds = iqr_bounds(usable, bands, weight)
     lots = scale(usable, bounds, bands).withColumn("_lot", lot(key, n_iter, seed))
-    return SpeciesModel(fit_lots(lots, bands, "_lot", (n_clusters,), starts, steps, seed).drop("k"), bounds, tuple(bands))
+    return SpeciesModel(fit_lots(lots, bands, "_lot", (n_clusters,), starts, steps, seed, algorithm).drop("k"), bounds, tuple(bands))
 
 
-def explore_clusters(sample: DataFrame, bands: Sequence[str], key: str, candidates: Sequence[int], n_iter: int = N_ITER, weight: float = 3.0, starts: int = N_START, seed: int = 0) -> DataFrame:
+def explore_clusters(sample: DataFrame, bands: Sequence[str], key: str, candidates: Sequence[int], n_iter: int = N_ITER, weight: float = 3.0, starts: int = N_START, seed: int = 0, algorithm: str = "hartigan-wong") -> DataFrame:
     """``k``, ``n_iter``, ``cost_mean``, ``cost_sd`` of each candidate number of clusters."""
     usable = clean(sample, bands)
     lots = scale(usable, iqr_bounds(usable, bands, weight), bands).withColumn("_lot", lot(key, n_iter, seed))
-    fits = fit_lots(lots, bands, "_lot", candidates, starts, seed=seed).select("k", "iter", "cost").distinct()
+    fits = fit_lots(lots, bands, "_lot", candidates, starts, seed=seed, algorithm=algorithm).select("k", "iter", "cost").distinct()
     return fits.groupBy("k").agg(F.count(F.lit(1)).alias("n_iter"), F.avg("cost").alias("cost_mean"), F.stddev_samp("cost").alias("cost_sd"))
 
 
@@ -153,3 +274,24 @@ def assign_native(pixels: DataFrame, centroids: DataFrame, features: str, key: s
     gap = lambda c: F.aggregate(F.zip_with(F.col(features), c["center"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     best = F.array_min(F.transform("own", lambda c: F.struct(gap(c).alias("d"), c["cid"].alias("cid"))))
     return pixels.select(key, features).crossJoin(F.broadcast(sets)).select(key, "iter", best["cid"].alias("cid"))  # a row an iteration
+
+
+def transfer_check(points: DataFrame, centroids: DataFrame, features: str, key: str, digits: int = 9) -> DataFrame:
+    """``key``, ``clusters`` (of the point's lot), ``improvable``: whether the point's transfer to another cluster lowers the sum of squares, ``centred``: whether its centre is the mean of its cluster.
+
+    ``points`` has ``key``, the features and ``iter``, its lot; it belongs to the nearest centroid of that lot. Differences below
+    ``10^-digits`` of a distance don't count.
+    """
+    near = assign_native(points, centroids, features, key).join(points.select(key, "iter", features), [key, "iter"])
+    means = near.select("iter", "cid", F.posexplode(features).alias("at", "x")).groupBy("iter", "cid", "at").agg(F.avg("x").alias("mean"), F.count(F.lit(1)).alias("n"))
+    means = means.groupBy("iter", "cid").agg(F.first("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("at", "mean"))), lambda x: x["mean"]).alias("mean"))
+    # A row a cluster, as many as the model has.
+    known = centroids.select("iter", "cid", "center").join(F.broadcast(means), ["iter", "cid"], "left")
+    gap = F.aggregate(F.zip_with("center", "mean", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: F.greatest(s, x))
+    sets = known.withColumn("centred", F.coalesce(gap <= 10.0**-digits, F.lit(False))).groupBy("iter").agg(F.collect_list(F.struct("cid", "center", F.coalesce("n", F.lit(0)).alias("n"), "centred")).alias("own"))
+    away = lambda c: F.aggregate(F.zip_with(F.col(features), c["center"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    judged = near.join(F.broadcast(sets), "iter")
+    mine = F.filter("own", lambda c: c["cid"] == F.col("cid"))[0]
+    leaving = F.when(mine["n"] > 1, mine["n"] / (mine["n"] - 1) * away(mine)).otherwise(0.0)
+    joining = F.array_min(F.transform(F.filter("own", lambda c: c["cid"] != F.col("cid")), lambda c: c["n"] / (c["n"] + 1) * away(c)))
+    return judged.select(key, F.size("own").cast("bigint").alias("clusters"), F.coalesce(joining < leaving * (1 - 10.0**-digits), F.lit(False)).alias("improvable"), mine["centred"].alias("centred"))

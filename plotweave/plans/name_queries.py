@@ -1,4 +1,4 @@
-"""Queries over names, headers and small matrices given as literal rows."""
+"""Queries over names and small matrices made of the tables."""
 
 from __future__ import annotations
 
@@ -6,43 +6,36 @@ from pyspark.sql import functions as F
 
 from plotweave.functions import names
 from plotweave.plans.bindings import table
-from plotweave.sources import assets, headers
-
-PRODUCTS = [
-    "/data/S2A_MSIL2A_20240513T105031_N0510_R051_T31TEJ.SAFE",
-    "S2B_MSIL2A_20231201T104319_R008_T32TMT",
-    "S2B_MSIL1C_20231201T104319",
-    "/data/S2A_MSIL2A_20200229T000000/",
-]
-PATHS = ["/x/scene.tif", "/x/scene.tif.gz", "/x/scene.tar.bz2", "scene", "/x.d/scene.tiff", "/x/scene.tif.aux.xml", "/x/scene.tfw", "a.b/c.dat", "x.c", ".hidden", ".profile.bak", "/a/.b.tif"]
-HEADER = """ENVI
-description = { a
- template }
-samples = 10980
-lines   = 10980
-Bands   = 3
-byte order = 0
-map info = {UTM, 1, 1, 500000, 32, North}
-band names = {blue, green, red}
-wavelength = {496.6, 560.0, 664.5}
-data ignore value = -32768"""
-MATRIX = [[1, 2], [3, 4]]
+from plotweave.sources import assets
+
+#: Products of several levels, with and without a folder: what stands before and after the date.
+PRODUCTS = [("/data/S2A_MSIL2A_", "T105031_N0510_R051_T31TEJ.SAFE"), ("S2B_MSIL2A_", "T104319_R008_T32TMT"), ("S2B_MSIL1C_", "T104319"), ("/data/S2A_MSIL2A_", "T000000/")]
+#: Ends of file names.
+ENDINGS = [".tif", ".tif.gz", ".tar.bz2", "", ".d/scene.tiff", ".tif.aux.xml", ".tfw", "/.hidden", "/.b.tif"]
+
+
+def _pick(values, number):
+    return F.element_at(F.array(*map(F.lit, values)), (number % len(values) + 1).cast("int"))
 
 
 def product_date(spark, sf_dir):
-    rows = spark.createDataFrame([(p,) for p in PRODUCTS], "name string")
-    return rows.select("name", names.product_date(F.col("name")).alias("acquired"))
+    """Names of products of the days of events."""
+    e = F.col("event_id")
+    name = F.concat(_pick([a for a, _ in PRODUCTS], e), F.date_format("ts", "yyyyMMdd"), _pick([b for _, b in PRODUCTS], e))
+    return table(spark, sf_dir, "events").select("event_id", names.product_date(name).alias("acquired"))
+
+
+def _paths(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(F.col("url"), _pick(ENDINGS, F.col("page_id"))).alias("path"))
 
 
 def path_parts(spark, sf_dir):
     p = F.col("path")
-    rows = spark.createDataFrame([(x,) for x in PATHS], "path string")
-    return rows.select("path", names.header_path(p).alias("header"), names.without_extension(p, True).alias("stem"), names.image_path(p).alias("image"))
+    return _paths(spark, sf_dir).select("page_id", names.header_path(p).alias("header"), names.without_extension(p, True).alias("stem"), names.image_path(p).alias("image"))
 
 
 def image_list(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x in PATHS], "path string")
-    return rows.select(names.image_path(F.col("path")).alias("image")).distinct()
+    return _paths(spark, sf_dir).select(names.image_path(F.col("path")).alias("image")).distinct()
 
 
 def page_paths(spark, sf_dir):
@@ -51,14 +44,12 @@ def page_paths(spark, sf_dir):
 
 
 def split_lines(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x in ("a = b", "key=v=w", " x  =  ", "none")], "line string")
+    """Lines of keys and values, with and without blanks, made of events."""
+    e = F.col("event_id")
+    line = F.concat(_pick(["", "  "], e), "event_type", _pick([" = ", "=", "  =", " "], e), "props", _pick(["= x", " "], e))
     key, value = names.key_and_value(F.col("line"))
-    return rows.filter(F.instr("line", "=") > 0).select("line", key.alias("name"), value.alias("value"))
-
-
-def raster_header(spark, sf_dir):
-    rows = headers.entries(spark.createDataFrame([(1, HEADER)], "id int, text string"), "id", "text")
-    return rows.select("name", "value", F.size("numbers").cast("bigint").alias("n_numbers"), F.aggregate("numbers", F.lit(0.0), lambda a, x: a + x).alias("total"))
+    rows = table(spark, sf_dir, "events").select("event_id", line.alias("line"))
+    return rows.filter(F.instr("line", "=") > 0).select("event_id", key.alias("name"), value.alias("value"))
 
 
 def asset_lookup(spark, sf_dir):
@@ -71,9 +62,10 @@ def asset_lookup(spark, sf_dir):
 
 
 def array_tile(spark, sf_dir):
-    rows = spark.createDataFrame([(MATRIX,)], "m array<array<bigint>>")
-    tiled = rows.select(F.posexplode(names.tile_matrix(F.col("m"), 2, 3)).alias("i", "row"))
-    return tiled.select(F.col("i").cast("bigint").alias("i"), F.array_join(F.transform("row", lambda x: x.cast("string")), ",").alias("cells"))
+    """Two by two numbers of each nation, side by side three times and twice below."""
+    m = F.array(F.array("n_nationkey", "n_regionkey"), F.array(F.col("n_regionkey") + 1, F.length("n_name"))).cast("array<array<bigint>>")
+    tiled = table(spark, sf_dir, "nation").select("n_nationkey", F.posexplode(names.tile_matrix(m, 2, 3)).alias("i", "row"))
+    return tiled.select("n_nationkey", F.col("i").cast("bigint").alias("i"), F.array_join(F.transform("row", lambda x: x.cast("string")), ",").alias("cells"))
 
 
 def linear_index(spark, sf_dir):
@@ -82,24 +74,22 @@ def linear_index(spark, sf_dir):
     return events.select("event_id", names.linear_index(row, col, 100).cast("bigint").alias("ix"))
 
 
-QUERIES = {f.__name__: f for f in (product_date, path_parts, image_list, page_paths, split_lines, raster_header, asset_lookup, array_tile, linear_index)}
+QUERIES = {f.__name__: f for f in (product_date, path_parts, image_list, page_paths, split_lines, asset_lookup, array_tile, linear_index)}
 
-_VALUES = lambda rows: ", ".join("('" + r.replace("'", "''") + "')" for r in rows)
+_PICK = lambda values, number: "list_extract([" + ", ".join(f"'{v}'" for v in values) + f"], ({number} % {len(values)} + 1)::int)"
 _STEM = r"regexp_replace({}, '([^.]+.+)\.[A-Za-z0-9]+$', '\1')"
 _PLAIN = r"regexp_replace(path, '\.(gz|bz2|xz)$', '')"
 _IMAGE = r"regexp_replace(regexp_replace(path, '\.aux\.xml$', ''), '\.tfw$', '.tiff')"
+_PATHS = f"p as (select page_id, url || {_PICK(ENDINGS, 'page_id')} as path from pages)"
+_LINE = f"{_PICK(['', '  '], 'event_id')} || event_type || {_PICK([' = ', '=', '  =', ' '], 'event_id')} || props || {_PICK(['= x', ' '], 'event_id')}"
 
 ORACLE_SQL = {
-    "product_date": f"with p(name) as (values {_VALUES(PRODUCTS)}) select name, try_strptime(nullif(regexp_extract(regexp_extract(name, '([^/]*)/*$', 1), 'MSIL2A_(\\d{{8}})T', 1), ''), '%Y%m%d')::date as acquired from p",
-    "path_parts": f"with p(path) as (values {_VALUES(PATHS)}) select path, {_STEM.format('path')} || '.hdr' as header, {_STEM.format(_PLAIN)} as stem, {_IMAGE} as image from p",
-    "image_list": f"with p(path) as (values {_VALUES(PATHS)}) select distinct {_IMAGE} as image from p",
+    "product_date": f"with p as (select event_id, {_PICK([a for a, _ in PRODUCTS], 'event_id')} || strftime(ts, '%Y%m%d') || {_PICK([b for _, b in PRODUCTS], 'event_id')} as name from events) select event_id, try_strptime(nullif(regexp_extract(regexp_extract(name, '([^/]*)/*$', 1), 'MSIL2A_(\\d{{8}})T', 1), ''), '%Y%m%d')::date as acquired from p",
+    "path_parts": f"with {_PATHS} select page_id, {_STEM.format('path')} || '.hdr' as header, {_STEM.format(_PLAIN)} as stem, {_IMAGE} as image from p",
+    "image_list": f"with {_PATHS} select distinct {_IMAGE} as image from p",
     "page_paths": f"select page_id, {_STEM.format('url')} as stem, {_STEM.format('url')} || '.hdr' as header from pages",
-    "split_lines": "with p(line) as (values ('a = b'), ('key=v=w'), (' x  =  ')) select line, trim(split_part(line, '=', 1)) as name, trim(substr(line, instr(line, '=') + 1)) as value from p",
-    "raster_header": f"""with h as (select '{HEADER}' as t), x as (select unnest(regexp_extract_all(t, '(?m)^[ \\t]*([^=\\n{{}}]+?)[ \\t]*=[ \\t]*(\\{{[^}}]*\\}}|[^\\n]*)', 1)) as k, unnest(regexp_extract_all(t, '(?m)^[ \\t]*([^=\\n{{}}]+?)[ \\t]*=[ \\t]*(\\{{[^}}]*\\}}|[^\\n]*)', 2)) as v from h),
- y as (select lower(trim(k)) as name, trim(regexp_replace(v, '^\\{{|\\}}\\s*$', '', 'g')) as value from x),
- z as (select *, case when name in ({", ".join(repr(k) for k in headers.NUMERIC_KEYS)}) then list_transform(string_split(value, ','), lambda a: try_cast(trim(a) as double)) end as n from y)
- select name, value, case when len(n) = list_count(n) then len(n) end as n_numbers, case when len(n) = list_count(n) then list_sum(n) end as total from z""",
+    "split_lines": f"with p as (select event_id, {_LINE} as line from events) select event_id, trim(split_part(line, '=', 1)) as name, trim(substr(line, instr(line, '=') + 1)) as value from p where instr(line, '=') > 0",
     "asset_lookup": "select '/s/S2A_MSIL2A_20240202T10_' || json_extract_string(props, '$.k') || '_B08.tif' as href, date '2024-02-02' as acquired, count(*) as n from events group by 1, 2",
-    "array_tile": "with m(i, a, b) as (values (0, 1, 2), (1, 3, 4)) select (i + 2 * t)::bigint as i, concat_ws(',', a, b, a, b, a, b) as cells from m, range(2) as r(t)",
+    "array_tile": "with m as (select n_nationkey, 0 as i, n_nationkey as a, n_regionkey as b from nation union all select n_nationkey, 1, n_regionkey + 1, length(n_name) from nation) select n_nationkey, (i + 2 * t)::bigint as i, concat_ws(',', a, b, a, b, a, b) as cells from m, range(2) as r(t)",
     "linear_index": "select event_id, (event_id // 100) * 100 + event_id % 100 + 1 as ix from events",
 }

@@ -6,6 +6,7 @@ import warnings
 from dataclasses import dataclass, replace
 
 
+# The defaults of the workflows.
 @dataclass(frozen=True)
 class Options:
     """Defaults of every entry point; ``for_entry`` has those that differ."""
@@ -27,8 +28,10 @@ class Options:
     iqr_weight: float = 3.0
     starts: int = 10
     seed: int = 0
+    algorithm: str = "hartigan-wong"
 
 
+# Where an entry point's defaults differ.
 DEFAULTS = {
     "full": Options(),
     "tiles": Options(iqr_weight=4.0),

@@ -10,11 +10,11 @@ from plotweave.operators import beta as beta_ops
 from plotweave.operators import masks, species, transforms
 from plotweave.operators import ordination as ord_ops
 from plotweave.plans import workflows
-from plotweave.plans.bindings import SPECTRA_SQL, WAVELENGTHS, rounded, spectra
+from plotweave.plans.bindings import N_BANDS, SPECTRA_SQL, WAVELENGTHS, rounded, spectra
 
 #: Centroids as rows of the table: (iteration, cluster, vec_id).
 CENTRES = [(i, j + 1, 20 * i + 3 * j) for i in (1, 2, 3) for j in range(5)]
-N_FLAT = 6
+N_FLAT = N_BANDS
 
 
 def centroids(spark, sf_dir):
@@ -28,7 +28,7 @@ def centre_sets(spark, sf_dir):
 
 
 def flat(spark, sf_dir):
-    """The first bands as columns ``b0`` ... ."""
+    """All bands as columns ``b0`` ... ."""
     return spectra(spark, sf_dir).select("vec_id", "label", *(F.col("x")[i].alias(f"b{i}") for i in range(N_FLAT)))
 
 
@@ -159,6 +159,17 @@ def kmeans_fit(spark, sf_dir):
     return rounded(model.centroids.select("iter", "cid", F.col("center")[0].alias("c0"), "cost"))
 
 
+TRANSFER_LOTS, TRANSFER_CLUSTERS = 2, 6
+
+
+def kmeans_transfers(spark, sf_dir):
+    """Of every spectrum: would its transfer to another cluster of its lot lower the sum of squares, and is its centre the mean of its members? All bands."""
+    px = flat(spark, sf_dir)
+    model = species.fit_species(px, BANDS, "vec_id", TRANSFER_LOTS, TRANSFER_CLUSTERS, starts=3)
+    scaled = transforms.scale(px, model.bounds, BANDS).select("vec_id", F.array(*BANDS).alias("x"), species.lot("vec_id", TRANSFER_LOTS).alias("iter"))
+    return species.transfer_check(scaled, model.centroids, "x", "vec_id")
+
+
 def explore_k(spark, sf_dir):
     return rounded(species.explore_clusters(flat(spark, sf_dir), BANDS, "vec_id", (2, 4, 8), 3, starts=2))
 
@@ -169,14 +180,14 @@ def species_workflow(spark, sf_dir):
     return workflows.species_map(px, model, ["vec_id"])
 
 
-QUERIES = {f.__name__: f for f in (species_assign, species_assign_native, species_map, plot_species, alpha_iterations, bc_iteration_mean, pcoa_spectra, nearest_bands, excluded_domains, band_check, radiometric_mask, spectral_indices, invariant_bands, continuum_removed, continuum_variants, pca_scores, spca_scores, band_covariance, spectral_components, kmeans_fit, explore_k, species_workflow)}
+QUERIES = {f.__name__: f for f in (species_assign, species_assign_native, species_map, plot_species, alpha_iterations, bc_iteration_mean, pcoa_spectra, nearest_bands, excluded_domains, band_check, radiometric_mask, spectral_indices, invariant_bands, continuum_removed, continuum_variants, pca_scores, spca_scores, band_covariance, spectral_components, kmeans_fit, kmeans_transfers, explore_k, species_workflow)}
 
 _CENTRES = ", ".join(map(str, CENTRES))
 _ASSIGN = f"""{SPECTRA_SQL}, ce(iter, cid, vec) as (values {_CENTRES}),
  ct as (select iter, cid, x as center from ce join sp on vec = vec_id),
  dd as (select vec_id, label, iter, cid, list_distance(x, center) as d from sp, ct),
  asg as (select vec_id, label, iter::int as iter, first(cid order by d, cid)::int as cid from dd group by 1, 2, 3)"""
-_WL = "wl as (select i::int as ix, (400 + 33 * i)::double as wl from range(64) as t(i))"
+_WL = "wl as (select i::int as ix, (400 + 33 * i)::double as wl from (select unnest(range((select max(len(embedding)) from embeddings))) as i))"
 _TARGETS = ", ".join(map(str, TARGETS))
 _BAND = {480.0: 2, 670.0: 8, 835.0: 13, 664.5: 8, 835.1: 13, 864.8: 14, 1613.7: 37, 2202.4: 55}
 _V = lambda nm: f"(abs(x[{_BAND[nm] + 1}]) + 0.1)"
@@ -196,6 +207,8 @@ ORACLE_SQL = {
  f as (select l.label, l.iter, c.cid, coalesce(s.p, 0) as p from l join c on l.iter = c.iter left join s on s.label = l.label and s.iter = l.iter and s.cid = c.cid),
  b as (select x.label as a, y.label as b, x.iter, sum(abs(x.p - y.p)) / sum(x.p + y.p) as bc from f as x join f as y on x.iter = y.iter and x.cid = y.cid and x.label < y.label group by 1, 2, 3)
  select a, b, round(avg(bc), 6) as bc from b group by 1, 2""",
+    # Of an optimum under single transfers SQL knows the answer of every point.
+    "kmeans_transfers": f"select vec_id, {TRANSFER_CLUSTERS}::bigint as clusters, false as improvable, true as centred from embeddings",
     "nearest_bands": f"with {_WL}, t(name, target) as (values {_TARGETS}) select name, first(ix order by abs(wl - target::double), ix) as ix, min(abs(wl - target::double)) as distance from wl, t group by name",
     "excluded_domains": f"with {_WL} select ix, wl from wl where {_DOMAINS}",
     "band_check": f"with {_WL} select bool_and(isfinite(wl)) as numeric, max(wl) >= 40 as nanometres, count(distinct wl) = count(*) as distinct_wl, count(*) as n_bands from wl",

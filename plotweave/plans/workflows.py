@@ -65,8 +65,8 @@ def fit(pixels: DataFrame, bands: Sequence[str], key: str, options: Options, sto
     """Species from a sample of pixels, unless a model is given, and the ordination of a sample of plots."""
     usable = clean(pixels, bands)
     if stored is None:
-        stored = fit_species(sample_pixels(usable, options.alpha_sample, key), bands, key, options.n_iter, options.n_clusters, options.iqr_weight, options.starts, seed=options.seed)
-        stored = SpeciesModel(stored.centroids.cache(), stored.bounds.cache(), stored.bands)
+        stored = fit_species(sample_pixels(usable, options.alpha_sample, key), bands, key, options.n_iter, options.n_clusters, options.iqr_weight, options.starts, seed=options.seed, algorithm=options.algorithm)
+        stored = stored.kept()
     if not options.beta_metrics:
         return Model(stored, None)
     plots = sample_plots(usable, options.beta_sample, key, options.window, options.min_sun)
@@ -156,8 +156,8 @@ def fit_tiles(pixels: DataFrame, bands: Sequence[str], tile: str, key: str, opti
     """As ``fit``, from samples that take of every tile in proportion to its pixels."""
     sample, plots = sample_all_tiles(pixels, tile, key, options.alpha_sample, options.beta_sample, options.window)
     if stored is None:
-        stored = fit_species(sample, bands, key, options.n_iter, options.n_clusters, options.iqr_weight, options.starts, seed=options.seed)
-        stored = SpeciesModel(stored.centroids.cache(), stored.bounds.cache(), stored.bands)
+        stored = fit_species(sample, bands, key, options.n_iter, options.n_clusters, options.iqr_weight, options.starts, seed=options.seed, algorithm=options.algorithm)
+        stored = stored.kept()
     return Model(stored, fit_beta(plots, stored, options) if options.beta_metrics else None)
 
 
@@ -220,7 +220,7 @@ def feature_criterion(sample: DataFrame, pixels: DataFrame, observed: DataFrame
             yield from (correlation(found.join(wanted[m], "plot_id"), m, "value", method).withColumn("metric", F.lit(m)) for m in functional)
         if not by_species:
             return
-        model = fit_species(sample, bands, key, options.n_iter, options.n_clusters, options.iqr_weight, options.starts, seed=options.seed)
+        model = fit_species(sample, bands, key, options.n_iter, options.n_clusters, options.iqr_weight, options.starts, seed=options.seed, algorithm=options.algorithm)
         counts = alpha_ops.iteration_counts(assign_model(pixels, model, ["plot_id"]), ["plot_id"])
         if "bc" in by_species:
             yield mantel(plot_dissimilarity(counts, options.pcelim), wanted["bc"], method).withColumn("metric", F.lit("bc"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,13 @@ def entries(files: DataFrame, key: str, text: str) -> DataFrame:
     return rows.withColumn("numbers", F.when(F.col("name").isin(*NUMERIC_KEYS), numbers(F.col("value"))))
 
 
+def header_entries(text: str) -> dict[str, str]:
+    """Keys, in lower case, and values of one header text, for who plans a scan; braces are removed. What isn't a header raises."""
+    if "ENVI" not in text.split("\n", 1)[0] or text.count("{") != text.count("}"):
+        raise ValueError("not a raster header")
+    return {k.strip().lower(): v.strip().removeprefix("{").removesuffix("}").strip() for k, v in re.findall(ENTRY, text)}
+
+
 def numbers(value: Column) -> Column:
     """A comma-separated list of numbers, null if one of them isn't."""
     found = F.transform(F.split(value, ","), lambda x: F.trim(x).try_cast("double"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -45,7 +46,10 @@ def mosaic(tiles: Sequence[DataFrame]) -> DataFrame:
 
 
 def compact(results: DataFrame, path: str, files: int) -> None:
-    """Rewrite a mosaic in fewer, compressed files."""
+    """Rewrite a mosaic in fewer, compressed files, elsewhere: a path that ``results`` reads raises, as its rows would be lost."""
+    plain = lambda p: "/" + re.sub(r"^[a-z0-9]+:/+", "", p.rstrip("/")).lstrip("/") + "/"
+    if any(plain(f).startswith(plain(path)) for f in results.inputFiles()):
+        raise ValueError(f"{path} is what the map reads")
     results.coalesce(files).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 

@@ -213,9 +213,9 @@ def test_assign_both_ways(spark):
 def test_kmeans_finds_clusters():
     centers = np.array([[0.0, 0], [10, 0], [0, 10]])
     x = np.vstack([c + RNG.normal(scale=0.2, size=(40, 2)) for c in centers])
-    found, cost = species.lloyd(x, 3, 5, 50, 1)
+    found, cost = species.kmeans(x, 3, 5, 50, 1)
     assert np.allclose(sorted(map(tuple, np.round(found))), sorted(map(tuple, centers)))
-    assert cost <= species.lloyd(x, 2, 5, 50, 1)[1]
+    assert cost <= species.kmeans(x, 2, 5, 50, 1)[1]
 
 
 def test_model_survives_storage(spark, tmp_path):
