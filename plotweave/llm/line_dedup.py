@@ -9,13 +9,14 @@
    identifiers: about 21 bytes a line, however long the lines are.
 3. Probe: documents look their line hashes up in the arrays. Where all shards
    together are within ``max_broadcast`` bytes they are broadcast and the texts never
-   shuffle. Beyond it, probes (hashes, not lines) go to the shards' tasks, salted by
-   document so that a hot line spreads over ``SALTS`` tasks, and stream past
-   the arrays in Arrow batches; the hits join back to the documents.
-
-Cases: a null or empty text is one empty line; a null identifier counts as a
-document and is below every other; rows that repeat an identifier count each and
-get the same verdicts; ties can't occur, identifiers being compared whole; very long texts and lines are
+   shuffle. Beyond it, probes (hashes, not lines) go to the shards' tasks and stream past
+   the arrays in Arrow batches; the hits join back to the documents. A shard has as many salts, hence tasks and copies of its arrays, as the
+   documents that hold its lines ask for, at ``PROBES`` each: a line that a third of all documents hold spreads over many
+   tasks, a shard of rare lines has one.
+
+Cases: a null or empty text is one empty line; a null identifier is below every other; each row is a document, so rows that repeat an
+identifier count each towards the number of documents and get the same verdicts, and the last identifier keeps the line in all its rows; an
+identifier that is no number raises; ties can't occur, identifiers being compared whole; very long texts and lines are
 read whole; an empty table gives an empty table. Only the columns named are read.
 """
 
@@ -36,7 +37,8 @@ from plotweave.llm.mph import PerfectHash
 
 MIN_CHARS, MIN_DOCS = 40, 5
 SHARD_KEYS = 1 << 18
-SALTS = 16
+#: Probes of a salt of a shard, about.
+PROBES = 1 << 22
 #: Bytes of all arrays together up to which they are broadcast.
 MAX_BROADCAST = 64 << 20
 _STRIP = SPACE.encode()
@@ -66,19 +68,21 @@ def halves(hashes: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _hash_rows(texts: DataFrame, min_chars: int) -> DataFrame:
-    """A row for each document and distinct long line in it."""
+    """A row for each document and distinct long line in it; with ``key``, a hash of the text, where ``texts`` has it."""
+    names = ["doc_id", "h1", "h2", *texts.columns[2:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ids, found = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), byte_values(batch.column(1)), strict=True):
+            row, found = [], []
+            for k, text in enumerate(byte_values(batch.column(1))):
                 own = {h for h in line_hashes(text, min_chars)[1] if h}
-                ids += [doc_id] * len(own)
+                row += [k] * len(own)
                 found += own
             high, low = halves(found)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(high.view(np.int64)), pa.array(low.view(np.int64))], ["doc_id", "h1", "h2"])
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), *(c.take(at) for c in batch.columns[2:])], names)
 
-    return texts.mapInArrow(run, "doc_id bigint, h1 bigint, h2 bigint")
+    return texts.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
 def line_counts(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,7 +97,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, *carry: str) -> DataFram
 
 
 def build_index(counts: DataFrame, shards: int) -> DataFrame:
-    """``shard``, ``arrays`` (pickled), ``nbytes``: one row per shard that has lines."""
+    """``shard``, ``arrays`` (pickled), ``nbytes``, ``probes`` (documents by line, all its lines together): one row per shard that has lines."""
 
     def build(rows: pa.Table) -> pa.Table:
         high, low = (rows.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2"))
@@ -103,10 +107,10 @@ def build_index(counts: DataFrame, shards: int) -> DataFrame:
         fingerprint[at], last[at] = low, rows.column("last_doc").fill_null(np.iinfo(np.int64).min).to_numpy()
         n_docs[at] = np.minimum(rows.column("n_docs").to_numpy(), 2**32 - 1)
         blob = pickle.dumps((perfect, fingerprint, n_docs, last), protocol=5)
-        return pa.table({"shard": rows.column("shard").slice(0, 1), "arrays": pa.array([blob], pa.binary()), "nbytes": pa.array([len(blob)], pa.int64())})
+        return pa.table({"shard": rows.column("shard").slice(0, 1), "arrays": pa.array([blob], pa.binary()), "nbytes": pa.array([len(blob)], pa.int64()), "probes": pa.array([int(rows.column("n_docs").to_numpy().sum())], pa.int64())})
 
     keyed = counts.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int"))
-    return keyed.groupBy("shard").applyInArrow(build, "shard int, arrays binary, nbytes bigint")
+    return keyed.groupBy("shard").applyInArrow(build, "shard int, arrays binary, nbytes bigint, probes bigint")
 
 
 def drops(arrays: tuple, high: np.ndarray, low: np.ndarray, doc_ids: np.ndarray, min_docs: int) -> np.ndarray:
@@ -178,14 +182,19 @@ class _ProbeHits:
         return out
 
 
-def _probe_shuffled(rows: DataFrame, index: DataFrame, shards: int, min_docs: int) -> DataFrame:
-    """``doc_id`` and ``hits`` (binary hashes) of documents that lose lines.
+def _probe_shuffled(rows: DataFrame, index: DataFrame, shards: int, min_docs: int, probes: int) -> DataFrame:
+    """``doc_id``, ``key`` and ``hits`` (binary hashes) of documents that lose lines.
 
     A partition's rows come sorted with each shard's arrays before its probes, so
     a task holds one shard and one batch of probes at a time.
     """
-    salted = rows.select(F.pmod("h1", F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(1).alias("kind"), "doc_id", "h1", "h2", F.lit(None).cast("binary").alias("arrays"))
-    copies = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("doc_id"), F.lit(0).cast("bigint").alias("h1"), F.lit(0).cast("bigint").alias("h2"), "arrays")
+    shard = F.pmod("h1", F.lit(shards)).cast("int")
+    salts = index.select("shard", F.ceil(F.col("probes") / probes).cast("int").alias("salts"))
+    # A row a shard, of some 2^18 lines each. Probes of a shard without lines are left out here.
+    salted = rows.withColumn("shard", shard).join(F.broadcast(salts), "shard")
+    salted = salted.select("shard", F.pmod(F.xxhash64("doc_id", "key"), "salts").cast("int").alias("salt"), F.lit(1).alias("kind"), "doc_id", "key", "h1", "h2", F.lit(None).cast("binary").alias("arrays"))
+    none = lambda c: F.lit(None).cast("bigint").alias(c)
+    copies = index.join(salts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), none("doc_id"), none("key"), F.lit(0).cast("bigint").alias("h1"), F.lit(0).cast("bigint").alias("h2"), "arrays")
     tasks = copies.unionByName(salted).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,20 +206,21 @@ def _probe_shuffled(rows: DataFrame, index: DataFrame, shards: int, min_docs: in
                 if start == end:
                     continue
                 if kind[start] == 0:
-                    arrays, held = pickle.loads(batch.column(6)[int(start)].as_py()), shard[start]
+                    arrays, held = pickle.loads(batch.column(7)[int(start)].as_py()), shard[start]
                 part = batch.slice(int(start), int(end - start))
                 part = part.filter(pa.array((kind[start:end] == 1) & (shard[start:end] == (-1 if held is None else held))))
-                high, low = (part.column(c).to_numpy().view(np.uint64) for c in (4, 5))
+                high, low = (part.column(c).to_numpy().view(np.uint64) for c in (5, 6))
                 ids = part.column(3).fill_null(np.iinfo(np.int64).min).to_numpy()
                 lost = drops(arrays, high, low, ids, min_docs) if len(ids) else np.zeros(0, bool)
                 hashes = np.stack([high[lost], low[lost]], 1).astype(">u8")
-                yield pa.RecordBatch.from_arrays([part.column(3).filter(pa.array(lost)), pa.array([h.tobytes() for h in hashes], pa.binary())], ["doc_id", "hit"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c).filter(pa.array(lost)) for c in (3, 4)), pa.array([h.tobytes() for h in hashes], pa.binary())], ["doc_id", "key", "hit"])
 
-    hits = tasks.mapInArrow(run, "doc_id bigint, hit binary")
-    return hits.groupBy("doc_id").agg(F.collect_set("hit").alias("hits"))
+    hits = tasks.mapInArrow(run, "doc_id bigint, key bigint, hit binary")
+    # A document's own lines; rows of equal identifier and text share them.
+    return hits.groupBy("doc_id", "key").agg(F.collect_set("hit").alias("hits"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, max_broadcast: int = MAX_BROADCAST, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, max_broadcast: int = MAX_BROADCAST, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), probes: int = PROBES) -> DataFrame:
     """``doc_id``, ``text`` (the lines that stay), ``n_lines``, ``n_dropped``, then the carried columns."""
     no_clash(carry, "doc_id", "text", "n_lines", "n_dropped", "hits")
     texts = _texts(docs, id_col, text_col, *carry)
@@ -224,8 +234,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
         shared = docs.sparkSession.sparkContext.broadcast({r.shard: bytes(r.arrays) for r in index.collect()})
         probe = _ProbeBroadcast(shared, shards, min_chars, min_docs)
     else:
-        hits = _probe_shuffled(_hash_rows(_texts(docs, id_col, text_col), min_chars), index, shards, min_docs)
-        texts = texts.join(hits, texts["doc_id"].eqNullSafe(hits["doc_id"]), "left").select(texts["doc_id"], "text", "hits", *carry)
+        key = F.xxhash64("text")
+        hits = _probe_shuffled(_hash_rows(_texts(docs, id_col, text_col).withColumn("key", key), min_chars), index, shards, min_docs, probes)
+        texts = texts.join(hits, texts["doc_id"].eqNullSafe(hits["doc_id"]) & (key == hits["key"]), "left").select(texts["doc_id"], "text", "hits", *carry)
         probe = _ProbeHits(min_chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -476,7 +476,7 @@ def _in_bucket(code: np.ndarray, size: int, own: np.ndarray, rare: np.ndarray) -
 
 def merged(blobs: list[list[bytes]], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """One table of trigrams and counts from several: the rare words, ``v``, ``u``, ``w``, counts."""
-    found = [(*unpack(b), unplanes(b[4], "<u4")) for b in blobs]
+    found = [(*unpack(b), unplanes(b[4], "<i8")) for b in blobs]
     rare = np.unique(np.concatenate([f[0] for f in found]))
     v, u, w = (np.concatenate([_in_bucket(f[k], size, f[0], rare) for f in found]) for k in (1, 2, 3))
     c = np.concatenate([f[4] for f in found])
@@ -511,12 +511,12 @@ def trigram_counts(docs: DataFrame, lex: Lexicon) -> DataFrame:
         for lot in _batched(batches, True):
             g = grams(lot, lex, False)
             for bucket, own, _ in g.slices():
-                yield _blobs(bucket, GRAMS, 0, _joined(*pack(g.v[own], g.u[own], g.w[own], g.rare, lex.size), planes(g.runs[own].astype("<u4"))))
+                yield _blobs(bucket, GRAMS, 0, _joined(*pack(g.v[own], g.u[own], g.w[own], g.rare, lex.size), planes(g.runs[own].astype("<i8"))))
 
     def counted(bucket: int, blobs: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
         rare, v, u, w, c = merged(blobs, lex.size)
-        yield _blobs(bucket, GRAMS, 0, _joined(*pack(v, u, w, rare, lex.size), planes(c.astype("<u4"))))
+        yield _blobs(bucket, GRAMS, 0, _joined(*pack(v, u, w, rare, lex.size), planes(c.astype("<i8"))))
         counts = np.arange(1, COUNTS + 1)
         yield _flat(bucket, TRIGRAMS_OF, counts, np.bincount(np.minimum(c, COUNTS + 1), minlength=COUNTS + 2)[1 : COUNTS + 1])
         pairs, n, _ = summed(both(v, w), c)
@@ -769,7 +769,7 @@ def ngrams(model: Model) -> DataFrame:
                 parts = _parts(blob.as_py())
                 rare, v, u, w = unpack(parts)
                 hashes = np.concatenate([shared.value.hashes, rare]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[x]) for x in (u, v, w)] + [pa.array(unplanes(parts[4], "<u4").astype(np.int64))], ["h1", "h2", "h3", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[x]) for x in (u, v, w)] + [pa.array(unplanes(parts[4], "<i8"))], ["h1", "h2", "h3", "c"])
 
     return model.tables.filter(F.col("kind") == GRAMS).select("blob").mapInArrow(rows, "h1 bigint, h2 bigint, h3 bigint, c bigint")
 

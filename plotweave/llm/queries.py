@@ -194,10 +194,11 @@ ORACLE_SQL: dict[str, str] = {
  from p left join m on p.payload_digest = m.payload_digest""",
     "op11_spelling": _spelling_sql(),
     "op12_ball_kmeans": _kmeans_sql(),
-    "op9_lines": f"""with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents),
+    "op9_lines": f"""with r as (select row_number() over () as r, doc_id, coalesce(doc_id, -9223372036854775808) as own, string_split(coalesce(text, ''), chr(10)) as t from documents),
+ l as (select r, doc_id, own, unnest(t) as line, generate_subscripts(t, 1) as i from r),
  k as (select *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as s from l),
  n as (select *, translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from k),
- c as (select key, max(doc_id) as last from n where length(key) >= {line_dedup.MIN_CHARS} group by key having count(distinct doc_id) >= {line_dedup.MIN_DOCS}),
- j as (select n.*, c.key is not null and last <> doc_id as lost from n left join c on n.key = c.key)
- select doc_id, count(*) as n_lines, count(*) filter (lost) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (not lost), '')) as kept_sha256 from j group by doc_id""",
+ c as (select key, max(own) as last from n where length(key) >= {line_dedup.MIN_CHARS} group by key having count(distinct r) >= {line_dedup.MIN_DOCS}),
+ j as (select n.*, c.key is not null and last <> own as lost from n left join c on n.key = c.key)
+ select any_value(doc_id) as doc_id, count(*) as n_lines, count(*) filter (lost) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (not lost), '')) as kept_sha256 from j group by r""",
 }

@@ -58,7 +58,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     chosen = first.select(F.col("first.doc_id").alias("_name"), F.col("first.text_hash").alias("_hash")).distinct()
     own_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     kept = docs.select(*COLUMNS).join(chosen, F.col("doc_id").eqNullSafe(F.col("_name")) & (own_hash == F.col("_hash")), "left_semi")
-    again = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("lang", "source", "n_chars")
+    again = Window.partitionBy("doc_id", own_hash).orderBy("lang", "source", "n_chars", "text")
     return kept.withColumn("_place", F.row_number().over(again)).filter("_place = 1").select(*COLUMNS)
 
 

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -226,3 +227,26 @@ def test_fit_needs_labels_outside_the_fold(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     held = docs.filter(language_id.remainder("doc_id", 5) == 0)
     assert language_id.fit(held.filter(language_id.remainder("doc_id", 5) != 0)).languages == []
+
+
+def test_lines_of_repeated_identifiers_against_sql(spark, duck, odd, tmp_path):
+    """Rows that repeat an identifier are documents each, for the operator, its shuffled probe and SQL."""
+    line = "a line of more than forty characters, found again"
+    rows = [(1, line)] * 4 + [(2, line)] + [(None, f"{line}\nown"), (None, line), (7, None), (7, f"{line.upper()} \n\n{line}"), (7, f"{line.upper()} \n\n{line}")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    columns = ["doc_id", "n_lines", "n_dropped", "kept_sha256"]
+    for folder in (str(tmp_path), odd):
+        con = duckdb.connect()
+        con.execute(f"create view documents as select * from '{folder}/documents.parquet/*.parquet'")
+        want = as_rows(columns, con.execute(f"select {', '.join(columns)} from ({queries.ORACLE_SQL['op9_lines']})").fetchall())
+        assert as_rows(columns, queries.op9_lines(spark, folder).select(*columns).collect()) == want
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for probes in (2, line_dedup.PROBES):
+            shuffled = line_dedup.dedup_lines(docs, max_broadcast=0, probes=probes)
+            assert as_rows(columns, shuffled.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256")).collect()) == want
+
+
+def test_stage_keeps_one_of_null_and_empty_texts(spark):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    docs = spark.createDataFrame([(5, None, "en", "s", 0), (5, "", "en", "s", 0), (5, "", "en", "s", 0)], schema)
+    assert stages.one_of_each(docs).count() == 1
