@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from plotweave.operators import alpha as alpha_ops
 from plotweave.operators import beta as beta_ops
 from plotweave.operators import functional as fd_ops
+from plotweave.operators import halo
 from plotweave.operators.masks import EXCLUDED_DOMAINS, clean, iqr_bounds, within
 from plotweave.operators.ordination import Rotation, fit_array_pca, ordinate, principal_coordinates, rotate_array
 from plotweave.operators.plots import with_attributes
@@ -20,7 +21,7 @@ from plotweave.operators.sampling import sample_all_tiles, sample_fraction, samp
 from plotweave.operators.search import correlation, mantel
 from plotweave.operators.species import SpeciesModel, assign_model, fit_species
 from plotweave.operators.transforms import continuum_removed, scale
-from plotweave.operators.windows import enough_pixels, moving_counts, offsets, window_id
+from plotweave.operators.windows import enough_pixels, moving_counts, window_id
 from plotweave.plans.options import Options, report
 
 #: Pixels of all tiles that the bounds of their masks are taken from.
@@ -99,15 +100,6 @@ def window_shares(pixels: DataFrame, species: SpeciesModel, keys: Sequence[str],
     return stacked_shares(counts, keys, options.n_clusters, options.n_iter, options.pcelim)
 
 
-def neighbourhoods(pixels: DataFrame, bands: Sequence[str], width: int) -> DataFrame:
-    """``r``, ``c`` of every pixel with the bands of each pixel around it: ``width`` squared rows a pixel, as some metrics need all of them."""
-    low, high = offsets(width)
-    shifts = lambda: F.explode(F.sequence(F.lit(-high), F.lit(-low)))
-    spread = pixels.select("r", "c", *bands, shifts().alias("_y")).select("*", shifts().alias("_x"))
-    spread = spread.select((F.col("r") + F.col("_y")).alias("r"), (F.col("c") + F.col("_x")).alias("c"), *bands)
-    return spread.join(pixels.select("r", "c").distinct(), ["r", "c"], "left_semi")
-
-
 def transform_moving(pixels: DataFrame, model: Model, options: Options) -> DataFrame:
     """Diversity of the neighbourhood of every pixel: ``r``, ``c`` and what ``transform`` gives for windows.
 
@@ -122,10 +114,7 @@ def transform_moving(pixels: DataFrame, model: Model, options: Options) -> DataF
         ssd = stacked_shares(counts, keys, model.beta.n_clusters, model.beta.n_iter, options.pcelim)
         out = out.join(beta_ops.project(ssd, model.beta.training, model.beta.coordinates, keys, options.neighbours, model.beta.n_iter), keys, "left")
     if options.fd_metrics:
-        around = neighbourhoods(usable, bands, options.window)
-        own = around.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        around = around.join(enough_pixels(own, keys, least).select(*keys), keys, "left_semi")
-        out = out.join(fd_ops.functional(around, keys, bands, options.fd_metrics), keys, "left")
+        out = out.join(halo.moving_functional(usable, bands, options.window, options.fd_metrics, least), keys, "left")
     return out
 
 
