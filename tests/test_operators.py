@@ -240,7 +240,7 @@ def test_ring(spark):
     cells = spark.createDataFrame([(r, c, 1.0) for r in range(12) for c in range(12)], "r bigint, c bigint, v double")
     ring = [(0.5, 0.5), (10.5, 0.5), (0.5, 10.5)]
     plot = spark.createDataFrame([(1, 0, 11, 0, 11, ring)], "plot_id bigint, r0 bigint, r1 bigint, c0 bigint, c1 bigint, ring array<struct<x:double,y:double>>")
-    got = {(x.r, x.c) for x in plots.extract(cells, plot, ["v"], cell=5, ring="ring").collect()}
+    got = {(x.r, x.c) for x in plots.extract(cells, plot.selectExpr("plot_id", "array(ring) as rings"), ["v"], rings="rings").collect()}
     assert got == {(r, c) for r in range(1, 11) for c in range(1, 11) if r + c < 11}
 
 
