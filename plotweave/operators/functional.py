@@ -7,12 +7,13 @@ quadratic entropy the mean distance between two pixels.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 from math import factorial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,16 +154,39 @@ def metrics_of(points: np.ndarray, metrics: Sequence[str]) -> dict[str, float |
 
 
 def functional(pixels: DataFrame, keys: Sequence[str], traits: Sequence[str], metrics: Sequence[str] = METRICS) -> DataFrame:
-    """``keys`` and the metrics of each window. A window is at most its width squared pixels, so a task holds it."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pixels.select(*keys).schema)
+    """``keys`` and the metrics of each window. A window is at most its width squared pixels, so a task holds it.
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        found = metrics_of(group[list(traits)].to_numpy(float), metrics)
-        return pd.DataFrame([{**{k: group[k].iloc[0] for k in keys}, **{m: np.nan if v is None else v for m, v in found.items()}}])
-
-    raw = pixels.select(*keys, *(F.col(t).cast("double").alias(t) for t in traits)).dropna()
-    out = raw.groupBy(*keys).applyInPandas(run, fields + "".join(f", {m} double" for m in metrics))
-    return out.select(*keys, *(F.when(~F.isnan(m), F.col(m)).alias(m) for m in metrics))
+    Windows come sorted, many in an Arrow batch, and are cut where the keys change; a window that goes on in the next batch waits for it.
+    """
+    keys, n = list(keys), len(keys)
+    raw = pixels.select(*keys, *(F.col(t).cast("double").alias(f"_t{k}") for k, t in enumerate(traits))).dropna()
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in raw.select(*keys).schema)
+
+    def measured(windows: list[pa.Table]) -> pa.RecordBatch:
+        found = [metrics_of(np.stack([w.column(n + k).to_numpy() for k in range(len(traits))], 1), metrics) for w in windows]
+        own = [pa.concat_arrays([w.column(k).chunk(0).slice(0, 1) for w in windows]) for k in range(n)]
+        return pa.RecordBatch.from_arrays([*own, *(pa.array([f[m] for f in found], pa.float64()) for m in metrics)], [*keys, *metrics])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            whole = pa.Table.from_batches([*open_, batch]).combine_chunks()
+            changed = np.zeros(whole.num_rows - 1, bool)
+            for k in range(n):
+                values = whole.column(k)
+                changed |= pc.not_equal(values.slice(1), values.slice(0, len(values) - 1)).to_numpy()
+            starts = [0, *(np.flatnonzero(changed) + 1).tolist()]
+            done = [whole.slice(a, b - a) for a, b in zip(starts, starts[1:], strict=False)]
+            open_ = whole.slice(starts[-1]).to_batches()
+            if done:
+                yield measured(done)
+        if open_:
+            yield measured([pa.Table.from_batches(open_).combine_chunks()])
+
+    sorted_rows = raw.repartition(*keys).sortWithinPartitions(*keys)
+    return sorted_rows.mapInArrow(run, fields + "".join(f", {m} double" for m in metrics))
 
 
 def functional_1d(pixels: DataFrame, keys: Sequence[str], trait: str) -> DataFrame:

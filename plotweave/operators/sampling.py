@@ -7,10 +7,12 @@ the identifier. Exact sizes come from a distributed top-k or a rank within the t
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plotweave.functions.geodesy import degree_of_latitude, degree_of_longitude
 from plotweave.operators.bounded import small
 
 #: A tile's order is cut into ``STEPS`` squared ranges.
@@ -44,25 +46,31 @@ def quotas(per_tile: DataFrame, wanted: int, up: bool = False) -> DataFrame:
     return per_tile.withColumn("quota", (F.ceil(share) if up else F.round(share)).cast("bigint"))
 
 
-def ranked(rows: DataFrame, tile: str, order: Column, key: str) -> DataFrame:
-    """``rows`` with ``_i``, the rank in its tile by ``order`` and ``key`` (from 1), and ``_n``, the tile's rows.
+def in_ranges(rows: DataFrame, keys: Sequence[str], order: str, weight: Column) -> DataFrame:
+    """``rows`` with ``_part``, the range of ``order`` (a number) that each is in, ``_before``, the sum of ``weight`` over the ranges before, and ``_rows``, of each group by ``keys``.
 
-    A tile is cut into ranges of its order (a number) at quantiles of a sketch, and their sizes are added up first, so that no task
-    sorts a tile whole, however its order is spread. Ranges' cuts and sizes are broadcast as long as tiles are few.
+    Ranges are cut at quantiles of a sketch, so they are even however the order is spread, and no task sorts a group whole. Cuts and
+    sizes are broadcast as long as groups are few.
     """
-    by = rows.withColumn("_o", order)
+    keys, own = list(keys), F.col(order).cast("double")
     n_ranges = STEPS * STEPS
     levels = [i / n_ranges for i in range(1, n_ranges)]
-    whole = small(by.groupBy(tile).agg(F.percentile_approx(F.col("_o").cast("double"), levels).alias("_cuts"), F.count(F.lit(1)).alias("_n")), MAX_TILES)
-    above = lambda cuts: F.size(F.filter(cuts, lambda x: x < F.col("_o").cast("double")))
+    whole = small(rows.groupBy(*keys).agg(F.percentile_approx(own, levels).alias("_cuts"), F.count(F.lit(1)).alias("_rows")), MAX_TILES)
+    above = lambda cuts: F.size(F.filter(cuts, lambda x: x < own))
     # The range in two steps: which of the coarse cuts, then which of those between.
     coarse = above(F.transform(F.sequence(F.lit(1), F.lit(STEPS - 1)), lambda i: F.element_at("_cuts", i * STEPS)))
-    cut = by.join(whole, tile).withColumn("_coarse", coarse)
+    cut = rows.join(whole, keys).withColumn("_coarse", coarse)
     cut = cut.withColumn("_part", F.col("_coarse") * STEPS + above(F.slice("_cuts", F.col("_coarse") * STEPS + 1, F.lit(STEPS - 1)))).drop("_coarse", "_cuts")
-    before = Window.partitionBy(tile).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = cut.groupBy(tile, "_part").agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy(*keys, "_part").agg(F.sum(weight).alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+    return cut.join(small(sizes, MAX_TILES * STEPS), [*keys, "_part"])
+
+
+def ranked(rows: DataFrame, tile: str, order: Column, key: str) -> DataFrame:
+    """``rows`` with ``_i``, the rank in its tile by ``order`` (a number) and ``key`` (from 1), and ``_n``, the tile's rows."""
+    placed = in_ranges(rows.withColumn("_o", order), [tile], "_o", F.lit(1)).withColumnRenamed("_rows", "_n")
     place = F.row_number().over(Window.partitionBy(tile, "_part").orderBy("_o", key))
-    return cut.join(small(sizes, MAX_TILES * STEPS), [tile, "_part"]).withColumn("_i", F.col("_before") + place).drop("_o", "_part", "_before")
+    return placed.withColumn("_i", F.col("_before") + place).drop("_o", "_part", "_before")
 
 
 def sample_tiles(pixels: DataFrame, tile: str, wanted: int, key: str, regular: bool = True, order: Column | None = None) -> DataFrame:
@@ -91,6 +99,35 @@ def around(centres: DataFrame, pixels: DataFrame, width: int, row: str = "r", co
     return cells.join(pixels, [*keys, row, col])
 
 
+@dataclass(frozen=True)
+class Geographic:
+    """A grid in degrees: the latitude and longitude of the centre of pixel (0, 0), and what a row and a column add."""
+
+    latitude: float
+    longitude: float
+    row_step: float
+    col_step: float
+
+    def at(self, row: Column, col: Column) -> tuple[Column, Column]:
+        return F.lit(self.latitude) + row * self.row_step, F.lit(self.longitude) + col * self.col_step
+
+
+def around_metres(centres: DataFrame, pixels: DataFrame, metres: float, grid: Geographic, row: str = "r", col: str = "c") -> DataFrame:
+    """Pixels of the plots of ``metres`` by ``metres`` of ground around ``centres`` (``plot_id``, row, col) of a grid in degrees.
+
+    A plot's rows follow its centre's latitude, its columns that of each of its rows: parallels are shorter towards the poles. A pixel belongs to it
+    if its centre lies within half of ``metres``. Plots meet pixels by row and column, an equi-join; a plot has as many cells as pixels.
+    """
+    half = F.lit(metres / 2)
+    latitude, _ = grid.at(F.col(row), F.col(col))
+    down = F.floor(half / (degree_of_latitude(latitude) * abs(grid.row_step))).cast("bigint")
+    rows = centres.select("plot_id", F.col(col).alias("_c"), F.explode(F.sequence(F.col(row) - down, F.col(row) + down)).alias(row))
+    latitude, _ = grid.at(F.col(row), F.col("_c"))
+    across = F.floor(half / (degree_of_longitude(latitude) * abs(grid.col_step))).cast("bigint")
+    cells = rows.select("plot_id", row, F.explode(F.sequence(F.col("_c") - across, F.col("_c") + across)).alias(col))
+    return cells.join(pixels, [row, col])
+
+
 def sample_plots(pixels: DataFrame, n: int, key: str, width: int, least: float, order: Column | None = None, strict: bool = False, mask: str | None = None) -> DataFrame:
     """Pixels of ``n`` square plots around sampled centres that have at least (``strict``: more than) ``least`` of their area."""
     valid = pixels if mask is None else pixels.filter(F.col(mask) == 1)

@@ -16,6 +16,7 @@ from plotweave.plans import workflows
 from plotweave.plans.bindings import BANDS, N_COLS, PIXELS_SQL, pixels, rounded
 from plotweave.plans.options import Options, for_entry
 from plotweave.sources import maps
+from plotweave.sources.shared import fresh_path
 
 WINDOW, SUN, PCELIM = 10, 0.25, 0.02
 WIN_SQL = "(r // 10 * 10 + c // 10 + 1)"
@@ -310,7 +311,17 @@ def cluster_search(spark, sf_dir):
     return rounded(search.cluster_search(sample, own, _observed(px), masks.iqr_bounds(px, BANDS), BANDS, (4, 8), 2, key="event_id", starts=1))
 
 
-QUERIES = {f.__name__: f for f in (alpha_grid, alpha_plots, alpha_classif, beta_classif, alpha_moving_window, alpha_tiles, mosaic_tiles, map_layers, window_ids, sunlit_windows, iqr_bounds, iqr_mask, tile_masks, clean_rows, scale_bands, noise_diff, sample_pixels, pixels_per_lot, sample_regular_tiles, sample_random_tiles, sample_plots, sample_tile_plots, tile_samples, tile_stats, valid_pixels, extract_plots, plot_layers, cells_at_coords, plot_values, functional_1d, functional_hull, functional_traits, mnf_scores, crop_border, grid_extent, grid_cells, full_workflow, full_workflow_tiles, plot_workflow, forward_selection, forward_selection_functional, forward_selection_report, cluster_search, cluster_search_beta)}
+def cluster_runs_kept(spark, sf_dir):
+    """All repetitions of a search, kept in the shared folder; a second call takes them from there."""
+    px, observed = _blocks(spark, sf_dir)
+    folder = fresh_path(spark, "search")
+    run = lambda: search.stored_runs(folder, sampling.sample_pixels(px, 1000, "event_id"), px, observed["shannon"], masks.iqr_bounds(px, BANDS), BANDS, (3, 5), 2, metric="shannon", key="event_id", starts=1)
+    first = run().withColumnRenamed("cost", "first")
+    both = first.join(run().select("k", "repeat", "cost"), ["k", "repeat"])
+    return both.select("k", "repeat", F.col("pearson").between(-1, 1).alias("correlated"), (F.col("first") == F.col("cost")).alias("same"))
+
+
+QUERIES = {f.__name__: f for f in (cluster_runs_kept, alpha_grid, alpha_plots, alpha_classif, beta_classif, alpha_moving_window, alpha_tiles, mosaic_tiles, map_layers, window_ids, sunlit_windows, iqr_bounds, iqr_mask, tile_masks, clean_rows, scale_bands, noise_diff, sample_pixels, pixels_per_lot, sample_regular_tiles, sample_random_tiles, sample_plots, sample_tile_plots, tile_samples, tile_stats, valid_pixels, extract_plots, plot_layers, cells_at_coords, plot_values, functional_1d, functional_hull, functional_traits, mnf_scores, crop_border, grid_extent, grid_cells, full_workflow, full_workflow_tiles, plot_workflow, forward_selection, forward_selection_functional, forward_selection_report, cluster_search, cluster_search_beta)}
 
 _WINDOWS = f"(select {WIN_SQL} as win_id, event_type as cid, count(*) as n from px group by 1, 2)"
 _TILED = f"(select tile, {WIN_SQL} as win_id, event_type as cid, count(*) as n from px group by 1, 2, 3)"
@@ -322,6 +333,7 @@ _PLOT_SQL = f"""o as (select unnest(range(-2, 3)) as d),
 _QUOTAS = """q as (select tile, count(*) as n, round(count(*) * least(1.0, 300.0 / (select count(*) from px)))::bigint as quota from px group by tile)"""
 
 ORACLE_SQL = {
+    "cluster_runs_kept": "select k::int as k, r::int as repeat, true as correlated, true as same from (select unnest([3, 5]) as k), (select unnest([1, 2]) as r), (select count(*) as n from events) where n > 0",
     "alpha_grid": f"with {PIXELS_SQL}, {alpha_sql(_WINDOWS, 'win_id', SUN * WINDOW**2)}",
     "alpha_plots": f"with {PIXELS_SQL}, {alpha_sql('(select user_id, event_type as cid, count(*) as n from px group by 1, 2)', 'user_id', hill=True)}",
     "alpha_classif": f"with {PIXELS_SQL}, {alpha_sql(_WINDOWS, 'win_id', SUN * WINDOW**2, True)}",

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plotweave.operators import plots, polygons, windows
+from plotweave.functions.geodesy import FLATTENING, HALF_AXIS
+from plotweave.operators import plots, polygons, sampling, windows
 from plotweave.plans.bindings import BANDS, PIXELS_SQL, pixels, rounded, table
 
 #: Rings of points (x, y); holes run the other way round.
@@ -49,12 +50,35 @@ def points_in_polygons(spark, sf_dir):
     return crossings.groupBy("plot_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("n") % 2 == 1, 1)).alias("inside"), F.count_distinct("x", "y").alias("places"))
 
 
-QUERIES = {f.__name__: f for f in (extract_polygons, grid_clipped, points_in_polygons)}
+#: A grid of a hundredth of a degree, from a latitude near the pole to the south.
+GRID, METRES = sampling.Geographic(72.0, 10.0, -0.05, 0.02), 12_000.0
+
+
+def metric_plots(spark, sf_dir):
+    """Plots of equal ground on events as a grid in degrees: they get narrower in columns to the south."""
+    px = pixels(spark, sf_dir)
+    centres = px.filter("event_id % 97 = 5").select(F.col("event_id").alias("plot_id"), "r", "c")
+    own = sampling.around_metres(centres, px, METRES, GRID)
+    width = F.max("c") - F.min("c") + 1
+    return rounded(own.groupBy("plot_id").agg(F.count(F.lit(1)).alias("n"), width.alias("width"), (F.max("r") - F.min("r") + 1).alias("height"), F.avg("value").alias("mean_value")))
+
+
+QUERIES = {f.__name__: f for f in (extract_polygons, grid_clipped, points_in_polygons, metric_plots)}
 
 _EDGES = ", ".join(f"({plot}, {x1}::double, {y1}::double, {x2}::double, {y2}::double)" for plot, rings in POLYGONS.items() for ring in rings for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True))
 _ED = f"ed(plot_id, x1, y1, x2, y2) as (values {_EDGES})"
 
+_LAT = lambda r: f"({GRID.latitude} + {r} * ({GRID.row_step}))::double"
+_SIN = lambda r: f"sin(radians({_LAT(r)}))"
+_E2 = f"({FLATTENING!r}::double * (2 - {FLATTENING!r}::double))"
+_OF_LAT = lambda r: f"(pi() / 180 * {HALF_AXIS} * (1 - {_E2}) / pow(1 - {_E2} * pow({_SIN(r)}, 2), 1.5))"
+_OF_LON = lambda r: f"(pi() / 180 * {HALF_AXIS} * cos(radians({_LAT(r)})) / sqrt(1 - {_E2} * pow({_SIN(r)}, 2)))"
+
 ORACLE_SQL = {
+    # By distances along meridian and parallel, with no floor.
+    "metric_plots": f"""with {PIXELS_SQL} select a.event_id as plot_id, count(*) as n, max(b.c) - min(b.c) + 1 as width, max(b.r) - min(b.r) + 1 as height, round(avg(b.value), 6) as mean_value
+ from px as a join px as b on b.r between a.r - 5 and a.r + 5 and abs(b.r - a.r) * {abs(GRID.row_step)} * {_OF_LAT('a.r')} <= {METRES / 2} and abs(b.c - a.c) * {GRID.col_step} * {_OF_LON('b.r')} <= {METRES / 2}
+ where a.event_id % 97 = 5 group by 1""",
     # Even-odd, every pixel against every edge.
     "extract_polygons": f"""with {PIXELS_SQL}, {_ED}, i as (select plot_id, event_id, any_value(value) as value, any_value(k) as k from px, ed where (y1 > r) <> (y2 > r) and c < x1 + (r - y1) * (x2 - x1) / (y2 - y1) group by plot_id, event_id having count(*) % 2 = 1)
  select plot_id::bigint as plot_id, count(*) filter (k > 30) as n, round(avg(value) filter (k > 30), 6) as mean_value from i group by 1 having count(*) filter (k > 30) >= 0.6 * count(*)""",

@@ -222,9 +222,11 @@ ORACLE_SQL = {
  k as (select vec_id, i, wl, greatest(x[ix + 1], 0) as v from sp, u), r as (select vec_id, max(v) > min(v) as good, max(i) as last from k group by 1),
  h as (select a.vec_id, m.i, max(a.v + (b.v - a.v) * (m.wl - a.wl) / (b.wl - a.wl)) as hull from k as a join k as b on a.vec_id = b.vec_id and a.i < b.i join k as m on m.vec_id = a.vec_id and m.i between a.i and b.i group by 1, 2)
  select k.vec_id, k.i, case when good and hull <> 0 then round(v / hull, 6) else 0.0::double end as cr from k join r on k.vec_id = r.vec_id join h on h.vec_id = k.vec_id and h.i = k.i where k.i between 1 and last - 1""",
-    "continuum_variants": f"""with {SPECTRA_SQL}, {_WL}, u as (select ix, wl, row_number() over (order by ix) - 1 as i from wl where {_DOMAINS}),
- k as (select vec_id, i, wl, abs(x[ix + 1]) + 0.1::double as v, 1 / (abs(x[ix + 1]) + 0.1::double) as w from sp, u),
- h as (select a.vec_id, m.i, max(a.v + (b.v - a.v) * (m.wl - a.wl) / (b.wl - a.wl)) as hv, max(a.w + (b.w - a.w) * (m.wl - a.wl) / (b.wl - a.wl)) as hw from k as a join k as b on a.vec_id = b.vec_id and a.i < b.i join k as m on m.vec_id = a.vec_id and m.i between a.i and b.i group by 1, 2)
- select k.vec_id, k.i, round(1 + v - hv, 6) as subtract, round(hw / w - 1, 6) as absorbance from k join h on h.vec_id = k.vec_id and h.i = k.i where k.i between 1 and (select max(i) - 1 from u)""",
+    # Within lists, so that no join's order matters.
+    "continuum_variants": f"""with {SPECTRA_SQL}, {_WL}, g as materialized (select list(ix order by ix) as used, list(wl order by ix) as x, count(*)::int as n from wl where {_DOMAINS}),
+ k as materialized (select vec_id, n, g.x, [abs(sp.x[j + 1]) + 0.1::double for j in used] as v from sp, g), l as (select vec_id, n, x, v, [1 / y for y in v] as w, unnest(range(2, n)) as i from k),
+ h as (select *, list_max(flatten([[v[a] + (v[b] - v[a]) * (x[i] - x[a]) / (x[b] - x[a]) for b in range(i, n + 1) if b > a] for a in range(1, i + 1)])) as hv,
+  list_max(flatten([[w[a] + (w[b] - w[a]) * (x[i] - x[a]) / (x[b] - x[a]) for b in range(i, n + 1) if b > a] for a in range(1, i + 1)])) as hw from l)
+ select vec_id, i - 1 as i, round(1 + v[i] - hv, 6) as subtract, round(hw / w[i] - 1, 6) as absorbance from h""",
     "invariant_bands": f"with {SPECTRA_SQL} " + " union all ".join([*(f"select 'b{i}' as band, round(stddev_samp(x[{i + 1}]), 6) as sd, stddev_samp(x[{i + 1}]) = 0 as invariant from sp" for i in range(N_FLAT)), "select 'constant', 0.0::double, true"]),
 }
