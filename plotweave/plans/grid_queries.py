@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -224,6 +225,17 @@ def mnf_scores(spark, sf_dir):
     return rounded(ord_ops.rotate(px, model, ["event_id"]))
 
 
+def mnf_ratios(spark, sf_dir):
+    """Components by noise: each one's variance over that of its noise is its eigenvalue, and they add up to the trace of noise^-1 covariance."""
+    px, bands = pixels(spark, sf_dir), ["value", "k"]
+    noise = transforms.noise(px, bands)
+    model = ord_ops.fit_mnf(px, noise, bands)
+    names = ["pc1", "pc2"]
+    signal, rest = (np.diag(ord_ops.moments(ord_ops.rotate(t, model, []), names)[2]) for t in (px, noise))
+    held = bool(np.allclose(signal / rest, model.variance))
+    return rounded(spark.createDataFrame([(float(model.variance.sum()), held, bool(model.variance[0] >= model.variance[1]))], "total double, as_fitted boolean, falling boolean"))
+
+
 def crop_border(spark, sf_dir):
     n_rows = windows.extent(pixels(spark, sf_dir)).first().r_max + 1
     return windows.without_border(pixels(spark, sf_dir), 5, n_rows, N_COLS).select("r", "c", "event_id")
@@ -321,7 +333,7 @@ def cluster_runs_kept(spark, sf_dir):
     return both.select("k", "repeat", F.col("pearson").between(-1, 1).alias("correlated"), (F.col("first") == F.col("cost")).alias("same"))
 
 
-QUERIES = {f.__name__: f for f in (cluster_runs_kept, alpha_grid, alpha_plots, alpha_classif, beta_classif, alpha_moving_window, alpha_tiles, mosaic_tiles, map_layers, window_ids, sunlit_windows, iqr_bounds, iqr_mask, tile_masks, clean_rows, scale_bands, noise_diff, sample_pixels, pixels_per_lot, sample_regular_tiles, sample_random_tiles, sample_plots, sample_tile_plots, tile_samples, tile_stats, valid_pixels, extract_plots, plot_layers, cells_at_coords, plot_values, functional_1d, functional_hull, functional_traits, mnf_scores, crop_border, grid_extent, grid_cells, full_workflow, full_workflow_tiles, plot_workflow, forward_selection, forward_selection_functional, forward_selection_report, cluster_search, cluster_search_beta)}
+QUERIES = {f.__name__: f for f in (cluster_runs_kept, alpha_grid, alpha_plots, alpha_classif, beta_classif, alpha_moving_window, alpha_tiles, mosaic_tiles, map_layers, window_ids, sunlit_windows, iqr_bounds, iqr_mask, tile_masks, clean_rows, scale_bands, noise_diff, sample_pixels, pixels_per_lot, sample_regular_tiles, sample_random_tiles, sample_plots, sample_tile_plots, tile_samples, tile_stats, valid_pixels, extract_plots, plot_layers, cells_at_coords, plot_values, functional_1d, functional_hull, functional_traits, mnf_scores, mnf_ratios, crop_border, grid_extent, grid_cells, full_workflow, full_workflow_tiles, plot_workflow, forward_selection, forward_selection_functional, forward_selection_report, cluster_search, cluster_search_beta)}
 
 _WINDOWS = f"(select {WIN_SQL} as win_id, event_type as cid, count(*) as n from px group by 1, 2)"
 _TILED = f"(select tile, {WIN_SQL} as win_id, event_type as cid, count(*) as n from px group by 1, 2, 3)"
@@ -353,6 +365,11 @@ ORACLE_SQL = {
     "noise_diff": f"""with {PIXELS_SQL}, l as (select r, c, value, k, lag(value) over x as vx, lag(value) over y as vy, lag(k) over x as kx, lag(k) over y as ky from px
  window x as (partition by r order by c), y as (partition by c order by r))
  select r, c, round((2 * value - vx - vy) / 2, 6) as value, round((2 * k - kx - ky) / 2, 6) as k from l where vx is not null and vy is not null""",
+    "mnf_ratios": f"""with {PIXELS_SQL}, l as (select r, c, value, k, lag(value) over x as vx, lag(value) over y as vy, lag(k) over x as kx, lag(k) over y as ky from px
+ window x as (partition by r order by c), y as (partition by c order by r)),
+ n as (select (2 * value - vx - vy) / 2 as a, (2 * k - kx - ky) / 2 as b from l where vx is not null and vy is not null),
+ m as (select var_samp(a) as aa, covar_samp(a, b) as ab, var_samp(b) as bb from n), s as (select var_samp(value) as aa, covar_samp(value, k) as ab, var_samp(k) as bb from px)
+ select round((m.bb * s.aa - 2 * m.ab * s.ab + m.aa * s.bb) / (m.aa * m.bb - m.ab * m.ab), 6) as total, true as as_fitted, true as falling from m, s""",
     "sample_pixels": f"with {PIXELS_SQL} select event_id, value from px order by {PORTABLE_SQL}, event_id limit 500",
     "pixels_per_lot": f"with {PIXELS_SQL} select least(5000, count(*)) // 10 as n from px where value > 10",
     "sample_regular_tiles": f"with {PIXELS_SQL}, {_QUOTAS}, i as (select tile, event_id, row_number() over (partition by tile order by event_id) as i from px) select tile, event_id from i join q using (tile) where (i * quota) // n > ((i - 1) * quota) // n",

@@ -141,6 +141,37 @@ def spca_scores(spark, sf_dir):
     return rounded(ord_ops.rotate(px, ord_ops.fit_pca(px, BANDS, True), ["vec_id"], [1, 3]))
 
 
+def _scores(px, model):
+    return ord_ops.rotate(px, model, ["vec_id"]), [f"pc{k + 1}" for k in range(model.rotation.shape[1])]
+
+
+def _lengths(px, standardize):
+    scores, names = _scores(px, ord_ops.fit_pca(px, BANDS, standardize))
+    squares = F.transform(F.array(*names), lambda v: v * v)
+    return rounded(scores.select("vec_id", F.aggregate(squares, F.lit(0.0), lambda a, v: a + v).alias("length")), 5)
+
+
+def pca_lengths(spark, sf_dir):
+    """Squared lengths of all spectra's scores on all components: a rotation keeps distances to the mean."""
+    return _lengths(flat(spark, sf_dir), False)
+
+
+def spca_lengths(spark, sf_dir):
+    """As ``pca_lengths``, of standardised bands."""
+    return _lengths(flat(spark, sf_dir), True)
+
+
+def pca_variances(spark, sf_dir):
+    """Scores of components don't covary, their variances fall and are the model's, and add up to those of the bands."""
+    px = flat(spark, sf_dir)
+    model = ord_ops.fit_pca(px, BANDS)
+    scores, names = _scores(px, model)
+    _, _, covariance = ord_ops.moments(scores, names)
+    found = np.diag(covariance)
+    apart = bool(np.abs(covariance - np.diag(found)).max(initial=0) < 1e-9)
+    return rounded(spark.createDataFrame([(float(found.sum()), apart, bool((np.diff(found) <= 1e-12).all()), bool(np.allclose(found, model.variance)))], "total double, uncorrelated boolean, falling boolean, as_fitted boolean"))
+
+
 def band_covariance(spark, sf_dir):
     """Covariances of all 64 bands."""
     _, _, covariance = ord_ops.array_moments(spectra(spark, sf_dir), "x")
@@ -180,7 +211,7 @@ def species_workflow(spark, sf_dir):
     return workflows.species_map(px, model, ["vec_id"])
 
 
-QUERIES = {f.__name__: f for f in (species_assign, species_assign_native, species_map, plot_species, alpha_iterations, bc_iteration_mean, pcoa_spectra, nearest_bands, excluded_domains, band_check, radiometric_mask, spectral_indices, invariant_bands, continuum_removed, continuum_variants, pca_scores, spca_scores, band_covariance, spectral_components, kmeans_fit, kmeans_transfers, explore_k, species_workflow)}
+QUERIES = {f.__name__: f for f in (species_assign, species_assign_native, species_map, plot_species, alpha_iterations, bc_iteration_mean, pcoa_spectra, nearest_bands, excluded_domains, band_check, radiometric_mask, spectral_indices, invariant_bands, continuum_removed, continuum_variants, pca_scores, spca_scores, pca_lengths, spca_lengths, pca_variances, band_covariance, spectral_components, kmeans_fit, kmeans_transfers, explore_k, species_workflow)}
 
 _CENTRES = ", ".join(map(str, CENTRES))
 _ASSIGN = f"""{SPECTRA_SQL}, ce(iter, cid, vec) as (values {_CENTRES}),
@@ -195,8 +226,13 @@ _DOMAINS = " and ".join(f"not (wl > {a} and wl < {b})" for a, b in masks.EXCLUDE
 _ITER = f"""a as (select label, iter, cid, count(*) as n from asg group by 1, 2, 3), t as (select *, sum(n) over (partition by label, iter) as t from a),
  s as (select label, iter, cid, n * 1.0 / sum(n) over (partition by label, iter) as p from t where n >= {alpha_ops.PCELIM}::double * t)"""
 
+_MOMENTS = "u as (select vec_id, unnest(x) as v, generate_subscripts(x, 1) as i from sp), m as (select i, avg(v) as m, stddev_samp(v) as s from u group by i)"
+
 ORACLE_SQL = {
     "band_covariance": f"with {SPECTRA_SQL}, u as (select vec_id, unnest(x) as v, generate_subscripts(x, 1) as i from sp) select (a.i - 1)::int as i, (b.i - 1)::int as j, round(covar_samp(a.v, b.v), 6) as covariance from u as a join u as b on a.vec_id = b.vec_id and a.i <= b.i group by 1, 2",
+    "pca_lengths": f"with {SPECTRA_SQL}, {_MOMENTS} select vec_id, round(sum(power(v - m, 2)), 5) as length from u join m on u.i = m.i group by 1",
+    "spca_lengths": f"with {SPECTRA_SQL}, {_MOMENTS} select vec_id, round(sum(power((v - m) / s, 2)), 5) as length from u join m on u.i = m.i group by 1",
+    "pca_variances": f"with {SPECTRA_SQL}, {_MOMENTS} select round(sum(s * s), 6) as total, true as uncorrelated, true as falling, true as as_fitted from m",
     "species_assign": f"with {_ASSIGN} select vec_id, " + ", ".join(f"max(case when iter = {i} then cid end) as iter_{i}" for i in (1, 2, 3)) + " from asg group by 1",
     "species_assign_native": f"with {_ASSIGN} select vec_id, iter, cid from asg",
     "species_map": f"with {_ASSIGN} select vec_id, cid from asg where iter = 1",
