@@ -6,7 +6,9 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from plotweave.plans.bindings import BANDS, PIXELS_SQL, TILE_ROWS, pixels
+from plotweave.operators import sensors
+from plotweave.operators.transforms import INDICES
+from plotweave.plans.bindings import BANDS, PIXELS_SQL, TILE_ROWS, pixels, rounded
 from plotweave.sources import headers, maps, rasters
 from plotweave.sources.shared import fresh_path
 
@@ -59,9 +61,35 @@ def written_map(spark, sf_dir):
     return maps.wide_map(layers, ["tile", "r", "c"], ["value", "k"]).select(F.col("tile").cast("bigint").alias("tile"), "r", "c", "value", "k")
 
 
-QUERIES = {f.__name__: f for f in (raster_interleaves, raster_header, mosaic_overlap, written_map)}
+N_REFLECTANCES = 10
+
+
+def _reflectances(spark, sf_dir):
+    """Reflectances of ten bands, made of events."""
+    e = F.col("event_id")
+    return pixels(spark, sf_dir).select("event_id", "tile", "r", "c", *((F.pmod(e * (7 + 2 * i) + F.col("minute"), F.lit(4000)) + 1).cast("double").alias(f"band_{i}") for i in range(N_REFLECTANCES)))
+
+
+def index_tiles(spark, sf_dir):
+    """Indices of reflectances by tile: bands named, a mask of cells of 5 by 5, thresholds; stored as a mosaic, read again."""
+    px = _reflectances(spark, sf_dir)
+    mask = px.select((F.floor(F.col("r") / 5)).alias("r"), F.floor(F.col("c") / 5).alias("c")).distinct().withColumn("mask", F.when((F.col("r") + F.col("c")) % 7 == 0, 0).otherwise(1))
+    found = sensors.index_tiles(px, [f"band_{i}" for i in range(N_REFLECTANCES)], mask=mask, factor=5, ndvi_least=-0.5, blue_most=3500.0)
+    path = fresh_path(spark, "indices")
+    rasters.write_mosaic(found, path, ["mask", *INDICES])
+    read = rasters.read_raster(spark, path)
+    return rounded(read.select("r", "c", F.col("mask").cast("int").alias("mask"), *INDICES))
+
+
+QUERIES = {f.__name__: f for f in (raster_interleaves, raster_header, mosaic_overlap, written_map, index_tiles)}
+
+_REFLECTANCES = ", ".join(f"((event_id * {7 + 2 * i} + minute)::bigint % 4000 + 1)::double as {b}" for i, b in enumerate(sensors.SENTINEL_2[10]))
 
 ORACLE_SQL = {
+    "index_tiles": f"""with {PIXELS_SQL}, f as (select r, c, {_REFLECTANCES} from px), b as (select *, (B08 - B04) / (B08 + B04) as ndvi, 0.371 + 1.5 * (B08 - B04) / (B08 + B04 + 0.5) as inner_ from f),
+ m as (select *, case when (r // 5 + c // 5) % 7 = 0 or B02 > 3500 or ndvi < -0.5 then 0 else 1 end as mask from b)
+ select r, c, mask, case when mask = 1 then round(ndvi, 6) end as ndvi, case when mask = 1 then round(B11 / (B8A + (1613.7 - 864.8) * (B12 - B8A) / (2202.4 - 864.8)), 6) end as cr_swir,
+  case when mask = 1 and inner_ > 0 then round(-ln(case when inner_ > 0 then inner_ end) / 2.4, 6) end as lai_savi from m""",
     "raster_interleaves": f"with {PIXELS_SQL} select unnest(['bsq', 'bil', 'bip']) as interleave, r, c, value, k from px where r between {LINES[0]} and {LINES[1]}",
     "raster_header": f"with {PIXELS_SQL} select min(r) + 1 as y_start, min(c) + 1 as x_start, max(r) - min(r) + 1 as lines, max(c) - min(c) + 1 as samples, 3::bigint as bands, 'bil' as interleave, '{', '.join(BANDS)}' as band_names, 1::bigint as n_lines from px group by tile",
     "mosaic_overlap": f"""with {PIXELS_SQL}, t as (select unnest(range((select (max(r) + {MARGIN}) // {TILE_ROWS} + 1 from px))) as t), a as (select r, c, t, case when (event_id + t) % 4 <> 0 then value + 1000 * t end as v from px join t on r between t * {TILE_ROWS} - {MARGIN} and t * {TILE_ROWS} + {TILE_ROWS - 1 + MARGIN})
