@@ -23,6 +23,7 @@ from plotweave.operators.species import SpeciesModel, assign_model, fit_species
 from plotweave.operators.transforms import continuum_removed, scale
 from plotweave.operators.windows import enough_pixels, moving_counts, window_id
 from plotweave.plans.options import Options, report
+from plotweave.sources.shared import written
 
 #: Pixels of all tiles that the bounds of their masks are taken from.
 STATISTICS = 5_000_000
@@ -62,11 +63,20 @@ def fit_beta(plots: DataFrame, species: SpeciesModel, options: Options) -> BetaM
     return BetaModel(training, principal_coordinates(distance, options.dimensions)[0], options.n_iter, options.n_clusters)
 
 
+def _counted(sample: DataFrame, options: Options) -> DataFrame:
+    """The sample for a model's species, written once; says that there is no stored model, and if it is smaller than wanted."""
+    report("no_model")
+    kept = written(sample, "species-sample")
+    if kept.count() < options.alpha_sample:
+        report("few_pixels")
+    return kept
+
+
 def fit(pixels: DataFrame, bands: Sequence[str], key: str, options: Options, stored: SpeciesModel | None = None) -> Model:
     """Species from a sample of pixels, unless a model is given, and the ordination of a sample of plots."""
     usable = clean(pixels, bands)
     if stored is None:
-        stored = fit_species(sample_pixels(usable, options.alpha_sample, key), bands, key, options.n_iter, options.n_clusters, options.iqr_weight, options.starts, seed=options.seed, algorithm=options.algorithm)
+        stored = fit_species(_counted(sample_pixels(usable, options.alpha_sample, key), options), bands, key, options.n_iter, options.n_clusters, options.iqr_weight, options.starts, seed=options.seed, algorithm=options.algorithm)
         stored = stored.kept()
     if not options.beta_metrics:
         return Model(stored, None)
@@ -145,7 +155,7 @@ def fit_tiles(pixels: DataFrame, bands: Sequence[str], tile: str, key: str, opti
     """As ``fit``, from samples that take of every tile in proportion to its pixels."""
     sample, plots = sample_all_tiles(pixels, tile, key, options.alpha_sample, options.beta_sample, options.window)
     if stored is None:
-        stored = fit_species(sample, bands, key, options.n_iter, options.n_clusters, options.iqr_weight, options.starts, seed=options.seed, algorithm=options.algorithm)
+        stored = fit_species(_counted(sample, options), bands, key, options.n_iter, options.n_clusters, options.iqr_weight, options.starts, seed=options.seed, algorithm=options.algorithm)
         stored = stored.kept()
     return Model(stored, fit_beta(plots, stored, options) if options.beta_metrics else None)
 
