@@ -474,9 +474,14 @@ def _in_bucket(code: np.ndarray, size: int, own: np.ndarray, rare: np.ndarray) -
     return out
 
 
+def _narrowed(counts: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits where all of them fit; sums of both kinds are made in 64."""
+    return counts.astype(np.uint32) if counts.max(initial=0) < 1 << 32 else counts
+
+
 def merged(blobs: list[list[bytes]], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """One table of trigrams and counts from several: the rare words, ``v``, ``u``, ``w``, counts."""
-    found = [(*unpack(b), unplanes(b[4], "<i8")) for b in blobs]
+    found = [(*unpack(b), _narrowed(unplanes(b[4], "<i8"))) for b in blobs]
     rare = np.unique(np.concatenate([f[0] for f in found]))
     v, u, w = (np.concatenate([_in_bucket(f[k], size, f[0], rare) for f in found]) for k in (1, 2, 3))
     c = np.concatenate([f[4] for f in found])
