@@ -99,12 +99,14 @@ def tile_mask(pixels: DataFrame, bounds: DataFrame, bands: Sequence[str]) -> Dat
     return within(pixels, bounds, bands).withColumn("mask", F.when(F.col("mask") == 1, 1))
 
 
-def band_catalog(spectra: DataFrame, wavelengths: Sequence[float], features: str = "x") -> DataFrame:
-    """``ix`` (from 0), ``wl``: the bands that the spectra have; spectra of another number of bands raise."""
-    sizes = spectra.agg(F.min(F.size(features)).alias("least"), F.max(F.size(features)).alias("most")).first()
-    if sizes.most is not None and not sizes.least == sizes.most == len(wavelengths):
-        raise ValueError(f"spectra of {sizes.least} to {sizes.most} bands, {len(wavelengths)} wavelengths")
-    bands = [(i, float(w)) for i, w in enumerate(wavelengths)] if sizes.most is not None else []
+def band_catalog(spectra: DataFrame, wavelengths: Sequence[float], features: str | None = None) -> DataFrame:
+    """``ix`` (from 0), ``wl``. With ``features``, an array column, the bands that the spectra have: those of another number of bands raise."""
+    bands = [(i, float(w)) for i, w in enumerate(wavelengths)]
+    if features is not None:
+        sizes = spectra.agg(F.min(F.size(features)).alias("least"), F.max(F.size(features)).alias("most")).first()
+        if sizes.most is not None and not sizes.least == sizes.most == len(wavelengths):
+            raise ValueError(f"spectra of {sizes.least} to {sizes.most} bands, {len(wavelengths)} wavelengths")
+        bands = bands[: sizes.most or 0]
     return spectra.sparkSession.createDataFrame(bands, "ix int, wl double")
 
 

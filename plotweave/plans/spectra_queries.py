@@ -76,7 +76,7 @@ def rounded_arrays(df):
 
 
 def catalog(spark, sf_dir):
-    return masks.band_catalog(spectra(spark, sf_dir), WAVELENGTHS)
+    return masks.band_catalog(spectra(spark, sf_dir), WAVELENGTHS, "x")
 
 
 TARGETS = [("blue", 480.0), ("green", 560.0), ("red", 670.0), ("nir", 835.0), ("tie", 416.5)]
