@@ -10,7 +10,7 @@ from plotweave.operators import beta as beta_ops
 from plotweave.operators import masks, species, transforms
 from plotweave.operators import ordination as ord_ops
 from plotweave.plans import workflows
-from plotweave.plans.bindings import N_BANDS, SPECTRA_SQL, WAVELENGTHS, rounded, spectra
+from plotweave.plans.bindings import N_BANDS, SPECTRA_SQL, WAVELENGTHS, rounded, spectra, table
 
 #: Centroids as rows of the table: (iteration, cluster, vec_id).
 CENTRES = [(i, j + 1, 20 * i + 3 * j) for i in (1, 2, 3) for j in range(5)]
@@ -29,7 +29,8 @@ def centre_sets(spark, sf_dir):
 
 def flat(spark, sf_dir):
     """All bands as columns ``b0`` ... ."""
-    return spectra(spark, sf_dir).select("vec_id", "label", *(F.col("x")[i].alias(f"b{i}") for i in range(N_FLAT)))
+    # Each number is cast by itself: a filter over all bands would cast the whole array for each of them.
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", *(F.col("embedding")[i].cast("double").alias(f"b{i}") for i in range(N_FLAT)))
 
 
 BANDS = tuple(f"b{i}" for i in range(N_FLAT))
@@ -196,7 +197,7 @@ TRANSFER_LOTS, TRANSFER_CLUSTERS = 2, 6
 def kmeans_transfers(spark, sf_dir):
     """Of every spectrum: would its transfer to another cluster of its lot lower the sum of squares, and is its centre the mean of its members? All bands."""
     px = flat(spark, sf_dir)
-    model = species.fit_species(px, BANDS, "vec_id", TRANSFER_LOTS, TRANSFER_CLUSTERS, starts=3)
+    model = species.fit_species(px, BANDS, "vec_id", TRANSFER_LOTS, TRANSFER_CLUSTERS, starts=3).kept()
     scaled = transforms.scale(px, model.bounds, BANDS).select("vec_id", F.array(*BANDS).alias("x"), species.lot("vec_id", TRANSFER_LOTS).alias("iter"))
     return species.transfer_check(scaled, model.centroids, "x", "vec_id")
 
