@@ -65,19 +65,25 @@ class Automata:
     """Transitions of all languages' automata, -1 where there is none.
 
     The first states have a row each, ``table[state * width + symbol]``; after these rows is an empty one for all others, which have
-    one successor, ``following``, for one symbol, ``only``. The last of them is no state and follows nothing.
+    one successor, ``following``, for one symbol, ``only``. The last of them is no state and follows nothing. A table without
+    ``only`` has a row for every state.
     """
 
     languages: list[str]
     symbols: np.ndarray  # by code point
     width: int
     table: np.ndarray
-    only: np.ndarray
-    following: np.ndarray
     roots: np.ndarray
     bits: np.ndarray  # of a phrase, by language
+    only: np.ndarray | None = None
+    following: np.ndarray | None = None
     noise: np.ndarray | None = None  # bits a symbol of each sample in random order
 
+    def __post_init__(self) -> None:
+        if self.only is None:
+            self.table = np.append(self.table, np.full(self.width, -1, self.table.dtype))
+            self.only, self.following = np.full(1, NO_SYMBOL, np.uint8), np.full(1, -1, np.int32)
+
     def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """The states after ``symbol``."""
         rows = len(self.table) // self.width - 1
@@ -179,7 +185,7 @@ def build(samples: dict[str, list[str]]) -> Automata:
                     only[number[state] - rows], following[number[state] - rows] = c, number[to]
         roots.append(int(number[0]))
         first_wide, first_narrow = first_wide + int(has_row.sum()), first_narrow + int((~has_row).sum())
-    model = Automata(languages, table, width, dense.ravel(), only, following, np.array(roots, np.int64), np.array(bits))
+    model = Automata(languages, table, width, dense.ravel(), np.array(roots, np.int64), np.array(bits), only, following)
     if languages:
         blocks = [s[a : a + BLOCK] for s in shuffled for a in range(0, len(s), BLOCK)]
         of = np.repeat(np.arange(len(languages)), [-(-len(s) // BLOCK) for s in shuffled])
