@@ -11,10 +11,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotweave.operators.beta import MAX_TRAINING
+from plotweave.operators.beta import CELLS, MAX_TRAINING, bray_curtis_matrix
+
+#: Residual of spread coordinates, by the largest eigenvalue; vectors beside the axes wanted.
+TOLERANCE, WIDER = 1e-11, 5
 
 
 @dataclass(frozen=True)
@@ -147,6 +150,57 @@ def principal_coordinates(distance: np.ndarray, axes: int = 3) -> tuple[np.ndarr
     return vectors[:, use] * np.sqrt(values[use]), values
 
 
+def spread_coordinates(spark: SparkSession, training: np.ndarray, n_iter: int, axes: int = 3) -> np.ndarray:
+    """``principal_coordinates`` of more plots than a matrix is held of: dissimilarities are made in blocks of rows by tasks, and made again in each step.
+
+    Block Lanczos steps with full orthogonalisation: the driver holds a few vectors of a number a plot. They go on until the residuals of the
+    first ``axes`` are below ``TOLERANCE`` of the largest eigenvalue, or the vectors span everything.
+    """
+    n, context = len(training), spark.sparkContext
+    shared = context.broadcast(training)
+    parts = min(max(1, n // 64), 4 * context.defaultParallelism)
+
+    def times(v: np.ndarray) -> np.ndarray:
+        """The doubly centred matrix times some vectors."""
+        sent = context.broadcast(v - v.mean(0))
+
+        def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            plots, vectors = shared.value, sent.value
+            for batch in batches:
+                at = batch["id"].to_numpy()
+                own = [bray_curtis_matrix(plots[i], plots, n_iter) ** 2 @ vectors for i in np.array_split(at, max(1, -(-len(at) * n // CELLS)))]
+                yield pd.DataFrame({"id": at, "x": list(np.concatenate(own))})
+
+        found = spark.range(0, n, 1, parts).mapInPandas(rows, "id bigint, x array<double>").orderBy("id").collect()  # as many as plots
+        sent.unpersist()
+        out = -0.5 * np.array([r.x for r in found], float)
+        return out - out.mean(0)
+
+    block = np.random.default_rng(0).standard_normal((n, axes + WIDER))
+    block = np.linalg.qr(block - block.mean(0))[0]
+    basis, image = block, times(block)
+    while True:
+        small = basis.T @ image
+        values, vectors = np.linalg.eigh((small + small.T) / 2)
+        order = np.argsort(-values, kind="stable")[:axes]
+        ritz = basis @ vectors[:, order]
+        left = np.linalg.norm(image @ vectors[:, order] - ritz * values[order], axis=0)
+        if left.max() <= TOLERANCE * max(np.abs(values).max(), 1e-300) or basis.shape[1] >= n - 1:
+            break
+        after = image[:, -block.shape[1] :]
+        for _ in range(2):  # once more against rounding
+            after = after - basis @ (basis.T @ after)
+        block, sizes, _ = np.linalg.svd(after, full_matrices=False)
+        block = block[:, sizes > 1e-12 * max(np.abs(values).max(), 1e-300)][:, : n - 1 - basis.shape[1]]
+        if not block.shape[1]:
+            break
+        block = np.linalg.qr(block - basis @ (basis.T @ block))[0]
+        basis, image = np.hstack([basis, block]), np.hstack([image, times(block)])
+    shared.unpersist()
+    use = [k for k in range(len(order)) if values[order[k]] > 1e-12]
+    return signed(ritz[:, use]) * np.sqrt(values[order][use])
+
+
 def distance_matrix(pairs: DataFrame, ids: Sequence) -> np.ndarray:
     """The symmetric matrix of bounded training pairs (``a``, ``b``, ``bc``)."""
     at = {x: i for i, x in enumerate(ids)}
